@@ -1 +1,199 @@
-"""Structured Streaming jobs (filled in below)."""
+"""Structured Streaming jobs.
+
+Each job reads a table as a file stream, runs with ``availableNow`` into a
+sink under the shared checkpoint directory (checkpoint location next to it,
+so a restarted driver resumes where it stopped) and returns the sink as a
+batch DataFrame. Event time: ``events.ts`` is TIMESTAMP_NTZ, which
+``withWatermark`` rejects, so it is read as a session-time-zone TIMESTAMP and
+written back as NTZ.
+
+Append mode emits a window only once the watermark (max event time - delay)
+has passed its end, so the last open windows of a finite input stay
+unemitted; that is the documented result of these jobs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
+
+from moodline.functions import scoring as S
+from moodline.operators import scorer as K
+from moodline.operators.joins import materialize
+from moodline.plans.common import train_model
+from moodline.session import scratch_path
+from moodline.sources.tables import posts, read_table, table_path
+
+WATERMARK = "10 minutes"
+WINDOW = "1 hour"
+SESSION_GAP = "30 minutes"
+DEDUPE_WINDOW = "1 minute"
+HISTORY_N = 5
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    """A table as a file stream. A glob keeps a single-file table and a
+    directory of part files readable alike."""
+    schema = read_table(spark, sf_dir, name).schema
+    path = table_path(sf_dir, name).replace(f"/{name}.parquet", f"/{name}*.parquet")
+    return spark.readStream.schema(schema).options(**options).parquet(path)
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table_stream(spark, sf_dir, "events")
+    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def run_to_parquet(df: DataFrame, kind: str) -> DataFrame:
+    """Run the streaming plan to completion (availableNow) into a parquet
+    sink and read the result back as a batch DataFrame."""
+    spark = df.sparkSession
+    base = scratch_path(spark, f"streams/{kind}")
+    q = (df.writeStream.format("parquet").outputMode("append")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Static side of the stream-static joins: doc_id, text hash, rule-A
+    sentiment, band. Materialised once so micro-batches do not recompute the
+    scorer."""
+    model, _ = train_model(spark, sf_dir)
+    docs = posts(spark, sf_dir).select("doc_id", "text")
+    pr = K.app_fields(K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text"))
+    static = materialize(pr.select("doc_id", "sentiment", "toxicity_level"))
+    n_docs = read_table(spark, sf_dir, "documents").count()
+    return static, n_docs
+
+
+def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
+    # events carry no post reference: event i shows post i mod n_docs
+    return ev.withColumn("doc_id", F.pmod(F.col("event_id"), F.lit(n_docs)))
+
+
+def stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event joined (stream-static) to the scored post it shows."""
+    static, n_docs = scored_documents(spark, sf_dir)
+    ev = _with_doc(event_stream(spark, sf_dir), n_docs)
+    out = ev.join(static, "doc_id").select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "doc_id",
+        "sentiment", "toxicity_level")
+    return run_to_parquet(out, "stream_scored")
+
+
+def toxicity_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling one-hour counts of events per toxicity band."""
+    static, n_docs = scored_documents(spark, sf_dir)
+    ev = _with_doc(event_stream(spark, sf_dir).withWatermark("ts", WATERMARK), n_docs)
+    agg = (ev.join(static, "doc_id")
+           .groupBy(F.window("ts", WINDOW).alias("w"), "toxicity_level")
+           .agg(F.count(F.lit(1)).alias("n_events")))
+    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                     F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                     "toxicity_level", "n_events")
+    return run_to_parquet(out, "toxicity_by_hour")
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of activity per user (30 minute inactivity gap)."""
+    ev = event_stream(spark, sf_dir).withWatermark("ts", WATERMARK)
+    agg = (ev.groupBy(F.session_window("ts", SESSION_GAP).alias("s"), "user_id")
+           .agg(F.count(F.lit(1)).alias("n_events")))
+    out = agg.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
+                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
+    return run_to_parquet(out, "user_sessions")
+
+
+def dedupe_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text is scored at most once per minute: one row per (minute,
+    text) with the first request and the number of requests it answers."""
+    docs = posts(spark, sf_dir).filter(F.col("text").isNotNull()).select(
+        "doc_id", F.md5(F.col("text")).alias("text_hash"))
+    static = materialize(docs)
+    n_docs = read_table(spark, sf_dir, "documents").count()
+    ev = _with_doc(event_stream(spark, sf_dir).withWatermark("ts", WATERMARK), n_docs)
+    agg = (ev.join(static, "doc_id")
+           .groupBy(F.window("ts", DEDUPE_WINDOW).alias("w"), "text_hash")
+           .agg(F.min("event_id").alias("first_event_id"), F.count(F.lit(1)).alias("n_requests")))
+    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("minute_start"), "text_hash",
+                     "first_event_id", "n_requests")
+    return run_to_parquet(out, "dedupe_per_minute")
+
+
+# ------------------------------------------------------------ R4b: history
+HISTORY_COLS = ["conv_id", "turn", "role", "preview", "sentiment", "toxicity_level", "confidence_text"]
+HISTORY_SCHEMA = Ty.StructType([
+    Ty.StructField("conv_id", Ty.LongType()), Ty.StructField("turn", Ty.LongType()),
+    Ty.StructField("role", Ty.StringType()), Ty.StructField("preview", Ty.StringType()),
+    Ty.StructField("sentiment", Ty.StringType()), Ty.StructField("toxicity_level", Ty.StringType()),
+    Ty.StructField("confidence_text", Ty.StringType())])
+STATE_SCHEMA = Ty.StructType([Ty.StructField("entries", Ty.StringType())])
+
+
+def _last_n_state(n: int):
+    import json
+
+    import pandas as pd
+
+    fields = HISTORY_COLS[1:]
+
+    def update(key, chunks, state):
+        kept = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=fields)
+        for chunk in chunks:  # Arrow-sized chunks: memory bounded by chunk + n
+            kept = pd.concat([kept, chunk[fields]], ignore_index=True)
+            kept = kept.sort_values("turn", ascending=False, kind="stable").head(n)
+        kept = kept.astype({"turn": "int64"})
+        state.update((json.dumps(kept.to_dict("records")),))
+        out = kept.copy()
+        out.insert(0, "conv_id", key[0])
+        yield out[HISTORY_COLS]
+    return update
+
+
+def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N) -> DataFrame:
+    """The last n history entries per session, kept as streaming state.
+
+    Scored history rows (a table Spark derives from ``conversations``) arrive
+    as a file stream; per session the state holds at most n entries. Each
+    micro-batch's updated sessions replace their rows in a Parquet table
+    (foreachBatch upsert, one version directory per batch id, so a replayed
+    batch rewrites the same version)."""
+    from moodline.operators import reports as R
+    model, _ = train_model(spark, sf_dir)
+    feed = R.history_rows(model, read_table(spark, sf_dir, "conversations"))
+    base = scratch_path(spark, "streams/history_last_n")
+    feed.repartition(4, "turn").write.parquet(f"{base}/feed")
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/feed")
+    last = stream.groupBy("conv_id").applyInPandasWithState(
+        _last_n_state(n), HISTORY_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        bspark = batch.sparkSession
+        prev = _latest_version(bspark, f"{base}/table", batch_id)
+        merged = batch if prev is None else prev.join(
+            batch.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(batch)
+        merged.write.mode("overwrite").parquet(f"{base}/table/v={batch_id:09d}")
+
+    q = (last.writeStream.outputMode("update").foreachBatch(upsert)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    final = _latest_version(spark, f"{base}/table", None)
+    if final is None:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    return final.select(*HISTORY_COLS)
+
+
+def _latest_version(spark: SparkSession, root: str, before: int | None) -> DataFrame | None:
+    try:
+        versions = spark.read.parquet(root).select("v").distinct()
+    except Exception:  # no version written yet
+        return None
+    if before is not None:
+        versions = versions.filter(F.col("v") < before)
+    top = versions.agg(F.max("v")).first()[0]
+    if top is None:
+        return None
+    return spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/v={top:09d}")
