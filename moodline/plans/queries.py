@@ -14,7 +14,7 @@ from moodline.operators import reports as R
 from moodline.operators import scorer as K
 from moodline.operators.sampling import class_quotas
 from moodline.plans.common import (TEST_FRACTION, labelled_posts, split_table, test_posts,
-                                   train_model)
+                                   train_model, train_posts)
 from moodline.sources import csv_io, model_store
 from moodline.sources.tables import posts, read_table
 
@@ -217,8 +217,7 @@ def batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.operators.model_selection import select_alpha
     _, split = train_model(spark, sf_dir)
-    train = (posts(spark, sf_dir).select("doc_id", "text")
-             .join(split.filter(F.col("split") == "train").select("doc_id", "label"), "doc_id"))
+    train = train_posts(spark, sf_dir, split)
     return select_alpha(train, test_posts(spark, sf_dir, split))
 
 
@@ -227,8 +226,7 @@ def model_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.operators import naive_bayes as nb
     from moodline.operators.joins import materialize
     _, split = train_model(spark, sf_dir)
-    train = (posts(spark, sf_dir).select("doc_id", "text")
-             .join(split.filter(F.col("split") == "train").select("doc_id", "label"), "doc_id"))
+    train = train_posts(spark, sf_dir, split)
     counts = materialize(nb.token_class_counts(train))
     store = model_store.ModelStore.for_session(spark)
     for alpha in CANDIDATE_ALPHAS:
