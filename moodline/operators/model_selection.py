@@ -51,9 +51,16 @@ def select_alpha(train: DataFrame, test: DataFrame, alphas=CANDIDATE_ALPHAS) ->
                                       (S.argmax3(*lg) == F.col("label")).cast("int").alias("correct")))
     long = sums.select(F.explode(F.array(*per_candidate)).alias("c")).select("c.*")
     acc = long.groupBy("epoch", "alpha").agg((F.sum("correct") / F.count(F.lit(1))).alias("val_accuracy"))
-    # one row per candidate: the un-partitioned window sees len(alphas) rows
+    return mark_best(acc)
+
+
+def mark_best(acc: DataFrame) -> DataFrame:
+    """Adds ``is_best`` to a table of (epoch, ..., val_accuracy): the first
+    epoch reaching the maximal accuracy; the last epoch if none is above 0.
+    One row per candidate, so the un-partitioned window sees a handful of
+    rows."""
     every = Window.partitionBy(F.lit(0))
     best_acc = F.max("val_accuracy").over(every)
     first_best = F.min(F.when(F.col("val_accuracy") == best_acc, F.col("epoch"))).over(every)
     best = F.when(best_acc > 0, first_best).otherwise(F.max("epoch").over(every))
-    return acc.select("epoch", "alpha", "val_accuracy", (F.col("epoch") == best).alias("is_best"))
+    return acc.select("*", (F.col("epoch") == best).alias("is_best"))
