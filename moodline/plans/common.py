@@ -40,7 +40,10 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, label, split - materialised once per application (no text inside)."""
     key = _memo_key(spark, sf_dir, TEST_FRACTION)
     if key not in _SPLITS:
-        lp = labelled_posts(spark, sf_dir).select("doc_id", "label")
+        # (doc_id, label) is written once: the split aggregates it three
+        # times (quotas, bucket counts, rows) and must not re-run the text
+        # clean-up each time
+        lp = materialize(labelled_posts(spark, sf_dir).select("doc_id", "label"))
         _SPLITS[key] = materialize(stratified_split(lp, "doc_id", "label", TEST_FRACTION))
     return _SPLITS[key]
 

@@ -16,7 +16,7 @@ from moodline.operators.sampling import class_quotas
 from moodline.plans.common import (TEST_FRACTION, labelled_posts, split_table, test_posts,
                                    train_model, train_posts)
 from moodline.sources import csv_io, model_store
-from moodline.sources.tables import posts, read_table
+from moodline.sources.tables import posts, read_keyed, read_table
 
 P = ["p_negative", "p_neutral", "p_positive"]
 
@@ -259,7 +259,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- history
 def _history(spark, sf_dir):
     model, _ = train_model(spark, sf_dir)
-    conv = read_table(spark, sf_dir, "conversations")
+    conv = read_keyed(spark, sf_dir, "conversations", "conv_id")
     return R.history_rows(model, conv)
 
 

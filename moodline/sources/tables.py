@@ -22,6 +22,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Read ``columns`` of a table hash-partitioned by ``key``.
+
+    Column pruning still reaches the scan. The one shuffle places all rows of
+    a key in one partition: joins on the key (documents-labels), the
+    per-key aggregations of the scorer and per-key windows reuse this
+    partitioning instead of shuffling again, and a table stored in a few
+    large row groups is spread over every core before the per-row regex
+    work. The partition count is ``spark.sql.shuffle.partitions`` (AQE
+    coalesces it at run time).
+    """
+    df = read_table(spark, sf_dir, name)
+    if columns:
+        df = df.select(*columns)
+    return df.repartition(key)
+
+
 def label_code(toxic: Column, quality: Column) -> Column:
     """0 Negative / 1 Neutral / 2 Positive from the two flags of ``labels``."""
     return (F.when(toxic == 1, F.lit(0))
@@ -56,7 +73,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     of ``documents``; both sides are hash-partitioned on doc_id by the planner
     (or the labels side is broadcast by AQE when it turns out small).
     """
-    docs = read_table(spark, sf_dir, "documents").select(
+    docs = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source").select(
         "doc_id", F.col("text").alias("original_text"), F.col("source").alias("platform"))
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", label_code(F.col("toxic"), F.col("quality")).alias("_code"))
