@@ -149,10 +149,12 @@ def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, docs, pr = _scored(spark, sf_dir)
+    model, _, docs, _ = _scored(spark, sf_dir)
+    # the platform rides along in the scorer's group-by: no join back to posts
+    pr = K.probabilities(model, K.gate_nonempty(docs), ["doc_id", "platform"], "text")
     flagged = K.app_fields(pr).filter(F.col("toxicity_level") != "Low")
-    out = K.with_advice(flagged).join(docs.select("doc_id", "platform"), "doc_id")
-    return out.select("doc_id", "platform", "toxicity_level", "toxicity_score", "suggestions")
+    return K.with_advice(flagged).select("doc_id", "platform", "toxicity_level", "toxicity_score",
+                                         "suggestions")
 
 
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +261,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- history
 def _history(spark, sf_dir):
     model, _ = train_model(spark, sf_dir)
-    conv = read_keyed(spark, sf_dir, "conversations", "conv_id")
+    conv = read_keyed(spark, sf_dir, "conversations", ["conv_id", "turn"])
     return R.history_rows(model, conv)
 
 

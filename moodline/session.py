@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+    # session windows: merge the sessions of a key inside each partition
+    # before the shuffle (a partial aggregate for a very active user)
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -22,8 +22,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
-    """Read ``columns`` of a table hash-partitioned by ``key``.
+def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str | list[str],
+               *columns: str) -> DataFrame:
+    """Read ``columns`` of a table hash-partitioned by ``key`` (a unique row
+    key, so that no single value can fill one partition).
 
     Column pruning still reaches the scan. The one shuffle places all rows of
     a key in one partition: joins on the key (documents-labels), the
@@ -36,7 +38,7 @@ def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str, *columns:
     df = read_table(spark, sf_dir, name)
     if columns:
         df = df.select(*columns)
-    return df.repartition(key)
+    return df.repartition(*([key] if isinstance(key, str) else key))
 
 
 def label_code(toxic: Column, quality: Column) -> Column:

@@ -20,16 +20,17 @@ from pyspark.sql import types as Ty
 
 from moodline.functions import scoring as S
 from moodline.operators import scorer as K
-from moodline.operators.joins import materialize
+from moodline.operators.joins import checked_lookup_join, materialize
 from moodline.plans.common import train_model
 from moodline.session import scratch_path
-from moodline.sources.tables import posts, read_table, table_path
+from moodline.sources.tables import posts, read_keyed, read_table, table_path
 
 WATERMARK = "10 minutes"
 WINDOW = "1 hour"
 SESSION_GAP = "30 minutes"
 DEDUPE_WINDOW = "1 minute"
 HISTORY_N = 5
+FEED_BATCHES = 4
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
@@ -57,16 +58,28 @@ def run_to_parquet(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Static side of the stream-static joins: doc_id, text hash, rule-A
-    sentiment, band. Materialised once so micro-batches do not recompute the
-    scorer."""
-    model, _ = train_model(spark, sf_dir)
-    docs = posts(spark, sf_dir).select("doc_id", "text")
-    pr = K.app_fields(K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text"))
-    static = materialize(pr.select("doc_id", "sentiment", "toxicity_level"))
-    n_docs = read_table(spark, sf_dir, "documents").count()
-    return static, n_docs
+_STATIC: dict[tuple, tuple[DataFrame, int, int]] = {}
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """Static side of the stream-static joins: doc_id, rule-A sentiment,
+    band; its row count; the number of documents. Written once per
+    application (micro-batches and later jobs do not re-run the scorer)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _STATIC:
+        model, _ = train_model(spark, sf_dir)
+        docs = posts(spark, sf_dir).select("doc_id", "text")
+        pr = K.app_fields(K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text"))
+        static = materialize(pr.select("doc_id", "sentiment", "toxicity_level"))
+        _STATIC[key] = (static, static.count(), read_table(spark, sf_dir, "documents").count())
+    return _STATIC[key]
+
+
+def _join_static(ev: DataFrame, static: DataFrame, n_static: int) -> DataFrame:
+    """Stream-static inner join on doc_id: the static side is broadcast only
+    when its counted rows are within the bound, else both sides are
+    shuffled on doc_id."""
+    return checked_lookup_join(ev, static, "doc_id", n_static, how="inner")
 
 
 def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
@@ -76,9 +89,9 @@ def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
 
 def stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event joined (stream-static) to the scored post it shows."""
-    static, n_docs = scored_documents(spark, sf_dir)
+    static, n_static, n_docs = scored_documents(spark, sf_dir)
     ev = _with_doc(event_stream(spark, sf_dir), n_docs)
-    out = ev.join(static, "doc_id").select(
+    out = _join_static(ev, static, n_static).select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "doc_id",
         "sentiment", "toxicity_level")
     return run_to_parquet(out, "stream_scored")
@@ -86,9 +99,9 @@ def stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling one-hour counts of events per toxicity band."""
-    static, n_docs = scored_documents(spark, sf_dir)
+    static, n_static, n_docs = scored_documents(spark, sf_dir)
     ev = _with_doc(event_stream(spark, sf_dir).withWatermark("ts", WATERMARK), n_docs)
-    agg = (ev.join(static, "doc_id")
+    agg = (_join_static(ev, static, n_static)
            .groupBy(F.window("ts", WINDOW).alias("w"), "toxicity_level")
            .agg(F.count(F.lit(1)).alias("n_events")))
     out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
@@ -115,7 +128,7 @@ def dedupe_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = materialize(docs)
     n_docs = read_table(spark, sf_dir, "documents").count()
     ev = _with_doc(event_stream(spark, sf_dir).withWatermark("ts", WATERMARK), n_docs)
-    agg = (ev.join(static, "doc_id")
+    agg = (_join_static(ev, static, static.count())
            .groupBy(F.window("ts", DEDUPE_WINDOW).alias("w"), "text_hash")
            .agg(F.min("event_id").alias("first_event_id"), F.count(F.lit(1)).alias("n_requests")))
     out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("minute_start"), "text_hash",
@@ -163,10 +176,16 @@ def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N)
     batch rewrites the same version)."""
     from moodline.operators import reports as R
     model, _ = train_model(spark, sf_dir)
-    feed = R.history_rows(model, read_table(spark, sf_dir, "conversations"))
+    feed = R.history_rows(model, read_keyed(spark, sf_dir, "conversations", ["conv_id", "turn"]))
     base = scratch_path(spark, "streams/history_last_n")
-    feed.repartition(4, "turn").write.parquet(f"{base}/feed")
-    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/feed")
+    # one file per partition of the feed: the stream reads them a few at a time
+    feed.write.parquet(f"{base}/feed")
+    # the written feed arrives in about FEED_BATCHES micro-batches, so that
+    # state is carried from batch to batch
+    n_files = len(spark.read.parquet(f"{base}/feed").inputFiles())
+    stream = (spark.readStream.schema(feed.schema)
+              .option("maxFilesPerTrigger", max(1, -(-n_files // FEED_BATCHES)))
+              .parquet(f"{base}/feed"))
     last = stream.groupBy("conv_id").applyInPandasWithState(
         _last_n_state(n), HISTORY_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
 
