@@ -59,6 +59,15 @@ def scored_table(model: nb.NBModel, docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("label") == predicted, F.lit(False)).alias("matches_original"))
 
 
+def write_scored(scored: DataFrame, path: str) -> DataFrame:
+    """Write the scored table as Parquet partitioned by platform (S4) and
+    return it read back with its own schema (so a platform value that looks
+    like a number stays a string). No shuffle: each task writes the
+    platforms it holds."""
+    scored.write.mode("overwrite").partitionBy("platform").parquet(path)
+    return scored.sparkSession.read.schema(scored.schema).parquet(path).select(*scored.columns)
+
+
 def platform_stats(scored: DataFrame) -> DataFrame:
     """Per platform: labelled count, mean and sample std of confidence, mean
     match (all rows and labelled rows), rounded half-even to 3 places."""

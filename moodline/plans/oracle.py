@@ -338,6 +338,11 @@ FROM ids GROUP BY doc_id, n_tokens, pos // 126"""
        CASE WHEN lang IN ({na}) THEN NULL ELSE lang END AS lang,
        CASE WHEN source IN ({na}) THEN NULL ELSE source END AS source
 FROM documents"""
+    nn = lambda c: f"CASE WHEN {c} IN ({na}) THEN NULL ELSE {c} END"
+    q["evaluate_from_csv"] = with_ctes(*MODEL, f"""csv_docs AS (
+  SELECT doc_id, {nn('text')} AS text, {nn('platform')} AS platform, {nn('raw_label')} AS raw_label
+  FROM posts)""", scored_table("csv_docs", "cs")) + """SELECT doc_id, platform, label, predicted, confidence,
+       matches_original FROM cs_m"""
     hist = with_ctes(*MODEL, score_ctes("conversations", ["conv_id", "turn"], name="hp")) + f""",
 hist AS (
   SELECT c.conv_id, c.turn, c.role,

@@ -15,7 +15,8 @@ from moodline.operators import scorer as K
 from moodline.operators.sampling import class_quotas
 from moodline.plans.common import (TEST_FRACTION, labelled_posts, split_table, test_posts,
                                    train_model, train_posts)
-from moodline.sources import csv_io, model_store
+from moodline.session import scratch_path
+from moodline.sources import columns, csv_io, model_store
 from moodline.sources.tables import posts, read_keyed, read_table
 
 P = ["p_negative", "p_neutral", "p_positive"]
@@ -184,6 +185,23 @@ def score_batch_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_with_udf(model, K.gate_nonempty(docs), "doc_id", "text").select("doc_id", *P)
 
 
+def evaluate_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch evaluation from a CSV with unknown column names: posts are
+    written as CSV (S2) under reference-style names, read back as strings
+    (S1), their columns discovered and renamed (P1, P2), scored, and the
+    scored table written partitioned by platform (S4) and read back."""
+    model, _, docs, _ = _scored(spark, sf_dir)
+    raw = docs.select(F.col("doc_id").alias("post_id"), F.col("text").alias("tweet_text"),
+                      F.col("raw_label").alias("airline_sentiment"),
+                      F.col("platform").alias("Platform_Name"))
+    path = scratch_path(spark, "evaluate")
+    csv_io.write_posts_csv(raw, f"{path}/posts_csv")
+    std = columns.standardize(csv_io.read_posts_csv(spark, f"{path}/posts_csv"), keep=["post_id"])
+    back = std.select(F.col("post_id").cast("long").alias("doc_id"), F.col("Text").alias("text"),
+                      F.col("Platform").alias("platform"), F.col("Sentiment").alias("raw_label"))
+    return R.write_scored(R.scored_table(model, back), f"{path}/scored")
+
+
 # ---------------------------------------------------------------- reports
 def platform_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, docs, _ = _scored(spark, sf_dir)

@@ -65,3 +65,21 @@ def test_last_n_state_keeps_latest_turns():
     out2 = pd.concat(list(fn((7,), iter([chunk([5, 3]), chunk([4])]), st)))
     assert sorted(out2["turn"]) == [3, 4, 5]
     assert list(out2.columns) == HISTORY_COLS
+
+
+def test_column_discovery(spark):
+    import pytest
+
+    from moodline.sources import columns as C
+    df = spark.createDataFrame([("1", "hi", "pos", "x", "web")],
+                               "id string, Tweet_Text string, Airline_Sentiment string, "
+                               "Sentiment_Score string, platform_name string")
+    out = C.standardize(df, keep=["id"])
+    assert out.columns == ["id", "Text", "Sentiment", "Platform"]
+    assert tuple(out.first()) == ("1", "hi", "pos", "web")   # first match in column order
+    no_platform = C.standardize(df.drop("platform_name"))
+    assert no_platform.columns == ["Text", "Sentiment"]
+    both = spark.createDataFrame([("a",)], "text_sentiment string")
+    assert C.standardize(both).columns == ["Text", "Sentiment"]   # one column, two names
+    with pytest.raises(ValueError):
+        C.standardize(df.drop("Tweet_Text"))
