@@ -21,14 +21,16 @@ def broadcast_bound(spark) -> int:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint dir and cut its lineage.
-
-    Survives executor loss (unlike local checkpoints) and lets the size check
-    below run over the written rows instead of recomputing the plan.
+    """Write ``df`` as a Parquet table under the shared checkpoint directory
+    and return it read back: lineage is cut, the rows survive executor loss
+    (unlike local checkpoints), the plan runs once (an eager ``checkpoint()``
+    of an unpersisted plan runs it twice: once to count, once to write), and
+    the planner sees the table's real size.
     """
-    from moodline.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from moodline.session import scratch_path
+    path = scratch_path(df.sparkSession, "tables")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checked_lookup_join(big: DataFrame, small: DataFrame, key: str,

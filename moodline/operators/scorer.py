@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from moodline.functions import scoring as S
 from moodline.functions import text as T
 from moodline.operators import naive_bayes as nb
+from moodline.operators.joins import checked_lookup_join, materialize
 
 # Fixed values, our own wording: advice shown for each toxicity band.
 ADVICE = [
@@ -107,12 +108,25 @@ def score_with_errors(model: nb.NBModel, docs: DataFrame, key="doc_id",
 def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """Each distinct text is scored once (K3), then the result is joined back
-    to all rows carrying that text. Texts are keyed by their 128-bit md5, so
-    only the first occurrence of a text travels to the scorer."""
-    keyed = docs.filter(F.col(text).isNotNull()).select(key, F.md5(F.col(text)).alias("_th"), text)
-    uniq = keyed.select("_th", text).dropDuplicates(["_th"])
-    scored = probabilities(model, uniq, "_th", text)
-    return keyed.select(key, "_th").join(scored, "_th").drop("_th")
+    to all rows carrying that text.
+
+    Texts are keyed by their 128-bit md5. The narrow (row key, hash) table
+    is written once; it gives one representative row per text (only these
+    pairs are shuffled) and serves the join back. The text table is read
+    twice (hashes, then the representatives' texts, joined on the row key
+    where they are) and its text is never shuffled. The scores of the
+    distinct texts are written once; the join back is size-checked and
+    splits hot texts (one text repeated in a third of all rows) off into a
+    broadcast.
+    """
+    present = docs.filter(F.col(text).isNotNull())
+    hashes = materialize(present.select(key, F.md5(F.col(text)).alias("_th")))
+    reps = hashes.groupBy("_th").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n_dup"))
+    uniq = present.select(key, text).join(reps, key)
+    scored = materialize(probabilities(model, uniq, ["_th", "_n_dup"], text)
+                         .select("_th", "_n_dup", *PROB_COLS))
+    back = checked_lookup_join(hashes, scored, "_th", scored.count(), freq_col="_n_dup")
+    return back.select(key, *PROB_COLS)
 
 
 def gate_nonempty(df: DataFrame, text: str = "text") -> DataFrame:
