@@ -171,9 +171,12 @@ def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N)
 
     Scored history rows (a table Spark derives from ``conversations``) arrive
     as a file stream; per session the state holds at most n entries. Each
-    micro-batch's updated sessions replace their rows in a Parquet table
-    (foreachBatch upsert, one version directory per batch id, so a replayed
-    batch rewrites the same version)."""
+    micro-batch appends only the sessions it updated (their full last-n
+    list) to a log, in a folder of its own batch id, so a replayed batch
+    rewrites the same folder. Readers take, per session, the rows of its
+    newest batch: the work per batch grows with the batch, not with the
+    table.
+    """
     from moodline.operators import reports as R
     model, _ = train_model(spark, sf_dir)
     feed = R.history_rows(model, read_keyed(spark, sf_dir, "conversations", ["conv_id", "turn"]))
@@ -188,31 +191,24 @@ def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N)
               .parquet(f"{base}/feed"))
     last = stream.groupBy("conv_id").applyInPandasWithState(
         _last_n_state(n), HISTORY_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
+    log = f"{base}/log"
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        bspark = batch.sparkSession
-        prev = _latest_version(bspark, f"{base}/table", batch_id)
-        merged = batch if prev is None else prev.join(
-            batch.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{base}/table/v={batch_id:09d}")
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/v={batch_id}")
 
-    q = (last.writeStream.outputMode("update").foreachBatch(upsert)
+    q = (last.writeStream.outputMode("update").foreachBatch(append)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    final = _latest_version(spark, f"{base}/table", None)
-    if final is None:
-        return spark.createDataFrame([], HISTORY_SCHEMA)
-    return final.select(*HISTORY_COLS)
+    return latest_per_session(spark, log)
 
 
-def _latest_version(spark: SparkSession, root: str, before: int | None) -> DataFrame | None:
+def latest_per_session(spark: SparkSession, log: str) -> DataFrame:
+    """The rows of each session's newest batch in the append-only log (one
+    partial max per session, then a join on (session, batch))."""
+    schema = Ty.StructType(HISTORY_SCHEMA.fields + [Ty.StructField("v", Ty.LongType())])
     try:
-        versions = spark.read.parquet(root).select("v").distinct()
-    except Exception:  # no version written yet
-        return None
-    if before is not None:
-        versions = versions.filter(F.col("v") < before)
-    top = versions.agg(F.max("v")).first()[0]
-    if top is None:
-        return None
-    return spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/v={top:09d}")
+        rows = spark.read.schema(schema).parquet(log)
+    except Exception:  # no batch written yet
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    newest = rows.groupBy("conv_id").agg(F.max("v").alias("v"))
+    return rows.join(newest, ["conv_id", "v"]).select(*HISTORY_COLS)
