@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 MENTION = "@" + WORD + "+" + SPACE + "*"
+# Texts that the clean-up empties: only whitespace and '@word' runs. Anchored
+# and possessive, so an ordinary text fails at its first character.
+BLANK_AFTER_CLEANUP = "^(?:" + SPACE + "|@" + WORD + "++)*+\\z"
 PREVIEW_CHARS = 50
 
 
@@ -30,6 +33,13 @@ def remove_mentions(c: Column) -> Column:
     return py_strip(F.regexp_replace(c, MENTION, ""))
 
 
+def has_content(c: Column) -> Column:
+    """True exactly when ``remove_mentions(c)`` is neither null nor empty,
+    without running the clean-up: one anchored match that stops at the first
+    character that is neither whitespace nor part of a mention."""
+    return c.isNotNull() & ~c.rlike(BLANK_AFTER_CLEANUP)
+
+
 def has_mention(c: Column) -> Column:
     """``.str.contains('@', na=False)``: any '@', null counts as false."""
     return F.coalesce(c.contains("@"), F.lit(False))

@@ -33,7 +33,8 @@ def mention_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def stage_counts(posts: DataFrame) -> DataFrame:
     """Row count at each clean-up stage, one pass (A1)."""
-    complete = F.col("text").isNotNull() & F.col("raw_label").isNotNull()
+    has_text = F.col("has_text") if "has_text" in posts.columns else F.col("text").isNotNull()
+    complete = has_text & F.col("raw_label").isNotNull()
     known = complete & L.label_to_code(F.col("raw_label")).isNotNull()
     return posts.agg(F.count(F.lit(1)).alias("n_input"),
                      F.count_if(complete).alias("n_complete"),

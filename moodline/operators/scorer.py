@@ -119,7 +119,7 @@ def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
     splits hot texts (one text repeated in a third of all rows) off into a
     broadcast.
     """
-    present = docs.filter(F.col(text).isNotNull())
+    present = gate_nonempty(docs, text)
     hashes = materialize(present.select(key, F.md5(F.col(text)).alias("_th")))
     reps = hashes.groupBy("_th").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n_dup"))
     uniq = present.select(key, text).join(reps, key)
@@ -130,7 +130,10 @@ def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
 
 
 def gate_nonempty(df: DataFrame, text: str = "text") -> DataFrame:
-    """The input gate: empty or missing text is not scored (whitespace is)."""
+    """The input gate: empty or missing text is not scored (whitespace is).
+    Posts carry the equivalent ``has_text`` flag, which is cheaper to test."""
+    if "has_text" in df.columns:
+        return df.filter(F.col("has_text"))
     return df.filter(F.char_length(F.col(text)) > 0)
 
 

@@ -19,7 +19,7 @@ TEST_FRACTION = 0.2
 def labelled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with text and a known label (P5 + T5): doc_id, text, platform, label."""
     p = posts(spark, sf_dir)
-    return (p.na.drop(subset=["text", "raw_label"])
+    return (p.filter(F.col("has_text") & F.col("raw_label").isNotNull())
             .select("doc_id", "text", "platform", L.label_to_code(F.col("raw_label")).alias("label"))
             .na.drop(subset=["label"]))
 

@@ -53,7 +53,7 @@ def clean_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- labels
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir).na.drop(subset=["text", "raw_label"])
+    p = posts(spark, sf_dir).filter(F.col("has_text") & F.col("raw_label").isNotNull())
     return p.select(T.py_strip(F.col("raw_label")).alias("label_value")).distinct()
 
 
@@ -96,7 +96,7 @@ def nb_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark, sf_dir):
     model, split = train_model(spark, sf_dir)
-    docs = posts(spark, sf_dir).select("doc_id", "text", "platform", "raw_label")
+    docs = posts(spark, sf_dir).select("doc_id", "text", "has_text", "platform", "raw_label")
     return model, split, docs, K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text")
 
 
@@ -257,11 +257,11 @@ def model_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- encoding
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.vocabulary(posts(spark, sf_dir).filter(F.col("text").isNotNull()), "text")
+    return E.vocabulary(posts(spark, sf_dir).filter(F.col("has_text")), "text")
 
 
 def encode_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", "text")
+    p = posts(spark, sf_dir).filter(F.col("has_text")).select("doc_id", "text")
     vocab = E.vocabulary(p, "text")
     enc = E.encode(p, vocab, "doc_id", "text")
     return enc.select("doc_id", "chunk", "n_tokens",

@@ -70,7 +70,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents LEFT JOIN labels -> one row per post.
 
     Columns: doc_id, original_text, text (mentions removed, '' -> null as
-    after the CSV hop), platform, raw_label (string or null).
+    after the CSV hop), has_text (text is not null, decided without the
+    clean-up regex: filters on it are cheap where Catalyst pushes them,
+    below the keyed shuffle), platform, raw_label (string or null).
     ``labels`` has at most one row per doc_id, so the join keeps the row count
     of ``documents``; both sides are hash-partitioned on doc_id by the planner
     (or the labels side is broadcast by AQE when it turns out small).
@@ -79,8 +81,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("text").alias("original_text"), F.col("source").alias("platform"))
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", label_code(F.col("toxic"), F.col("quality")).alias("_code"))
+    has_text = T.has_content(F.col("original_text"))
     return (docs.join(labels, "doc_id", "left")
             .select("doc_id", "original_text",
-                    F.nullif(T.remove_mentions(F.col("original_text")), F.lit("")).alias("text"),
-                    "platform",
+                    F.when(has_text, T.remove_mentions(F.col("original_text"))).alias("text"),
+                    has_text.alias("has_text"), "platform",
                     raw_label_text(F.col("_code"), F.col("doc_id")).alias("raw_label")))

@@ -84,3 +84,16 @@ ALPHABET = st.sampled_from(list("ab _@.,\t\n") + [" ", " ", "\x1c", "é", "9"
 def test_remove_mentions_property(spark, texts):
     assert _apply(spark, texts, T.remove_mentions) == [py_remove_mentions(t) for t in texts]
     assert _apply(spark, texts, T.py_strip) == [t.strip() for t in texts]
+
+
+def test_has_content_edge_rows(spark):
+    got = _apply(spark, EDGE, T.has_content)
+    want = [v is not None and py_remove_mentions(v) != "" for v in EDGE]
+    assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=12), min_size=1, max_size=80))
+def test_has_content_property(spark, texts):
+    # has_content(t) <=> the clean-up leaves a non-empty text
+    assert _apply(spark, texts, T.has_content) == [py_remove_mentions(t) != "" for t in texts]
