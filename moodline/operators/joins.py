@@ -56,3 +56,10 @@ def checked_lookup_join(big: DataFrame, small: DataFrame, key: str,
     matched = with_hot.filter(F.col(freq_col).isNotNull())
     rest = with_hot.filter(F.col(freq_col).isNull()).select(*big.columns).join(cold, key, how)
     return matched.unionByName(rest)
+
+
+def counted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``checked_lookup_join`` for a narrow, written ``small`` table (unique on
+    ``key``) whose size is not known yet: it is counted first (a scan of a
+    written table), then broadcast within the bound or shuffle-joined."""
+    return checked_lookup_join(big, small, key, small.count(), how=how)

@@ -14,6 +14,7 @@ from moodline.functions import scoring as S
 from moodline.functions import text as T
 from moodline.operators import naive_bayes as nb
 from moodline.operators import scorer as K
+from moodline.operators.joins import checked_lookup_join
 from moodline.operators.sampling import BATCH_SIZE, with_batches
 
 # Confusion matrix columns (the three classes, then failures).
@@ -41,17 +42,27 @@ def stage_counts(posts: DataFrame) -> DataFrame:
                      F.count_if(known).alias("n_known_label"))
 
 
-def scored_table(model: nb.NBModel, docs: DataFrame) -> DataFrame:
+def scored_table(model: nb.NBModel, docs: DataFrame, labels: DataFrame | None = None,
+                 label_rows: int | None = None) -> DataFrame:
     """The scored posts of the batch evaluation.
 
-    Input: doc_id, text, platform, raw_label. Every row is kept; rows that
-    cannot be scored get 'Error' and confidence 0.0. The label is stripped
-    before it is capitalised, and a missing label never matches.
+    Input: doc_id, text, platform, and raw_label either as a column of
+    ``docs`` (a posts CSV) or as the narrow table ``labels`` (doc_id,
+    raw_label; ``label_rows`` rows), which is joined to the one-row-per-post
+    scores, not to the text. Every row is kept; rows that cannot be scored
+    get 'Error' and confidence 0.0. The label is stripped before it is
+    capitalised, and a missing label never matches.
     """
-    base = docs.select("doc_id", T.py_strip(F.col("platform")).alias("platform"),
-                       T.capitalize(T.py_strip(F.col("raw_label"))).alias("label"), "text")
-    scored = K.batch_fields(K.probabilities(model, base, ["doc_id", "platform", "label"],
-                                            "text", outer=True))
+    std_label = lambda c: T.capitalize(T.py_strip(c))
+    inline = labels is None
+    base = docs.select("doc_id", T.py_strip(F.col("platform")).alias("platform"), "text",
+                       *([std_label(F.col("raw_label")).alias("label")] if inline else []))
+    keys = ["doc_id", "platform"] + (["label"] if inline else [])
+    scored = K.batch_fields(K.probabilities(model, base, keys, "text", outer=True))
+    if not inline:
+        lab = labels.select("doc_id", std_label(F.col("raw_label")).alias("label"))
+        n_lab = label_rows if label_rows is not None else lab.count()
+        scored = checked_lookup_join(scored, lab, "doc_id", n_lab, how="left")
     ok = F.col("n_known") > 0
     predicted = F.when(ok, F.col("predicted")).otherwise(F.lit("Error"))
     return scored.select(

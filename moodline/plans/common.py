@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from moodline.functions import labels as L
 from moodline.operators import naive_bayes as nb
-from moodline.operators.joins import materialize
+from moodline.operators.joins import counted_join, materialize
 from moodline.operators.sampling import stratified_split
-from moodline.sources.tables import posts
+from moodline.sources.tables import documents_clean, posts
 
 ALPHA = 1.0
 TEST_FRACTION = 0.2
@@ -48,10 +48,17 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _SPLITS[key]
 
 
+def _part(spark: SparkSession, sf_dir: str, split: DataFrame, part: str, *cols: str) -> DataFrame:
+    """doc_id, cols..., label of one part of the split. The (doc_id, label)
+    side is written and narrow: it is broadcast after a count when within the
+    bound; beyond it, this is the one join that brings labels to text."""
+    keyed = split.filter(F.col("split") == part).select("doc_id", "label")
+    return counted_join(documents_clean(spark, sf_dir).select("doc_id", *cols), keyed, "doc_id")
+
+
 def train_posts(spark: SparkSession, sf_dir: str, split: DataFrame) -> DataFrame:
     """doc_id, text, label of the train part."""
-    return (posts(spark, sf_dir).select("doc_id", "text")
-            .join(split.filter(F.col("split") == "train").select("doc_id", "label"), "doc_id"))
+    return _part(spark, sf_dir, split, "train", "text")
 
 
 def train_model(spark: SparkSession, sf_dir: str, split: DataFrame | None = None,
@@ -73,5 +80,4 @@ def train_model(spark: SparkSession, sf_dir: str, split: DataFrame | None = None
 
 def test_posts(spark: SparkSession, sf_dir: str, split: DataFrame) -> DataFrame:
     """doc_id, text, platform, label of the test part."""
-    return (posts(spark, sf_dir).select("doc_id", "text", "platform")
-            .join(split.filter(F.col("split") == "test").select("doc_id", "label"), "doc_id"))
+    return _part(spark, sf_dir, split, "test", "text", "platform")

@@ -17,7 +17,8 @@ from moodline.plans.common import (TEST_FRACTION, labelled_posts, split_table, t
                                    train_model, train_posts)
 from moodline.session import scratch_path
 from moodline.sources import columns, csv_io, model_store
-from moodline.sources.tables import posts, read_keyed, read_table
+from moodline.sources.tables import (doc_labels, documents_clean, label_rows, posts, read_keyed,
+                                     read_table)
 
 P = ["p_negative", "p_neutral", "p_positive"]
 
@@ -43,7 +44,7 @@ def clean_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_n_posts(spark: SparkSession, sf_dir: str, n: int = 300) -> DataFrame:
-    return (posts(spark, sf_dir).select("doc_id", "platform", "text")
+    return (documents_clean(spark, sf_dir).select("doc_id", "platform", "text")
             .orderBy("doc_id").limit(n))
 
 
@@ -96,7 +97,7 @@ def nb_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark, sf_dir):
     model, split = train_model(spark, sf_dir)
-    docs = posts(spark, sf_dir).select("doc_id", "text", "has_text", "platform", "raw_label")
+    docs = documents_clean(spark, sf_dir).select("doc_id", "text", "has_text", "platform")
     return model, split, docs, K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text")
 
 
@@ -162,7 +163,7 @@ def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored table of the batch evaluation (S4), every post kept, with
     its text."""
     model, _, docs, _ = _scored(spark, sf_dir)
-    scored = R.scored_table(model, docs)
+    scored = _scored_table(spark, sf_dir, model, docs)
     return scored.join(docs.select("doc_id", "text"), "doc_id").select(
         "doc_id", "platform", "text", "label", "predicted", "confidence", "matches_original")
 
@@ -190,8 +191,8 @@ def evaluate_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     written as CSV (S2) under reference-style names, read back as strings
     (S1), their columns discovered and renamed (P1, P2), scored, and the
     scored table written partitioned by platform (S4) and read back."""
-    model, _, docs, _ = _scored(spark, sf_dir)
-    raw = docs.select(F.col("doc_id").alias("post_id"), F.col("text").alias("tweet_text"),
+    model, _ = train_model(spark, sf_dir)
+    raw = posts(spark, sf_dir).select(F.col("doc_id").alias("post_id"), F.col("text").alias("tweet_text"),
                       F.col("raw_label").alias("airline_sentiment"),
                       F.col("platform").alias("Platform_Name"))
     path = scratch_path(spark, "evaluate")
@@ -205,23 +206,23 @@ def evaluate_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- reports
 def platform_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, docs, _ = _scored(spark, sf_dir)
-    return R.platform_stats(R.scored_table(model, docs))
+    return R.platform_stats(_scored_table(spark, sf_dir, model, docs))
 
 
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, split = train_model(spark, sf_dir)
-    return R.accuracy(R.scored_table(model, _test_as_docs(spark, sf_dir, split)))
+    return R.accuracy(_scored_table(spark, sf_dir, model, test_posts(spark, sf_dir, split)))
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, split = train_model(spark, sf_dir)
-    return R.confusion_matrix(R.scored_table(model, _test_as_docs(spark, sf_dir, split)))
+    return R.confusion_matrix(_scored_table(spark, sf_dir, model, test_posts(spark, sf_dir, split)))
 
 
-def _test_as_docs(spark, sf_dir, split):
-    t = test_posts(spark, sf_dir, split)
-    raw = posts(spark, sf_dir).select("doc_id", "raw_label")
-    return t.select("doc_id", "text", "platform").join(raw, "doc_id")
+def _scored_table(spark, sf_dir, model, docs):
+    # labels are joined to the one-row-per-post scores, not to the text
+    return R.scored_table(model, docs.select("doc_id", "text", "platform"),
+                          doc_labels(spark, sf_dir), label_rows(spark, sf_dir))
 
 
 def toxicity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,11 +258,11 @@ def model_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- encoding
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.vocabulary(posts(spark, sf_dir).filter(F.col("has_text")), "text")
+    return E.vocabulary(documents_clean(spark, sf_dir).filter(F.col("has_text")), "text")
 
 
 def encode_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir).filter(F.col("has_text")).select("doc_id", "text")
+    p = documents_clean(spark, sf_dir).filter(F.col("has_text")).select("doc_id", "text")
     vocab = E.vocabulary(p, "text")
     enc = E.encode(p, vocab, "doc_id", "text")
     return enc.select("doc_id", "chunk", "n_tokens",
@@ -297,7 +298,5 @@ def history_last_n(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
 def logreg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.operators.classifier import fit_and_predict
     _, split = train_model(spark, sf_dir)
-    base = posts(spark, sf_dir).select("doc_id", "text")
-    train = base.join(split.filter(F.col("split") == "train").select("doc_id", "label"), "doc_id")
-    test = base.join(split.filter(F.col("split") == "test").select("doc_id", "label"), "doc_id")
-    return fit_and_predict(train, test)
+    return fit_and_predict(train_posts(spark, sf_dir, split),
+                           test_posts(spark, sf_dir, split).select("doc_id", "text", "label"))

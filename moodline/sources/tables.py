@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from moodline.functions import text as T
 from moodline.functions.labels import CLASS_NAMES
+from moodline.operators.joins import checked_lookup_join
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -24,20 +25,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str | list[str],
                *columns: str) -> DataFrame:
-    """Read ``columns`` of a table hash-partitioned by ``key`` (a unique row
-    key, so that no single value can fill one partition).
-
-    Column pruning still reaches the scan. The one shuffle places all rows of
-    a key in one partition: joins on the key (documents-labels), the
-    per-key aggregations of the scorer and per-key windows reuse this
-    partitioning instead of shuffling again, and a table stored in a few
-    large row groups is spread over every core before the per-row regex
-    work. The partition count is ``spark.sql.shuffle.partitions`` (AQE
-    coalesces it at run time).
+    """Read ``columns`` of a table, spread over the cluster by ``key`` (a
+    unique row key, so that no single value can fill one partition) only
+    when the scan arrives in fewer splits than the cluster has cores.
+
+    On a cluster a large table is read in many splits (one per row group /
+    ``spark.sql.files.maxPartitionBytes``) and is processed where it is read:
+    its text is never shuffled just to be tokenized. A table stored in a few
+    large row groups (the local test tables are one row group each) would
+    leave all per-row regex work to one task; it is hash-partitioned by key
+    instead, and the per-key aggregations and windows downstream reuse that
+    partitioning. The decision reads file metadata only (no job).
     """
     df = read_table(spark, sf_dir, name)
     if columns:
         df = df.select(*columns)
+    return spread(df, key)
+
+
+def spread(df: DataFrame, key: str | list[str]) -> DataFrame:
+    """``df`` as it is when it already has at least one partition per core,
+    otherwise hash-partitioned by ``key`` into ``spark.sql.shuffle.partitions``
+    (AQE coalesces them at run time)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
     return df.repartition(*([key] if isinstance(key, str) else key))
 
 
@@ -66,24 +78,57 @@ def raw_label_text(code: Column, key: Column) -> Column:
             .otherwise(F.lit("unsure")))
 
 
+def documents_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per post, no labels: doc_id, original_text, text (mentions
+    removed, '' -> null as after the CSV hop), has_text (text is not null,
+    decided without the clean-up regex: filters on it are cheap and are
+    pushed towards the scan), platform.
+
+    Scoring reads this and attaches labels, if at all, to its narrow per-post
+    result rows, so the text never travels to a label join."""
+    docs = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source")
+    has_text = T.has_content(F.col("text"))
+    return docs.select("doc_id", F.col("text").alias("original_text"),
+                       F.when(has_text, T.remove_mentions(F.col("text"))).alias("text"),
+                       has_text.alias("has_text"), F.col("source").alias("platform"))
+
+
+def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, raw_label (string or null): the human label of each labelled
+    post, at most one row per doc_id. Narrow: 8 bytes of key and a word."""
+    labels = read_table(spark, sf_dir, "labels")
+    code = label_code(F.col("toxic"), F.col("quality"))
+    return labels.select("doc_id", raw_label_text(code, F.col("doc_id")).alias("raw_label"))
+
+
+_LABEL_ROWS: dict[tuple, int] = {}
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Row count of ``labels`` (from Parquet metadata), once per application:
+    the size check in front of every broadcast of the label table."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LABEL_ROWS:
+        _LABEL_ROWS[key] = read_table(spark, sf_dir, "labels").count()
+    return _LABEL_ROWS[key]
+
+
+def with_labels(spark: SparkSession, sf_dir: str, df: DataFrame, how: str = "left") -> DataFrame:
+    """``df`` (keyed by doc_id) joined to ``doc_labels``: broadcast when the
+    counted label rows are within ``moodline.broadcast.maxRows``, otherwise a
+    shuffle join on doc_id."""
+    return checked_lookup_join(df, doc_labels(spark, sf_dir), "doc_id", label_rows(spark, sf_dir),
+                               how=how)
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents LEFT JOIN labels -> one row per post.
-
-    Columns: doc_id, original_text, text (mentions removed, '' -> null as
-    after the CSV hop), has_text (text is not null, decided without the
-    clean-up regex: filters on it are cheap where Catalyst pushes them,
-    below the keyed shuffle), platform, raw_label (string or null).
-    ``labels`` has at most one row per doc_id, so the join keeps the row count
-    of ``documents``; both sides are hash-partitioned on doc_id by the planner
-    (or the labels side is broadcast by AQE when it turns out small).
+    """documents LEFT JOIN labels -> one row per post: the columns of
+    ``documents_clean`` plus raw_label.
+
+    ``labels`` has at most one row per doc_id, so the join keeps the row
+    count of ``documents``. The cleaned columns are computed before the join,
+    so a query that reads only flags and labels (stage counts, label values,
+    the split) prunes the text out of the join.
     """
-    docs = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source").select(
-        "doc_id", F.col("text").alias("original_text"), F.col("source").alias("platform"))
-    labels = read_table(spark, sf_dir, "labels").select(
-        "doc_id", label_code(F.col("toxic"), F.col("quality")).alias("_code"))
-    has_text = T.has_content(F.col("original_text"))
-    return (docs.join(labels, "doc_id", "left")
-            .select("doc_id", "original_text",
-                    F.when(has_text, T.remove_mentions(F.col("original_text"))).alias("text"),
-                    has_text.alias("has_text"), "platform",
-                    raw_label_text(F.col("_code"), F.col("doc_id")).alias("raw_label")))
+    return with_labels(spark, sf_dir, documents_clean(spark, sf_dir)).select(
+        "doc_id", "original_text", "text", "has_text", "platform", "raw_label")

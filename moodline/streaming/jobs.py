@@ -23,7 +23,7 @@ from moodline.operators import scorer as K
 from moodline.operators.joins import checked_lookup_join, materialize
 from moodline.plans.common import train_model
 from moodline.session import scratch_path
-from moodline.sources.tables import posts, read_keyed, read_table, table_path
+from moodline.sources.tables import documents_clean, read_keyed, read_table, table_path
 
 WATERMARK = "10 minutes"
 WINDOW = "1 hour"
@@ -68,7 +68,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int,
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _STATIC:
         model, _ = train_model(spark, sf_dir)
-        docs = posts(spark, sf_dir).select("doc_id", "text", "has_text")
+        docs = documents_clean(spark, sf_dir).select("doc_id", "text", "has_text")
         pr = K.app_fields(K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text"))
         static = materialize(pr.select("doc_id", "sentiment", "toxicity_level"))
         _STATIC[key] = (static, static.count(), read_table(spark, sf_dir, "documents").count())
@@ -123,7 +123,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedupe_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text is scored at most once per minute: one row per (minute,
     text) with the first request and the number of requests it answers."""
-    docs = posts(spark, sf_dir).filter(F.col("has_text")).select(
+    docs = documents_clean(spark, sf_dir).filter(F.col("has_text")).select(
         "doc_id", F.md5(F.col("text")).alias("text_hash"))
     static = materialize(docs)
     n_docs = read_table(spark, sf_dir, "documents").count()
