@@ -95,9 +95,9 @@ def nb_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.weights.select("token", "n0", "n1", "n2", "n_occ", "wq0", "wq1", "wq2")
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, keyed=False):
     model, split = train_model(spark, sf_dir)
-    docs = documents_clean(spark, sf_dir).select("doc_id", "text", "has_text", "platform")
+    docs = documents_clean(spark, sf_dir, keyed).select("doc_id", "text", "has_text", "platform")
     return model, split, docs, K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text")
 
 
@@ -162,7 +162,9 @@ def flagged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored table of the batch evaluation (S4), every post kept, with
     its text."""
-    model, _, docs, _ = _scored(spark, sf_dir)
+    # the text comes back next to its scores: partitioned by doc_id once, the
+    # scores (grouped by doc_id) and the text then join without an exchange
+    model, _, docs, _ = _scored(spark, sf_dir, keyed=True)
     scored = _scored_table(spark, sf_dir, model, docs)
     return scored.join(docs.select("doc_id", "text"), "doc_id").select(
         "doc_id", "platform", "text", "label", "predicted", "confidence", "matches_original")
@@ -262,8 +264,11 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = documents_clean(spark, sf_dir).filter(F.col("has_text")).select("doc_id", "text")
-    vocab = E.vocabulary(p, "text")
+    # token ids are regrouped per text: the text is partitioned by doc_id
+    # once instead of shuffling token rows
+    p = documents_clean(spark, sf_dir, keyed=True).filter(F.col("has_text")).select("doc_id", "text")
+    # counting tokens needs no key: the vocabulary reads the text where it is
+    vocab = E.vocabulary(documents_clean(spark, sf_dir).filter(F.col("has_text")), "text")
     enc = E.encode(p, vocab, "doc_id", "text")
     return enc.select("doc_id", "chunk", "n_tokens",
                       F.array_join(F.col("input_ids"), " ").alias("ids_text"),

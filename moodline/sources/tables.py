@@ -24,7 +24,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str | list[str],
-               *columns: str) -> DataFrame:
+               *columns: str, always: bool = False) -> DataFrame:
     """Read ``columns`` of a table, spread over the cluster by ``key`` (a
     unique row key, so that no single value can fill one partition) only
     when the scan arrives in fewer splits than the cluster has cores.
@@ -36,10 +36,16 @@ def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str | list[str]
     leave all per-row regex work to one task; it is hash-partitioned by key
     instead, and the per-key aggregations and windows downstream reuse that
     partitioning. The decision reads file metadata only (no job).
+
+    ``always`` partitions by key in any case: for jobs that regroup the rows
+    of each key downstream (per-text token arrays, text joined back to its
+    scores), moving the text once is cheaper than moving its token rows.
     """
     df = read_table(spark, sf_dir, name)
     if columns:
         df = df.select(*columns)
+    if always:
+        return df.repartition(*([key] if isinstance(key, str) else key))
     return spread(df, key)
 
 
@@ -78,15 +84,17 @@ def raw_label_text(code: Column, key: Column) -> Column:
             .otherwise(F.lit("unsure")))
 
 
-def documents_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_clean(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     """One row per post, no labels: doc_id, original_text, text (mentions
     removed, '' -> null as after the CSV hop), has_text (text is not null,
     decided without the clean-up regex: filters on it are cheap and are
     pushed towards the scan), platform.
 
     Scoring reads this and attaches labels, if at all, to its narrow per-post
-    result rows, so the text never travels to a label join."""
-    docs = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source")
+    result rows, so the text never travels to a label join. ``keyed``: hash-
+    partitioned by doc_id in any case (see ``read_keyed``)."""
+    docs = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source",
+                      always=keyed)
     has_text = T.has_content(F.col("text"))
     return docs.select("doc_id", F.col("text").alias("original_text"),
                        F.when(has_text, T.remove_mentions(F.col("text"))).alias("text"),
