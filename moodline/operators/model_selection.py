@@ -22,8 +22,12 @@ from moodline.operators.joins import checked_lookup_join, materialize
 CANDIDATE_ALPHAS = [0.1, 0.5, 1.0, 2.0]
 
 
-def select_alpha(train: DataFrame, test: DataFrame, alphas=CANDIDATE_ALPHAS) -> DataFrame:
-    counts = materialize(nb.token_class_counts(train))
+def select_alpha(train: DataFrame, test: DataFrame, alphas=CANDIDATE_ALPHAS,
+                 counts: DataFrame | None = None) -> DataFrame:
+    """``counts`` (token, n0..n2, n_occ of ``train``) may come from a model
+    already trained on ``train``; otherwise they are counted here."""
+    if counts is None:
+        counts = materialize(nb.token_class_counts(train))
     totals = counts.agg(F.count(F.lit(1)).alias("v"),
                         *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in range(3)]).first()
     docs = {r["_y"]: r["n"] for r in

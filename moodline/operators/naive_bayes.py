@@ -40,6 +40,11 @@ class NBModel:
     class_tokens: tuple[int, int, int]
     alpha: float
 
+    @property
+    def counts(self) -> DataFrame:
+        """token, n0, n1, n2, n_occ: the training counts, kept in the weights."""
+        return self.weights.select("token", *[f"n{c}" for c in range(N_CLASSES)], "n_occ")
+
     @property
     def priors(self) -> tuple[float, float, float]:
         n = sum(self.class_docs)

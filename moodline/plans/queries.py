@@ -239,18 +239,18 @@ def batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.operators.model_selection import select_alpha
-    _, split = train_model(spark, sf_dir)
+    model, split = train_model(spark, sf_dir)
     train = train_posts(spark, sf_dir, split)
-    return select_alpha(train, test_posts(spark, sf_dir, split))
+    # every candidate starts from the token counts of the trained model
+    return select_alpha(train, test_posts(spark, sf_dir, split), counts=model.counts)
 
 
 def model_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.operators.model_selection import CANDIDATE_ALPHAS
     from moodline.operators import naive_bayes as nb
-    from moodline.operators.joins import materialize
-    _, split = train_model(spark, sf_dir)
+    trained, split = train_model(spark, sf_dir)
     train = train_posts(spark, sf_dir, split)
-    counts = materialize(nb.token_class_counts(train))
+    counts = trained.counts
     store = model_store.ModelStore.for_session(spark)
     for alpha in CANDIDATE_ALPHAS:
         m = nb.fit(train, alpha=alpha, counts=counts)
