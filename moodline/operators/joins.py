@@ -3,13 +3,14 @@
 ``broadcast()`` is used only after the small side has been materialised and
 counted. Beyond the bound the small side is split: its most frequent keys
 (by a frequency column, at most ``max_rows`` of them) are broadcast, the rest
-goes through an ordinary shuffle join. Every key of the rest is rarer than
-any broadcast key, so no single key can dominate a shuffle partition.
+goes through an ordinary shuffle join. Every key of the rest is at most as
+frequent as any broadcast key, so no single key can dominate a shuffle
+partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS_CONF = "moodline.broadcast.maxRows"
@@ -50,14 +51,32 @@ def checked_lookup_join(big: DataFrame, small: DataFrame, key: str,
         # No frequency to split on: plain shuffle join; AQE splits skewed
         # partitions of the big side at run time.
         return big.join(small, key, how)
-    hot = materialize(small.orderBy(F.desc(freq_col), F.asc(key)).limit(bound))
-    cold = small.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cut = frequency_cut(small, freq_col, bound)
+    if cut is None:
+        # more than ``bound`` keys share the top frequency: none is hot
+        return big.join(small, key, how)
+    hot = materialize(small.filter(F.col(freq_col) >= cut))
+    cold = small.filter(F.col(freq_col) < cut)
     with_hot = big.join(F.broadcast(hot), key, "left")
     matched = with_hot.filter(F.col(freq_col).isNotNull())
     rest = with_hot.filter(F.col(freq_col).isNull()).select(*big.columns).join(cold, key, how)
     return matched.unionByName(rest)
 
 
+def frequency_cut(small: DataFrame, freq_col: str, bound: int):
+    """The lowest frequency f such that at most ``bound`` keys have a
+    frequency >= f (None if even the top frequency has more keys).
+
+    No row-level sort: keys are counted per frequency value (a partial
+    aggregate), and only that histogram gets a running sum. It has at most
+    sqrt(2 * total occurrences) rows, since k distinct frequencies need at
+    least 1 + 2 + ... + k occurrences.
+    """
+    hist = small.groupBy(freq_col).agg(F.count(F.lit(1)).alias("_keys"))
+    running = hist.select(freq_col, F.sum("_keys").over(Window.orderBy(F.desc(freq_col))).alias("_cum"))
+    return running.filter(F.col("_cum") <= bound).agg(F.min(freq_col)).first()[0]
+
+
 def counted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``checked_lookup_join`` for a narrow, written ``small`` table (unique on
     ``key``) whose size is not known yet: it is counted first (a scan of a

@@ -105,6 +105,32 @@ def test_hot_cold_lookup_join_equals_plain_join(spark):
         assert got == want
 
 
+def test_frequency_cut_bounds_hot_keys(spark):
+    from moodline.operators.joins import frequency_cut
+    small = spark.createDataFrame([(f"t{k}", f) for k, f in enumerate([9, 7, 7, 5, 5, 5, 1])],
+                                  "token string, n_occ long")
+    assert frequency_cut(small, "n_occ", 1) == 9
+    assert frequency_cut(small, "n_occ", 2) == 9      # a tie at 7 would make 3 keys
+    assert frequency_cut(small, "n_occ", 3) == 7
+    assert frequency_cut(small, "n_occ", 6) == 5
+    assert frequency_cut(small, "n_occ", 100) == 1
+    ties = spark.createDataFrame([(f"t{k}", 4) for k in range(5)], "token string, n_occ long")
+    assert frequency_cut(ties, "n_occ", 3) is None    # no key is hotter than another
+
+
+def test_hot_cold_lookup_join_with_ties_equals_plain_join(spark):
+    big = spark.createDataFrame([(i, f"t{i % 9}") for i in range(300)], "i int, token string")
+    small = materialize(spark.createDataFrame([(f"t{k}", k, [5, 5, 3, 3, 3, 1, 1, 1][k]) for k in range(8)],
+                                              "token string, w int, n_occ long"))
+    for bound in (1, 2, 4, 5, 7):
+        for how in ("inner", "left"):
+            want = sorted(tuple(r) for r in big.join(small, "token", how).select("i", "token", "w").collect())
+            got = sorted(tuple(r) for r in checked_lookup_join(big, small, "token", 8, freq_col="n_occ",
+                                                                max_rows=bound, how=how)
+                         .select("i", "token", "w").collect())
+            assert got == want, (bound, how)
+
+
 def test_model_store_versions(model, spark):
     store = ModelStore.for_session(spark)
     assert store.register("m", model) == 1
