@@ -38,3 +38,21 @@ def test_query_matches_sql(spark, con, name):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns[0] == "platform" and df.count() >= 0
+
+
+BEYOND_BOUND = ["probabilities", "score_distinct", "platform_stats", "accuracy", "scored_posts",
+                "stream_scored", "clean_stage_counts"]
+
+
+@pytest.mark.parametrize("name", BEYOND_BOUND)
+def test_query_matches_sql_when_lookup_sides_exceed_the_broadcast_bound(spark, con, name):
+    # labels, weights, split parts and the stream-static side all count more
+    # than 20 rows: shuffle joins and the hot/cold split run instead of
+    # broadcasts, with the same result
+    from moodline.operators.joins import BROADCAST_ROWS_CONF
+    spark.conf.set(BROADCAST_ROWS_CONF, "20")
+    try:
+        ok, msg = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SMALL)
+    finally:
+        spark.conf.unset(BROADCAST_ROWS_CONF)
+    assert ok, msg
