@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodline.functions import text as T
+from moodline.operators.joins import kth_frequency, materialize
 
 # Sequence length and reserved ids.
 MAX_LENGTH = 128
@@ -22,10 +23,18 @@ VOCAB_SIZE = 30000
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB_SIZE) -> DataFrame:
     """token, token_id, n_occ: the ``size`` most frequent tokens (ties by
-    token), ids from FIRST_WORD_ID. Counting is map-side combined; the top-k
-    keeps at most ``size`` rows per task before the final merge."""
-    counts = (docs.select(F.explode(T.tokens(F.col(text))).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n_occ")))
+    token), ids from FIRST_WORD_ID.
+
+    Counting is map-side combined and written once. Before the top-k, the
+    counts are cut at the frequency of the size-th token (found from the
+    histogram of frequencies), so the final merge of the top-k receives
+    about ``size`` rows plus the ties at that frequency, not ``size`` rows
+    from every task."""
+    counts = materialize(docs.select(F.explode(T.tokens(F.col(text))).alias("token"))
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("n_occ")))
+    floor = kth_frequency(counts, "n_occ", size)
+    if floor is not None:
+        counts = counts.filter(F.col("n_occ") >= floor)
     top = counts.orderBy(F.desc("n_occ"), F.asc("token")).limit(size)
     # at most ``size`` rows: the single-partition window is bounded
     w = Window.orderBy(F.desc("n_occ"), F.asc("token"))

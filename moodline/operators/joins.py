@@ -63,20 +63,30 @@ def checked_lookup_join(big: DataFrame, small: DataFrame, key: str,
     return matched.unionByName(rest)
 
 
+def _keys_at_or_above(small: DataFrame, freq_col: str) -> DataFrame:
+    """freq_col, _cum: for each frequency value, the number of keys at least
+    that frequent. No row-level sort: keys are counted per frequency value (a
+    partial aggregate), and only that histogram gets a running sum. It has
+    at most sqrt(2 * total occurrences) rows, since k distinct frequencies
+    need at least 1 + 2 + ... + k occurrences."""
+    hist = small.groupBy(freq_col).agg(F.count(F.lit(1)).alias("_keys"))
+    return hist.select(freq_col, F.sum("_keys").over(Window.orderBy(F.desc(freq_col))).alias("_cum"))
+
+
 def frequency_cut(small: DataFrame, freq_col: str, bound: int):
     """The lowest frequency f such that at most ``bound`` keys have a
-    frequency >= f (None if even the top frequency has more keys).
-
-    No row-level sort: keys are counted per frequency value (a partial
-    aggregate), and only that histogram gets a running sum. It has at most
-    sqrt(2 * total occurrences) rows, since k distinct frequencies need at
-    least 1 + 2 + ... + k occurrences.
-    """
-    hist = small.groupBy(freq_col).agg(F.count(F.lit(1)).alias("_keys"))
-    running = hist.select(freq_col, F.sum("_keys").over(Window.orderBy(F.desc(freq_col))).alias("_cum"))
+    frequency >= f (None if even the top frequency has more keys)."""
+    running = _keys_at_or_above(small, freq_col)
     return running.filter(F.col("_cum") <= bound).agg(F.min(freq_col)).first()[0]
 
 
+def kth_frequency(small: DataFrame, freq_col: str, k: int):
+    """The frequency of the k-th most frequent key: every key of a top-k has
+    at least this frequency (None when there are fewer than k keys)."""
+    running = _keys_at_or_above(small, freq_col)
+    return running.filter(F.col("_cum") >= k).agg(F.max(freq_col)).first()[0]
+
+
 def counted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``checked_lookup_join`` for a narrow, written ``small`` table (unique on
     ``key``) whose size is not known yet: it is counted first (a scan of a

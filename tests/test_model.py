@@ -118,6 +118,14 @@ def test_frequency_cut_bounds_hot_keys(spark):
     assert frequency_cut(ties, "n_occ", 3) is None    # no key is hotter than another
 
 
+def test_kth_frequency(spark):
+    from moodline.operators.joins import kth_frequency
+    small = spark.createDataFrame([(f"t{k}", f) for k, f in enumerate([9, 7, 7, 5, 5, 5, 1])],
+                                  "token string, n_occ long")
+    assert [kth_frequency(small, "n_occ", k) for k in range(1, 8)] == [9, 7, 7, 5, 5, 5, 1]
+    assert kth_frequency(small, "n_occ", 8) is None
+
+
 def test_hot_cold_lookup_join_with_ties_equals_plain_join(spark):
     big = spark.createDataFrame([(i, f"t{i % 9}") for i in range(300)], "i int, token string")
     small = materialize(spark.createDataFrame([(f"t{k}", k, [5, 5, 3, 3, 3, 1, 1, 1][k]) for k in range(8)],
