@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from moodline.functions import scoring as S
 from moodline.functions import text as T
 from moodline.operators import naive_bayes as nb
-from moodline.operators.joins import checked_lookup_join, materialize
+from moodline.operators.joins import broadcast_bound, checked_lookup_join, materialize
 
 # Fixed values, our own wording: advice shown for each toxicity band.
 ADVICE = [
@@ -110,21 +110,42 @@ def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
     """Each distinct text is scored once (K3), then the result is joined back
     to all rows carrying that text.
 
-    Texts are keyed by their 128-bit md5. The narrow (row key, hash) table
-    is written once; it gives one representative row per text (only these
-    pairs are shuffled) and serves the join back. The text table is read
-    twice (hashes, then the representatives' texts, joined on the row key
-    where they are) and its text is never shuffled. The scores of the
-    distinct texts are written once; the join back is size-checked and
-    splits hot texts (one text repeated in a third of all rows) off into a
-    broadcast.
+    Texts are keyed by their 128-bit md5. Everything that decides which rows
+    are scored is narrow: the written (row key, hash) table gives one
+    representative per text (its smallest key, a partial aggregate, so a
+    text copied into a third of all rows is one row per task before the
+    shuffle). The text rows are then filtered where they are read, by a
+    broadcast semi-join with the representatives' keys, or else an
+    anti-join with the copies' keys, whichever set was counted within the
+    bound; only when both are beyond it is the text shuffled to the
+    representatives. Scores are written once per text and joined back on
+    the hash, with the hottest texts broadcast (size-checked).
     """
+    bound = broadcast_bound(docs.sparkSession)
     present = gate_nonempty(docs, text)
     hashes = materialize(present.select(key, F.md5(F.col(text)).alias("_th")))
-    reps = hashes.groupBy("_th").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n_dup"))
-    uniq = present.select(key, text).join(reps, key)
-    scored = materialize(probabilities(model, uniq, ["_th", "_n_dup"], text)
-                         .select("_th", "_n_dup", *PROB_COLS))
+    reps = materialize(hashes.groupBy("_th").agg(F.min(key).alias("_rep"),
+                                                 F.count(F.lit(1)).alias("_n_dup")))
+    n_reps = reps.count()
+    rows = present.select(key, text)
+    rep_keys = reps.select(F.col("_rep").alias(key))
+    if n_reps <= bound:
+        uniq = rows.join(F.broadcast(rep_keys), key, "left_semi")
+    else:
+        # a row is a copy when its text has a smaller representative key;
+        # the lookup on the hash splits hot texts off into a broadcast
+        copies = materialize(checked_lookup_join(hashes, reps, "_th", n_reps, freq_col="_n_dup")
+                             .filter(F.col(key) != F.col("_rep")).select(key))
+        n_copies = copies.count()
+        uniq = (rows.join(F.broadcast(copies), key, "left_anti") if n_copies <= bound
+                else rows.join(rep_keys, key, "left_semi"))
+    per_text = probabilities(model, uniq.select(F.md5(F.col(text)).alias("_th"), text), "_th", text)
+    per_text = per_text.select("_th", *PROB_COLS)
+    if n_reps <= bound:
+        # at most n_reps scored texts: the join back is a broadcast
+        return hashes.join(F.broadcast(materialize(per_text)), "_th").select(key, *PROB_COLS)
+    # one row per text on both sides: a join without hot keys
+    scored = materialize(per_text.join(reps.select("_th", "_n_dup"), "_th"))
     back = checked_lookup_join(hashes, scored, "_th", scored.count(), freq_col="_n_dup")
     return back.select(key, *PROB_COLS)
 
