@@ -163,10 +163,13 @@ def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored table of the batch evaluation (S4), every post kept, with
     its text."""
     # the text comes back next to its scores: partitioned by doc_id once, the
-    # scores (grouped by doc_id) and the text then join without an exchange
+    # scores (grouped by doc_id) and the text then join without another
+    # exchange. Both sides read the same columns (the platform is taken from
+    # the text side), so the text side reuses the scoring side's exchange.
     model, _, docs, _ = _scored(spark, sf_dir, keyed=True)
-    scored = _scored_table(spark, sf_dir, model, docs)
-    return scored.join(docs.select("doc_id", "text"), "doc_id").select(
+    scored = _scored_table(spark, sf_dir, model, docs).drop("platform")
+    text_side = docs.select("doc_id", "text", T.py_strip(F.col("platform")).alias("platform"))
+    return scored.join(text_side, "doc_id").select(
         "doc_id", "platform", "text", "label", "predicted", "confidence", "matches_original")
 
 
