@@ -25,7 +25,7 @@ P = ["p_negative", "p_neutral", "p_positive"]
 
 # ---------------------------------------------------------------- cleaning
 def clean_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text")
     return d.select("doc_id", F.col("text").alias("original_text"),
                     T.remove_mentions(F.col("text")).alias("text"),
                     T.has_mention(F.col("text")).alias("has_mention"))
@@ -280,7 +280,7 @@ def encode_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sources / sinks
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "lang", "source")
     back = csv_io.roundtrip(d)
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
 
