@@ -87,6 +87,26 @@ def test_batch_udf_and_distinct_equal_native(model, test_df):
     assert native == udf == dist
 
 
+@pytest.mark.parametrize("bound", [1000, 40, 5])
+def test_score_distinct_with_a_hot_copy_equals_native(model, spark, bound):
+    # one text fills a third of the rows; bounds pick each strategy: semi-join
+    # with representatives (1000), anti-join with copies (40), shuffle (5)
+    from moodline.operators.joins import BROADCAST_ROWS_CONF
+    texts = [t for _, t in TEST if t != "unknownword"]
+    rows = [(i, "bad awful service" if i % 3 == 0 else texts[i % len(texts)] + f" x{i % 29}")
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    native = sorted(tuple(r) for r in K.probabilities(model, df).select(
+        "doc_id", "p_negative", "p_neutral", "p_positive").collect())
+    spark.conf.set(BROADCAST_ROWS_CONF, str(bound))
+    try:
+        dist = sorted(tuple(r) for r in K.score_distinct(model, df).select(
+            "doc_id", "p_negative", "p_neutral", "p_positive").collect())
+    finally:
+        spark.conf.unset(BROADCAST_ROWS_CONF)
+    assert dist == native and len(native) == 90
+
+
 def test_unscorable_rows_get_error(model, spark):
     df = spark.createDataFrame([(1, "unknownword"), (2, None), (3, ""), (4, "good")], "doc_id long, text string")
     got = {r["doc_id"]: r["sentiment"] for r in K.score_with_errors(model, df).collect()}
