@@ -14,13 +14,14 @@ unemitted; that is the documented result of these jobs.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from moodline.functions import scoring as S
 from moodline.operators import scorer as K
-from moodline.operators.joins import checked_lookup_join, materialize
+from moodline.operators.joins import broadcast_bound, materialize
 from moodline.plans.common import train_model
 from moodline.session import scratch_path
 from moodline.sources.tables import documents_clean, read_keyed, read_table, table_path
@@ -75,11 +76,21 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int,
     return _STATIC[key]
 
 
+_KEYED_STATIC: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+
 def _join_static(ev: DataFrame, static: DataFrame, n_static: int) -> DataFrame:
-    """Stream-static inner join on doc_id: the static side is broadcast only
-    when its counted rows are within the bound, else both sides are
-    shuffled on doc_id."""
-    return checked_lookup_join(ev, static, "doc_id", n_static, how="inner")
+    """Stream-static inner join on doc_id. The static side is broadcast only
+    when its counted rows are within the bound. Beyond it, the static side
+    is hash-partitioned by doc_id once and kept (memory and disk; lost
+    blocks are recomputed from the written table), so each micro-batch
+    shuffles only its own events to it instead of the whole static side."""
+    if n_static <= broadcast_bound(ev.sparkSession):
+        return ev.join(F.broadcast(static), "doc_id")
+    if id(static) not in _KEYED_STATIC:
+        keyed = static.repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+        _KEYED_STATIC[id(static)] = (static, keyed)
+    return ev.join(_KEYED_STATIC[id(static)][1], "doc_id")
 
 
 def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
