@@ -1,4 +1,5 @@
-"""Readers for the input tables and the labelled view used by all jobs.
+"""Readers for the input tables: cleaned documents without labels (what
+scoring reads), the narrow label table, and posts = documents + labels.
 
 The posts of the jobs are ``documents`` rows: text = ``documents.text``,
 platform = ``documents.source``, row key = ``doc_id``. Human labels come from
