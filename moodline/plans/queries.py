@@ -17,8 +17,8 @@ from moodline.plans.common import (TEST_FRACTION, labelled_posts, split_table, t
                                    train_model, train_posts)
 from moodline.session import scratch_path
 from moodline.sources import columns, csv_io, model_store
-from moodline.sources.tables import (doc_labels, documents_clean, label_rows, posts, read_keyed,
-                                     read_table)
+from moodline.sources.tables import (clean_columns, doc_labels, documents_clean, label_rows, posts,
+                                     read_keyed, read_table)
 
 P = ["p_negative", "p_neutral", "p_positive"]
 
@@ -37,15 +37,16 @@ def mention_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
-    return (d.select("doc_id", F.col("text").alias("original_text"),
-                     T.remove_mentions(F.col("text")).alias("cleaned_text"))
-            .orderBy("doc_id").limit(5))
+    # the top 5 is taken on the raw rows; only those 5 are cleaned
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").limit(5)
+    return d.select("doc_id", F.col("text").alias("original_text"),
+                    T.remove_mentions(F.col("text")).alias("cleaned_text"))
 
 
 def first_n_posts(spark: SparkSession, sf_dir: str, n: int = 300) -> DataFrame:
-    return (documents_clean(spark, sf_dir).select("doc_id", "platform", "text")
-            .orderBy("doc_id").limit(n))
+    # the first n are taken on the raw rows; only those n are cleaned
+    raw = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return clean_columns(raw.orderBy("doc_id").limit(n)).select("doc_id", "platform", "text")
 
 
 def clean_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,12 @@ def documents_clean(spark: SparkSession, sf_dir: str, keyed: bool = False) -> Da
     partitioned by doc_id in any case (see ``read_keyed``)."""
     docs = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source",
                       always=keyed)
+    return clean_columns(docs)
+
+
+def clean_columns(docs: DataFrame) -> DataFrame:
+    """The clean-up projection of ``documents_clean`` over raw (doc_id, text,
+    source) rows; applied after a top-n, it cleans only the rows kept."""
     has_text = T.has_content(F.col("text"))
     return docs.select("doc_id", F.col("text").alias("original_text"),
                        F.when(has_text, T.remove_mentions(F.col("text"))).alias("text"),
