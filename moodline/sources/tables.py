@@ -141,9 +141,16 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``documents_clean`` plus raw_label.
 
     ``labels`` has at most one row per doc_id, so the join keeps the row
-    count of ``documents``. The cleaned columns are computed before the join,
-    so a query that reads only flags and labels (stage counts, label values,
-    the split) prunes the text out of the join.
+    count of ``documents``. The cheap ``has_text`` flag is computed before
+    the join, so flag-only queries (stage counts, label values, the split)
+    prune the text out of it; the clean-up regex runs after the join, so a
+    query that keeps labelled posts cleans only those.
     """
-    return with_labels(spark, sf_dir, documents_clean(spark, sf_dir)).select(
-        "doc_id", "original_text", "text", "has_text", "platform", "raw_label")
+    docs = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source").select(
+        "doc_id", F.col("text").alias("original_text"), T.has_content(F.col("text")).alias("has_text"),
+        F.col("source").alias("platform"))
+    joined = with_labels(spark, sf_dir, docs)
+    return joined.select(
+        "doc_id", "original_text",
+        F.when(F.col("has_text"), T.remove_mentions(F.col("original_text"))).alias("text"),
+        "has_text", "platform", "raw_label")
