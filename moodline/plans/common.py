@@ -10,7 +10,7 @@ from moodline.functions import labels as L
 from moodline.operators import naive_bayes as nb
 from moodline.operators.joins import counted_join, materialize
 from moodline.operators.sampling import stratified_split
-from moodline.sources.tables import documents_clean, posts
+from moodline.sources.tables import clean_columns, posts, read_keyed
 
 ALPHA = 1.0
 TEST_FRACTION = 0.2
@@ -53,7 +53,9 @@ def _part(spark: SparkSession, sf_dir: str, split: DataFrame, part: str, *cols:
     side is written and narrow: it is broadcast after a count when within the
     bound; beyond it, this is the one join that brings labels to text."""
     keyed = split.filter(F.col("split") == part).select("doc_id", "label")
-    return counted_join(documents_clean(spark, sf_dir).select("doc_id", *cols), keyed, "doc_id")
+    raw = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "source")
+    # the clean-up regex runs after the join: only the part's posts are cleaned
+    return clean_columns(counted_join(raw, keyed, "doc_id"), "label").select("doc_id", *cols, "label")
 
 
 def train_posts(spark: SparkSession, sf_dir: str, split: DataFrame) -> DataFrame:

@@ -99,13 +99,14 @@ def documents_clean(spark: SparkSession, sf_dir: str, keyed: bool = False) -> Da
     return clean_columns(docs)
 
 
-def clean_columns(docs: DataFrame) -> DataFrame:
+def clean_columns(docs: DataFrame, *keep: str) -> DataFrame:
     """The clean-up projection of ``documents_clean`` over raw (doc_id, text,
-    source) rows; applied after a top-n, it cleans only the rows kept."""
+    source, keep...) rows; applied after a top-n or a join that keeps few
+    rows, it cleans only the rows kept."""
     has_text = T.has_content(F.col("text"))
     return docs.select("doc_id", F.col("text").alias("original_text"),
                        F.when(has_text, T.remove_mentions(F.col("text"))).alias("text"),
-                       has_text.alias("has_text"), F.col("source").alias("platform"))
+                       has_text.alias("has_text"), F.col("source").alias("platform"), *keep)
 
 
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
