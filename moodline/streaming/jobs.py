@@ -15,7 +15,7 @@ unemitted; that is the documented result of these jobs.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -154,6 +154,10 @@ HISTORY_SCHEMA = Ty.StructType([
     Ty.StructField("role", Ty.StringType()), Ty.StructField("preview", Ty.StringType()),
     Ty.StructField("sentiment", Ty.StringType()), Ty.StructField("toxicity_level", Ty.StringType()),
     Ty.StructField("confidence_text", Ty.StringType())])
+# State is keyed by (session, salt): a session with a third of all rows is
+# spread over SALTS tasks, each keeping its own last n.
+SALTS = 8
+SALTED_SCHEMA = Ty.StructType(HISTORY_SCHEMA.fields + [Ty.StructField("_salt", Ty.IntegerType())])
 STATE_SCHEMA = Ty.StructType([Ty.StructField("entries", Ty.StringType())])
 
 
@@ -173,7 +177,11 @@ def _last_n_state(n: int):
         state.update((json.dumps(kept.to_dict("records")),))
         out = kept.copy()
         out.insert(0, "conv_id", key[0])
-        yield out[HISTORY_COLS]
+        cols = HISTORY_COLS
+        if len(key) > 1:  # salted key: (session, salt)
+            out["_salt"] = key[1]
+            cols = HISTORY_COLS + ["_salt"]
+        yield out[cols]
     return update
 
 
@@ -200,8 +208,9 @@ def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N)
     stream = (spark.readStream.schema(feed.schema)
               .option("maxFilesPerTrigger", max(1, -(-n_files // FEED_BATCHES)))
               .parquet(f"{base}/feed"))
-    last = stream.groupBy("conv_id").applyInPandasWithState(
-        _last_n_state(n), HISTORY_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)).cast("int"))
+    last = salted.groupBy("conv_id", "_salt").applyInPandasWithState(
+        _last_n_state(n), SALTED_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
     log = f"{base}/log"
 
     def append(batch: DataFrame, batch_id: int) -> None:
@@ -210,16 +219,20 @@ def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N)
     q = (last.writeStream.outputMode("update").foreachBatch(append)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_per_session(spark, log)
+    return latest_per_session(spark, log, n)
 
 
-def latest_per_session(spark: SparkSession, log: str) -> DataFrame:
-    """The rows of each session's newest batch in the append-only log (one
-    partial max per session, then a join on (session, batch))."""
-    schema = Ty.StructType(HISTORY_SCHEMA.fields + [Ty.StructField("v", Ty.LongType())])
+def latest_per_session(spark: SparkSession, log: str, n: int = HISTORY_N) -> DataFrame:
+    """The last n entries of each session from the append-only log: the rows
+    of each (session, salt)'s newest batch (one partial max per key, then a
+    join on (session, salt, batch)), then the top n per session over its at
+    most SALTS * n candidates (a partial window limit before the shuffle)."""
+    schema = Ty.StructType(SALTED_SCHEMA.fields + [Ty.StructField("v", Ty.LongType())])
     try:
         rows = spark.read.schema(schema).parquet(log)
     except Exception:  # no batch written yet
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    newest = rows.groupBy("conv_id").agg(F.max("v").alias("v"))
-    return rows.join(newest, ["conv_id", "v"]).select(*HISTORY_COLS)
+    newest = rows.groupBy("conv_id", "_salt").agg(F.max("v").alias("v"))
+    current = rows.join(newest, ["conv_id", "_salt", "v"])
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return current.withColumn("_rn", rank).filter(F.col("_rn") <= n).select(*HISTORY_COLS)

@@ -65,6 +65,9 @@ def test_last_n_state_keeps_latest_turns():
     out2 = pd.concat(list(fn((7,), iter([chunk([5, 3]), chunk([4])]), st)))
     assert sorted(out2["turn"]) == [3, 4, 5]
     assert list(out2.columns) == HISTORY_COLS
+    # salted key (session, salt): the salt is part of the output
+    salted = pd.concat(list(fn((7, 2), iter([chunk([9])]), _State())))
+    assert list(salted.columns) == HISTORY_COLS + ["_salt"] and list(salted["_salt"]) == [2]
 
 
 def test_column_discovery(spark):
