@@ -6,6 +6,12 @@ counted. Beyond the bound the small side is split: its most frequent keys
 goes through an ordinary shuffle join. Every key of the rest is at most as
 frequent as any broadcast key, so no single key can dominate a shuffle
 partition.
+
+The split evaluates the large side once per branch (for the scorer: two
+tokenization passes over the text). The alternative, one shuffle join,
+moves every token occurrence; on Zipf-like text the hottest keys cover
+nearly all occurrences, so the broadcast branch keeps almost all of them
+off the network.
 """
 
 from __future__ import annotations
