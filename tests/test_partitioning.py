@@ -48,3 +48,31 @@ def test_label_join_of_posts_is_a_counted_broadcast_and_prunes_text(spark):
     full = posts(spark, SMALL)
     assert full.count() == documents_clean(spark, SMALL).count()
     assert full.filter(F.col("raw_label").isNotNull()).count() > 0
+
+
+TEXT_FREE = ["probabilities", "app_records", "platform_stats", "accuracy", "confusion_matrix",
+             "toxicity_histogram", "score_with_errors", "score_distinct", "flagged_posts",
+             "batch_loss", "best_model", "vocabulary", "clean_stage_counts", "labelled",
+             "first_n_posts", "history_last_n"]
+
+
+def _text_exchanges(df) -> list[str]:
+    import re
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain("formatted")
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", buf.getvalue())
+    return [i for i in inputs if re.search(r"\b(text|original_text)#", i)]
+
+
+def test_no_exchange_carries_text_when_the_scan_is_split(spark, monkeypatch):
+    # a cluster reads the documents in many splits: the reader then leaves
+    # them in place, and no scoring or report query may shuffle text
+    import __spark_entry__ as E
+    from moodline.sources import tables
+    monkeypatch.setattr(tables, "spread", lambda df, key: df)
+    qs = E.queries()
+    for name in TEXT_FREE:
+        assert _text_exchanges(qs[name](spark, SMALL)) == [], name
+    # the two queries that regroup per text move it exactly once
+    assert len(_text_exchanges(qs["encode_posts"](spark, SMALL))) == 1
