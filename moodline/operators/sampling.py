@@ -104,3 +104,43 @@ def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE,
     """Batches of ``batch_size`` consecutive rows of the shuffled order; the
     last one may be partial."""
     return global_index(df, key, seed).withColumn("batch_id", F.floor(F.col("idx") / batch_size))
+
+
+RANGE_BUCKETS = 65536
+
+
+def first_n(df: DataFrame, key: str, n: int, max_rows: int | None = None) -> DataFrame:
+    """The n rows with the smallest values of an integral, unique ``key``
+    (rows with a null key are not ordered), in key order.
+
+    ``orderBy(key).limit(n)`` merges n rows of every input partition in one
+    task. Instead, the key range is cut into RANGE_BUCKETS equal ranges and
+    counted per range (a partial aggregate); a running sum over the range
+    counts finds the range holding the n-th key. While that range holds more
+    than ``max_rows`` rows it is cut again (at most four rounds for 64-bit
+    keys). The final filter ``key <= cut`` is pushed to the scan, and only
+    the at most n + max_rows rows below it are sorted.
+    """
+    from moodline.operators.joins import broadcast_bound
+    bound = max_rows if max_rows is not None else broadcast_bound(df.sparkSession)
+    keyed = df.filter(F.col(key).isNotNull())
+    lo, hi = keyed.agg(F.min(key), F.max(key)).first()
+    need = n
+    upper = hi
+    while lo is not None and need > 0:
+        width = -(-(hi - lo + 1) // RANGE_BUCKETS)
+        bucket = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long")
+        counts = (keyed.filter(F.col(key).between(lo, hi))
+                  .groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+        running = counts.select("_b", "_n", F.sum("_n").over(Window.orderBy("_b")).alias("_cum"))
+        hit = running.filter(F.col("_cum") >= need).orderBy("_b").select("_b", "_n", "_cum").first()
+        if hit is None:            # fewer than n keys in [lo, hi]: take them all
+            upper = hi
+            break
+        b, n_b, cum = hit["_b"], hit["_n"], hit["_cum"]
+        upper = lo + (b + 1) * width - 1
+        if n_b <= bound or width == 1:
+            break
+        need -= cum - n_b          # keys below the cut range are taken
+        lo, hi = lo + b * width, min(hi, upper)
+    return keyed.filter(F.col(key) <= F.lit(upper)).orderBy(key).limit(n)

@@ -12,7 +12,7 @@ from moodline.functions import text as T
 from moodline.operators import encoding as E
 from moodline.operators import reports as R
 from moodline.operators import scorer as K
-from moodline.operators.sampling import class_quotas
+from moodline.operators.sampling import class_quotas, first_n
 from moodline.plans.common import (TEST_FRACTION, labelled_posts, split_table, test_posts,
                                    train_model, train_posts)
 from moodline.session import scratch_path
@@ -37,16 +37,18 @@ def mention_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the top 5 is taken on the raw rows; only those 5 are cleaned
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").limit(5)
+    # the first 5 are taken on the raw rows (a range cut on the key, no
+    # merge of 5 rows from every task); only those 5 are cleaned
+    d = first_n(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 5)
     return d.select("doc_id", F.col("text").alias("original_text"),
                     T.remove_mentions(F.col("text")).alias("cleaned_text"))
 
 
 def first_n_posts(spark: SparkSession, sf_dir: str, n: int = 300) -> DataFrame:
-    # the first n are taken on the raw rows; only those n are cleaned
+    # the first n are taken on the raw rows (a range cut on the key, no merge
+    # of n rows from every task); only those n are cleaned
     raw = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return clean_columns(raw.orderBy("doc_id").limit(n)).select("doc_id", "platform", "text")
+    return clean_columns(first_n(raw, "doc_id", n)).select("doc_id", "platform", "text")
 
 
 def clean_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,16 @@ def test_split_quota_property(spark, labels):
     got = {y: sum(1 for r in out if r["label"] == y and r["split"] == "test") for y in counts}
     assert got == py_quotas(counts, 0.2)
     assert sum(got.values()) == math.ceil(round(0.2 * len(labels), 9))
+
+
+def test_first_n_equals_order_by_limit_on_skewed_keys(spark):
+    from moodline.operators.sampling import first_n
+    # a dense cluster of keys, a few huge outliers and negative keys: the cut
+    # range holds many keys, so the range is cut again (max_rows=3)
+    keys = list(range(1000, 1400)) + [10**15, 2 * 10**15, -5, -(10**12)] + [None]
+    df = spark.createDataFrame([(k, f"r{k}") for k in keys], "k long, v string")
+    want_all = sorted(k for k in keys if k is not None)
+    for n in (1, 2, 3, 7, 50, 403, 404, 500):
+        got = [r["k"] for r in first_n(df, "k", n, max_rows=3).collect()]
+        assert got == want_all[:n], n
+    assert first_n(df.filter("k is null"), "k", 5).count() == 0
