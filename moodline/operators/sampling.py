@@ -129,7 +129,9 @@ def first_n(df: DataFrame, key: str, n: int, max_rows: int | None = None) -> Dat
     upper = hi
     while lo is not None and need > 0:
         width = -(-(hi - lo + 1) // RANGE_BUCKETS)
-        bucket = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long")
+        # decimal: a key range wider than 2^63 must not overflow (ANSI mode)
+        offset = F.col(key).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
+        bucket = F.floor(offset / F.lit(width).cast("decimal(20,0)")).cast("long")
         counts = (keyed.filter(F.col(key).between(lo, hi))
                   .groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
         running = counts.select("_b", "_n", F.sum("_n").over(Window.orderBy("_b")).alias("_cum"))
@@ -138,9 +140,9 @@ def first_n(df: DataFrame, key: str, n: int, max_rows: int | None = None) -> Dat
             upper = hi
             break
         b, n_b, cum = hit["_b"], hit["_n"], hit["_cum"]
-        upper = lo + (b + 1) * width - 1
+        upper = min(hi, lo + (b + 1) * width - 1)
         if n_b <= bound or width == 1:
             break
         need -= cum - n_b          # keys below the cut range are taken
-        lo, hi = lo + b * width, min(hi, upper)
+        lo, hi = lo + b * width, upper
     return keyed.filter(F.col(key) <= F.lit(upper)).orderBy(key).limit(n)

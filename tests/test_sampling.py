@@ -89,3 +89,8 @@ def test_first_n_equals_order_by_limit_on_skewed_keys(spark):
         got = [r["k"] for r in first_n(df, "k", n, max_rows=3).collect()]
         assert got == want_all[:n], n
     assert first_n(df.filter("k is null"), "k", 5).count() == 0
+    # the whole long range: offsets beyond 2^63 do not overflow
+    ext = [-(2**63), 2**63 - 1, 0, 1, 2, -1]
+    dfx = spark.createDataFrame([(k,) for k in ext], "k long")
+    for n in (1, 3, 6):
+        assert [r["k"] for r in first_n(dfx, "k", n, max_rows=1).collect()] == sorted(ext)[:n]
