@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from moodline.functions import text as T
 from moodline.operators.joins import kth_frequency, materialize
+from moodline.operators.sampling import key_cut
 
 # Sequence length and reserved ids.
 MAX_LENGTH = 128
@@ -34,13 +35,28 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB_SIZE) -> D
                          .groupBy("token").agg(F.count(F.lit(1)).alias("n_occ")))
     floor = kth_frequency(counts, "n_occ", size)
     if floor is not None:
-        counts = counts.filter(F.col("n_occ") >= floor)
+        # fewer than ``size`` tokens are more frequent than ``floor``; of the
+        # tokens at ``floor``, those first in token order fill the rest. They
+        # are cut by a range count on a numeric prefix of the token, so even
+        # a huge tie group reaches the final sort only as a bounded candidate set
+        above = counts.filter(F.col("n_occ") > floor)
+        ties = counts.filter(F.col("n_occ") == floor).withColumn("_prefix", _order_prefix(F.col("token")))
+        need = size - above.count()
+        cut = key_cut(ties, "_prefix", need)
+        counts = above.unionByName(ties.filter(F.col("_prefix") <= cut).drop("_prefix"))
     top = counts.orderBy(F.desc("n_occ"), F.asc("token")).limit(size)
     # at most ``size`` rows: the single-partition window is bounded
     w = Window.orderBy(F.desc("n_occ"), F.asc("token"))
     return top.select("token", (F.row_number().over(w) + (FIRST_WORD_ID - 1)).alias("token_id"), "n_occ")
 
 
+def _order_prefix(token):
+    """The first 8 UTF-8 bytes of ``token``, zero-padded on the right, as an
+    unsigned number: non-decreasing in Spark's (binary) string order."""
+    hex16 = F.rpad(F.hex(F.substring(F.encode(token, "UTF-8"), 1, 8)), 16, "0")
+    return F.conv(hex16, 16, 10).cast("decimal(20,0)")
+
+
 def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, chunk, n_tokens (whole text), input_ids, attention_mask."""
     toks = docs.select(key, T.tokens(F.col(text)).alias("_toks"))

@@ -13,8 +13,11 @@ ranked individually.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 BUCKET_HEX = 4
 SPLIT_SEED = "42"
@@ -109,30 +112,33 @@ def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE,
 RANGE_BUCKETS = 65536
 
 
-def first_n(df: DataFrame, key: str, n: int, max_rows: int | None = None) -> DataFrame:
-    """The n rows with the smallest values of an integral, unique ``key``
-    (rows with a null key are not ordered), in key order.
+def key_cut(df: DataFrame, key: str, n: int, max_rows: int | None = None):
+    """A literal c (of the key's type) for an integral or integral-decimal
+    ``key`` such that at least n rows (or all rows) have a non-null key <= c,
+    and at most n + max_rows do when keys are unique (None for no keys).
 
-    ``orderBy(key).limit(n)`` merges n rows of every input partition in one
-    task. Instead, the key range is cut into RANGE_BUCKETS equal ranges and
-    counted per range (a partial aggregate); a running sum over the range
-    counts finds the range holding the n-th key. While that range holds more
-    than ``max_rows`` rows it is cut again (at most four rounds for 64-bit
-    keys). The final filter ``key <= cut`` is pushed to the scan, and only
-    the at most n + max_rows rows below it are sorted.
+    The key range is cut into RANGE_BUCKETS equal ranges, counted per range
+    (a partial aggregate), and a running sum over the range counts finds
+    the range holding the n-th key. While that range holds more than
+    ``max_rows`` rows it is cut again (at most four rounds for 64-bit keys).
+    Offsets are decimals, so no key range can overflow under ANSI mode.
     """
     from moodline.operators.joins import broadcast_bound
     bound = max_rows if max_rows is not None else broadcast_bound(df.sparkSession)
     keyed = df.filter(F.col(key).isNotNull())
+    lit = _key_literal(df, key)
     lo, hi = keyed.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return None
+    lo, hi = int(lo), int(hi)      # integral keys: exact Python ints
     need = n
     upper = hi
-    while lo is not None and need > 0:
+    while need > 0:
         width = -(-(hi - lo + 1) // RANGE_BUCKETS)
-        # decimal: a key range wider than 2^63 must not overflow (ANSI mode)
-        offset = F.col(key).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
-        bucket = F.floor(offset / F.lit(width).cast("decimal(20,0)")).cast("long")
-        counts = (keyed.filter(F.col(key).between(lo, hi))
+        dec = lambda v: F.lit(Decimal(v)).cast("decimal(38,0)")
+        offset = F.col(key).cast("decimal(38,0)") - dec(lo)
+        bucket = F.floor(offset / dec(width)).cast("long")
+        counts = (keyed.filter(F.col(key).between(lit(lo), lit(hi)))
                   .groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
         running = counts.select("_b", "_n", F.sum("_n").over(Window.orderBy("_b")).alias("_cum"))
         hit = running.filter(F.col("_cum") >= need).orderBy("_b").select("_b", "_n", "_cum").first()
@@ -145,4 +151,29 @@ def first_n(df: DataFrame, key: str, n: int, max_rows: int | None = None) -> Dat
             break
         need -= cum - n_b          # keys below the cut range are taken
         lo, hi = lo + b * width, upper
-    return keyed.filter(F.col(key) <= F.lit(upper)).orderBy(key).limit(n)
+    return lit(upper)
+
+
+def _key_literal(df: DataFrame, key: str):
+    """A literal maker of the key's own type (so that filters on an integral
+    key still reach the Parquet scan; decimals hold any 64-bit value)."""
+    dtype = df.schema[key].dataType
+    if isinstance(dtype, Ty.DecimalType):
+        return lambda v: F.lit(Decimal(v)).cast(dtype)
+    return lambda v: F.lit(int(v)).cast(dtype)
+
+
+def first_n(df: DataFrame, key: str, n: int, max_rows: int | None = None) -> DataFrame:
+    """The n rows with the smallest values of a unique integral ``key`` (rows
+    with a null key are not ordered), in key order.
+
+    ``orderBy(key).limit(n)`` merges n rows of every input partition in one
+    task. Here ``key_cut`` finds the cut from range counts, the filter
+    ``key <= cut`` is pushed to the scan, and only the at most n + max_rows
+    rows below it are sorted.
+    """
+    upper = key_cut(df, key, n, max_rows)
+    keyed = df.filter(F.col(key).isNotNull())
+    if upper is None:
+        return keyed.limit(0)
+    return keyed.filter(F.col(key) <= upper).orderBy(key).limit(n)

@@ -86,3 +86,23 @@ def test_column_discovery(spark):
     assert C.standardize(both).columns == ["Text", "Sentiment"]   # one column, two names
     with pytest.raises(ValueError):
         C.standardize(df.drop("Tweet_Text"))
+
+
+def test_vocabulary_tie_cut_equals_plain_top_k(spark):
+    # many tokens tie at the cut frequency (once each); with a bound of 2 rows
+    # the tie group is cut by several rounds of range counts on token prefixes
+    from moodline.operators.joins import BROADCAST_ROWS_CONF
+    words = ["zeta zeta zeta alpha alpha", "beta gamma delta épée eta theta iota kappa lambda",
+             "mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega aaaaaaaab aaaaaaaaa aaaaaaaa"]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    spark.conf.set(BROADCAST_ROWS_CONF, "2")
+    try:
+        for size in (1, 2, 3, 5, 9, 30):
+            got = [(r["token"], r["token_id"], r["n_occ"]) for r in
+                   E.vocabulary(docs, "text", size=size).orderBy("token_id").collect()]
+            toks = [t for w in words for t in w.split()]
+            counts = {t: toks.count(t) for t in set(toks)}
+            order = sorted(counts, key=lambda t: (-counts[t], t.encode("utf-8")))[:size]
+            assert got == [(t, i + E.FIRST_WORD_ID, counts[t]) for i, t in enumerate(order)], size
+    finally:
+        spark.conf.unset(BROADCAST_ROWS_CONF)
