@@ -15,7 +15,8 @@ from oracle_check import compare, duck  # noqa: E402
 FAST = ["clean_mentions", "mention_stats", "label_values", "stratified_split", "split_balance",
         "nb_weights", "probabilities", "score_with_errors", "platform_stats", "confusion_matrix",
         "batch_loss", "best_model", "encode_posts", "history_last_n", "toxicity_by_hour",
-        "user_sessions"]
+        "user_sessions", "first_n_posts", "clean_sample", "vocabulary", "labelled", "accuracy",
+        "history_last_n_stream"]
 
 
 @pytest.fixture(scope="module")
