@@ -85,7 +85,9 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = split_table(spark, sf_dir)
-    q = class_quotas(labelled_posts(spark, sf_dir).select("label"), "label", TEST_FRACTION)
+    # the written split holds every labelled post once: the quotas are
+    # recomputed from it without another pass over the text
+    q = class_quotas(s.select("label"), "label", TEST_FRACTION)
     got = s.groupBy("label").agg(F.count(F.lit(1)).alias("n_class"),
                                  F.count_if(F.col("split") == "test").alias("n_test"),
                                  F.count_if(F.col("split") == "train").alias("n_train"))
