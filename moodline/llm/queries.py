@@ -18,6 +18,26 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4-word shingles, links of at most 4 differing bits."""
+    from moodline.llm.simhash import hex_fingerprint, near_dedup
+    out = near_dedup(documents(spark, sf_dir), shingle=4, max_bits=4)
+    return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moodline.llm.licenses import scan_licenses
+    out = scan_licenses(documents(spark, sf_dir))
+    return out.withColumns({"base_labels": F.array_join("base_labels", ","), "labels": F.array_join("labels", ",")})
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moodline.llm.pii import find_pii
+    out = find_pii(documents(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                      F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.llm.exact_dedup import exact_dedup
     return exact_dedup(documents(spark, sf_dir), digest=True).select(
@@ -25,6 +45,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op8_license_scan": op8_license_scan,
+    "op10_pii": op10_pii,
     "op6_sharding": op6_sharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
