@@ -25,6 +25,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moodline.llm.langid import identify, is_held_out, train
+    docs = documents(spark, sf_dir)
+    out = identify(docs, train(docs))
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.llm.licenses import scan_licenses
     out = scan_licenses(documents(spark, sf_dir))
@@ -46,6 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_language_id": op2_language_id,
     "op8_license_scan": op8_license_scan,
     "op10_pii": op10_pii,
     "op6_sharding": op6_sharding,
