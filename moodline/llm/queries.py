@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moodline.llm.pieces import digest_documents
+    return digest_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moodline.llm.packing import pack
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.llm.licenses import scan_licenses
     out = scan_licenses(documents(spark, sf_dir))
@@ -54,6 +65,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_packing": op7_packing,
     "op8_license_scan": op8_license_scan,
     "op10_pii": op10_pii,
     "op6_sharding": op6_sharding,
