@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodline.llm.common import documents
+from moodline.sources.tables import read_table
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision list learned from ``labels``, applied to every document."""
+    from moodline.llm.quality import judge, learn
+    docs = documents(spark, sf_dir)
+    rules = learn(docs, read_table(spark, sf_dir, "labels"))
+    return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                     "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moodline.llm.pieces import digest_documents
     return digest_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -65,6 +75,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_packing": op7_packing,
     "op8_license_scan": op8_license_scan,
