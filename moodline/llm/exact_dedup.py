@@ -66,7 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = ["_len", "_head", "_full"]
     shared = (rows.filter(F.col("_full").isNotNull())
               .groupBy("doc_id", *key, *carry).agg(F.count(F.lit(1)).alias("_n")))
-    groups = (rows.filter(F.col("_full").isNotNull()).groupBy(*key)
+    groups = written(rows.filter(F.col("_full").isNotNull()).groupBy(*key)
               .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     joined = (shared.join(groups, key)
               .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))))
