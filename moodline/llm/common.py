@@ -44,6 +44,23 @@ def ascii_lower(text: Column) -> Column:
             .otherwise(F.translate(t, UPPER, UPPER.lower())))
 
 
+def row_hash(text: Column) -> Column:
+    """Tells the rows of an id apart: a hash of the text, A-Z lower-cased."""
+    return F.xxhash64(ascii_lower(text))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, whose id and text are named in ``kept``
+    (doc_id, row_hash of the text); one row for each name. An id may be null;
+    the columns of ``docs`` may have any names."""
+    names = docs.columns
+    keys = {"_row_id_": F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), "_row_null_": F.col("doc_id").isNull()}
+    keyed = docs.withColumns(keys | {"_row_hash_": row_hash(F.col("text"))})
+    named = kept.withColumns(keys).select(*keys, F.col("row_hash").alias("_row_hash_"))
+    on = [*keys, "_row_hash_"]
+    return keyed.join(named, on, "left_semi").dropDuplicates(on).select(*names)
+
+
 def map_rows(df: DataFrame, per_batch: Callable[[dict[str, list]], dict[str, list]],
              schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows: ``per_batch`` gets

@@ -33,9 +33,9 @@ def _surviving_slots(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                digest: bool = False) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept (and, with
-    ``digest``, text_sha256 of every normalised text).
+                carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, and the
+    ``carry`` columns (functions of the normalised text, over ``docs``).
 
     Texts are equal when identical after lower-casing A-Z; a null text counts
     as empty, and empty texts form one group. The row with the largest id
@@ -43,7 +43,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only if its group has no other id. Further columns are ignored. An empty
     table gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    extra = carry or {}
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"),
+                       *[c.alias(k) for k, c in extra.items()])
     base = base.withColumn("_len", F.octet_length("_t"))
     by_length = _surviving_slots(base.select("_len"), "_len")
     # level 2: the prefix is hashed only where the length is shared
@@ -55,41 +57,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.sha2(ascii_lower(F.col("_t")), 256)
     level3 = (base.withColumn("_head", prefix).withColumn("_slot", _slot("_len", "_head"))
               .join(F.broadcast(by_head.withColumn("_hit", F.lit(True))), "_slot", "left"))
-    extra = [full.alias("text_sha256")] if digest else []
     rows = written(level3.select("doc_id", "_len", "_head",
                                  F.when(F.col("_hit"), full).alias("_full"), *extra))
-    carry = ["text_sha256"] if digest else []
     alone = rows.filter(F.col("_full").isNull()).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), *carry)
+        F.lit(True).alias("kept"), *extra)
     # repeated rows collapse to a count first, so that one of them can stay
     key = ["_len", "_head", "_full"]
     shared = (rows.filter(F.col("_full").isNotNull())
-              .groupBy("doc_id", *key, *carry).agg(F.count(F.lit(1)).alias("_n")))
+              .groupBy("doc_id", *key, *extra).agg(F.count(F.lit(1)).alias("_n")))
     groups = written(rows.filter(F.col("_full").isNotNull()).groupBy(*key)
               .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     joined = (shared.join(groups, key)
               .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))))
     joined = joined.select("doc_id", "keep_id", "group_size",
                            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"),
-                           *carry)
+                           *extra)
     return alone.unionByName(joined)
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    The rows to drop are named by (id, text hash); an anti-join removes them.
-    Repeated rows that stay are reduced to one in the partitions of that join.
-    """
-    decided = exact_dedup(docs, digest=True)
-    return keep_rows(docs, decided.filter("kept").select("doc_id", "text_sha256"))
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` named in ``kept`` (doc_id, text_sha256); one per name."""
-    names = docs.columns
-    keyed = docs.withColumns({"_keep_id_": F.col("doc_id"), "_keep_sha_": F.sha2(ascii_lower(F.col("text")), 256)})
-    k = kept.select(F.col("doc_id").alias("_k1"), F.col("text_sha256").alias("_k2"))
-    hit = keyed.join(k, keyed["_keep_id_"].eqNullSafe(k["_k1"]) & (keyed["_keep_sha_"] == k["_k2"]), "left_semi")
-    return hit.dropDuplicates(["_keep_id_", "_keep_sha_"]).select(*names)

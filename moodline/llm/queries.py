@@ -34,6 +34,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200-byte strings that start at two places are removed at both."""
+    from moodline.llm.substrings import remove_repeats
+    out = remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision list learned from ``labels``, applied to every document."""
     from moodline.llm.quality import judge, learn
@@ -67,14 +74,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moodline.llm.common import ascii_lower
     from moodline.llm.exact_dedup import exact_dedup
-    return exact_dedup(documents(spark, sf_dir), digest=True).select(
+    digest = F.sha2(ascii_lower(F.col("text")), 256)
+    return exact_dedup(documents(spark, sf_dir), carry={"text_sha256": digest}).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_packing": op7_packing,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodline.llm.common import map_rows, written
+from moodline.llm.common import map_rows, row_hash, written
 from moodline.llm.components import component_roots
 
 BITS = 64
@@ -60,10 +60,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed 64-bit), one row per input row."""
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
-                    lambda c: {"doc_id": c["doc_id"], "fp": [fingerprint(t, shingle) for t in c["text"]]},
-                    "doc_id long, fp long")
+    """doc_id, row_hash, fp (signed 64-bit), one row per input row."""
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                                row_hash(F.col(text_col)).alias("row_hash")),
+                    lambda c: c | {"fp": [fingerprint(t, shingle) for t in c["text"]]},
+                    "doc_id long, row_hash long, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -212,7 +213,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 def near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (the smallest id
+    """One row per input row: doc_id, row_hash, fp, component_id (the smallest id
     reachable over links of at most ``max_bits`` differing bits).
 
     Null, empty and word-free texts have fingerprint zero and are linked like
@@ -227,7 +228,7 @@ def near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str
               .select("fp", "_id", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "row_hash", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
