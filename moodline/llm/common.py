@@ -31,7 +31,7 @@ def drop_written(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/moodline/tables/" in folder:
+        if "/moodline/" in folder and "/tables/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
