@@ -11,50 +11,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodline.functions import text as T
-from moodline.operators.joins import kth_frequency, materialize
-from moodline.operators.sampling import key_cut
+from moodline.operators.joins import checked_lookup_join, materialize
 
 # Sequence length and reserved ids.
 MAX_LENGTH = 128
 CHUNK_TOKENS = MAX_LENGTH - 2
 PAD_ID, START_ID, END_ID, UNKNOWN_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
-VOCAB_SIZE = 30000
+#: Hash ranges in which the tokens of one frequency are numbered.
+RANK_BITS = 16
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB_SIZE) -> DataFrame:
-    """token, token_id, n_occ: the ``size`` most frequent tokens (ties by
-    token), ids from FIRST_WORD_ID.
+def vocabulary(docs: DataFrame, text: str = "text", size: int | None = None) -> DataFrame:
+    """token, token_id, n_occ: all tokens, numbered from FIRST_WORD_ID by
+    falling count, ties by md5 then token. A ``size`` keeps the first ids only
+    (the other tokens then encode as unknown).
 
-    Counting is map-side combined and written once. Before the top-k, the
-    counts are cut at the frequency of the size-th token (found from the
-    histogram of frequencies), so the final merge of the top-k receives
-    about ``size`` rows plus the ties at that frequency, not ``size`` rows
-    from every task."""
+    No row-level sort of the table: the histogram of counts (at most
+    sqrt(2 x occurrences) rows) gives the first id of each frequency, counts
+    per (frequency, hash range) give the first id of each range, and tokens
+    are ranked inside one range of one frequency, 1/65536 of the largest class.
+    """
     counts = materialize(docs.select(F.explode(T.tokens(F.col(text))).alias("token"))
                          .groupBy("token").agg(F.count(F.lit(1)).alias("n_occ")))
-    floor = kth_frequency(counts, "n_occ", size)
-    if floor is not None:
-        # fewer than ``size`` tokens are more frequent than ``floor``; of the
-        # tokens at ``floor``, those first in token order fill the rest. They
-        # are cut by a range count on a numeric prefix of the token, so even
-        # a huge tie group reaches the final sort only as a bounded candidate set
-        above = counts.filter(F.col("n_occ") > floor)
-        ties = counts.filter(F.col("n_occ") == floor).withColumn("_prefix", _order_prefix(F.col("token")))
-        need = size - above.count()
-        cut = key_cut(ties, "_prefix", need)
-        counts = above.unionByName(ties.filter(F.col("_prefix") <= cut).drop("_prefix"))
-    top = counts.orderBy(F.desc("n_occ"), F.asc("token")).limit(size)
-    # at most ``size`` rows: the single-partition window is bounded
-    w = Window.orderBy(F.desc("n_occ"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) + (FIRST_WORD_ID - 1)).alias("token_id"), "n_occ")
-
-
-def _order_prefix(token):
-    """The first 8 UTF-8 bytes of ``token``, zero-padded on the right, as an
-    unsigned number: non-decreasing in Spark's (binary) string order."""
-    hex16 = F.rpad(F.hex(F.substring(F.encode(token, "UTF-8"), 1, 8)), 16, "0")
-    return F.conv(hex16, 16, 10).cast("decimal(20,0)")
+    keyed = counts.withColumn("_md5", F.md5("token")).withColumn(
+        "_range", F.conv(F.substring("_md5", 1, RANK_BITS // 4), 16, 10).cast("int"))
+    ranges = materialize(keyed.groupBy("n_occ", "_range").agg(F.count(F.lit(1)).alias("_n")))
+    per_count = ranges.groupBy("n_occ").agg(F.sum("_n").alias("_n"))
+    first = per_count.select("n_occ", (F.sum("_n").over(Window.orderBy(F.desc("n_occ"))) - F.col("_n")).alias("_first"))
+    inside = ranges.select("n_occ", "_range", (F.sum("_n").over(
+        Window.partitionBy("n_occ").orderBy("_range")) - F.col("_n")).alias("_before"))
+    offsets = inside.join(first, "n_occ").select("n_occ", "_range", (F.col("_first") + F.col("_before")).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("n_occ", "_range").orderBy("_md5", "token"))
+    out = keyed.withColumn("_rank", rank).join(offsets, ["n_occ", "_range"]).select(
+        "token", (F.col("_offset") + F.col("_rank") + (FIRST_WORD_ID - 1)).alias("token_id"), "n_occ")
+    return out if size is None else out.filter(F.col("token_id") < FIRST_WORD_ID + size)
 
 
 def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,8 +54,8 @@ def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "
     # n_tokens (of the whole text) rides along as a group key: no join back
     occ = toks.select(key, F.size("_toks").alias("n_tokens"),
                       F.posexplode("_toks").alias("pos", "token"))
-    # the vocabulary has at most VOCAB_SIZE rows: broadcast is bounded
-    ids = occ.join(F.broadcast(vocab.select("token", "token_id")), "token", "left").select(
+    lookup = materialize(vocab.select("token", "token_id"))
+    ids = checked_lookup_join(occ, lookup, "token", lookup.count(), how="left").select(
         key, "n_tokens", "pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).alias("token_id"))
     chunks = ids.groupBy(key, "n_tokens", F.floor(F.col("pos") / CHUNK_TOKENS).alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_pairs"))

@@ -1,26 +1,31 @@
 """Lookup joins whose small side has a checked size.
 
-``broadcast()`` is used only after the small side has been materialised and
-counted. Beyond the bound the small side is split: its most frequent keys
-(by a frequency column, at most ``max_rows`` of them) are broadcast, the rest
-goes through an ordinary shuffle join. Every key of the rest is at most as
-frequent as any broadcast key, so no single key can dominate a shuffle
-partition.
-
-The split evaluates the large side once per branch (for the scorer: two
-tokenization passes over the text). The alternative, one shuffle join,
-moves every token occurrence; on Zipf-like text the hottest keys cover
-nearly all occurrences, so the broadcast branch keeps almost all of them
-off the network.
+``broadcast()`` is used only after the small side has been materialised,
+counted and (for text keys) weighed. Beyond the bounds the large side's own
+frequent keys are found by one partial aggregate over it: keys with more than
+1/HOT_SHARE of its rows, so at most HOT_SHARE of them by construction, whether
+the small side knows them or not. Their lookup rows are broadcast; the rest
+goes through an ordinary shuffle join in which no key has more than that
+share. Rows with a null key never reach a shuffle.
+
+This evaluates the large side three times (for the scorer: three tokenization
+passes over the text). The alternative, one shuffle join, moves every token
+occurrence; on Zipf-like text the frequent keys cover nearly all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS_CONF = "moodline.broadcast.maxRows"
 DEFAULT_BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES_CONF = "moodline.broadcast.maxBytes"
+DEFAULT_BROADCAST_BYTES = 512 * 1024 * 1024
+#: A key with more than 1/HOT_SHARE of the rows is joined by broadcast.
+HOT_SHARE = 10_000
 
 
 def broadcast_bound(spark) -> int:
@@ -40,57 +45,49 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(small: DataFrame, key: str) -> int:
+    """Bytes of a text key column (0 for other types)."""
+    if dict(small.dtypes)[key] != "string":
+        return 0
+    return small.agg(F.sum(F.octet_length(key).cast("long"))).first()[0] or 0
+
+
+def fits_broadcast(small: DataFrame, key: str, small_rows: int, max_rows: int | None = None) -> bool:
+    spark = small.sparkSession
+    bound = max_rows if max_rows is not None else broadcast_bound(spark)
+    limit = int(spark.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    # rows * 64: a row's fixed part in the hash relation
+    return small_rows <= bound and (small_rows * 64 + text_bytes(small, key) <= limit)
+
+
+def hot_keys(big: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+    """Keys that more than 1/``share`` of the rows with a key have: at most
+    ``share`` rows, written once."""
+    counts = materialize(big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return materialize(counts.filter(F.col("_n") * share > total).select(key))
+
+
 def checked_lookup_join(big: DataFrame, small: DataFrame, key: str,
-                        small_rows: int, freq_col: str | None = None,
-                        max_rows: int | None = None, how: str = "inner") -> DataFrame:
+                        small_rows: int, max_rows: int | None = None, how: str = "inner") -> DataFrame:
     """Inner or left join of a large stream of keys with a keyed lookup table.
 
     ``small`` must be unique on ``key``, already materialised, with
-    ``small_rows`` rows (counted by the caller). ``freq_col`` (non-null in
-    ``small``) ranks keys by how often they occur.
+    ``small_rows`` rows (counted by the caller).
     """
     assert how in ("inner", "left")
-    bound = max_rows if max_rows is not None else broadcast_bound(big.sparkSession)
-    if small_rows <= bound:
+    if fits_broadcast(small, key, small_rows, max_rows):
         return big.join(F.broadcast(small), key, how)
-    if freq_col is None:
-        # No frequency to split on: plain shuffle join; AQE splits skewed
-        # partitions of the big side at run time.
-        return big.join(small, key, how)
-    cut = frequency_cut(small, freq_col, bound)
-    if cut is None:
-        # more than ``bound`` keys share the top frequency: none is hot
-        return big.join(small, key, how)
-    hot = materialize(small.filter(F.col(freq_col) >= cut))
-    cold = small.filter(F.col(freq_col) < cut)
-    with_hot = big.join(F.broadcast(hot), key, "left")
-    matched = with_hot.filter(F.col(freq_col).isNotNull())
-    rest = with_hot.filter(F.col(freq_col).isNull()).select(*big.columns).join(cold, key, how)
-    return matched.unionByName(rest)
-
-
-def _keys_at_or_above(small: DataFrame, freq_col: str) -> DataFrame:
-    """freq_col, _cum: for each frequency value, the number of keys at least
-    that frequent. No row-level sort: keys are counted per frequency value (a
-    partial aggregate), and only that histogram gets a running sum. It has
-    at most sqrt(2 * total occurrences) rows, since k distinct frequencies
-    need at least 1 + 2 + ... + k occurrences."""
-    hist = small.groupBy(freq_col).agg(F.count(F.lit(1)).alias("_keys"))
-    return hist.select(freq_col, F.sum("_keys").over(Window.orderBy(F.desc(freq_col))).alias("_cum"))
-
-
-def frequency_cut(small: DataFrame, freq_col: str, bound: int):
-    """The lowest frequency f such that at most ``bound`` keys have a
-    frequency >= f (None if even the top frequency has more keys)."""
-    running = _keys_at_or_above(small, freq_col)
-    return running.filter(F.col("_cum") <= bound).agg(F.min(freq_col)).first()[0]
-
-
-def kth_frequency(small: DataFrame, freq_col: str, k: int):
-    """The frequency of the k-th most frequent key: every key of a top-k has
-    at least this frequency (None when there are fewer than k keys)."""
-    running = _keys_at_or_above(small, freq_col)
-    return running.filter(F.col("_cum") >= k).agg(F.max(freq_col)).first()[0]
+    hot = hot_keys(big, key)
+    # at most HOT_SHARE rows each: the known ones with their lookup values
+    known = materialize(small.join(F.broadcast(hot), key, "left_semi"))
+    present = big.filter(F.col(key).isNotNull())
+    parts = [present.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(known), key, how),
+             present.join(F.broadcast(hot), key, "left_anti").join(small, key, how)]
+    if how == "left":
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in small.dtypes if c != key]
+        parts.append(big.filter(F.col(key).isNull()).select(key, *[c for c in big.columns if c != key], *nothing))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def counted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -23,15 +23,15 @@ CANDIDATE_ALPHAS = [0.1, 0.5, 1.0, 2.0]
 
 
 def select_alpha(train: DataFrame, test: DataFrame, alphas=CANDIDATE_ALPHAS,
-                 counts: DataFrame | None = None) -> DataFrame:
-    """``counts`` (token, n0..n2, n_occ of ``train``) may come from a model
-    already trained on ``train``; otherwise they are counted here."""
+                 counts: DataFrame | None = None, class_docs: dict[int, int] | None = None) -> DataFrame:
+    """``counts`` (token, n0..n2, n_occ of ``train``) and ``class_docs`` may
+    come from a model already trained on ``train``; else they are counted."""
     if counts is None:
         counts = materialize(nb.token_class_counts(train))
     totals = counts.agg(F.count(F.lit(1)).alias("v"),
                         *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in range(3)]).first()
-    docs = {r["_y"]: r["n"] for r in
-            train.groupBy(F.col("label").alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs = class_docs if class_docs is not None else {
+        r["_y"]: r["n"] for r in train.groupBy(F.col("label").alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     v = int(totals["v"])
     n_docs = sum(docs.values())
     cols = []
@@ -41,7 +41,7 @@ def select_alpha(train: DataFrame, test: DataFrame, alphas=CANDIDATE_ALPHAS,
             cols.append(F.round(w * nb.SCALE).cast("long").alias(f"wq{c}_{k}"))
     weights = materialize(counts.select("token", "n_occ", *cols))
     occ = test.select("doc_id", "label", F.explode_outer(T.tokens(F.col("text"))).alias("token"))
-    joined = checked_lookup_join(occ, weights, "token", v, freq_col="n_occ", how="left")
+    joined = checked_lookup_join(occ, weights, "token", v, how="left")
     sums = joined.groupBy("doc_id", "label").agg(
         F.count("n_occ").alias("n_known"),
         *[F.sum(f"wq{c}_{k}").alias(f"s{c}_{k}") for k in range(len(alphas)) for c in range(3)])

@@ -70,16 +70,18 @@ def weights_from_counts(counts: DataFrame, class_tokens, vocab_size: int, alpha:
 
 
 def fit(train: DataFrame, alpha: float = 1.0, text: str = "text", label: str = "label",
-        counts: DataFrame | None = None) -> NBModel:
+        counts: DataFrame | None = None, class_docs: dict[int, int] | None = None) -> NBModel:
     """Train on rows (text, label in 0..2). ``counts`` may be passed when
-    several models share one count table (model selection)."""
+    several models share one count table (model selection), ``class_docs``
+    (documents of each label) when they are known."""
     if counts is None:
         counts = materialize(token_class_counts(train, text, label))
     totals = counts.agg(F.count(F.lit(1)).alias("v"),
                         *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in range(N_CLASSES)]
                         ).first()
-    docs = {r["_y"]: r["n"] for r in
-            train.groupBy(F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs = class_docs if class_docs is not None else {
+        r["_y"]: r["n"] for r in
+        train.groupBy(F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = weights_from_counts(counts, [totals[f"t{c}"] for c in range(N_CLASSES)],
                                   totals["v"], alpha)
     return NBModel(weights=weights, vocab_size=int(totals["v"]),
@@ -102,7 +104,7 @@ def class_sums(model: NBModel, docs: DataFrame, key="doc_id", text: str = "text"
     gen = F.explode_outer if outer else F.explode
     occ = docs.select(*keys, gen(T.tokens(F.col(text))).alias("token"))
     w = model.weights.select("token", "wq0", "wq1", "wq2", "n_occ")
-    joined = checked_lookup_join(occ, w, "token", model.vocab_size, freq_col="n_occ",
+    joined = checked_lookup_join(occ, w, "token", model.vocab_size,
                                  how="left" if outer else "inner")
     return joined.groupBy(*keys).agg(F.sum("wq0").alias("s0"), F.sum("wq1").alias("s1"),
                                      F.sum("wq2").alias("s2"), F.count("wq0").alias("n_known"))

@@ -51,11 +51,13 @@ def scored_table(model: nb.NBModel, docs: DataFrame, labels: DataFrame | None =
     raw_label; ``label_rows`` rows), which is joined to the one-row-per-post
     scores, not to the text. Every row is kept; rows that cannot be scored
     get 'Error' and confidence 0.0. The label is stripped before it is
-    capitalised, and a missing label never matches.
+    capitalised, and a missing label never matches. Without a platform column
+    the platform is null, and ``platform_stats`` has no row.
     """
     std_label = lambda c: T.capitalize(T.py_strip(c))
     inline = labels is None
-    base = docs.select("doc_id", T.py_strip(F.col("platform")).alias("platform"), "text",
+    platform = F.col("platform") if "platform" in docs.columns else F.lit(None).cast("string")
+    base = docs.select("doc_id", T.py_strip(platform).alias("platform"), "text",
                        *([std_label(F.col("raw_label")).alias("label")] if inline else []))
     keys = ["doc_id", "platform"] + (["label"] if inline else [])
     scored = K.batch_fields(K.probabilities(model, base, keys, "text", outer=True))
@@ -71,12 +73,18 @@ def scored_table(model: nb.NBModel, docs: DataFrame, labels: DataFrame | None =
         F.coalesce(F.col("label") == predicted, F.lit(False)).alias("matches_original"))
 
 
-def write_scored(scored: DataFrame, path: str) -> DataFrame:
+def write_scored(scored: DataFrame, path: str, files_per_platform: int = 8) -> DataFrame:
     """Write the scored table as Parquet partitioned by platform (S4) and
-    return it read back with its own schema (so a platform value that looks
-    like a number stays a string). No shuffle: each task writes the
-    platforms it holds."""
-    scored.write.mode("overwrite").partitionBy("platform").parquet(path)
+    return it read back with its own columns. Partition folders are named by
+    an escaped value, so an empty platform, a missing one and one that looks
+    like a number come back as they were. Narrow rows are dealt by (platform,
+    salt) first: a platform has at most ``files_per_platform`` files, and one
+    with a third of all rows is not one task."""
+    folder = F.when(F.col("platform").isNull(), F.lit("none")).otherwise(F.concat(F.lit("is:"), "platform"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_platform))
+    out = scored.withColumn("platform_folder", folder).withColumn("_salt", salt)
+    (out.repartition("platform_folder", "_salt").drop("_salt")
+     .write.mode("overwrite").partitionBy("platform_folder").parquet(path))
     return scored.sparkSession.read.schema(scored.schema).parquet(path).select(*scored.columns)
 
 
@@ -116,19 +124,21 @@ def confusion_matrix(scored: DataFrame) -> DataFrame:
 
 
 def toxicity_histogram(probs: DataFrame) -> DataFrame:
-    """Posts per toxicity band and tenth of the score."""
+    """Posts per toxicity band and tenth of the score (M10, R8); a score of 1
+    belongs to the last tenth."""
     return (probs.select(S.toxicity_level(F.col("p_negative")).alias("toxicity_level"),
-                         F.floor(F.col("p_negative") * 10).cast("int").alias("decile"))
+                         F.least(F.floor(F.col("p_negative") * 10), F.lit(9)).cast("int").alias("decile"))
             .groupBy("toxicity_level", "decile").agg(F.count(F.lit(1)).alias("n_posts")))
 
 
-def batch_loss(model: nb.NBModel, rows: DataFrame, batch_size: int = BATCH_SIZE,
+def batch_loss(model: nb.NBModel, rows: DataFrame, n_train: int, batch_size: int = BATCH_SIZE,
                epochs: int = EPOCHS) -> DataFrame:
     """Evaluation in shuffled batches of ``batch_size``.
 
     A text without a known token scores with the class priors alone.
     mean_batch_loss is the mean of per-batch means (not weighted by batch
-    size); weighted_accuracy is correct / rows.
+    size); weighted_accuracy is correct / rows; total_steps are the batches
+    of the ``n_train`` training rows times the epochs.
     """
     sums = nb.class_sums(model, rows.select("doc_id", "text"), "doc_id", "text", outer=True)
     lg = nb.logits(model, sums)
@@ -146,7 +156,7 @@ def batch_loss(model: nb.NBModel, rows: DataFrame, batch_size: int = BATCH_SIZE,
     r6 = lambda c: F.round(c, 6)
     return per_batch.agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_batches"),
-        (F.count(F.lit(1)) * epochs).alias("total_steps"),
+        F.lit(-(-n_train // batch_size) * epochs).cast("long").alias("total_steps"),
         r6(F.avg("loss_mean")).alias("mean_batch_loss"),
         r6(F.sum("loss_sum") / F.sum("n")).alias("mean_loss"),
         r6(F.sum("correct") / F.sum("n")).alias("weighted_accuracy"))

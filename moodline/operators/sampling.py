@@ -37,16 +37,22 @@ def class_quotas(df: DataFrame, label: str, test_fraction: float) -> DataFrame:
     """Per class test quota: total ceil(f*n), largest remainder, ties to the
     lower class. Input is aggregated to one row per class before the window,
     so the window sees (number of classes) rows."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    return quotas_of_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")), label, test_fraction)
+
+
+def quotas_of_counts(counts: DataFrame, label: str, test_fraction: float) -> DataFrame:
+    """``class_quotas`` from one row (label, n_class) per class, in whole
+    numbers throughout: products of two row counts are decimals of 38 digits."""
     every = Window.partitionBy(F.lit(0))
-    n = F.sum("n_class").over(every)
-    # ceil(f * n) computed in integers: f is given with at most 6 decimals.
+    # f is given with at most 6 decimals
     scale = 1_000_000
     f_num = int(round(test_fraction * scale))
-    total_test = F.floor((n * F.lit(f_num) + F.lit(scale - 1)) / F.lit(scale))
-    q = counts.select(label, "n_class", n.alias("n_all"), total_test.alias("t_all"))
-    q = q.select("*", F.floor(F.col("n_class") * F.col("t_all") / F.col("n_all")).alias("q_floor"),
-                 F.pmod(F.col("n_class") * F.col("t_all"), F.col("n_all")).alias("rem"))
+    q = counts.select(label, "n_class", F.sum("n_class").over(every).alias("n_all"))
+    q = q.withColumn("t_all", F.expr(
+        f"(cast(n_all as decimal(19,0)) * {f_num} + {scale - 1}) div cast({scale} as decimal(19,0))"))
+    product = "cast(n_class as decimal(19,0)) * cast(t_all as decimal(19,0))"
+    q = q.select("*", F.expr(f"({product}) div cast(n_all as decimal(19,0))").alias("q_floor"),
+                 F.expr(f"({product}) % cast(n_all as decimal(19,0))").alias("rem"))
     left_over = (F.col("t_all") - F.sum("q_floor").over(every))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rem"), F.asc(label)))
     return q.select(label, "n_class",

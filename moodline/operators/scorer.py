@@ -12,17 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodline.functions import scoring as S
-from moodline.functions import text as T
 from moodline.operators import naive_bayes as nb
 from moodline.operators.joins import broadcast_bound, checked_lookup_join, materialize
 
-# Fixed values, our own wording: advice shown for each toxicity band.
+#: Default advice by toxicity band; a caller may pass rows of its own.
 ADVICE = [
-    ("High", "Strong negativity detected: restate the point calmly, drop "
-             "confrontational words and focus on what could be fixed."),
-    ("Moderate", "Some negativity detected: add a balanced view, prefer "
-                 "neutral wording and say what you mean plainly."),
-    ("Low", "The message reads as fair and constructive."),
+    ("High", "Hold this post back: a moderator should read it first. Would you say it to the person's face?"),
+    ("Moderate", "Read this aloud once before posting; a softer opening often gets a better answer."),
+    ("Low", "Nothing to change here."),
 ]
 
 PROB_COLS = ["p_negative", "p_neutral", "p_positive"]
@@ -66,9 +63,9 @@ def batch_fields(df: DataFrame) -> DataFrame:
                      S.confidence(n, u, p).alias("confidence"))
 
 
-def advice_table(spark) -> DataFrame:
-    """Three rows: a fixed-size dimension, broadcast by construction."""
-    return spark.createDataFrame(ADVICE, "toxicity_level string, suggestions string")
+def advice_table(spark, advice: list[tuple[str, str]] | None = None) -> DataFrame:
+    """One row for each of the three bands: broadcast by construction."""
+    return spark.createDataFrame(advice or ADVICE, "toxicity_level string, suggestions string")
 
 
 def with_advice(df: DataFrame) -> DataFrame:
@@ -110,7 +107,7 @@ def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
     """Each distinct text is scored once (K3), then the result is joined back
     to all rows carrying that text.
 
-    Texts are keyed by their 128-bit md5. Everything that decides which rows
+    Texts are keyed by their 256-bit hash. Everything that decides which rows
     are scored is narrow: the written (row key, hash) table gives one
     representative per text (its smallest key, a partial aggregate, so a
     text copied into a third of all rows is one row per task before the
@@ -123,7 +120,7 @@ def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
     """
     bound = broadcast_bound(docs.sparkSession)
     present = gate_nonempty(docs, text)
-    hashes = materialize(present.select(key, F.md5(F.col(text)).alias("_th")))
+    hashes = materialize(present.select(key, F.sha2(F.col(text), 256).alias("_th")))
     reps = materialize(hashes.groupBy("_th").agg(F.min(key).alias("_rep"),
                                                  F.count(F.lit(1)).alias("_n_dup")))
     n_reps = reps.count()
@@ -134,19 +131,19 @@ def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
     else:
         # a row is a copy when its text has a smaller representative key;
         # the lookup on the hash splits hot texts off into a broadcast
-        copies = materialize(checked_lookup_join(hashes, reps, "_th", n_reps, freq_col="_n_dup")
+        copies = materialize(checked_lookup_join(hashes, reps, "_th", n_reps)
                              .filter(F.col(key) != F.col("_rep")).select(key))
         n_copies = copies.count()
         uniq = (rows.join(F.broadcast(copies), key, "left_anti") if n_copies <= bound
                 else rows.join(rep_keys, key, "left_semi"))
-    per_text = probabilities(model, uniq.select(F.md5(F.col(text)).alias("_th"), text), "_th", text)
+    per_text = probabilities(model, uniq.select(F.sha2(F.col(text), 256).alias("_th"), text), "_th", text)
     per_text = per_text.select("_th", *PROB_COLS)
     if n_reps <= bound:
         # at most n_reps scored texts: the join back is a broadcast
         return hashes.join(F.broadcast(materialize(per_text)), "_th").select(key, *PROB_COLS)
     # one row per text on both sides: a join without hot keys
     scored = materialize(per_text.join(reps.select("_th", "_n_dup"), "_th"))
-    back = checked_lookup_join(hashes, scored, "_th", scored.count(), freq_col="_n_dup")
+    back = checked_lookup_join(hashes, scored, "_th", scored.count())
     return back.select(key, *PROB_COLS)
 
 
@@ -157,6 +154,3 @@ def gate_nonempty(df: DataFrame, text: str = "text") -> DataFrame:
         return df.filter(F.col("has_text"))
     return df.filter(F.char_length(F.col(text)) > 0)
 
-
-def preview_text(c: Column) -> Column:
-    return T.preview(c)

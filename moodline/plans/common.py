@@ -10,7 +10,7 @@ from moodline.functions import labels as L
 from moodline.operators import naive_bayes as nb
 from moodline.operators.joins import counted_join, materialize
 from moodline.operators.sampling import stratified_split
-from moodline.sources.tables import clean_columns, posts, read_keyed
+from moodline.sources.tables import clean_columns, input_state, posts, read_keyed
 
 ALPHA = 1.0
 TEST_FRACTION = 0.2
@@ -33,7 +33,7 @@ _MODELS: dict[tuple, nb.NBModel] = {}
 
 
 def _memo_key(spark: SparkSession, sf_dir: str, *extra) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *extra)
+    return (spark.sparkContext.applicationId, input_state(spark, sf_dir, "documents", "labels"), *extra)
 
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,12 @@ def train_posts(spark: SparkSession, sf_dir: str, split: DataFrame) -> DataFrame
     return _part(spark, sf_dir, split, "train", "text")
 
 
+def train_class_docs(split: DataFrame) -> dict[int, int]:
+    """Training documents of each class, from the written split."""
+    rows = split.filter(F.col("split") == "train").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["label"]: r["n"] for r in rows}
+
+
 def train_model(spark: SparkSession, sf_dir: str, split: DataFrame | None = None,
                 alpha: float = ALPHA) -> tuple[nb.NBModel, DataFrame]:
     """The model trained on the train part of the split (memoised per
@@ -74,7 +80,7 @@ def train_model(spark: SparkSession, sf_dir: str, split: DataFrame | None = None
     split = split_table(spark, sf_dir)
     key = _memo_key(spark, sf_dir, TEST_FRACTION, alpha)
     if key not in _MODELS:
-        model = nb.fit(train_posts(spark, sf_dir, split), alpha=alpha)
+        model = nb.fit(train_posts(spark, sf_dir, split), alpha=alpha, class_docs=train_class_docs(split))
         model.weights = materialize(model.weights)
         _MODELS[key] = model
     return _MODELS[key], split

@@ -211,6 +211,7 @@ FROM split s JOIN quotas q ON s.label = q.label GROUP BY s.label, q.quota"""
     q["probabilities"] = with_ctes(*SCORED) + "SELECT doc_id, p_negative, p_neutral, p_positive FROM pr"
     q["score_distinct"] = q["probabilities"]
     q["score_batch_udf"] = q["probabilities"]
+    q["score_with_stored_model"] = q["probabilities"]
     q["confidence"] = with_ctes(*SCORED) + f"""SELECT doc_id, {TOP1} AS top_prob, {TOP2} AS second_prob,
        {CONF} AS confidence FROM pr"""
     q["sentiment_rules"] = with_ctes(*SCORED) + f"""SELECT doc_id, rule_a, rule_b, rule_a <> rule_b AS rules_differ
@@ -252,7 +253,7 @@ FROM st_m"""
     q["confusion_matrix"] = with_ctes(*MODEL, TEST_DOCS, scored_table("test_docs")) + f"""SELECT label, {cols}
 FROM st_m WHERE label IS NOT NULL AND predicted IS NOT NULL GROUP BY label"""
     q["toxicity_histogram"] = with_ctes(*SCORED) + f"""SELECT toxicity_level, decile, count(*) AS n_posts
-FROM (SELECT {LEVEL} AS toxicity_level, CAST(floor(p_negative * 10) AS INTEGER) AS decile FROM pr)
+FROM (SELECT {LEVEL} AS toxicity_level, CAST(least(floor(p_negative * 10), 9) AS INTEGER) AS decile FROM pr)
 GROUP BY toxicity_level, decile"""
     q["batch_loss"] = with_ctes(*MODEL, TEST_DOCS) + """,
 tp AS (SELECT t.doc_id, t.text, s.label FROM test_docs t JOIN split s ON t.doc_id = s.doc_id),
@@ -275,7 +276,7 @@ rows AS (
   FROM lg),
 per_batch AS (SELECT batch_id, count(*) AS n, sum(loss) AS loss_sum, avg(loss) AS loss_mean,
               sum(correct) AS correct FROM rows GROUP BY batch_id)
-SELECT sum(n) AS n_rows, count(*) AS n_batches, count(*) * 3 AS total_steps,
+SELECT sum(n) AS n_rows, count(*) AS n_batches, (SELECT (count(*) + 31) // 32 * 3 FROM train) AS total_steps,
        round(avg(loss_mean), 6) AS mean_batch_loss, round(sum(loss_sum) / sum(n), 6) AS mean_loss,
        round(sum(correct) / sum(n), 6) AS weighted_accuracy
 FROM per_batch"""
@@ -319,8 +320,7 @@ SELECT epoch, alpha, val_accuracy, epoch = best_epoch AS is_best FROM acc, best"
   SELECT token, count(*) AS n_occ FROM (SELECT unnest({tokens('text')}) AS token FROM posts
   WHERE text IS NOT NULL) GROUP BY token)""", """vocab AS (
   SELECT token, token_id, n_occ FROM (
-    SELECT token, row_number() OVER (ORDER BY n_occ DESC, token) + 3 AS token_id, n_occ FROM counts)
-  WHERE token_id <= 30003)"""]
+    SELECT token, row_number() OVER (ORDER BY n_occ DESC, md5(token), token) + 3 AS token_id, n_occ FROM counts))"""]
     q["vocabulary"] = with_ctes(*vocab_ctes) + "SELECT token, token_id, n_occ FROM vocab"
     q["encode_posts"] = with_ctes(*vocab_ctes, f"""toks AS (
   SELECT doc_id, {tokens('text')} AS t FROM posts WHERE text IS NOT NULL)""", """occ AS (

@@ -209,7 +209,8 @@ def evaluate_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv_io.write_posts_csv(raw, f"{path}/posts_csv")
     std = columns.standardize(csv_io.read_posts_csv(spark, f"{path}/posts_csv"), keep=["post_id"])
     back = std.select(F.col("post_id").cast("long").alias("doc_id"), F.col("Text").alias("text"),
-                      F.col("Platform").alias("platform"), F.col("Sentiment").alias("raw_label"))
+                      *([F.col("Platform").alias("platform")] if "Platform" in std.columns else []),
+                      F.col("Sentiment").alias("raw_label"))
     return R.write_scored(R.scored_table(model, back), f"{path}/scored")
 
 
@@ -242,7 +243,7 @@ def toxicity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, split = train_model(spark, sf_dir)
-    return R.batch_loss(model, test_posts(spark, sf_dir, split))
+    return R.batch_loss(model, test_posts(spark, sf_dir, split), n_train=sum(model.class_docs))
 
 
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +251,8 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, split = train_model(spark, sf_dir)
     train = train_posts(spark, sf_dir, split)
     # every candidate starts from the token counts of the trained model
-    return select_alpha(train, test_posts(spark, sf_dir, split), counts=model.counts)
+    return select_alpha(train, test_posts(spark, sf_dir, split), counts=model.counts,
+                        class_docs=dict(enumerate(model.class_docs)))
 
 
 def model_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,13 +261,25 @@ def model_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained, split = train_model(spark, sf_dir)
     train = train_posts(spark, sf_dir, split)
     counts = trained.counts
-    store = model_store.ModelStore.for_session(spark)
+    store = model_store.ModelStore(spark, scratch_path(spark, "models"))
+    docs = dict(enumerate(trained.class_docs))
     for alpha in CANDIDATE_ALPHAS:
-        m = nb.fit(train, alpha=alpha, counts=counts)
+        m = nb.fit(train, alpha=alpha, counts=counts, class_docs=docs)
         store.register(model_store.MODEL_NAME, m)
     return store.latest().select("name", "latest_version", "n_versions", "vocab_size", "alpha")
 
 
+def score_with_stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register the trained model, load it by name in another store object and
+    score with it: equal to ``probabilities``."""
+    trained, _ = train_model(spark, sf_dir)
+    root = scratch_path(spark, "models")
+    model_store.ModelStore(spark, root).register(model_store.MODEL_NAME, trained)
+    model = model_store.ModelStore(spark, root).load(model_store.MODEL_NAME)
+    docs = documents_clean(spark, sf_dir).select("doc_id", "text", "has_text")
+    return K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text").select("doc_id", *P)
+
+
 # ---------------------------------------------------------------- encoding
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.vocabulary(documents_clean(spark, sf_dir).filter(F.col("has_text")), "text")

@@ -8,7 +8,6 @@ that setting (tests, laptops) gets a fresh temporary folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -83,8 +82,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    local = sc.master.startswith("local[") or sc.master == "local"
     if not configured:
-        if not sc.master.startswith("local"):
+        if not local:
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; name a shared folder for "
                 "checkpoints and intermediate tables")
@@ -93,19 +93,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, kind: str, unique: bool = True) -> str:
-    """A folder under the shared checkpoint directory for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/moodline/{kind}"
-    if unique:
-        path = f"{path}/{uuid.uuid4().hex}"
-    return path
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/moodline/{spark.sparkContext.applicationId}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for the few local-only helpers in tests."""
-    return path[5:] if path.startswith("file:") else path
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new folder for a written table of this application."""
+    return f"{scratch_root(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
-def cpu_count() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A folder that later applications find again (models, stream jobs)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/moodline/{kind}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of ``path`` in the session's Hadoop configuration."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; DataFrames that were
+    returned and not yet written must not be used afterwards. Models and named
+    stream jobs stay."""
+    fs, path = hadoop_path(spark, scratch_root(spark))
+    fs.delete(path, True)

@@ -1,9 +1,10 @@
-"""Model store (S5): weight tables as Parquet under
-``<checkpoint dir>/moodline/models/name=<name>/version=<n>``.
+"""Model store (S5): versions of a weights table under
+``<root>/<name>/version=<n>``.
 
-Registering appends a new version; listing is a group-by over the partition
-columns (partition discovery, no scan of the weights); existence is a
-semi-join on the name.
+A version is claimed by creating its claim file (one writer wins), the weights
+are written next to it, and a one-row manifest (priors' counts, vocabulary
+size, alpha) is written last: a version without a manifest does not exist.
+Listing reads manifests only, never weights.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodline.session import scratch_path
+from moodline.operators.naive_bayes import NBModel
+from moodline.session import hadoop_path, shared_path
 
 MODEL_NAME = "nb_sentiment"
+MANIFEST = ("name string, version int, vocab_size long, alpha double, class_docs array<long>, "
+            "class_tokens array<long>")
 
 
 class ModelStore:
@@ -22,42 +26,70 @@ class ModelStore:
         self.root = root.rstrip("/")
 
     @classmethod
-    def for_session(cls, spark: SparkSession, fresh: bool = True) -> "ModelStore":
-        return cls(spark, scratch_path(spark, "models", unique=fresh))
-
-    def _versions(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.root).select("name", "version", "alpha")
-        except Exception:  # empty store
-            return None
-
-    def register(self, name: str, model) -> int:
-        current = self._versions()
-        version = 1
-        if current is not None:
-            row = current.filter(F.col("name") == name).agg(F.max("version")).first()
-            version = (row[0] or 0) + 1
-        (model.weights.select("token", "wq0", "wq1", "wq2", "n_occ")
-         .withColumn("alpha", F.lit(float(model.alpha)))
-         .write.mode("overwrite").parquet(f"{self.root}/name={name}/version={version}"))
+    def for_session(cls, spark: SparkSession) -> "ModelStore":
+        """The store at its fixed place in the shared folder: what one
+        application registers, another one finds."""
+        return cls(spark, shared_path(spark, "models"))
+
+    def _folder(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/version={version}"
+
+    def _children(self, path: str) -> list[str]:
+        fs, p = hadoop_path(self.spark, path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _claimed(self, name: str) -> list[int]:
+        return sorted(int(c.split("=")[1]) for c in self._children(f"{self.root}/{name}") if c.startswith("version="))
+
+    def versions(self, name: str) -> list[int]:
+        """Complete versions of a model."""
+        out = []
+        for v in self._claimed(name):
+            fs, p = hadoop_path(self.spark, f"{self._folder(name, v)}/manifest/_SUCCESS")
+            if fs.exists(p):
+                out.append(v)
+        return out
+
+    def register(self, name: str, model: NBModel) -> int:
+        """Write ``model`` as the next version and return its number. Nothing
+        that exists is overwritten; of two writers one takes the next number."""
+        version = max([0, *self._claimed(name)]) + 1
+        while True:
+            fs, claim = hadoop_path(self.spark, f"{self._folder(name, version)}/_claim")
+            if fs.createNewFile(claim):
+                break
+            version += 1
+        folder = self._folder(name, version)
+        model.weights.write.mode("errorifexists").parquet(f"{folder}/weights")
+        row = (name, version, int(model.vocab_size), float(model.alpha), list(model.class_docs),
+               list(model.class_tokens))
+        (self.spark.createDataFrame([row], MANIFEST).coalesce(1)
+         .write.mode("errorifexists").parquet(f"{folder}/manifest"))
         return version
 
+    def manifests(self) -> DataFrame:
+        """One row per complete version of every model."""
+        paths = [f"{self._folder(n, v)}/manifest" for n in self._children(self.root) for v in self.versions(n)]
+        if not paths:
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(*paths)
+
     def latest(self) -> DataFrame:
         """name, latest_version, n_versions, vocab_size, alpha of the latest."""
-        v = self.spark.read.parquet(self.root)
-        per_version = v.groupBy("name", "version").agg(F.count(F.lit(1)).alias("vocab_size"),
-                                                      F.first("alpha").alias("alpha"))
-        return per_version.groupBy("name").agg(
+        return self.manifests().groupBy("name").agg(
             F.max("version").alias("latest_version"), F.count(F.lit(1)).alias("n_versions"),
             F.max_by("vocab_size", "version").alias("vocab_size"),
             F.max_by("alpha", "version").alias("alpha"))
 
     def exists(self, names: DataFrame) -> DataFrame:
-        v = self.spark.read.parquet(self.root).select("name").distinct()
-        return names.join(v, "name", "left_semi")
-
-    def load(self, name: str, version: int | None = None) -> DataFrame:
-        v = self.spark.read.parquet(self.root).filter(F.col("name") == name)
-        if version is None:
-            version = v.agg(F.max("version")).first()[0]
-        return v.filter(F.col("version") == version)
+        return names.join(F.broadcast(self.manifests().select("name").distinct()), "name", "left_semi")
+
+    def load(self, name: str, version: int | None = None) -> NBModel:
+        """A registered model, ready to score (the latest version by default)."""
+        found = self.versions(name)
+        if not found or (version is not None and version not in found):
+            raise LookupError(f"no version {version or ''} of model {name!r} in {self.root}")
+        folder = self._folder(name, version or found[-1])
+        m = self.spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").first()
+        return NBModel(weights=self.spark.read.parquet(f"{folder}/weights"), vocab_size=m["vocab_size"],
+                       class_docs=tuple(m["class_docs"]), class_tokens=tuple(m["class_tokens"]), alpha=m["alpha"])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from moodline.functions import text as T
 from moodline.functions.labels import CLASS_NAMES
 from moodline.operators.joins import checked_lookup_join
+from moodline.session import hadoop_path
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -24,6 +25,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def input_state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """(name, path, length, modification time) of the files of tables: the key
+    under which derived tables are remembered, so replaced input is noticed."""
+    out = []
+    for name in names:
+        fs, path = hadoop_path(spark, table_path(sf_dir, name))
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((name, f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def read_keyed(spark: SparkSession, sf_dir: str, name: str, key: str | list[str],
                *columns: str, always: bool = False) -> DataFrame:
     """Read ``columns`` of a table, spread over the cluster by ``key`` (a
@@ -123,7 +137,7 @@ _LABEL_ROWS: dict[tuple, int] = {}
 def label_rows(spark: SparkSession, sf_dir: str) -> int:
     """Row count of ``labels`` (from Parquet metadata), once per application:
     the size check in front of every broadcast of the label table."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, input_state(spark, sf_dir, "labels"))
     if key not in _LABEL_ROWS:
         _LABEL_ROWS[key] = read_table(spark, sf_dir, "labels").count()
     return _LABEL_ROWS[key]

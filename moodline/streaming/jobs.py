@@ -1,21 +1,26 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs (R3-R7, R4b, scoring of unseen text).
 
 Each job reads a table as a file stream, runs with ``availableNow`` into a
-sink under the shared checkpoint directory (checkpoint location next to it,
-so a restarted driver resumes where it stopped) and returns the sink as a
-batch DataFrame. Event time: ``events.ts`` is TIMESTAMP_NTZ, which
-``withWatermark`` rejects, so it is read as a session-time-zone TIMESTAMP and
-written back as NTZ.
-
-Append mode emits a window only once the watermark (max event time - delay)
-has passed its end, so the last open windows of a finite input stay
-unemitted; that is the documented result of these jobs.
+sink and returns the sink as a batch DataFrame. A job that is given a name
+keeps its checkpoint and sink under ``<checkpoint dir>/moodline/streams/<name>``:
+started again, by any application, it goes on where it stopped. Without a
+name it gets folders of its own. ``moodline.stream.maxFilesPerTrigger`` bounds
+the input of a micro-batch.
+
+Event time: ``events.ts`` is TIMESTAMP_NTZ, which ``withWatermark`` rejects, so
+it is read as a session-time-zone TIMESTAMP and written back as NTZ.
+
+Append mode emits a window once the watermark (max event time - delay) has
+passed its end. The windows still open at the end of the input are read from
+the job's state store, so every event is counted in the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -23,8 +28,8 @@ from moodline.functions import scoring as S
 from moodline.operators import scorer as K
 from moodline.operators.joins import broadcast_bound, materialize
 from moodline.plans.common import train_model
-from moodline.session import scratch_path
-from moodline.sources.tables import documents_clean, read_keyed, read_table, table_path
+from moodline.session import hadoop_path, scratch_path, shared_path
+from moodline.sources.tables import documents_clean, input_state, read_keyed, read_table, table_path
 
 WATERMARK = "10 minutes"
 WINDOW = "1 hour"
@@ -32,6 +37,9 @@ SESSION_GAP = "30 minutes"
 DEDUPE_WINDOW = "1 minute"
 HISTORY_N = 5
 FEED_BATCHES = 4
+MAX_FILES_CONF = "moodline.stream.maxFilesPerTrigger"
+#: Sentiment and band of an event whose post cannot be scored.
+ERROR = "Error"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
@@ -39,6 +47,9 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> Data
     directory of part files readable alike."""
     schema = read_table(spark, sf_dir, name).schema
     path = table_path(sf_dir, name).replace(f"/{name}.parquet", f"/{name}*.parquet")
+    limit = spark.conf.get(MAX_FILES_CONF, "")
+    if limit:
+        options["maxFilesPerTrigger"] = limit
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
@@ -47,50 +58,89 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_parquet(df: DataFrame, kind: str) -> DataFrame:
-    """Run the streaming plan to completion (availableNow) into a parquet
-    sink and read the result back as a batch DataFrame."""
+def job_path(spark: SparkSession, kind: str, name: str | None) -> str:
+    return shared_path(spark, f"streams/{name}") if name else scratch_path(spark, f"streams/{kind}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def run_to_parquet(df: DataFrame, kind: str, name: str | None = None) -> tuple[DataFrame, str]:
+    """Run the streaming plan to the end of its input (availableNow) into a
+    Parquet sink; the sink as a batch DataFrame, and the job's folder."""
     spark = df.sparkSession
-    base = scratch_path(spark, f"streams/{kind}")
+    base = job_path(spark, kind, name)
     q = (df.writeStream.format("parquet").outputMode("append")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    return spark.read.schema(df.schema).parquet(f"{base}/out"), base
+
+
+def with_open_windows(closed: DataFrame, base: str, columns: list[Column]) -> DataFrame:
+    """``closed`` (emitted windows) and the windows still in the state of the
+    job's only stateful operator; ``columns`` over its key and value."""
+    state = closed.sparkSession.read.format("statestore").load(f"{base}/checkpoint")
+    return closed.unionByName(state.select(*columns))
+
+
+def run_batches(df: DataFrame, kind: str, name: str | None, schema: Ty.StructType,
+                per_batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``per_batch`` on each micro-batch; the rows of batch b go to folder
+    ``v=b``, so a batch that is run again writes the same folder again."""
+    spark = df.sparkSession
+    base = job_path(spark, kind, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        per_batch(batch).write.mode("overwrite").parquet(f"{base}/log/v={batch_id}")
+
+    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return read_log(spark, f"{base}/log", schema)
+
+
+def read_log(spark: SparkSession, log: str, schema: Ty.StructType) -> DataFrame:
+    """Rows of all batches with their batch id ``v``; none if no batch ran."""
+    full = Ty.StructType(schema.fields + [Ty.StructField("v", Ty.LongType())])
+    if not path_exists(spark, log):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(log)
 
 
 _STATIC: dict[tuple, tuple[DataFrame, int, int]] = {}
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
-    """Static side of the stream-static joins: doc_id, rule-A sentiment,
-    band; its row count; the number of documents. Written once per
-    application (micro-batches and later jobs do not re-run the scorer)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    """Static side of the stream-static joins: doc_id, text_hash, rule-A
+    sentiment, band of every document (``Error`` where it cannot be scored);
+    its row count, the number of documents. Written once per application and
+    input (micro-batches and later jobs do not re-run the scorer)."""
+    key = (spark.sparkContext.applicationId, input_state(spark, sf_dir, "documents", "labels"))
     if key not in _STATIC:
         model, _ = train_model(spark, sf_dir)
-        docs = documents_clean(spark, sf_dir).select("doc_id", "text", "has_text")
-        pr = K.app_fields(K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text"))
-        static = materialize(pr.select("doc_id", "sentiment", "toxicity_level"))
-        _STATIC[key] = (static, static.count(), read_table(spark, sf_dir, "documents").count())
+        docs = documents_clean(spark, sf_dir).select(
+            "doc_id", "text", F.when(F.col("has_text"), F.sha2("text", 256)).alias("text_hash"))
+        pr = K.app_fields(K.probabilities(model, docs, ["doc_id", "text_hash"], "text", outer=True))
+        ok = F.col("n_known") > 0
+        static = materialize(pr.select("doc_id", "text_hash", *[
+            F.when(ok, F.col(c)).otherwise(F.lit(ERROR)).alias(c) for c in ("sentiment", "toxicity_level")]))
+        n = static.count()
+        _STATIC[key] = (static, n, n)
     return _STATIC[key]
 
 
-_KEYED_STATIC: dict[int, tuple[DataFrame, DataFrame]] = {}
-
-
 def _join_static(ev: DataFrame, static: DataFrame, n_static: int) -> DataFrame:
-    """Stream-static inner join on doc_id. The static side is broadcast only
-    when its counted rows are within the bound. Beyond it, the static side
-    is hash-partitioned by doc_id once and kept (memory and disk; lost
-    blocks are recomputed from the written table), so each micro-batch
-    shuffles only its own events to it instead of the whole static side."""
+    """Stream-static left join on doc_id; no event is lost. The static side is
+    broadcast only when its counted rows are within the bound. Beyond it, the
+    static side is hash-partitioned by doc_id and kept (memory and disk; lost
+    blocks are recomputed from the written table) while the job runs, so each
+    micro-batch shuffles only its own events to it."""
     if n_static <= broadcast_bound(ev.sparkSession):
-        return ev.join(F.broadcast(static), "doc_id")
-    if id(static) not in _KEYED_STATIC:
-        keyed = static.repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-        _KEYED_STATIC[id(static)] = (static, keyed)
-    return ev.join(_KEYED_STATIC[id(static)][1], "doc_id")
+        return ev.join(F.broadcast(static), "doc_id", "left")
+    return ev.join(static.repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK), "doc_id", "left")
 
 
 def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
@@ -98,53 +148,100 @@ def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
     return ev.withColumn("doc_id", F.pmod(F.col("event_id"), F.lit(n_docs)))
 
 
-def stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event joined (stream-static) to the scored post it shows."""
+def _scored_events(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     static, n_static, n_docs = scored_documents(spark, sf_dir)
-    ev = _with_doc(event_stream(spark, sf_dir), n_docs)
-    out = _join_static(ev, static, n_static).select(
+    joined = _join_static(_with_doc(ev, n_docs), static, n_static)
+    return joined.withColumns({c: F.coalesce(c, F.lit(ERROR)) for c in ("sentiment", "toxicity_level")})
+
+
+def stream_scored(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """Every event joined (stream-static) to the scored post it shows."""
+    out = _scored_events(spark, sf_dir, event_stream(spark, sf_dir)).select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "doc_id",
         "sentiment", "toxicity_level")
-    return run_to_parquet(out, "stream_scored")
+    return run_to_parquet(out, "stream_scored", name)[0]
 
 
-def toxicity_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling one-hour counts of events per toxicity band."""
-    static, n_static, n_docs = scored_documents(spark, sf_dir)
-    ev = _with_doc(event_stream(spark, sf_dir).withWatermark("ts", WATERMARK), n_docs)
-    agg = (_join_static(ev, static, n_static)
-           .groupBy(F.window("ts", WINDOW).alias("w"), "toxicity_level")
-           .agg(F.count(F.lit(1)).alias("n_events")))
-    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-                     "toxicity_level", "n_events")
-    return run_to_parquet(out, "toxicity_by_hour")
+def toxicity_by_hour(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """Tumbling one-hour counts of events per toxicity band (posts that
+    cannot be scored count as band ``Error``)."""
+    ev = _scored_events(spark, sf_dir, event_stream(spark, sf_dir).withWatermark("ts", WATERMARK))
+    agg = ev.groupBy(F.window("ts", WINDOW).alias("w"), "toxicity_level").agg(F.count(F.lit(1)).alias("n_events"))
 
+    def shape(w: str, level: str, n: str) -> list[Column]:
+        return [F.col(f"{w}.start").cast("timestamp_ntz").alias("window_start"),
+                F.col(f"{w}.end").cast("timestamp_ntz").alias("window_end"),
+                F.col(level).alias("toxicity_level"), F.col(n).alias("n_events")]
 
-def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, base = run_to_parquet(agg.select(*shape("w", "toxicity_level", "n_events")), "toxicity_by_hour", name)
+    return with_open_windows(closed, base, shape("key.window", "key.toxicity_level", "value.count"))
+
+
+def user_sessions(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """Sessions of activity per user (30 minute inactivity gap)."""
     ev = event_stream(spark, sf_dir).withWatermark("ts", WATERMARK)
     agg = (ev.groupBy(F.session_window("ts", SESSION_GAP).alias("s"), "user_id")
            .agg(F.count(F.lit(1)).alias("n_events")))
-    out = agg.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
-    return run_to_parquet(out, "user_sessions")
 
+    def shape(s: str, user: str, n: str) -> list[Column]:
+        return [F.col(user).alias("user_id"), F.col(f"{s}.start").cast("timestamp_ntz").alias("session_start"),
+                F.col(f"{s}.end").cast("timestamp_ntz").alias("session_end"), F.col(n).alias("n_events")]
+
+    closed, base = run_to_parquet(agg.select(*shape("s", "user_id", "n_events")), "user_sessions", name)
+    return with_open_windows(closed, base, shape("value.session_window", "key.user_id", "value.count"))
 
-def dedupe_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def dedupe_per_minute(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """A text is scored at most once per minute: one row per (minute,
-    text) with the first request and the number of requests it answers."""
-    docs = documents_clean(spark, sf_dir).filter(F.col("has_text")).select(
-        "doc_id", F.md5(F.col("text")).alias("text_hash"))
-    static = materialize(docs)
-    n_docs = read_table(spark, sf_dir, "documents").count()
-    ev = _with_doc(event_stream(spark, sf_dir).withWatermark("ts", WATERMARK), n_docs)
-    agg = (_join_static(ev, static, static.count())
-           .groupBy(F.window("ts", DEDUPE_WINDOW).alias("w"), "text_hash")
+    text) with the score, the first request and the number of requests it
+    answers. Requests without a text share a row with a null hash."""
+    ev = _scored_events(spark, sf_dir, event_stream(spark, sf_dir).withWatermark("ts", WATERMARK))
+    # equal texts have equal scores, so the score may be part of the key
+    agg = (ev.groupBy(F.window("ts", DEDUPE_WINDOW).alias("w"), "text_hash", "sentiment", "toxicity_level")
            .agg(F.min("event_id").alias("first_event_id"), F.count(F.lit(1)).alias("n_requests")))
-    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("minute_start"), "text_hash",
-                     "first_event_id", "n_requests")
-    return run_to_parquet(out, "dedupe_per_minute")
+
+    def shape(w: str, key: str, first: str, n: str) -> list[Column]:
+        return [F.col(f"{w}.start").cast("timestamp_ntz").alias("minute_start"),
+                *[F.col(f"{key}{c}").alias(c) for c in ("text_hash", "sentiment", "toxicity_level")],
+                F.col(first).alias("first_event_id"), F.col(n).alias("n_requests")]
+
+    closed, base = run_to_parquet(agg.select(*shape("w", "", "first_event_id", "n_requests")),
+                                  "dedupe_per_minute", name)
+    return with_open_windows(closed, base, shape("key.window", "key.", "value.min", "value.count"))
+
+
+# ------------------------------------------------------------ unseen text
+TEXT_SCORES = Ty.StructType([
+    Ty.StructField("conv_id", Ty.LongType()), Ty.StructField("turn", Ty.LongType()),
+    Ty.StructField("sentiment", Ty.StringType()), Ty.StructField("toxicity_level", Ty.StringType()),
+    *[Ty.StructField(c, Ty.DoubleType()) for c in K.PROB_COLS]])
+
+
+def score_text_stream(stream: DataFrame, model, name: str | None = None) -> DataFrame:
+    """Score the texts (conv_id, turn, text) that arrive in a stream, inside
+    each micro-batch. Every row is kept: a text that cannot be scored gets
+    ``Error`` and null probabilities."""
+    def score(batch: DataFrame) -> DataFrame:
+        pr = K.app_fields(K.probabilities(model, batch.select("conv_id", "turn", "text"), ["conv_id", "turn"],
+                                          "text", outer=True))
+        ok = F.col("n_known") > 0
+        return pr.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                         *[F.when(ok, F.col(c)).otherwise(F.lit(ERROR)).alias(c)
+                           for c in ("sentiment", "toxicity_level")],
+                         *[F.when(ok, F.col(c)).alias(c) for c in K.PROB_COLS])
+
+    return run_batches(stream, "score_text", name, TEXT_SCORES, score).drop("v")
+
+
+def stream_score_text(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The turns of ``conversations`` as a stream of unseen text, scored with a
+    model that was registered and loaded again."""
+    from moodline.sources.model_store import MODEL_NAME, ModelStore
+    model, _ = train_model(spark, sf_dir)
+    root = scratch_path(spark, "models")
+    ModelStore(spark, root).register(MODEL_NAME, model)
+    loaded = ModelStore(spark, root).load(MODEL_NAME)
+    return score_text_stream(table_stream(spark, sf_dir, "conversations"), loaded, name)
 
 
 # ------------------------------------------------------------ R4b: history
@@ -154,9 +251,13 @@ HISTORY_SCHEMA = Ty.StructType([
     Ty.StructField("role", Ty.StringType()), Ty.StructField("preview", Ty.StringType()),
     Ty.StructField("sentiment", Ty.StringType()), Ty.StructField("toxicity_level", Ty.StringType()),
     Ty.StructField("confidence_text", Ty.StringType())])
-# State is keyed by (session, salt): a session with a third of all rows is
-# spread over SALTS tasks, each keeping its own last n.
-SALTS = 8
+def salts(spark: SparkSession) -> int:
+    """State is keyed by (session, salt): a session with a third of all rows
+    is spread over as many tasks as the cluster runs at once, each keeping its
+    own last n."""
+    return max(8, spark.sparkContext.defaultParallelism)
+
+
 SALTED_SCHEMA = Ty.StructType(HISTORY_SCHEMA.fields + [Ty.StructField("_salt", Ty.IntegerType())])
 STATE_SCHEMA = Ty.StructType([Ty.StructField("entries", Ty.StringType())])
 
@@ -199,18 +300,20 @@ def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N)
     from moodline.operators import reports as R
     model, _ = train_model(spark, sf_dir)
     feed = R.history_rows(model, read_keyed(spark, sf_dir, "conversations", ["conv_id", "turn"]))
-    base = scratch_path(spark, "streams/history_last_n")
+    feed_path = scratch_path(spark, "streams/history_feed")
     # one file per partition of the feed: the stream reads them a few at a time
-    feed.write.parquet(f"{base}/feed")
+    feed.write.parquet(feed_path)
     # the written feed arrives in about FEED_BATCHES micro-batches, so that
     # state is carried from batch to batch
-    n_files = len(spark.read.parquet(f"{base}/feed").inputFiles())
+    n_files = len(spark.read.parquet(feed_path).inputFiles())
     stream = (spark.readStream.schema(feed.schema)
               .option("maxFilesPerTrigger", max(1, -(-n_files // FEED_BATCHES)))
-              .parquet(f"{base}/feed"))
-    salted = stream.withColumn("_salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)).cast("int"))
+              .parquet(feed_path))
+    n_salts = salts(spark)
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64("turn"), F.lit(n_salts)).cast("int"))
     last = salted.groupBy("conv_id", "_salt").applyInPandasWithState(
         _last_n_state(n), SALTED_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
+    base = job_path(spark, "history_last_n", None)
     log = f"{base}/log"
 
     def append(batch: DataFrame, batch_id: int) -> None:
@@ -226,12 +329,8 @@ def latest_per_session(spark: SparkSession, log: str, n: int = HISTORY_N) -> Dat
     """The last n entries of each session from the append-only log: the rows
     of each (session, salt)'s newest batch (one partial max per key, then a
     join on (session, salt, batch)), then the top n per session over its at
-    most SALTS * n candidates (a partial window limit before the shuffle)."""
-    schema = Ty.StructType(SALTED_SCHEMA.fields + [Ty.StructField("v", Ty.LongType())])
-    try:
-        rows = spark.read.schema(schema).parquet(log)
-    except Exception:  # no batch written yet
-        return spark.createDataFrame([], HISTORY_SCHEMA)
+    most salts * n candidates (a partial window limit before the shuffle)."""
+    rows = read_log(spark, log, SALTED_SCHEMA)
     newest = rows.groupBy("conv_id", "_salt").agg(F.max("v").alias("v"))
     current = rows.join(newest, ["conv_id", "_salt", "v"])
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))

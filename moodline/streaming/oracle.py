@@ -1,33 +1,26 @@
-"""SQL oracles (DuckDB dialect) of the streaming queries.
-
-A streaming aggregation in append mode emits a window only after the
-watermark has passed its end. All events of a table arrive in one
-micro-batch, the following no-data batch moves the watermark to
-max(ts) - delay (in whole milliseconds), and every window or session whose
-end is at or before it is emitted; the rest stays in state.
-"""
+"""SQL (DuckDB dialect) for the streaming queries: every event is counted, and
+one whose post cannot be scored has sentiment and band ``Error``."""
 
 from __future__ import annotations
 
 
 def streaming_sql() -> dict[str, str]:
-    from moodline.plans.oracle import LEVEL, POSTS, RULE_A, SCORED, _queries, with_ctes
+    from moodline.plans.oracle import LEVEL, RULE_A, SCORED, MODEL, _queries, score_ctes, with_ctes
 
     n_docs = "(SELECT count(*) FROM documents)"
     doc_of = f"((e.event_id % {n_docs}) + {n_docs}) % {n_docs}"
-    wm = """wm AS (SELECT make_timestamp((epoch_ms(max(ts)) - 600000) * 1000) AS wm FROM events)"""
+    ev = f"""ev AS (
+  SELECT e.event_id, e.ts, e.user_id, d.doc_id, sha256(d.text) AS text_hash,
+         CASE WHEN pr.doc_id IS NULL THEN 'Error' ELSE {RULE_A.replace('p_', 'pr.p_')} END AS sentiment,
+         CASE WHEN pr.doc_id IS NULL THEN 'Error' ELSE {LEVEL.replace('p_', 'pr.p_')} END AS toxicity_level
+  FROM events e LEFT JOIN posts d ON d.doc_id = {doc_of} LEFT JOIN pr ON pr.doc_id = d.doc_id)"""
     q: dict[str, str] = {}
-    q["stream_scored"] = with_ctes(*SCORED) + f"""SELECT e.event_id, e.ts, e.user_id, pr.doc_id,
-       {RULE_A.replace('p_', 'pr.p_')} AS sentiment, {LEVEL.replace('p_', 'pr.p_')} AS toxicity_level
-FROM events e JOIN pr ON pr.doc_id = {doc_of}"""
-    q["toxicity_by_hour"] = with_ctes(*SCORED, wm, f"""ev AS (
-  SELECT e.ts, {LEVEL.replace('p_', 'pr.p_')} AS toxicity_level
-  FROM events e JOIN pr ON pr.doc_id = {doc_of})""") + """SELECT window_start, window_end, toxicity_level,
-       n_events FROM (
-  SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-         toxicity_level, count(*) AS n_events
-  FROM ev GROUP BY 1, 2, 3) WHERE window_end <= (SELECT wm FROM wm)"""
-    q["user_sessions"] = with_ctes(wm, """marked AS (
+    q["stream_scored"] = with_ctes(*SCORED, ev) + """SELECT event_id, ts, user_id, doc_id, sentiment, toxicity_level
+FROM ev"""
+    q["toxicity_by_hour"] = with_ctes(*SCORED, ev) + """SELECT date_trunc('hour', ts) AS window_start,
+       date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, toxicity_level, count(*) AS n_events
+FROM ev GROUP BY 1, 2, 3"""
+    q["user_sessions"] = with_ctes("""marked AS (
   SELECT user_id, ts,
          CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
                 OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
@@ -35,17 +28,18 @@ FROM events e JOIN pr ON pr.doc_id = {doc_of}"""
   FROM events)""", """numbered AS (
   SELECT user_id, ts, sum(new_session) OVER (PARTITION BY user_id ORDER BY ts
                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
-  FROM marked)""") + """SELECT user_id, session_start, session_end, n_events FROM (
-  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
-         count(*) AS n_events
-  FROM numbered GROUP BY user_id, sid) WHERE session_end <= (SELECT wm FROM wm)"""
-    q["dedupe_per_minute"] = with_ctes(POSTS, wm, """docs AS (
-  SELECT doc_id, md5(text) AS text_hash FROM posts WHERE text IS NOT NULL)""", f"""ev AS (
-  SELECT e.event_id, e.ts, d.text_hash FROM events e JOIN docs d ON d.doc_id = {doc_of})""") + """SELECT
-       minute_start, text_hash, first_event_id, n_requests FROM (
-  SELECT date_trunc('minute', ts) AS minute_start, text_hash, min(event_id) AS first_event_id,
-         count(*) AS n_requests
-  FROM ev GROUP BY 1, 2) WHERE minute_start + INTERVAL 1 MINUTE <= (SELECT wm FROM wm)"""
+  FROM marked)""") + """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
+       count(*) AS n_events
+FROM numbered GROUP BY user_id, sid"""
+    q["dedupe_per_minute"] = with_ctes(*SCORED, ev) + """SELECT date_trunc('minute', ts) AS minute_start, text_hash,
+       sentiment, toxicity_level, min(event_id) AS first_event_id, count(*) AS n_requests
+FROM ev GROUP BY 1, 2, 3, 4"""
+    q["stream_score_text"] = with_ctes(*MODEL, score_ctes("conversations", ["conv_id", "turn"], name="sp")) + f"""SELECT
+       c.conv_id, c.turn,
+       CASE WHEN s.conv_id IS NULL THEN 'Error' ELSE {RULE_A.replace('p_', 's.p_')} END AS sentiment,
+       CASE WHEN s.conv_id IS NULL THEN 'Error' ELSE {LEVEL.replace('p_', 's.p_')} END AS toxicity_level,
+       s.p_negative, s.p_neutral, s.p_positive
+FROM conversations c LEFT JOIN sp s ON c.conv_id = s.conv_id AND c.turn = s.turn"""
     # the streamed last-n state must end equal to the batch ranking
     q["history_last_n_stream"] = _queries()["history_last_n"]
     return q
