@@ -1,55 +1,79 @@
-"""Batch scoring through Python workers (K2).
+"""Batch scoring in Python workers, in place (K2).
 
-The token lookup and the per-text sums stay native; the model head (priors,
-normalisation, softmax, rounding) runs in numpy over Arrow batches of 32 rows
-through ``predict_batch_udf``, loaded once per Python worker. The result
-equals the native scorer's (same integer sums, same IEEE operations).
+Tokens are made natively; Arrow batches of (keys, token array) go to the
+workers, which look the tokens up in the weights and add them per text. The
+weights come from a Spark broadcast, so only models within the broadcast
+bounds are scored this way. Nothing is shuffled: a text is scored in the task
+that read it. Softmax and rounding are the native expressions of the scorer,
+over the same integer sums, so results equal K1's.
+
+A batch that fails is scored row by row; a row that fails by itself gets null
+sums and is reported as ``Error`` by the callers, the others keep their place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from moodline.functions.scoring import STABLE_DECIMALS
+from moodline.functions import text as T
 from moodline.operators import naive_bayes as nb
+from moodline.operators.joins import fits_broadcast
+
+SUMS = ["s0", "s1", "s2", "n_known"]
+#: (token arrays, vocabulary, weights) -> n x 4 sums and known tokens.
+Scorer = Callable[[pa.ListArray, pa.Array, np.ndarray], np.ndarray]
+
+
+def token_sums(tokens: pa.ListArray, vocabulary: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Per text: the three weight sums over its known tokens, and their number."""
+    at = pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(len(vocabulary)).to_numpy()
+    rows = np.append(weights, np.zeros((1, weights.shape[1]), np.int64), axis=0)[at]
+    running = np.zeros((len(at) + 1, rows.shape[1]), np.int64)
+    np.cumsum(rows, axis=0, out=running[1:])
+    ends = np.cumsum(pc.list_value_length(tokens).fill_null(0).to_numpy())
+    return running[ends] - running[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
+
+
+def sums_in_place(model: nb.NBModel, docs: DataFrame, keys: list[str], text: str = "text",
+                  scorer: Scorer = token_sums) -> DataFrame:
+    """keys..., s0, s1, s2, n_known of every row (n_known 0 without a known
+    token; null sums and n_known where scoring failed)."""
+    sc = docs.sparkSession.sparkContext
+    table = model.weights.select("token", "wq0", "wq1", "wq2").toArrow()
+    weights = np.stack([*(table[f"wq{c}"].to_numpy() for c in range(nb.N_CLASSES)),
+                        np.ones(table.num_rows, np.int64)], axis=1)
+    shared = sc.broadcast((table["token"].combine_chunks(), weights))
+    rows = docs.select(*keys, T.tokens(F.col(text)).alias("_tokens"))
+    fields = [f for f in rows.schema.fields if f.name != "_tokens"]
+    schema = Ty.StructType(fields + [Ty.StructField(c, Ty.LongType()) for c in SUMS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, own = shared.value
+        for batch in batches:
+            tokens = batch.column(batch.num_columns - 1)
+            try:
+                sums = scorer(tokens, vocabulary, own)
+                failed = np.zeros(len(tokens), bool)
+            except Exception:  # one bad text must not fail its batch
+                sums, failed = np.zeros((len(tokens), len(SUMS)), np.int64), np.zeros(len(tokens), bool)
+                for i in range(len(tokens)):
+                    try:
+                        sums[i] = scorer(tokens.slice(i, 1), vocabulary, own)[0]
+                    except Exception:
+                        failed[i] = True
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *(pa.array(sums[:, c], mask=failed) for c in range(len(SUMS)))],
+                [*batch.schema.names[:-1], *SUMS])
+
+    return rows.mapInArrow(run, schema)
+
 
-BATCH_SIZE = 32
-RESULT = Ty.StructType([Ty.StructField(c, Ty.DoubleType()) for c in
-                        ("p_negative", "p_neutral", "p_positive")])
-
-
-def _head(priors, scale):
-    def make_predict_fn():
-        pri = np.asarray(priors, dtype=np.float64)
-
-        def predict(s0, s1, s2, n):
-            norm = np.sqrt(n.astype(np.float64))
-            logits = np.stack([pri[c] + s.astype(np.float64) / scale / norm
-                               for c, s in enumerate((s0, s1, s2))], axis=1)
-            m = logits.max(axis=1, keepdims=True)
-            e = np.exp(logits - m)
-            total = (e[:, 0] + e[:, 1]) + e[:, 2]
-            p = e / total[:, None]
-            return {name: _round_half_up(p[:, i], STABLE_DECIMALS)
-                    for i, name in enumerate(RESULT.fieldNames())}
-        return predict
-    return make_predict_fn
-
-
-def _round_half_up(x: np.ndarray, decimals: int) -> np.ndarray:
-    # Spark's round() is HALF_UP on the shortest decimal form; for values
-    # that are not exact ties numpy's half-even gives the same result.
-    return np.round(x, decimals)
-
-
-def predict_with_udf(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
-                     text: str = "text") -> DataFrame:
-    sums = nb.class_sums(model, docs, key, text)
-    udf = predict_batch_udf(_head(model.priors, float(nb.SCALE)), return_type=RESULT,
-                            batch_size=BATCH_SIZE)
-    r = udf(F.col("s0"), F.col("s1"), F.col("s2"), F.col("n_known"))
-    return sums.select(key, r.alias("r")).select(key, "r.*")
+def can_score_in_place(model: nb.NBModel) -> bool:
+    return fits_broadcast(model.weights, "token", model.vocab_size)

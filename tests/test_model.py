@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from moodline.operators import naive_bayes as nb
 from moodline.operators import scorer as K
-from moodline.operators.batch_predict import predict_with_udf
+from moodline.operators import batch_predict as B
 from moodline.operators.joins import checked_lookup_join, materialize
 from moodline.sources.model_store import ModelStore
 
@@ -81,7 +81,8 @@ def test_probabilities_match_python(model, test_df):
 def test_batch_udf_and_distinct_equal_native(model, test_df):
     native = sorted(tuple(r) for r in K.probabilities(model, test_df).select(
         "doc_id", "p_negative", "p_neutral", "p_positive").collect())
-    udf = sorted(tuple(r) for r in predict_with_udf(model, test_df).collect())
+    udf = sorted(tuple(r) for r in K.probabilities(model, test_df, in_place=True).select(
+        "doc_id", "p_negative", "p_neutral", "p_positive").collect())
     dist = sorted(tuple(r) for r in K.score_distinct(model, test_df).select(
         "doc_id", "p_negative", "p_neutral", "p_positive").collect())
     assert native == udf == dist
@@ -113,57 +114,101 @@ def test_unscorable_rows_get_error(model, spark):
     assert got == {1: "Error", 2: "Error", 3: "Error", 4: "Positive"}
 
 
-def test_hot_cold_lookup_join_equals_plain_join(spark):
-    big = spark.createDataFrame([(i, f"t{i % 7 if i % 3 else 0}") for i in range(200)], "i int, token string")
-    small = materialize(spark.createDataFrame([(f"t{k}", k * 10, 100 - k) for k in range(6)],
-                                              "token string, w int, n_occ long"))
-    for how in ("inner", "left"):
-        want = sorted(tuple(r) for r in big.join(small, "token", how).select("i", "token", "w").collect())
-        got = sorted(tuple(r) for r in checked_lookup_join(big, small, "token", 6, freq_col="n_occ",
-                                                            max_rows=2, how=how)
-                     .select("i", "token", "w").collect())
-        assert got == want
-
-
-def test_frequency_cut_bounds_hot_keys(spark):
-    from moodline.operators.joins import frequency_cut
-    small = spark.createDataFrame([(f"t{k}", f) for k, f in enumerate([9, 7, 7, 5, 5, 5, 1])],
-                                  "token string, n_occ long")
-    assert frequency_cut(small, "n_occ", 1) == 9
-    assert frequency_cut(small, "n_occ", 2) == 9      # a tie at 7 would make 3 keys
-    assert frequency_cut(small, "n_occ", 3) == 7
-    assert frequency_cut(small, "n_occ", 6) == 5
-    assert frequency_cut(small, "n_occ", 100) == 1
-    ties = spark.createDataFrame([(f"t{k}", 4) for k in range(5)], "token string, n_occ long")
-    assert frequency_cut(ties, "n_occ", 3) is None    # no key is hotter than another
-
-
-def test_kth_frequency(spark):
-    from moodline.operators.joins import kth_frequency
-    small = spark.createDataFrame([(f"t{k}", f) for k, f in enumerate([9, 7, 7, 5, 5, 5, 1])],
-                                  "token string, n_occ long")
-    assert [kth_frequency(small, "n_occ", k) for k in range(1, 8)] == [9, 7, 7, 5, 5, 5, 1]
-    assert kth_frequency(small, "n_occ", 8) is None
-
-
-def test_hot_cold_lookup_join_with_ties_equals_plain_join(spark):
-    big = spark.createDataFrame([(i, f"t{i % 9}") for i in range(300)], "i int, token string")
-    small = materialize(spark.createDataFrame([(f"t{k}", k, [5, 5, 3, 3, 3, 1, 1, 1][k]) for k in range(8)],
-                                              "token string, w int, n_occ long"))
-    for bound in (1, 2, 4, 5, 7):
-        for how in ("inner", "left"):
-            want = sorted(tuple(r) for r in big.join(small, "token", how).select("i", "token", "w").collect())
-            got = sorted(tuple(r) for r in checked_lookup_join(big, small, "token", 8, freq_col="n_occ",
-                                                                max_rows=bound, how=how)
-                         .select("i", "token", "w").collect())
-            assert got == want, (bound, how)
-
-
-def test_model_store_versions(model, spark):
-    store = ModelStore.for_session(spark)
+def test_in_place_scorer_keeps_other_rows_when_one_text_fails(model, test_df):
+    def fails_on_hate(tokens, vocabulary, weights):
+        if "hate" in tokens.flatten().to_pylist():
+            raise ValueError("cannot score this text")
+        return B.token_sums(tokens, vocabulary, weights)
+
+    got = {r["doc_id"]: r for r in B.sums_in_place(model, test_df, ["doc_id"], scorer=fails_on_hate).collect()}
+    want = {r["doc_id"]: r for r in B.sums_in_place(model, test_df, ["doc_id"]).collect()}
+    assert got[11]["s0"] is None and got[11]["n_known"] is None
+    assert want[11]["n_known"] == 3
+    assert all(got[i] == want[i] for i in want if i != 11)
+
+
+def test_in_place_scorer_on_null_empty_and_unknown_texts(model, spark):
+    df = spark.createDataFrame([(1, "unknownword"), (2, None), (3, ""), (4, "good")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_known"] for r in B.sums_in_place(model, df, ["doc_id"]).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+    outer = K.probabilities(model, df, outer=True, in_place=True).collect()
+    assert sorted((r["doc_id"], r["n_known"], r["p_negative"] is None) for r in outer) == [
+        (1, 0, True), (2, 0, True), (3, 0, True), (4, 1, False)]
+
+
+@pytest.fixture
+def no_auto_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("bound", [1, 2, 4])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_join_beyond_the_bound_equals_plain_join(spark, no_auto_broadcast, monkeypatch, bound, how):
+    from moodline.operators import joins
+    monkeypatch.setattr(joins.hot_keys, "__defaults__", (3,))  # keys with over a third of the rows are hot
+    big = spark.createDataFrame(
+        [(i, None if i % 10 == 0 else "unseen" if i % 2 else f"t{i % 9}") for i in range(300)], "i int, token string")
+    small = materialize(spark.createDataFrame([(f"t{k}", k) for k in range(8)], "token string, w int"))
+    want = sorted(map(tuple, big.join(small, "token", how).select("i", "token", "w").collect()), key=str)
+    joined = checked_lookup_join(big, small, "token", 8, max_rows=bound, how=how)
+    assert sorted(map(tuple, joined.select("i", "token", "w").collect()), key=str) == want
+
+
+def test_hot_keys_come_from_the_large_side_and_stay_out_of_the_shuffle(spark, no_auto_broadcast):
+    from moodline.operators.joins import hot_keys
+    big = spark.createDataFrame([(i, "unseen" if i % 3 == 0 else f"t{i}") for i in range(900)], "i int, token string")
+    assert [r[0] for r in hot_keys(big, "token", share=100).collect()] == ["unseen"]
+    small = materialize(spark.createDataFrame([(f"t{k}", k) for k in range(0, 900, 7)], "token string, w int"))
+    joined = checked_lookup_join(big, small, "token", 129, max_rows=5, how="left").filter(
+        "token is not null and token <> 'unseen'")
+    assert joined.count() == 600
+    cold = spark.createDataFrame([(r["token"],) for r in big.collect() if r["token"] != "unseen"], "token string")
+    sizes = cold.repartition(4, "token").rdd.glom().map(len).collect()
+    assert max(sizes) < 300  # the hot key's 300 rows would have made the largest partition
+
+
+def test_a_heavy_lookup_side_is_not_broadcast(spark):
+    from moodline.operators.joins import BROADCAST_BYTES_CONF, fits_broadcast
+    small = spark.createDataFrame([("x" * 1000, 1), ("y" * 1000, 2)], "token string, w int")
+    assert fits_broadcast(small, "token", 2)
+    spark.conf.set(BROADCAST_BYTES_CONF, "1500")
+    try:
+        assert not fits_broadcast(small, "token", 2)
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_CONF)
+
+
+def test_model_store_round_trip_and_versions(model, spark, tmp_path, test_df):
+    store = ModelStore(spark, str(tmp_path / "models"))
+    assert store.versions("m") == [] and store.latest().count() == 0
     assert store.register("m", model) == 1
     assert store.register("m", model) == 2
     r = store.latest().first()
     assert (r["name"], r["latest_version"], r["n_versions"], r["vocab_size"]) == ("m", 2, 2, model.vocab_size)
     names = spark.createDataFrame([("m",), ("other",)], "name string")
     assert [x["name"] for x in store.exists(names).collect()] == ["m"]
+    again = ModelStore(spark, str(tmp_path / "models")).load("m")
+    assert again.priors == model.priors and again.vocab_size == model.vocab_size
+    score = lambda m: sorted(map(tuple, K.probabilities(m, test_df).collect()))
+    assert score(again) == score(model)
+    with pytest.raises(LookupError):
+        store.load("m", 7)
+
+
+def test_model_store_never_overwrites(model, spark, tmp_path):
+    import os
+    store = ModelStore(spark, str(tmp_path / "models"))
+    assert store.register("m", model) == 1
+    os.makedirs(tmp_path / "models" / "m" / "version=2")  # another writer, not finished
+    (tmp_path / "models" / "m" / "version=2" / "_claim").touch()
+    assert store.versions("m") == [1]
+    assert store.register("m", model) == 3
+    assert store.versions("m") == [1, 3]
+
+
+def test_store_of_the_session_is_at_a_fixed_place(spark):
+    assert ModelStore.for_session(spark).root == ModelStore.for_session(spark).root

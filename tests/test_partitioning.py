@@ -53,7 +53,7 @@ def test_label_join_of_posts_is_a_counted_broadcast_and_prunes_text(spark):
 TEXT_FREE = ["probabilities", "app_records", "platform_stats", "accuracy", "confusion_matrix",
              "toxicity_histogram", "score_with_errors", "score_distinct", "flagged_posts",
              "batch_loss", "best_model", "vocabulary", "clean_stage_counts", "labelled",
-             "first_n_posts", "history_last_n"]
+             "first_n_posts", "history_last_n", "scored_posts", "score_batch_udf"]
 
 
 def _text_exchanges(df) -> list[str]:
@@ -67,12 +67,27 @@ def _text_exchanges(df) -> list[str]:
 
 def test_no_exchange_carries_text_when_the_scan_is_split(spark, monkeypatch):
     # a cluster reads the documents in many splits: the reader then leaves
-    # them in place, and no scoring or report query may shuffle text
+    # them in place, and no scoring or report query may shuffle text; plans
+    # that are written on the way (training, distinct texts) are looked at too
     import __spark_entry__ as E
+    from moodline.operators import encoding, joins, model_selection, naive_bayes, scorer
+    from moodline.plans import common
     from moodline.sources import tables
     monkeypatch.setattr(tables, "spread", lambda df, key: df)
+    seen = []
+
+    def watched(df):
+        seen.extend(_text_exchanges(df))
+        return joins_materialize(df)
+
+    joins_materialize = joins.materialize
+    for module in (encoding, joins, model_selection, naive_bayes, scorer, common):
+        monkeypatch.setattr(module, "materialize", watched)
+    common._SPLITS.clear()
+    common._MODELS.clear()
     qs = E.queries()
     for name in TEXT_FREE:
         assert _text_exchanges(qs[name](spark, SMALL)) == [], name
-    # the two queries that regroup per text move it exactly once
+        assert seen == [], name
+    # the query that regroups token ids per text moves it exactly once
     assert len(_text_exchanges(qs["encode_posts"](spark, SMALL))) == 1

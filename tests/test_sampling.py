@@ -35,6 +35,19 @@ def test_split_exact_quotas(spark, counts):
     assert out.count() == len(labels) == out.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("counts, want", [
+    ([299_999_999, 1, 4], [60_000_000, 0, 1]), ([10**12, 10**12 - 1, 3], None), ([7 * 10**12, 5, 5], None)])
+def test_quotas_of_huge_classes_are_exact(spark, counts, want):
+    table = spark.createDataFrame(list(enumerate(counts)), "label int, n_class long")
+    got = {r["label"]: r["quota"] for r in SM.quotas_of_counts(table, "label", 0.2).collect()}
+    total, n = (sum(counts) * 200_000 + 999_999) // 1_000_000, sum(counts)
+    base = [c * total // n for c in counts]
+    rest = sorted(range(len(counts)), key=lambda i: (-(counts[i] * total % n), i))
+    for i in rest[:total - sum(base)]:
+        base[i] += 1
+    assert [got[i] for i in range(len(counts))] == base and want in (None, base)
+
+
 def test_split_is_first_rows_in_order_key(spark):
     labels = [0] * 40 + [1] * 25
     out = SM.stratified_split(_labels(spark, labels), "doc_id", "label", 0.2).withColumn(

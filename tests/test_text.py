@@ -46,6 +46,15 @@ def test_strip_is_python_strip(spark):
     assert _apply(spark, vals, T.py_strip) == [None if v is None else v.strip() for v in vals]
 
 
+def test_strip_is_linear_in_inner_blanks(spark):
+    import time
+    df = spark.createDataFrame([("a" + " " * 1_000_000 + "b  ",)], "t string")
+    df.select(T.py_strip(F.col("t"))).collect()
+    t = time.time()
+    out = df.select(T.py_strip(F.col("t"))).first()[0]
+    assert len(out) == 1_000_002 and time.time() - t < 1
+
+
 def test_has_mention_null_is_false(spark):
     assert _apply(spark, ["a@b", "@", "none", None], T.has_mention) == [True, True, False, False]
 
