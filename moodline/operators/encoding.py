@@ -7,11 +7,17 @@ the final aggregation are (text, chunk) and hold at most 126 elements.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from moodline.functions import text as T
-from moodline.operators.joins import checked_lookup_join, materialize
+from moodline.operators.joins import checked_lookup_join, fits_broadcast, materialize
 
 # Sequence length and reserved ids.
 MAX_LENGTH = 128
@@ -49,20 +55,66 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int | None = None) ->
 
 
 def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, chunk, n_tokens (whole text), input_ids, attention_mask."""
+    """key, chunk, n_tokens (whole text), input_ids, attention_mask; no row for
+    a text without tokens. Ids are looked up where the text was read if the
+    vocabulary is within the broadcast bounds, else by a join."""
+    lookup = materialize(vocab.select("token", "token_id"))
+    n_tokens = lookup.count()
     toks = docs.select(key, T.tokens(F.col(text)).alias("_toks"))
+    if fits_broadcast(lookup, "token", n_tokens):
+        return _encode_in_place(toks, lookup, key)
+    # the text moves once, so that the token rows of a text need not
+    toks = docs.repartition(key).select(key, T.tokens(F.col(text)).alias("_toks"))
     # n_tokens (of the whole text) rides along as a group key: no join back
     occ = toks.select(key, F.size("_toks").alias("n_tokens"),
                       F.posexplode("_toks").alias("pos", "token"))
-    lookup = materialize(vocab.select("token", "token_id"))
-    ids = checked_lookup_join(occ, lookup, "token", lookup.count(), how="left").select(
-        key, "n_tokens", "pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).alias("token_id"))
+    ids = checked_lookup_join(occ, lookup, "token", n_tokens, how="left").select(
+        key, "n_tokens", "pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).cast("long").alias("token_id"))
     chunks = ids.groupBy(key, "n_tokens", F.floor(F.col("pos") / CHUNK_TOKENS).alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_pairs"))
     body = F.transform(F.col("_pairs"), lambda s: s["token_id"])
-    seq = F.concat(F.array(F.lit(START_ID)), body, F.array(F.lit(END_ID)))
+    seq = F.concat(F.array(F.lit(START_ID).cast("long")), body, F.array(F.lit(END_ID).cast("long")))
     n = F.size(seq)
     return chunks.select(key, "chunk", "n_tokens",
-                         F.concat(seq, F.array_repeat(F.lit(PAD_ID), MAX_LENGTH - n)).alias("input_ids"),
+                         F.concat(seq, F.array_repeat(F.lit(PAD_ID).cast("long"), MAX_LENGTH - n)).alias("input_ids"),
                          F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), MAX_LENGTH - n))
                          .alias("attention_mask"))
+
+
+def _encode_in_place(toks: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """The chunks of each token array, made in Arrow batches without a shuffle."""
+    table = lookup.toArrow()
+    shared = toks.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].to_numpy()))
+    key_type = toks.schema[key].dataType
+    schema = Ty.StructType([Ty.StructField(key, key_type), Ty.StructField("chunk", Ty.LongType()),
+                            Ty.StructField("n_tokens", Ty.IntegerType()),
+                            Ty.StructField("input_ids", Ty.ArrayType(Ty.LongType())),
+                            Ty.StructField("attention_mask", Ty.ArrayType(Ty.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, token_ids = shared.value
+        known = np.append(token_ids, UNKNOWN_ID)
+        for batch in batches:
+            tokens = batch.column(1)
+            flat = known[pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(len(vocabulary)).to_numpy()]
+            size = pc.list_value_length(tokens).fill_null(0).to_numpy()
+            first = np.cumsum(size) - size
+            parts = -(-size // CHUNK_TOKENS)
+            owner = np.repeat(np.arange(len(size)), parts)
+            chunk = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+            n = np.minimum(CHUNK_TOKENS, size[owner] - chunk * CHUNK_TOKENS)
+            place = np.arange(CHUNK_TOKENS)
+            inside = place < n[:, None]
+            ids = np.full((len(owner), MAX_LENGTH), PAD_ID, np.int64)
+            ids[:, 0] = START_ID
+            ids[:, 1:-1][inside] = flat[((first[owner] + chunk * CHUNK_TOKENS)[:, None] + place)[inside]]
+            ids[np.arange(len(owner)), n + 1] = END_ID
+            mask = (np.arange(MAX_LENGTH) < (n + 2)[:, None]).astype(np.int32)
+            edges = pa.array(np.arange(len(owner) + 1, dtype=np.int32) * MAX_LENGTH)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner)), pa.array(chunk.astype(np.int64)),
+                 pa.array(size[owner].astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array(ids.ravel())),
+                 pa.ListArray.from_arrays(edges, pa.array(mask.ravel()))],
+                [key, "chunk", "n_tokens", "input_ids", "attention_mask"])
+
+    return toks.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ def test_entry_runs(spark):
 
 
 BEYOND_BOUND = ["probabilities", "score_distinct", "platform_stats", "accuracy", "scored_posts",
-                "stream_scored", "clean_stage_counts"]
+                "stream_scored", "clean_stage_counts", "encode_posts", "score_batch_udf", "dedupe_per_minute"]
 
 
 @pytest.mark.parametrize("name", BEYOND_BOUND)

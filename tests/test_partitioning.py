@@ -53,7 +53,7 @@ def test_label_join_of_posts_is_a_counted_broadcast_and_prunes_text(spark):
 TEXT_FREE = ["probabilities", "app_records", "platform_stats", "accuracy", "confusion_matrix",
              "toxicity_histogram", "score_with_errors", "score_distinct", "flagged_posts",
              "batch_loss", "best_model", "vocabulary", "clean_stage_counts", "labelled",
-             "first_n_posts", "history_last_n", "scored_posts", "score_batch_udf"]
+             "first_n_posts", "history_last_n", "scored_posts", "score_batch_udf", "encode_posts"]
 
 
 def _text_exchanges(df) -> list[str]:
@@ -89,5 +89,3 @@ def test_no_exchange_carries_text_when_the_scan_is_split(spark, monkeypatch):
     for name in TEXT_FREE:
         assert _text_exchanges(qs[name](spark, SMALL)) == [], name
         assert seen == [], name
-    # the query that regroups token ids per text moves it exactly once
-    assert len(_text_exchanges(qs["encode_posts"](spark, SMALL))) == 1
