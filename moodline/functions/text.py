@@ -6,7 +6,7 @@ classes below reproduce Python's over all code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Python's Unicode \w and str.isspace() as Java regex classes.
@@ -61,6 +61,15 @@ def percent_text(p: Column) -> Column:
     return F.concat(F.format_number(p * 100, 1), F.lit("%"))
 
 
+def token_rows(df: DataFrame, *keep: str | Column, text: str = "text") -> DataFrame:
+    """``keep`` columns and ``token``, one row per token; texts without tokens
+    have none. An outer explode and a filter behind it: for an inner one the
+    optimizer adds a size check of the token array, which it pushes down, so
+    that the regex would run twice."""
+    rows = df.select(*keep, F.explode_outer(tokens(F.col(text))).alias("token"))
+    return rows.filter(F.col("token").isNotNull())
+
+
 def tokens(c: Column) -> Column:
     """Word runs of the lower-cased text, in order, whole text."""
     return F.regexp_extract_all(F.lower(c), F.lit(WORD + "+"), 0)

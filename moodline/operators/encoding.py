@@ -38,8 +38,7 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int | None = None) ->
     per (frequency, hash range) give the first id of each range, and tokens
     are ranked inside one range of one frequency, 1/65536 of the largest class.
     """
-    counts = materialize(docs.select(F.explode(T.tokens(F.col(text))).alias("token"))
-                         .groupBy("token").agg(F.count(F.lit(1)).alias("n_occ")))
+    counts = materialize(T.token_rows(docs, text=text).groupBy("token").agg(F.count(F.lit(1)).alias("n_occ")))
     keyed = counts.withColumn("_md5", F.md5("token")).withColumn(
         "_range", F.conv(F.substring("_md5", 1, RANK_BITS // 4), 16, 10).cast("int"))
     ranges = materialize(keyed.groupBy("n_occ", "_range").agg(F.count(F.lit(1)).alias("_n")))
@@ -67,7 +66,7 @@ def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "
     toks = docs.repartition(key).select(key, T.tokens(F.col(text)).alias("_toks"))
     # n_tokens (of the whole text) rides along as a group key: no join back
     occ = toks.select(key, F.size("_toks").alias("n_tokens"),
-                      F.posexplode("_toks").alias("pos", "token"))
+                      F.posexplode_outer("_toks").alias("pos", "token")).filter(F.col("token").isNotNull())
     ids = checked_lookup_join(occ, lookup, "token", n_tokens, how="left").select(
         key, "n_tokens", "pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).cast("long").alias("token_id"))
     chunks = ids.groupBy(key, "n_tokens", F.floor(F.col("pos") / CHUNK_TOKENS).alias("chunk")).agg(

@@ -53,7 +53,7 @@ class NBModel:
 
 
 def token_class_counts(train: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
-    occ = train.select(F.col(label).alias("_y"), F.explode(T.tokens(F.col(text))).alias("token"))
+    occ = T.token_rows(train, F.col(label).alias("_y"), text=text)
     return occ.groupBy("token").agg(
         *[F.count_if(F.col("_y") == c).alias(f"n{c}") for c in range(N_CLASSES)],
         F.count(F.lit(1)).alias("n_occ"))
@@ -101,8 +101,8 @@ def class_sums(model: NBModel, docs: DataFrame, key="doc_id", text: str = "text"
     null / empty text) get n_known = 0 and null sums.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    gen = F.explode_outer if outer else F.explode
-    occ = docs.select(*keys, gen(T.tokens(F.col(text))).alias("token"))
+    occ = (docs.select(*keys, F.explode_outer(T.tokens(F.col(text))).alias("token")) if outer
+           else T.token_rows(docs, *keys, text=text))
     w = model.weights.select("token", "wq0", "wq1", "wq2", "n_occ")
     joined = checked_lookup_join(occ, w, "token", model.vocab_size,
                                  how="left" if outer else "inner")

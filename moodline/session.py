@@ -27,31 +27,6 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
 }
 
-# Optimizer rule left out by ``tune``: for every inner explode it adds
-# ``size(array) > 0 AND isnotnull(array)`` below the generator, which is then
-# pushed down past the keyed shuffle, so the clean-up and tokenizer regexes
-# ran before the shuffle and again after it. An inner explode drops empty
-# arrays by itself, so results are unchanged.
-SKIPPED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
-# Runtime settings applied by ``tune``: session windows merge the sessions of
-# a key inside each partition before the shuffle (a partial aggregate for a
-# very active user).
-RUNTIME_CONF = {
-    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-}
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the jobs are planned for to any
-    session (also one built by someone else); other excluded rules stay."""
-    key = "spark.sql.optimizer.excludedRules"
-    current = [r for r in (spark.conf.get(key, "") or "").split(",") if r]
-    if SKIPPED_RULE not in current:
-        spark.conf.set(key, ",".join(current + [SKIPPED_RULE]))
-    for k, v in RUNTIME_CONF.items():
-        spark.conf.set(k, v)
-    return spark
-
 
 def build_session(master: str | None = None, app: str = "moodline",
                   shuffle_partitions: int | None = None,
@@ -68,7 +43,7 @@ def build_session(master: str | None = None, app: str = "moodline",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    return tune(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

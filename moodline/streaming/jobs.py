@@ -37,6 +37,7 @@ SESSION_GAP = "30 minutes"
 DEDUPE_WINDOW = "1 minute"
 HISTORY_N = 5
 FEED_BATCHES = 4
+MERGE_CONF = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 MAX_FILES_CONF = "moodline.stream.maxFilesPerTrigger"
 #: Sentiment and band of an event whose post cannot be scored.
 ERROR = "Error"
@@ -187,7 +188,14 @@ def user_sessions(spark: SparkSession, sf_dir: str, name: str | None = None) ->
         return [F.col(user).alias("user_id"), F.col(f"{s}.start").cast("timestamp_ntz").alias("session_start"),
                 F.col(f"{s}.end").cast("timestamp_ntz").alias("session_end"), F.col(n).alias("n_events")]
 
-    closed, base = run_to_parquet(agg.select(*shape("s", "user_id", "n_events")), "user_sessions", name)
+    # sessions of a key are merged inside each task before the shuffle (a
+    # partial aggregate for a very active user); the caller's setting returns
+    before = spark.conf.get(MERGE_CONF, "false")
+    spark.conf.set(MERGE_CONF, "true")
+    try:
+        closed, base = run_to_parquet(agg.select(*shape("s", "user_id", "n_events")), "user_sessions", name)
+    finally:
+        spark.conf.set(MERGE_CONF, before)
     return with_open_windows(closed, base, shape("value.session_window", "key.user_id", "value.count"))
 
 
