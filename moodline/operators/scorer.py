@@ -145,7 +145,8 @@ def score_distinct(model: nb.NBModel, docs: DataFrame, key: str = "doc_id",
         n_copies = copies.count()
         uniq = (rows.join(F.broadcast(copies), key, "left_anti") if n_copies <= bound
                 else rows.join(rep_keys, key, "left_semi"))
-    per_text = probabilities(model, uniq.select(F.sha2(F.col(text), 256).alias("_th"), text), "_th", text)
+    per_text = probabilities(model, uniq.select(F.sha2(F.col(text), 256).alias("_th"), text), "_th", text,
+                             in_place=True)
     per_text = per_text.select("_th", *PROB_COLS)
     if n_reps <= bound:
         # at most n_reps scored texts: the join back is a broadcast

@@ -30,14 +30,16 @@ WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": ""
                  "quoteAll": "false"}
 
 
-def read_posts_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_posts_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
+                   line_breaks: bool = True) -> DataFrame:
     """All columns as strings (no inference pass over the data); pandas'
-    missing markers become null."""
+    missing markers become null. With ``line_breaks`` a field may hold line
+    breaks, and each file is one task; without, files are split."""
+    options = READ_OPTIONS | {"multiLine": str(line_breaks).lower()}
     if columns is None:
-        header = spark.read.options(**READ_OPTIONS).csv(path).columns
-        columns = header
+        columns = spark.read.options(**options).csv(path).columns
     schema = Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in columns])
-    df = spark.read.options(**READ_OPTIONS).schema(schema).csv(path)
+    df = spark.read.options(**options).schema(schema).csv(path)
     return df.select(*[F.when(F.col(c).isin(PANDAS_NA_VALUES), F.lit(None).cast("string"))
                        .otherwise(F.col(c)).alias(c) for c in columns])
 

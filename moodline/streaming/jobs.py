@@ -77,6 +77,8 @@ def run_to_parquet(df: DataFrame, kind: str, name: str | None = None) -> tuple[D
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    while _KEPT:
+        _KEPT.pop().unpersist()
     return spark.read.schema(df.schema).parquet(f"{base}/out"), base
 
 
@@ -112,6 +114,8 @@ def read_log(spark: SparkSession, log: str, schema: Ty.StructType) -> DataFrame:
 
 
 _STATIC: dict[tuple, tuple[DataFrame, int, int]] = {}
+#: Static sides kept for the job that is running.
+_KEPT: list[DataFrame] = []
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
@@ -141,7 +145,8 @@ def _join_static(ev: DataFrame, static: DataFrame, n_static: int) -> DataFrame:
     micro-batch shuffles only its own events to it."""
     if n_static <= broadcast_bound(ev.sparkSession):
         return ev.join(F.broadcast(static), "doc_id", "left")
-    return ev.join(static.repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK), "doc_id", "left")
+    _KEPT.append(static.repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK))
+    return ev.join(_KEPT[-1], "doc_id", "left")
 
 
 def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
