@@ -13,8 +13,9 @@ apart:
    A piece that equals another one is repeated as a whole, by its 128-bit key.
 3. What is left are the rims of repeated passages: different pieces with equal
    grams. Their bytes are fetched; buckets of equal grams are put together to
-   chunks of about a megabyte, each sorted with the two-stage suffix sort, and
-   common prefixes of neighbours tell which windows are repeated.
+   chunks of about a megabyte. Windows whose surroundings differ from all
+   others of the bucket are left out, the rest is sorted with the two-stage
+   suffix sort, and common prefixes of neighbours tell which are repeated.
    A bucket of more than ``HOT_PIECES`` different pieces is first split by the
    bytes around its gram: the range of window offsets is halved, and each half
    is keyed by all bytes its windows share, until the buckets are small or a
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ LENGTH = 200
 GRAM = 32
 #: Grams of a window, which is also the number of offsets an anchor can have.
 OFFSETS = LENGTH - GRAM + 1
-HOT_PIECES = 4000
+HOT_PIECES = 1000
 CHUNK_BYTES = 1 << 20
+#: Offset ranges are not halved below this when windows are left out.
+LEAF_OFFSETS = 16
 #: Window starts that are looked at together in a long text.
 BLOCK = 1 << 21
 #: Size of the filters that keep text of documents without a hit in place.
@@ -162,6 +166,42 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(n.astype(np.int32))], names)
 
 
+def candidate_windows(rows: list[dict]) -> list[list[tuple[int, int]]]:
+    """For each piece of a bucket the runs (first, end) of windows that may be
+    repeated: offset ranges are halved while at least two pieces, one of them
+    open, agree on all bytes that the windows of a half share."""
+    ranges: list[list[tuple[int, int]]] = [[] for _ in rows]
+
+    def halve(items: list[int], lo: int, hi: int) -> None:
+        if hi - lo <= LEAF_OFFSETS:
+            for i in items:
+                ranges[i].append((lo, hi))
+            return
+        mid = (lo + hi) // 2
+        for a, b in ((mid, hi), (lo, mid)):
+            groups: dict[bytes, list[int]] = {}
+            for i in items:
+                r = rows[i]
+                if a <= r["offset"] and r["offset"] - r["windows"] + 1 < b:
+                    groups.setdefault(r["raw"][r["offset"] - a:r["offset"] - b + 1 + LENGTH], []).append(i)
+            for same in groups.values():
+                if len(same) > 1 and any(rows[i]["open"] for i in same):
+                    halve(same, a, b)
+
+    halve(list(range(len(rows))), rows[0]["lo"], rows[0]["hi"])
+    out = []
+    for r, found in zip(rows, ranges, strict=True):
+        runs: list[tuple[int, int]] = []
+        for lo, hi in found:  # falling offsets are rising windows
+            first, end = max(0, r["offset"] - hi + 1), min(r["windows"], r["offset"] - lo + 1)
+            if runs and runs[-1][1] == first:
+                runs[-1] = (runs[-1][0], end)
+            elif first < end:
+                runs.append((first, end))
+        out.append(runs)
+    return out
+
+
 _SPANS = "id long, h long, start long, end long"
 
 
@@ -172,13 +212,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle(rows: list[dict]) -> pa.RecordBatch:
         found: list[list] = [[], [], [], []]
-        for row, starts in zip(rows, repeated_starts([r["raw"] for r in rows], LENGTH), strict=True):
+        parts: list[tuple[dict, int, bytes]] = []
+        for _, bucket in groupby(rows, key=lambda r: r["key"]):
+            own = list(bucket)
+            parts += [(r, first, r["raw"][first:end - 1 + LENGTH])
+                      for r, runs in zip(own, candidate_windows(own), strict=True) for first, end in runs]
+        for (row, first, _), starts in zip(parts, repeated_starts([p[2] for p in parts], LENGTH), strict=True):
             if row["open"] and len(starts):
                 start, end = merged(starts, starts + LENGTH)
                 found[0] += [row["id"]] * len(start)
                 found[1] += [row["h"]] * len(start)
-                found[2] += (start + row["pos"]).tolist()
-                found[3] += (end + row["pos"]).tolist()
+                found[2] += (start + row["pos"] + first).tolist()
+                found[3] += (end + row["pos"] + first).tolist()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["id", "h", "start", "end"])
 
     for batch in batches:
@@ -283,7 +328,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.lit(0).alias("lo"), F.lit(OFFSETS).alias("hi"), F.shiftright(place, 8).bitwiseAND(255).cast("int").alias("offset"),
         count.alias("windows"), F.substring("_b", (pos + 1).cast("int"), count - 1 + LENGTH).alias("raw")))
     small, spans = _split_hot(rows)
-    compared = (small.select("key", "id", "h", "pos", "open", "raw").repartition("key")
+    compared = (small.select("key", "id", "h", "pos", "open", "lo", "hi", "offset", "windows", "raw").repartition("key")
                 .sortWithinPartitions("key").mapInArrow(_compare, _SPANS))
     every = reduce(DataFrame.unionByName, [settled, whole, *spans, compared])
     return every.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
