@@ -185,7 +185,7 @@ def keep_language(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
         import pandas as pd
         out: list[bool] = []
         for start in range(0, len(texts), 256):
-            part = [None if t is None else t for t in texts.iloc[start:start + 256]]
+            part = [t if isinstance(t, str) else None for t in texts.iloc[start:start + 256]]
             lang, score = model.predict(part)
             out += [lg != UNDETERMINED and s >= min_score for lg, s in zip(lang, score, strict=True)]
         return pd.Series(out)
