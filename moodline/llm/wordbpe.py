@@ -10,7 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO_PARTS = 400_000
+#: Bound of the memo, two generations of half as many parts (and one text's).
+MEMO_PARTS = 800_000
 #: Texts of ASCII (no apostrophe, no control character but white space) and
 #: precomposed Latin letters: there the tokenizer's own split is a letter run,
 #: one digit or a run of other characters, and lower-casing keeps the text NFC.
@@ -26,29 +27,36 @@ class WordBpe:
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._memo: dict = {}
+        self._old: dict = {}
         self._ends_word = np.zeros(self.size, bool)
         for token, i in self.lib.get_vocab(with_added_tokens=True).items():
             self._ends_word[i] = token.endswith("</w>")
 
     def _fill(self, parts: set) -> None:
-        if len(self._memo) + len(parts) > MEMO_PARTS:
-            self._memo.clear()
-        words = [p for p in parts if isinstance(p, str)]
+        """Put ``parts`` into the memo, from the generation before or anew."""
+        words, chunks = [], []
+        for p in parts:
+            known = self._old.get(p)
+            if known is not None:
+                self._memo[p] = known
+            else:
+                (words if isinstance(p, str) else chunks).append(p)
         for at in range(0, len(words), 2048):
             some = words[at:at + 2048]
             # plain parts are one pre-token each: encoded as one text, they end
             # where a token has the end-of-word mark
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self._ids([" ".join(some)])[0], self.dtype)
             stops = np.flatnonzero(self._ends_word[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("the tokenizer does not keep plain words apart")
             starts = np.concatenate([[0], stops[:-1]])
             self._memo.update((w, ids[i:j].tobytes()) for w, i, j in
                               zip(some, starts.tolist(), stops.tolist(), strict=True))
-        chunks = [p for p in parts if isinstance(p, bytes)]
-        for part, enc in zip(chunks, self.lib.encode_batch([c.decode() for c in chunks], add_special_tokens=False),
-                             strict=True):
-            self._memo[part] = np.array(enc.ids, self.dtype).tobytes()
+        for part, ids in zip(chunks, self._ids([c.decode() for c in chunks]), strict=True):
+            self._memo[part] = np.array(ids, self.dtype).tobytes()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of ``text`` as little-endian integers of ``dtype``."""
@@ -59,12 +67,11 @@ class WordBpe:
         else:
             # white space always separates; bytes.split() splits on ASCII's
             parts = text.encode().split()
-        memo = self._memo
-        missing = {p for p in parts if p not in memo}
+        if len(self._memo) > MEMO_PARTS // 2:
+            self._old, self._memo = self._memo, {}
+        missing = set(parts).difference(self._memo)
         if missing:
             self._fill(missing)
-            if not all(p in self._memo for p in parts):  # the memo was emptied meanwhile
-                self._fill(set(parts))
         return b"".join(map(self._memo.__getitem__, parts))
 
 

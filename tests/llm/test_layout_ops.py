@@ -79,6 +79,16 @@ def test_memo_tokenizer_equals_the_library():
         assert np.frombuffer(model.encode(text), model.dtype).tolist() == ids, repr(text)
 
 
+def test_small_memo_changes_nothing(monkeypatch):
+    monkeypatch.setattr(wordbpe, "MEMO_PARTS", 40)
+    model = wordbpe.WordBpe(WORDS)
+    rng = random.Random(5)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abcé!") for _ in range(rng.randint(1, 4))) for _ in range(60))
+        ids = model.lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(model.encode(text), model.dtype).tolist() == ids
+
+
 def check_packed(rows, docs, window=4096):
     """Every id in exactly one piece, sequences gapless and hardly padded."""
     model = wordbpe.load(WORDS)

@@ -134,6 +134,17 @@ def test_pieces_equal_the_library_on_random_strings(library):
         assert model.decode(ids) == library.decode(ids), repr(text)
 
 
+def test_small_memos_change_nothing(library, monkeypatch):
+    from moodline.llm import pieces
+    monkeypatch.setattr(pieces, "MEMO_PARTS", 20)
+    monkeypatch.setattr(pieces, "MEMO_PAIRS", 20)
+    model = PieceModel(PIECES)
+    rng = random.Random(7)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abcé!1") for _ in range(rng.randint(1, 5))) for _ in range(40))
+        assert model.encode(text) == library.encode(text)
+
+
 def test_prefix_table_equals_plain_merging():
     model = PieceModel(PIECES)
     rng = random.Random(6)
