@@ -20,8 +20,8 @@ from moodline.functions.text import WORD
 from moodline.operators.joins import materialize
 
 
-NUM_FEATURES = 1 << 18
-MAX_ITER = 50
+NUM_FEATURES = 1 << 16
+MAX_ITER = 20
 REGS = (0.1, 0.01, 0.001)
 #: Share of the train part, by key hash, on which candidates are judged.
 VALIDATION = 0.25
@@ -43,6 +43,9 @@ def choose_and_predict(train: DataFrame, test: DataFrame, regs: tuple[float, ...
     fitted = features.fit(rows.filter(~F.col("_judge")))
     # tokenized once for all candidates
     ready = materialize(fitted.transform(rows).select("features", "label", "_judge"))
+    # a small written table is one split: the fit uses all cores all the same
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    ready = ready if ready.rdd.getNumPartitions() >= cores else ready.repartition(cores)
     fit, judge = ready.filter(~F.col("_judge")), ready.filter("_judge")
     models = [LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter,
                                  regParam=r).fit(fit) for r in regs]
