@@ -12,11 +12,14 @@ import numpy as np
 
 #: Bound of the memo, two generations of half as many parts (and one text's).
 MEMO_PARTS = 800_000
+_PLAIN_PARTS = re.compile(r"[a-zß-öø-ɏ]+|[0-9]|[!-/:-`{-~]+")
 #: Texts of ASCII (no apostrophe, no control character but white space) and
 #: precomposed Latin letters: there the tokenizer's own split is a letter run,
 #: one digit or a run of other characters, and lower-casing keeps the text NFC.
-_PLAIN = re.compile(r"[\t\n\x0b\x0c\r -&(-~À-ÖØ-öø-įı-ɏ]*")
-_PLAIN_PARTS = re.compile(r"[a-zß-öø-ɏ]+|[0-9]|[!-/:-`{-~]+")
+#: Capitals whose small letter lies outside the parts (U+018F -> U+0259) are
+#: left to the library.
+_LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if _PLAIN_PARTS.fullmatch(c.lower()))
+_PLAIN = re.compile(rf"[\t\n\x0b\x0c\r -&(-~{_LATIN}]*")
 
 
 class WordBpe:

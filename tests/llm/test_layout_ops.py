@@ -79,6 +79,14 @@ def test_memo_tokenizer_equals_the_library():
         assert np.frombuffer(model.encode(text), model.dtype).tolist() == ids, repr(text)
 
 
+def test_every_latin_letter_equals_the_library():
+    model = wordbpe.WordBpe(WORDS)
+    for c in map(chr, range(0x250)):
+        for text in (c, f"A{c}B", f"{c}x {c}", f"1{c}{c}.", f"The {c.upper()}{c.lower()} é"):
+            ids = model.lib.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(model.encode(text), model.dtype).tolist() == ids, repr(text)
+
+
 def test_small_memo_changes_nothing(monkeypatch):
     monkeypatch.setattr(wordbpe, "MEMO_PARTS", 40)
     model = wordbpe.WordBpe(WORDS)
