@@ -27,11 +27,14 @@ SLOT_ROWS = 50_000
 
 @dataclass(frozen=True)
 class Span:
-    """Hash range [start, start + 2**bits) with its bytes; ``single``: one group."""
+    """Groups that share all but the last ``bits`` bits of their hash, the
+    smallest of which is ``start``, with their bytes; ``single``: one group.
+    Large groups part a range: ``seg`` of those in its first range lie before."""
     start: int
     bits: int
     size: int
     single: bool
+    seg: int = 0
 
 
 def greedy_cuts(sizes: list[int], shards: int, capacity: int) -> list[int] | None:
@@ -62,10 +65,9 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
-def _reach(spans: list[Span], capacity: int, shards: int, divisible: bool) -> list[int]:
-    """For each shard, the index of the span in which its greedy fill ends.
-    ``divisible``: spans of several groups may be cut anywhere, which no real
-    cut surpasses; otherwise they are atomic, which no real cut falls short of."""
+def _reach(spans: list[Span], capacity: int, shards: int) -> list[int]:
+    """For each shard, the index of the span in which its greedy fill ends if
+    spans of several groups may be cut anywhere, which no real cut surpasses."""
     out, i, left = [], 0, None
     for _ in range(shards):
         room = capacity
@@ -74,41 +76,71 @@ def _reach(spans: list[Span], capacity: int, shards: int, divisible: bool) -> li
             if need <= room:
                 room, i, left = room - need, i + 1, None
             else:
-                if divisible and not spans[i].single:
+                if not spans[i].single:
                     left = need - room
                 break
         out.append(i)
     return out
 
 
+def _least_capacity(spans: list[Span], shards: int) -> int:
+    """Smallest capacity with which that fill takes all spans; the exact one
+    is not smaller."""
+    low, high = max([-(-sum(s.size for s in spans) // shards), *(s.size for s in spans if s.single)]), \
+        sum(s.size for s in spans)
+    while low < high:
+        mid = (low + high) // 2
+        if _reach(spans, mid, shards)[-1] < len(spans):
+            low = mid + 1
+        else:
+            high = mid
+    return low
+
+
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     """First hash of each shard after the first, and the capacity. ``groups``:
     _u (the order key, a signed 64-bit hash) and _bytes, one row per group."""
+    spark = groups.sparkSession
+    total = groups.agg(F.sum("_bytes")).first()[0]
+    if total is None:
+        return [], 0
+    first = 64 - FIRST_BITS
+    large = groups.filter(F.col("_bytes") > total >> FIRST_BITS).select("_u", "_bytes").collect()
+    spans = [Span(r["_u"], 0, r["_bytes"], True) for r in large]
+    inside: dict[int, list[int]] = {}
+    for r in large:
+        inside.setdefault(r["_u"] >> first, []).append(r["_u"])
+    rest = groups.withColumn("_seg", F.lit(0))
+    if large:
+        by_range = spark.createDataFrame(list(inside.items()), "_first long, _large array<long>")
+        rest = (groups.withColumn("_first", F.shiftright("_u", first)).join(F.broadcast(by_range), "_first", "left")
+                .filter(F.col("_large").isNull() | ~F.array_contains("_large", F.col("_u")))
+                .withColumn("_seg", F.coalesce(F.size(F.filter("_large", lambda h: h < F.col("_u"))), F.lit(0))))
+        # the size of a null array is -1 or null, by the caller's settings
+        rest = rest.withColumn("_seg", F.greatest("_seg", F.lit(0))).select("_u", "_bytes", "_seg")
+
     def histogram(frame: DataFrame, bits: int) -> list[Span]:
-        rows = (frame.groupBy(F.shiftright("_u", bits).alias("_s"))
+        rows = (frame.groupBy(F.shiftright("_u", bits).alias("_s"), "_seg")
                 .agg(F.sum("_bytes").alias("size"), F.count(F.lit(1)).alias("n"), F.min("_u").alias("u")).collect())
         # a single group is its own range of width one
-        return [Span(r["u"], 0, r["size"], True) if r["n"] == 1 else
-                Span(r["_s"] << bits, bits, r["size"], False) for r in rows]
+        return [Span(r["u"], 0 if r["n"] == 1 else bits, r["size"], r["n"] == 1, r["_seg"]) for r in rows]
 
-    spans = sorted(histogram(groups, 64 - FIRST_BITS), key=lambda s: s.start)
-    if not spans:
-        return [], 0
+    spans = sorted(spans + histogram(rest, first), key=lambda s: s.start)
     while True:
-        # between these two capacities lies the exact one
-        high = smallest_capacity([s.size for s in spans], shards)
-        low = max([-(-sum(s.size for s in spans) // shards), *(s.size for s in spans if s.single)])
-        play: set[int] = set()
-        for near, far in zip(_reach(spans, low, shards, False), _reach(spans, high, shards, True), strict=True):
-            play |= set(range(near, min(far, len(spans) - 1) + 1))
-        split = {i for i in play if not spans[i].single}
+        # if this fill cuts no span of several groups, it is the groups' own
+        # greedy fill, and its capacity is the exact one
+        capacity = _least_capacity(spans, shards)
+        ends = {i for i in _reach(spans, capacity, shards) if i < len(spans)}
+        split = {i for i in ends if not spans[i].single}
         if not split:
-            cuts = greedy_cuts([s.size for s in spans], shards, high) or []
-            return [spans[i].start for i in cuts], high
+            return [spans[i].start for i in greedy_cuts([s.size for s in spans], shards, capacity) or []], capacity
         widest = max(spans[i].bits for i in split)
         wide = {i for i in split if spans[i].bits == widest}
-        inside = F.shiftright("_u", widest).isin([spans[i].start >> widest for i in sorted(wide)])
-        finer = histogram(groups.filter(inside), max(0, widest - NEXT_BITS))
+        named = spark.createDataFrame([(spans[i].start >> widest, spans[i].seg) for i in sorted(wide)],
+                                      "_s long, _seg int")
+        split_rows = rest.withColumn("_s", F.shiftright("_u", widest)).join(F.broadcast(named), ["_s", "_seg"],
+                                                                            "left_semi")
+        finer = histogram(split_rows, max(0, widest - NEXT_BITS))
         spans = sorted([s for i, s in enumerate(spans) if i not in wide] + finer, key=lambda s: s.start)
 
 

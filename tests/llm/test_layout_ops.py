@@ -64,6 +64,27 @@ def test_cuts_equal_those_over_all_groups(spark, monkeypatch, hot):
                r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in got)
 
 
+@pytest.mark.parametrize("large", [[], [10_000_000], [3_600_000, 3_500_000, 200_000]])
+def test_driver_sees_few_groups(spark, monkeypatch, large):
+    groups = spark.range(200_000).select(F.xxhash64("id").alias("_u"), (F.col("id") % 200 + 1).alias("_bytes"))
+    hot = spark.createDataFrame([(n, b) for n, b in enumerate(large)], "n long, _bytes long")
+    groups = corpus_pipeline.written(groups.union(hot.select(F.xxhash64("n", F.lit("hot")).alias("_u"), "_bytes")))
+    ordered = sorted(map(tuple, groups.collect()))
+    sizes = [b for _, b in ordered]
+    seen, collect = [], type(groups).collect
+
+    def counted(frame):
+        rows = collect(frame)
+        seen.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(groups), "collect", counted)
+    cuts, capacity = sharding.minimax_cuts(groups, 8)
+    assert capacity == sharding.smallest_capacity(sizes, 8)
+    assert cuts == [ordered[i][0] for i in sharding.greedy_cuts(sizes, 8, capacity)]
+    assert sum(seen) < 20_000
+
+
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
