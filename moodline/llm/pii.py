@@ -199,7 +199,8 @@ def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
     more = []
     for s in detect(copy.text):
         start, end = copy.starts[s.start], copy.ends[s.end - 1]
-        if not any(b.start < end and start < b.end for b in base):
+        # a base span may be a fragment of it, or be of another kind
+        if not any(b.kind == s.kind and b.start <= start and end <= b.end for b in base):
             more.append(Span(start, s.kind, end))
     return base, sorted({*base, *more}, key=Span.key)
 

@@ -256,6 +256,22 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert found in [text[s.start:s.end] for s in spans if s.kind == kind]
 
 
+@pytest.mark.parametrize("found", ["jоhn@example.com", "john@example.cоm", "john@mail.exаmple.com",
+                                   "jo\u200bhn@example.com", "+1 (212) 555–1234"])
+def test_a_base_fragment_does_not_hide_the_whole(found):
+    text = f"ask {found}, please"
+    base, spans = pii.scan_text(text)
+    assert set(base) <= set(spans)
+    assert found in [text[s.start:s.end] for s in spans]
+    masked = pii.mask_text(text)
+    assert masked.startswith("ask [") and masked.endswith("], please")
+
+
+def test_mask_covers_overlapping_spans():
+    text = "a jоhn@example.com b"
+    assert pii.mask_text(text) == "a [EMAIL] b" and len(pii.scan_text(text)[1]) == 2
+
+
 def test_clean_text_and_masking():
     clean = "We met at noon. One or two of them, at the dot on the map (at home), had 12 points."
     assert pii.scan_text(clean) == ([], []) and pii.mask_text(clean) == clean
