@@ -2,12 +2,15 @@
 
 Documents are tokenized once into a written table of ids; document frequencies
 of token ids (at most one row per vocabulary entry) and the mean length are
-counted over all of them. Every task then packs the documents of its own scan
-split: shards of ``SHARD_DOCS`` documents get a BM25 inverted index with the
-corpus-wide frequencies; a seed document opens a window and its best unused
-neighbours fill it. What does not fit is cut and opens the next window. What
-is left at the end of a split is cut into sequences of power-of-two length, so
-no sequence needs padding. Text and ids are never shuffled.
+counted over all of them. A document's key is its rarest id that another
+document has too; documents of one key share a shard, so lexical neighbours
+meet wherever they lie in the input. The driver lays keys out over shards by
+their counts (one row per vocabulary entry); a key larger than a shard is
+salted over several. The ids are shuffled once, by shard. A shard gets a BM25
+inverted index with the corpus-wide frequencies; a seed document opens a window
+and its best unused neighbours fill it. What does not fit is cut and opens the
+next window. What is left at the end of a task is cut into sequences of
+power-of-two length, so no sequence needs padding. Text is never shuffled.
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ END_ID = 2
 #: A shard is indexed and packed together; it closes at either bound.
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4_000_000
-#: A seed's query: its terms of largest BM25 weight.
-QUERY_TERMS = 64
 K1, B = 1.2, 0.75
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -67,6 +68,65 @@ def document_frequencies(tokens: DataFrame, vocabulary: int, dtype: np.dtype) ->
     return df, n, (found.get(-2, 0) / n if n else 0.0)
 
 
+def rarity(df: np.ndarray) -> np.ndarray:
+    """Rank of each id, the rarest that two documents have first."""
+    rank = np.empty(len(df), np.int64)
+    rank[np.lexsort((np.arange(len(df)), df, df < 2))] = np.arange(len(df))
+    return rank
+
+
+def key_of(ids: np.ndarray, rank: np.ndarray, df: np.ndarray) -> int:
+    """The rarest id that another document has too; the vocabulary's size if
+    there is none."""
+    if len(ids):
+        key = int(ids[rank[ids].argmin()])
+        if df[key] > 1:
+            return key
+    return len(df) - 1
+
+
+def shard_layout(docs: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first shard, number of shards) of each key and the number of all
+    shards, from the documents and tokens of each key. A key goes to the open
+    shard if it fits; one larger than a shard gets several of its own."""
+    first, parts = np.zeros(len(docs), np.int64), np.ones(len(docs), np.int64)
+    shard, n, size = 0, 0, 0
+    for key in np.flatnonzero(docs).tolist():
+        more, long = int(docs[key]), int(tokens[key])
+        if n and (n + more > SHARD_DOCS or size + long > SHARD_TOKENS):
+            shard, n, size = shard + 1, 0, 0
+        first[key], n, size = shard, n + more, size + long
+        # shards of a salted key are three quarters full, as the salt is uneven
+        parts[key] = 1 if n <= SHARD_DOCS and size <= SHARD_TOKENS else max(
+            -(-more * 4 // (SHARD_DOCS * 3)), -(-long * 4 // (SHARD_TOKENS * 3)))
+        if parts[key] > 1:
+            shard, n, size = shard + int(parts[key]), 0, 0
+    return first, parts, shard + 1
+
+
+def key_counts(tokens: DataFrame, rank: np.ndarray, df: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and tokens of each key; at most one row per id and task is
+    shuffled, one per id reaches the driver."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, size = np.zeros(len(df), np.int64), np.zeros(len(df), np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                ids = np.frombuffer(raw.as_buffer(), dtype)
+                key = key_of(ids, rank, df)
+                docs[key] += 1
+                size[key] += len(ids) + 1
+        seen = np.flatnonzero(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(docs[seen]), pa.array(size[seen])],
+                                         ["key", "n", "size"])
+
+    rows = (tokens.select("ids").mapInArrow(count, "key long, n long, size long").groupBy("key")
+            .agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect())
+    docs, size = np.zeros(len(df), np.int64), np.zeros(len(df), np.int64)
+    for r in rows:
+        docs[r["key"]], size[r["key"]] = r["n"], r["size"]
+    return docs, size
+
+
 class ShardIndex:
     """BM25 inverted index of a shard: postings (documents, weights) by id."""
 
@@ -78,7 +138,7 @@ class ShardIndex:
             terms.append(t.astype(np.int64))
             owner.append(np.full(len(t), i))
             weight.append(idf[t] * tf * (K1 + 1) / (tf + norm))
-        self.own_terms, self.own_weights = terms, weight
+        self.own_terms = terms
         term = np.concatenate(terms) if terms else np.empty(0, np.int64)
         order = np.argsort(term, kind="stable")
         self.owner = np.concatenate(owner)[order] if terms else np.empty(0, np.int64)
@@ -88,11 +148,9 @@ class ShardIndex:
         self.size = len(docs)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """All documents of the shard by falling BM25 score for ``seed``'s
-        heaviest terms; ties in shard order."""
-        t, w = self.own_terms[seed], self.own_weights[seed]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]]
+        """All documents of the shard by falling BM25 score for all terms of
+        ``seed``; ties in shard order."""
+        t = self.own_terms[seed]
         at = np.searchsorted(self.ids, t)
         slices = [slice(self.first[i], self.first[i + 1]) for i in at]
         if not slices:
@@ -201,21 +259,40 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     df, n_docs, mean = document_frequencies(tokens, vocabulary, dtype)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
 
+    rank = rarity(df)
+    first, parts, shards = shard_layout(*key_counts(tokens, rank, df, dtype))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([key_of(np.frombuffer(raw.as_buffer(), dtype), rank, df) for raw in batch.column(2)],
+                            np.int64)
+            salt = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(first[keys] + salt % parts[keys])],
+                ["doc_id", "ids", "shard"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), window)
-        ids, docs, size = [], [], 0
+        ids, docs, size, now = [], [], 0, None
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                docs.append(np.append(np.frombuffer(raw.as_buffer(), dtype), dtype.type(end_id)))
-                size += len(docs[-1])
-                if len(docs) >= SHARD_DOCS or size >= SHARD_TOKENS:
+            for doc_id, raw, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
+                                          strict=True):
+                if docs and (shard != now or len(docs) >= SHARD_DOCS or size >= SHARD_TOKENS):
                     pack_shard(packer, ids, docs, idf, mean)
                     yield packer.drain()
                     ids, docs, size = [], [], 0
+                now = shard
+                ids.append(doc_id)
+                docs.append(np.append(np.frombuffer(raw.as_buffer(), dtype), dtype.type(end_id)))
+                size += len(docs[-1])
         if docs:
             pack_shard(packer, ids, docs, idf, mean)
         packer.finish()
         yield packer.drain()
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    salted = tokens.select("doc_id", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 40)).alias("salt"), "ids")
+    placed = salted.mapInArrow(place, "doc_id long, ids binary, shard long")
+    tasks = max(1, min(shards, max(tokens.rdd.getNumPartitions(),
+                                   docs.sparkSession.sparkContext.defaultParallelism)))
+    return (placed.repartition(tasks, "shard").sortWithinPartitions("shard").select("doc_id", "ids", "shard")
+            .mapInArrow(run, SCHEMA))

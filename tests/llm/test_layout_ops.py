@@ -167,6 +167,42 @@ def test_neighbours_follow_bm25():
         assert (np.diff(ranked) <= 1e-9).all()
 
 
+def test_neighbours_score_all_terms_of_a_long_seed():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 2000, rng.integers(150, 400)).astype("<u2") for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=2000)
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+    index = packing.ShardIndex(docs, idf, mean)
+    for seed in range(5):
+        score = []
+        for d in docs:
+            tf = np.array([(d == t).sum() for t in np.unique(docs[seed])])
+            norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+            score.append((idf[np.unique(docs[seed])] * tf * (packing.K1 + 1) / (tf + norm)).sum())
+        assert (np.diff(np.array(score)[index.neighbours(seed)]) <= 1e-9).all()
+
+
+def test_neighbours_meet_wherever_they_lie(spark):
+    rng = random.Random(8)
+    n, topics = 3000, []
+    for _ in range(n):
+        topics.append(["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(4)])
+    texts = [" ".join(rng.sample(topics[i % n], 4)) + " and the rest" for i in range(2 * n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sequence = {}
+    for r in packing.pack(docs, WORDS, window=256).collect():
+        sequence.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert sum(not sequence[i].isdisjoint(sequence[i + n]) for i in range(n)) > 0.9 * n
+
+
+def test_a_hot_key_is_salted_over_shards():
+    docs, tokens = np.array([5, 100_000, 0, 700, 400]), np.array([50, 1_000_000, 0, 7000, 9_000_000])
+    first, parts, shards = packing.shard_layout(docs, tokens)
+    assert 100_000 / packing.SHARD_DOCS <= parts[1] < 200 and parts[0] == parts[3] == 1 and parts[4] >= 3
+    spans = sorted((first[k], first[k] + parts[k]) for k in (0, 1, 3, 4))
+    assert spans[-1][1] <= shards and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def brute_stage(name, before, after, docs, model):
     """What a stage must have done with the rows of the stage before."""
     kept = {r.doc_id: r for r in after}
