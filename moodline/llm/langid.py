@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from moodline.llm.common import map_rows
 
-DIM = 512
+DIM = 2048
 NGRAM = 3
 SEED = 7919
 #: Bound of the training sample, documents per language (expected number).
@@ -89,8 +89,8 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     counted = [ngram_counts(t) for t in texts]
     codes = np.unique(np.concatenate([c for c, _ in counted])) if counted else np.empty(0, np.int64)
     out = np.zeros((len(texts), DIM))
-    for start in range(0, len(codes), 1 << 15):  # bounds the table of bound vectors
-        part = codes[start:start + (1 << 15)]
+    for start in range(0, len(codes), 1 << 13):  # bounds the table of bound vectors
+        part = codes[start:start + (1 << 13)]
         table = ngram_vectors(part).astype(np.float32)
         for row, (own, n) in enumerate(counted):
             lo, hi = np.searchsorted(own, part[0]), np.searchsorted(own, part[-1], "right")

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from helpers import MEDIUM
 
+import corpus_pipeline
 from moodline.llm import langid, licenses, pii, quality
 from moodline.llm.pieces import PieceModel, decode_documents, encode_documents
 
@@ -40,6 +41,20 @@ def test_language_edges(spark):
     assert nothing.predict(["the"]) == (["und"], [0.0])
 
 
+@needs_tables
+def test_unlearned_texts_go_and_clean_short_ones_stay(spark):
+    model = langid.train(spark.read.parquet(f"{MEDIUM}/documents.parquet"))
+    rng = random.Random(6)
+    foreign = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (64, 200, 1000) for _ in range(40)
+               for alphabet in ("абвгдежзийклмнопрстуфхцчшщыэюя    ", "".join(map(chr, range(0x4E00, 0x4F00))),
+                                "אבגדהוזחטיכלמנסעפצקרשת   ")]
+    clean = ["the cat and the dog", "and the rest of the time", "der Hund und die Katze", "les gens de la ville",
+             "el perro de la casa"]
+    docs = spark.createDataFrame(list(enumerate(foreign + clean)), "doc_id long, text string")
+    kept = {r.text for r in langid.keep_language(docs, model, corpus_pipeline.MIN_LANGUAGE_SCORE).collect()}
+    assert kept >= set(clean) and len(kept) - len(clean) < 0.03 * len(foreign)
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     import numpy as np
     want = np.zeros(langid.DIM)
