@@ -20,8 +20,8 @@ from moodline.functions.text import WORD
 from moodline.operators.joins import materialize
 
 
-NUM_FEATURES = 1 << 16
-MAX_ITER = 20
+NUM_FEATURES = 1 << 18
+MAX_ITER = 50
 REGS = (0.1, 0.01, 0.001)
 #: Share of the train part, by key hash, on which candidates are judged.
 VALIDATION = 0.25

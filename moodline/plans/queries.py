@@ -12,6 +12,7 @@ from moodline.functions import text as T
 from moodline.operators import encoding as E
 from moodline.operators import reports as R
 from moodline.operators import scorer as K
+from moodline.operators.classifier import MAX_ITER, NUM_FEATURES
 from moodline.operators.sampling import class_quotas, first_n
 from moodline.plans.common import (TEST_FRACTION, labelled_posts, split_table, test_posts,
                                    train_model, train_posts)
@@ -315,18 +316,21 @@ def history_last_n(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
 
 
 # ---------------------------------------------------------------- classifier
-def logreg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logreg_predictions(spark: SparkSession, sf_dir: str, num_features: int = NUM_FEATURES,
+                       max_iter: int = MAX_ITER) -> DataFrame:
     from moodline.operators.classifier import choose_and_predict
-    return choose_and_predict(*_classifier_parts(spark, sf_dir))[0]
+    return choose_and_predict(*_classifier_parts(spark, sf_dir), num_features=num_features, max_iter=max_iter)[0]
 
 
-def logreg_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logreg_selection(spark: SparkSession, sf_dir: str, num_features: int = NUM_FEATURES,
+                     max_iter: int = MAX_ITER) -> DataFrame:
     """What is certain about the fitted classifier: a row for each post of the
     test part with its label, probabilities that add up to 1, a prediction
     that is their largest, and a chosen candidate that is the first with the
     best validation accuracy."""
     from moodline.operators.classifier import choose_and_predict
-    out, accuracy, chosen = choose_and_predict(*_classifier_parts(spark, sf_dir))
+    out, accuracy, chosen = choose_and_predict(*_classifier_parts(spark, sf_dir), num_features=num_features,
+                                              max_iter=max_iter)
     n, u, p = (F.col(c) for c in P)
     return out.select("doc_id", "label", F.round(n + u + p, 6).alias("p_sum"),
                       (F.col("predicted_code") == S.argmax3(n, u, p)).alias("is_largest"),

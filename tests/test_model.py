@@ -212,3 +212,24 @@ def test_model_store_never_overwrites(model, spark, tmp_path):
 
 def test_store_of_the_session_is_at_a_fixed_place(spark):
     assert ModelStore.for_session(spark).root == ModelStore.for_session(spark).root
+
+
+def test_classifier_defaults_keep_colliding_words_apart(spark):
+    """Two words that share a bucket of 2^16 have weights of their own."""
+    from pyspark.ml.feature import HashingTF
+
+    from moodline.operators.classifier import choose_and_predict
+    small, seen, pair = HashingTF(numFeatures=1 << 16), {}, None
+    large = HashingTF(numFeatures=1 << 18)
+    for i in range(3000):
+        word = "w" + "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+        other = seen.setdefault(small.indexOf(word), word)
+        if other != word and large.indexOf(other) != large.indexOf(word):
+            pair = other, word
+            break
+    assert pair
+    train = spark.createDataFrame([(i, pair[i % 2] if i % 3 else "neutral", 2 * (i % 2) if i % 3 else 1)
+                                   for i in range(240)], "doc_id long, text string, label int")
+    test = spark.createDataFrame([(1, pair[0], 0), (2, pair[1], 2)], "doc_id long, text string, label int")
+    got = {r.doc_id: r.predicted_code for r in choose_and_predict(train, test)[0].collect()}
+    assert got == {1: 0, 2: 2}
