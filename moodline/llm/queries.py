@@ -81,6 +81,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five positives, ten negatives of 30 to 90 percent of their score."""
+    from moodline.llm.negatives import mine_negatives
+    return mine_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op6_sharding": op6_sharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +110,29 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                        'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
     """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS row, vec_id,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.row AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.row, b.vec_id,
+                   list_sum(list_transform(list_zip(a.c, b.c), lambda z: z[1] * z[2])) AS score
+            FROM v a JOIN v b ON a.row <> b.row
+            WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT * FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5)
+        SELECT s.anchor_id, p.vec_id AS positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor, p.row
+                                       ORDER BY s.score DESC, s.vec_id NULLS LAST, s.row) AS INTEGER) AS rank,
+               s.vec_id AS negative_id, CAST(p.score AS BIGINT) AS positive_score,
+               CAST(s.score AS BIGINT) AS negative_score
+        FROM s JOIN p USING (anchor)
+        WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        QUALIFY rank <= 10
+    """,
 }

@@ -23,11 +23,24 @@ COLUMNS = {
     "op9_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
 }
+#: Queries of other tables than documents: table, columns.
+OTHERS = {
+    "op13_hard_negatives": ("embeddings", "vec_id long, embedding array<float>, label int",
+                            ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]),
+}
 
 
 def test_all_are_registered():
-    assert set(COLUMNS) | {"pipeline"} <= set(E.queries())
-    assert set(L.QUERIES) == set(COLUMNS)
+    assert set(L.QUERIES) | {"pipeline"} <= set(E.queries())
+    assert set(L.QUERIES) == set(COLUMNS) | set(OTHERS)
+
+
+@pytest.mark.parametrize("name", sorted(OTHERS))
+def test_empty_other_table(spark, tmp_path, name):
+    table, schema, columns = OTHERS[name]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = L.QUERIES[name](spark, str(tmp_path))
+    assert got.columns == columns and got.count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
