@@ -81,6 +81,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of at least 10 documents of the language; 10 terms a source."""
+    from moodline.llm.divergence import audit
+    return audit(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five positives, ten negatives of 30 to 90 percent of their score."""
     from moodline.llm.negatives import mine_negatives
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op6_sharding": op6_sharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -110,6 +117,42 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                        'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        w AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY lang, term
+                 HAVING count(DISTINCT row) >= 10),
+        l AS (SELECT lang, sum(n) AS n, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+        c AS (SELECT w.lang, source, term, CAST(count(*) AS HUGEINT) AS n
+              FROM w JOIN kept USING (lang, term) GROUP BY w.lang, source, term),
+        g AS (SELECT d.lang, d.source, coalesce(any_value(t.n), 0) AS n
+              FROM (SELECT DISTINCT lang, source FROM d) d
+              LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) t USING (lang, source)
+              GROUP BY d.lang, d.source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c,
+                     1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * l.v) AS p,
+                     1 + (1000000000 * (k.n + 2)) // (l.n + 2 * l.v) AS q
+              FROM g JOIN kept k ON k.lang = g.lang JOIN l ON l.lang = g.lang
+              LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+              GROUP BY a.lang, a.source, b.source),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL
+              SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE c > 0 AND p > q),
+        ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                          CAST(row_number() OVER (PARTITION BY lang, source, part
+                                                  ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+                   FROM r)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
     "op13_hard_negatives": """
         WITH v AS (
             SELECT row_number() OVER () AS row, vec_id,
