@@ -87,6 +87,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(documents(spark, sf_dir))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages in the shared folder, read back."""
+    from moodline.llm.warc import read_archives, write_archives
+    from moodline.session import scratch_path
+    path = scratch_path(spark, "warc")
+    write_archives(read_table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five positives, ten negatives of 30 to 90 percent of their score."""
     from moodline.llm.negatives import mine_negatives
@@ -105,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_warc": op12_warc,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -153,6 +163,16 @@ ORACLE_SQL: dict[str, str] = {
                    FROM r)
         SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
     """,
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size
+                   FROM pages),
+        r AS (SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS target FROM p)
+        SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN target IS NULL OR target IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END
+                   AS record_type,
+               CASE WHEN target IS DISTINCT FROM page_id THEN target END AS refers_to
+        FROM r
+    """,
     "op13_hard_negatives": """
         WITH v AS (
             SELECT row_number() OVER () AS row, vec_id,

@@ -27,6 +27,8 @@ COLUMNS = {
 GROUPED = {"op11_source_divergence": ["lang", "source", "part", "item", "value", "rank"]}
 #: Queries of other tables than documents: table, columns.
 OTHERS = {
+    "op12_warc": ("pages", "page_id long, url string, html string",
+                  ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]),
     "op13_hard_negatives": ("embeddings", "vec_id long, embedding array<float>, label int",
                             ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]),
 }
