@@ -95,6 +95,7 @@ def evaluate_expression(line: str) -> Verdict | None:
     some part of ``or``; an exception (``with``) leaves its licence as it is."""
     out: list[Verdict] = []
     ops: list[str] = []
+    depth = 0  # open brackets
     operand_next = True
 
     def reduce_top() -> bool:
@@ -109,19 +110,21 @@ def evaluate_expression(line: str) -> Verdict | None:
             out.append(Verdict(a.labels | b.labels, all(both) if op == "and" else any(both)))
         return True
 
-    for token in _TOKEN.findall(line):
-        word = token.lower()
+    for token in _TOKEN.finditer(line):
+        word = token[0].lower()
         if word == "(":
             if not operand_next:
                 break
             ops.append(word)
+            depth += 1
         elif word == ")":
-            if operand_next or "(" not in ops:
+            if operand_next or not depth:
                 break
             while ops[-1] != "(":
                 if not reduce_top():
                     return None
             ops.pop()
+            depth -= 1
         elif word in _RANK:
             if operand_next:
                 return None
@@ -136,7 +139,7 @@ def evaluate_expression(line: str) -> Verdict | None:
             label = IDENTIFIERS.get(word.rstrip("."))
             out.append(Verdict(frozenset([label] if label else []), label in PERMISSIVE))
             operand_next = False
-    if operand_next or "(" in ops:
+    if operand_next or depth:
         return None
     while ops:
         if not reduce_top():
@@ -145,28 +148,37 @@ def evaluate_expression(line: str) -> Verdict | None:
 
 
 def scan_text(text: str | None) -> dict:
-    """All findings of one text; a null text counts as empty."""
+    """All findings of one text; a null text counts as empty. Time and memory
+    grow in proportion to the text. Where several findings start or end at one
+    place, each counts, but one that lies inside another only as a base phrase."""
     raw = (text or "").encode()
     words = raw.translate(_TO_SPACE).split()
     flat = " " + b" ".join(words).decode("latin-1") + " "
-    found = sorted((end - size + 1, end, label, base) for end, (size, label, base) in _phrases().iter(flat))
+    # by start, the longest first: what ends before an earlier one lies inside it
+    found = sorted((end - size + 1, -end, label, base) for end, (size, label, base) in _phrases().iter(flat))
     places, base_labels, labels, score = [], set(), set(), 0.0
-    for start, end, label, base in found:
+    word, counted, reach = 0, 0, -1
+    for start, minus_end, label, base in found:
         if base:
-            places.append(flat.count(" ", 0, start))
+            word, counted = word + flat.count(" ", counted, start), start
+            places.append(word)
             base_labels.add(label)
         # a phrase inside a longer one only names the longer one
-        if base or not any(s <= start and end <= e and (s, e) != (start, end) for s, e, _, _ in found):
+        if base or -minus_end > reach:
             labels.add(label)
             score = max(score, SCORE_RESERVED if label == "all-rights-reserved" else SCORE_PHRASE)
+        reach = max(reach, -minus_end)
     verdicts = []
     n_tags = 0
     if b"-license-" in raw.lower() or b"license-expression" in raw.lower():
         low = raw.decode().translate({i: i + 32 for i in range(65, 91)})
-        for end, _ in _tags().iter(low):
-            n_tags += 1
-            stop = low.find("\n", end)
-            v = evaluate_expression(low[end + 1:stop if stop >= 0 else len(low)])
+        tags = [(end - len(tag) + 1, end + 1) for end, tag in _tags().iter(low)]
+        n_tags = len(tags)
+        # an expression ends with its line, or where the next tag starts
+        for i, (_, at) in enumerate(tags):
+            following = tags[i + 1][0] if i + 1 < n_tags else len(low)
+            stop = low.find("\n", at, following)
+            v = evaluate_expression(low[at:stop if stop >= 0 else following])
             if v is None:
                 score = max(score, SCORE_BROKEN_TAG)
             else:
@@ -194,6 +206,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: word count, base phrase places, labels (arrays),
     score, identifier tags and whether all tag expressions are permissive (null
     without a valid one). Null and empty texts have no words and score 0;
-    repeated rows each give a row; further columns are ignored."""
+    repeated rows each give a row; an empty table gives none. Labels that tie
+    in score all stay, sorted. Whole texts are scanned, in time proportional to
+    their length. Other columns are not read, whatever their names."""
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
                     _batch, SCHEMA)

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -230,6 +231,44 @@ def test_long_phrase_names_only_itself():
     assert licenses.scan_text("GNU General Public License, version 3")["labels"] == ["gpl-3"]
 
 
+def quadratic_labels(text):
+    """Labels of phrases by comparing every finding with every other one."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    every = {**licenses.MORE_PHRASES, **licenses.BASE_PHRASES}
+    found = [(i, i + len(p.split()), label, p in licenses.BASE_PHRASES) for p, label in every.items()
+             for i in range(len(words)) if words[i:i + len(p.split())] == p.split()]
+    return {label for s, e, label, base in found
+            if base or not any(x <= s and e <= y and (x, y) != (s, e) for x, y, _, _ in found)}
+
+
+def test_phrases_inside_others_equal_brute_force():
+    rng = random.Random(8)
+    parts = ["cc by nc sa", "cc by nc", "cc by sa", "by", "cc", "sa", "gnu", "general public license version 2", "gnu general",
+             "mozilla public license version 2 0", "public license", "isc license", "bsd 3 clause", "x", "all rights reserved"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 10)))
+        assert set(licenses.scan_text(text)["labels"]) == quadratic_labels(text), text
+
+
+@pytest.mark.parametrize("unit", ["isc license ", "cc by nc ", "spdx-license-identifier: MIT ", "cc by nc sa ", "(",
+                                  "spdx-license-identifier: (MIT OR ", "license-expression: MIT AND\n"])
+def test_scan_of_five_megabytes_takes_seconds(unit):
+    n = 5_000_000 // len(unit)
+    lead = "spdx-license-identifier: " if unit == "(" else ""
+    start = time.monotonic()
+    got = licenses.scan_text(lead + unit * n)
+    assert time.monotonic() - start < 10
+    if unit == "cc by nc ":
+        assert (got["n_base"], got["first_word"], got["last_word"]) == (n, 0, 3 * (n - 1))
+    if unit.startswith("spdx-license-identifier: MIT"):
+        assert got["n_tags"] == n and got["permissive"]
+
+
+def test_an_expression_ends_where_the_next_tag_starts():
+    got = licenses.scan_text("license-expression: MIT license-expression: ISC OR spdx-license-identifier: GPL-3.0")
+    assert got["labels"] == ["gpl-3", "mit"] and got["n_tags"] == 3 and not got["permissive"]
+
+
 # -- PII -----------------------------------------------------------------------------------
 
 def brute_pii(text):
@@ -295,7 +334,6 @@ def test_clean_text_and_masking():
 
 
 def test_detectors_are_linear():
-    import time
     t = time.time()
     for text in ["1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "1 " * 100_000, "@" * 200_000, "+1" * 100_000]:
         pii.scan_text(text)
