@@ -1,71 +1,111 @@
 """Lexical retrieval packing (operator 7).
 
-Documents are tokenized once into a written table of ids; document frequencies
-of token ids (at most one row per vocabulary entry) and the mean length are
-counted over all of them. A document's key is its rarest id that another
-document has too; documents of one key share a shard, so lexical neighbours
-meet wherever they lie in the input. The driver lays keys out over shards by
-their counts (one row per vocabulary entry); a key larger than a shard is
-salted over several. The ids are shuffled once, by shard. A shard gets a BM25
-inverted index with the corpus-wide frequencies; a seed document opens a window
-and its best unused neighbours fill it. What does not fit is cut and opens the
-next window. What is left at the end of a task is cut into sequences of
-power-of-two length, so no sequence needs padding. Text is never shuffled.
+Documents are tokenized once into a written table of ids, which also holds the
+document frequencies of the ids (one row for each id and task). Documents are
+then dealt by content over shards of bounded size, each a BM25 inverted index.
+Every seed document (id divisible by 20) is a query of all its terms to every
+shard, in blocks of seeds: a shard ranks its documents by the postings of the
+seed's rarest terms plus a low-rank summary of all other terms (the summary's
+basis is fitted on a bounded sample of documents), scores the best ones exactly
+and gives its best neighbours. Over all shards a document goes to the seed that
+scores it highest, so each is used once, and a seed's window is filled with its
+neighbours by falling score; what does not fit is cut and opens the next
+window. Documents that no seed has among its neighbours follow in the order of
+their rarest ids. The ids are shuffled once, by place; text never is.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodline.llm import wordbpe
-from moodline.llm.common import map_rows, written
+from moodline.llm.common import written
+from moodline.operators.joins import checked_lookup_join, counted_join
 
 WINDOW = 4096
 END_ID = 2
-#: A shard is indexed and packed together; it closes at either bound.
-SHARD_DOCS = 1024
-SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
+SEED_EVERY = 20
+#: Expected documents of an index shard.
+SHARD_DOCS = 8192
+#: Neighbours that a seed asks for; a window rarely holds more.
+NEIGHBOURS = 16
+#: Postings of so many rarest terms of a seed are read, and count this much
+#: against the summary of its other terms.
+KEY_TERMS, KEY_WEIGHT = 16, 2.0
+#: Rank of the summary, and the bounds of the sample it is fitted on.
+RANK, SAMPLE_DOCS, SAMPLE_TERMS = 16, 1000, 8192
+#: Exactly scored documents of a seed, over all shards (expected number).
+CANDIDATES = 192
+#: Bounds of the seeds of a pass, and of those scored together.
+PASS_TERMS, SEED_BLOCK = 4_000_000, 256
+#: Tokens of a packing task.
+TASK_TOKENS = 2_000_000
+#: Windows of a task that wait for documents to fill them.
+MAX_WAITING = 1024
+#: Rows of one id and text beyond this number are spread by arrival.
+HOT_COPIES = 1024
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian binary, without the end id)."""
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
-                    lambda c: {"doc_id": c["doc_id"], "ids": [wordbpe.load(path).encode(t) for t in c["text"]]},
-                    "doc_id long, ids binary")
+def unique_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of the different terms of each document, by
+    document, then term."""
+    sizes = [len(d) for d in docs]
+    if not sum(sizes):
+        return (np.empty(0, np.int64),) * 3
+    both = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, sizes) + np.concatenate(docs)
+    both.sort()
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))
+
 
+def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (little-endian binary, without the end id) of each document;
+    at the end of each task a row (term, n) for the documents with each term,
+    and (-1, documents) and (-2, tokens)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("term", pa.int64()), ("n", pa.int64())])
 
-def document_frequencies(tokens: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[np.ndarray, int, float]:
-    """(documents per id, documents, mean length); one row per id and task is
-    shuffled, one per id reaches the driver."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(vocabulary + 1, np.int64), 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = wordbpe.load(path)
+        df, total, n_docs = np.zeros(model.size, np.int64), 0, 0
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.frombuffer(ids, dtype)
-                df[np.unique(own)] += 1
-                n, total = n + 1, total + len(own)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids = model.encode_many(part.column(1).to_pylist())
+                _, term, _ = unique_terms([np.frombuffer(x, model.dtype) for x in ids])
+                df += np.bincount(term, minlength=model.size)
+                total, n_docs = total + sum(map(len, ids)) // model.dtype.itemsize, n_docs + len(ids)
+                nothing = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), nothing, nothing], schema=schema)
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([seen, [-1, -2]])), pa.array(np.concatenate([df[seen], [n, total]]))], ["id", "n"])
+            [pa.nulls(len(seen) + 2, pa.int64()), pa.nulls(len(seen) + 2, pa.binary()),
+             pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [n_docs, total]))], schema=schema)
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    found = {r["id"]: r["n"] for r in rows}
-    df = np.zeros(vocabulary + 1, np.int64)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, ids binary, term long, n long")
+
+
+def document_frequencies(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
+    """(documents with each id, documents, tokens); one row for each id reaches
+    the driver."""
+    rows = tokens.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r["term"]: r["n"] for r in rows}
+    df = np.zeros(vocabulary, np.int64)
     for i, n in found.items():
         if i >= 0:
             df[i] = n
-    n = found.get(-1, 0)
-    return df, n, (found.get(-2, 0) / n if n else 0.0)
+    return df, found.get(-1, 0), found.get(-2, 0)
 
 
 def rarity(df: np.ndarray) -> np.ndarray:
@@ -75,109 +115,290 @@ def rarity(df: np.ndarray) -> np.ndarray:
     return rank
 
 
-def key_of(ids: np.ndarray, rank: np.ndarray, df: np.ndarray) -> int:
-    """The rarest id that another document has too; the vocabulary's size if
-    there is none."""
-    if len(ids):
-        key = int(ids[rank[ids].argmin()])
-        if df[key] > 1:
-            return key
-    return len(df) - 1
-
-
-def shard_layout(docs: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(first shard, number of shards) of each key and the number of all
-    shards, from the documents and tokens of each key. A key goes to the open
-    shard if it fits; one larger than a shard gets several of its own."""
-    first, parts = np.zeros(len(docs), np.int64), np.ones(len(docs), np.int64)
-    shard, n, size = 0, 0, 0
-    for key in np.flatnonzero(docs).tolist():
-        more, long = int(docs[key]), int(tokens[key])
-        if n and (n + more > SHARD_DOCS or size + long > SHARD_TOKENS):
-            shard, n, size = shard + 1, 0, 0
-        first[key], n, size = shard, n + more, size + long
-        # shards of a salted key are three quarters full, as the salt is uneven
-        parts[key] = 1 if n <= SHARD_DOCS and size <= SHARD_TOKENS else max(
-            -(-more * 4 // (SHARD_DOCS * 3)), -(-long * 4 // (SHARD_TOKENS * 3)))
-        if parts[key] > 1:
-            shard, n, size = shard + int(parts[key]), 0, 0
-    return first, parts, shard + 1
-
-
-def key_counts(tokens: DataFrame, rank: np.ndarray, df: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and tokens of each key; at most one row per id and task is
-    shuffled, one per id reaches the driver."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, size = np.zeros(len(df), np.int64), np.zeros(len(df), np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_buffer(), dtype)
-                key = key_of(ids, rank, df)
-                docs[key] += 1
-                size[key] += len(ids) + 1
-        seen = np.flatnonzero(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(docs[seen]), pa.array(size[seen])],
-                                         ["key", "n", "size"])
-
-    rows = (tokens.select("ids").mapInArrow(count, "key long, n long, size long").groupBy("key")
-            .agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect())
-    docs, size = np.zeros(len(df), np.int64), np.zeros(len(df), np.int64)
-    for r in rows:
-        docs[r["key"]], size[r["key"]] = r["n"], r["size"]
-    return docs, size
+class Statistics:
+    """Corpus-wide numbers of BM25; goes to every task."""
+
+    def __init__(self, df: np.ndarray, docs: int, tokens: int) -> None:
+        self.df, self.rank = df, rarity(df)
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+        self.mean = max(tokens / docs if docs else 0.0, 1.0)
+
+    def weights(self, term: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """BM25 weight of a term that a document of ``length`` ids has ``count`` times."""
+        return self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / self.mean))
+
+
+class Seeds:
+    """The terms of a pass's seeds, one after the other, which of them are the
+    seed's key terms, and the summaries of the others."""
+
+    def __init__(self, seed: np.ndarray, terms: list[np.ndarray], stats: Statistics, basis: np.ndarray) -> None:
+        self.seed = seed
+        self.first = np.cumsum([0] + [len(t) for t in terms])
+        self.term = np.concatenate(terms) if terms else np.empty(0, np.uint16)
+        # of each seed the rarest terms that another document has too
+        owner = self.owner()
+        order = np.lexsort((stats.rank[self.term], owner))
+        place = np.arange(len(order)) - self.first[owner[order]]
+        self.is_key = np.zeros(len(self.term), bool)
+        self.is_key[order[(place < KEY_TERMS) & (stats.df[self.term[order]] > 1)]] = True
+        self.summary = np.zeros((len(seed), basis.shape[1]), np.float32)
+        rest = np.flatnonzero(~self.is_key)
+        for at in range(0, len(rest), 1 << 20):
+            some = rest[at:at + (1 << 20)]
+            _add_lines(self.summary, owner[some], basis[self.term[some]])
+
+    def __len__(self) -> int:
+        return len(self.seed)
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.seed), dtype=np.int32), np.diff(self.first))
+
+
+def _add_lines(out: np.ndarray, owner: np.ndarray, lines: np.ndarray) -> None:
+    """out[owner] += lines, for owners in rising order."""
+    if len(owner):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[owner[first]] += np.add.reduceat(lines, first, axis=0)
+
+
+def fit_basis(docs: list[np.ndarray], stats: Statistics, rank: int = RANK, max_terms: int = SAMPLE_TERMS) -> np.ndarray:
+    """The main directions of the BM25 vectors of sample documents (their most
+    frequent terms), as a matrix (vocabulary, at most ``rank``)."""
+    owner, term, count = unique_terms(docs)
+    common = np.argsort(-stats.df, kind="stable")[:max_terms]
+    place = np.full(len(stats.df), -1)
+    place[common] = np.arange(len(common))
+    length = np.array([len(d) for d in docs], np.int64)
+    inside = place[term] >= 0
+    matrix = np.zeros((len(docs), len(common)), np.float32)
+    matrix[owner[inside], place[term[inside]]] = stats.weights(term, count, length[owner])[inside]
+    values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
+    main = np.flatnonzero(values > 1e-6 * max(values.max(initial=0), 1))[-rank:]
+    basis = np.zeros((len(stats.df), max(len(main), 1)), np.float32)
+    if len(main):
+        basis[common, :len(main)] = (matrix.T @ vectors[:, main]) / np.sqrt(values[main])
+    return basis
 
 
 class ShardIndex:
-    """BM25 inverted index of a shard: postings (documents, weights) by id."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        terms, owner, weight = [], [], []
-        for i, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            norm = K1 * (1 - B + B * len(ids) / max(mean, 1.0))
-            terms.append(t.astype(np.int64))
-            owner.append(np.full(len(t), i))
-            weight.append(idf[t] * tf * (K1 + 1) / (tf + norm))
-        self.own_terms = terms
-        term = np.concatenate(terms) if terms else np.empty(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        self.owner = np.concatenate(owner)[order] if terms else np.empty(0, np.int64)
-        self.weight = np.concatenate(weight)[order] if terms else np.empty(0)
-        self.ids, self.first = np.unique(term[order], return_index=True)
-        self.first = np.append(self.first, len(term))
-        self.size = len(docs)
+    """BM25 inverted index of a shard, its forward lists and its summary."""
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """All documents of the shard by falling BM25 score for all terms of
-        ``seed``; ties in shard order."""
-        t = self.own_terms[seed]
-        at = np.searchsorted(self.ids, t)
-        slices = [slice(self.first[i], self.first[i + 1]) for i in at]
-        if not slices:
-            return np.arange(self.size)
-        docs = np.concatenate([self.owner[s] for s in slices])
-        score = np.bincount(docs, np.concatenate([self.weight[s] for s in slices]), self.size)
-        return np.argsort(-score, kind="stable")
+    def __init__(self, docs: list[np.ndarray], stats: Statistics, basis: np.ndarray) -> None:
+        self.size = len(docs)
+        owner, self.term, count = unique_terms(docs)
+        length = np.array([len(d) for d in docs], np.int64)
+        self.weight = stats.weights(self.term, count, length[owner])
+        self.first = np.searchsorted(owner, np.arange(self.size + 1))
+        order = np.argsort(self.term.astype(np.uint16 if len(stats.df) <= 1 << 16 else np.uint32), kind="stable")
+        self.posting_doc = owner[order].astype(np.int32)
+        self.posting_weight = self.weight[order].astype(np.float32) * np.float32(KEY_WEIGHT)
+        self.posting_first = np.searchsorted(self.term[order], np.arange(len(stats.df) + 1))
+        self.summary = np.zeros((self.size, basis.shape[1]), np.float32)
+        for at in range(0, len(self.term), 1 << 20):
+            some = slice(at, at + (1 << 20))
+            _add_lines(self.summary, owner[some], basis[self.term[some]] * self.weight[some, None].astype(np.float32))
+
+    def ranked(self, seeds: Seeds, owner: np.ndarray, block: slice) -> np.ndarray:
+        """Approximate scores (seeds of the block x documents)."""
+        out = seeds.summary[block] @ self.summary.T
+        flat = out.reshape(-1)
+        a, b = seeds.first[block.start], seeds.first[block.stop]
+        keys = a + np.flatnonzero(seeds.is_key[a:b])
+        line = owner[keys].astype(np.int64) - block.start
+        # one key term of each seed at a time: no place occurs twice in an addition
+        turn = np.arange(len(keys)) - np.searchsorted(line, line)
+        for j in range(int(turn.max(initial=-1)) + 1):
+            now = turn == j
+            t, row = seeds.term[keys[now]].astype(np.int64), line[now]
+            start, n = self.posting_first[t], self.posting_first[t + 1] - self.posting_first[t]
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            flat[np.repeat(row * self.size, n) + self.posting_doc[at]] += self.posting_weight[at]
+        return out
+
+    def exact(self, seeds: Seeds, owner: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """BM25 scores of (seed, document) pairs, all of the seed's terms; the
+        pairs are in the order of the seeds."""
+        out = np.zeros(len(seed))
+        n = self.first[doc + 1] - self.first[doc]
+        for a, b in _slices(n, 1 << 20):
+            some = n[a:b]
+            at = np.repeat(self.first[doc[a:b]] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+            low, high = int(seed[a]), int(seed[b - 1]) + 1
+            asked = np.zeros((high - low, len(self.posting_first) - 1), bool)
+            t = slice(seeds.first[low], seeds.first[high])
+            asked[owner[t] - low, seeds.term[t]] = True
+            hit = asked[np.repeat(seed[a:b] - low, some), self.term[at]]
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), some)[hit], self.weight[at[hit]], b - a)
+        return out
+
+    def neighbours(self, seeds: Seeds, key: np.ndarray, wanted: float,
+                   k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(seed, document, score) of up to ``k`` best neighbours of each seed,
+        out of about ``wanted`` that are scored exactly. ``key`` names the
+        documents as ``seeds.seed`` does the seeds; a seed is not its own
+        neighbour. Ties go to the smaller key."""
+        owner = seeds.owner()
+        step = max(1, self.size // 1024)
+        sample = min(-(-self.size // step) - 1, max(0, int(wanted / step)))
+        for at in range(0, len(seeds), SEED_BLOCK):
+            block = slice(at, min(at + SEED_BLOCK, len(seeds)))
+            rough = self.ranked(seeds, owner, block)
+            if wanted >= self.size:
+                bound = np.full(len(rough), -np.inf, np.float32)
+            else:
+                bound = -np.partition(-rough[:, ::step], sample, axis=1)[:, sample]
+            row, doc = np.nonzero(rough >= bound[:, None])
+            seed = row + at
+            other = key[doc] != seeds.seed[seed]
+            seed, doc = seed[other], doc[other]
+            score = self.exact(seeds, owner, seed, doc)
+            order = np.lexsort((key[doc], -score, seed))
+            seed, doc, score = seed[order], doc[order], score[order]
+            keep = (np.arange(len(seed)) - np.searchsorted(seed, seed) < k) & (score > 0)
+            yield seed[keep], doc[keep], score[keep]
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring items of about ``most`` together."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        before = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield a, b
+        a = b
+
+
+def hot_copies(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """(key, hot) of the rows that occur very often, and how many those are."""
+    hot = written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_COPIES)
+                  .select("key", F.lit(True).alias("hot")))
+    return hot, hot.count()
+
+
+def with_hot(rows: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    if not n_hot:
+        return rows.withColumn("hot", F.lit(False))
+    joined = checked_lookup_join(rows, hot, "key", n_hot, how="left")
+    return joined.withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def _deal(tokens: DataFrame, shards: int, hot: DataFrame, n_hot: int) -> DataFrame:
+    """shard, key, ids in shards of the keys' hash, sorted. Of rows that share
+    a key one is enough: what has very many copies is reduced beforehand."""
+    rows = tokens.select("key", "ids")
+    if n_hot:
+        marked = with_hot(rows, hot, n_hot)
+        rows = marked.filter(~F.col("hot")).unionByName(marked.filter("hot").dropDuplicates(["key"])).drop("hot")
+    shard = F.pmod("key", F.lit(shards)).alias("shard")
+    return (rows.select(shard, "key", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "key"))
+
+
+def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs: int, hot: tuple[DataFrame, int],
+                    seed_every: int = SEED_EVERY, shard_docs: int = SHARD_DOCS, k: int = NEIGHBOURS,
+                    candidates: int = CANDIDATES) -> DataFrame:
+    """seed, key, score: the ``k`` best neighbours of each seed by BM25 over
+    all documents. Rows with equal id and ids share a key (``key`` of
+    ``tokens``) and are one document here. Written."""
+    shards = max(1, -(-docs // shard_docs))
+    dealt = _deal(tokens, shards, *hot)
+
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([np.unique(np.frombuffer(x.as_buffer(), dtype)).tobytes()
+                                            for x in batch.column(1)], pa.binary())], ["seed", "terms"])
+
+    all_seeds = written(tokens.filter(F.col("doc_id") % seed_every == 0).select("key", "ids").mapInArrow(
+        terms_of, "seed long, terms binary").dropDuplicates(["seed"]))
+    n_terms = (all_seeds.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) // dtype.itemsize
+    passes = max(1, -(-n_terms // PASS_TERMS))
+    share = max(1, -(-docs // SAMPLE_DOCS))
+    sample = (tokens.filter(F.pmod(F.hash("key"), F.lit(share)) == 0).select("key", F.substring("ids", 1, 1 << 14).alias("ids"))
+              .limit(4 * SAMPLE_DOCS).orderBy("key").toArrow())
+    basis = fit_basis([np.frombuffer(x.as_buffer(), dtype) for x in sample["ids"]], stats)
+    wanted = candidates / shards + 2
+
+    def one_pass(number: int) -> DataFrame:
+        mine = all_seeds.filter(F.pmod(F.hash("seed"), F.lit(passes)) == number) if passes > 1 else all_seeds
+        table = mine.orderBy("seed").toArrow()
+        seeds = Seeds(table["seed"].to_numpy(), [np.frombuffer(x.as_buffer(), dtype) for x in table["terms"]],
+                      stats, basis)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def search(keys: list[int], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+                index, key = ShardIndex(ids, stats, basis), np.array(keys, np.int64)
+                for seed, doc, score in index.neighbours(seeds, key, wanted, k):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(seeds.seed[seed]), pa.array(key[doc]), pa.array(score)], ["seed", "key", "score"])
+
+            now, keys, ids = None, [], []
+            for batch in batches:
+                for shard, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
+                                           strict=True):
+                    if shard != now and keys:
+                        yield from search(keys, ids)
+                        keys, ids = [], []
+                    now = shard
+                    if not keys or key != keys[-1]:
+                        keys.append(key)
+                        ids.append(np.frombuffer(raw.as_buffer(), dtype).copy())
+            if keys:
+                yield from search(keys, ids)
+
+        best = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "key"))
+        found = dealt.mapInArrow(run, "seed long, key long, score double")
+        return written(found.withColumn("_r", best).filter(F.col("_r") <= k).select("seed", "key", "score"))
+
+    out = one_pass(0)
+    for number in range(1, passes):
+        out = out.unionByName(one_pass(number))
+    return out
+
+
+def assign(tokens: DataFrame, neighbours: DataFrame, seed_every: int = SEED_EVERY) -> DataFrame:
+    """key, cluster, score: each neighbour is used once, by the seed that scores
+    it highest (the smaller key among equals). A seed is used by itself, before
+    its neighbours."""
+    seeds = tokens.filter(F.col("doc_id") % seed_every == 0).select(
+        "key", F.col("key").alias("cluster"), F.lit(float("inf")).alias("score"))
+    used = seeds.unionByName(neighbours.select("key", F.col("seed").alias("cluster"), "score"))
+    best = F.max_by(F.struct("cluster", "score"), F.struct(F.col("score"), F.bitwise_not(F.col("cluster"))))
+    return used.groupBy("key").agg(best.alias("_b")).select("key", "_b.cluster", "_b.score")
 
 
 class Packer:
-    """Windows of one scan split; pieces are collected column by column."""
+    """Windows of one task; pieces are collected column by column. A seed opens
+    a window; what its neighbours leave free waits for the other documents."""
 
     def __init__(self, split: int, window: int) -> None:
         self.window, self.next_id = window, split << 32
         self.open: list[tuple] = []  # pieces of the open window
         self.filled = 0
+        self.waiting: deque[tuple[list[tuple], int]] = deque()
         self.rows: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray, start: int) -> int:
-        """Put ids from ``start`` into the open window; where the next piece starts."""
-        take = min(len(ids) - start, self.window - self.filled)
-        self.open.append((doc_id, start, ids[start:start + take], len(ids)))
-        self.filled += take
-        if self.filled == self.window:
-            self._close(self.open)
-            self.open, self.filled = [], 0
-        return start + take
+    def open_window(self) -> None:
+        """Let the open window wait and begin another one."""
+        if self.filled:
+            self.waiting.append((self.open, self.filled))
+            self.open, self.filled = self.waiting.popleft() if len(self.waiting) > MAX_WAITING else ([], 0)
+
+    def add(self, doc_id: int | None, ids: np.ndarray, fill: bool = False, start: int = 0, size: int | None = None) -> None:
+        """Put ids into the open window and those after it; ``fill``: into
+        windows that wait, as long as there are any."""
+        at, size = 0, len(ids) if size is None else size
+        while at < len(ids):
+            if fill and not self.filled and self.waiting:
+                self.open, self.filled = self.waiting.popleft()
+            take = min(len(ids) - at, self.window - self.filled)
+            self.open.append((doc_id, start + at, ids[at:at + take], size))
+            self.filled += take
+            at += take
+            if self.filled == self.window:
+                self._close(self.open)
+                self.open, self.filled = [], 0
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -188,7 +409,11 @@ class Packer:
         self.next_id += 1
 
     def finish(self) -> None:
-        """Cut what is left into sequences of power-of-two length."""
+        """Fill the windows that wait from one another, and cut what is then
+        left into sequences of power-of-two length."""
+        while self.waiting:
+            for doc_id, start, ids, size in self.waiting.pop()[0]:
+                self.add(doc_id, ids, True, start, size)
         left, pieces = self.filled, self.open
         while left:
             room = 1 << (left.bit_length() - 1)
@@ -212,87 +437,87 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
 
-def pack_shard(packer: Packer, ids: list, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-    """Pack all documents of a shard (``docs`` end with the end id): a seed,
-    then its best unused neighbours until its window closes; the document cut
-    there seeds the next window."""
-    index = ShardIndex([d[:-1] for d in docs], idf, mean)
-    unused = np.ones(len(docs), bool)
-    first = 0
-    seed, start = -1, 0  # the document that is partly packed, if any
-    while True:
-        if seed < 0:
-            while first < len(docs) and not unused[first]:
-                first += 1
-            if first == len(docs):
-                return
-            seed, start = first, 0
-            unused[seed] = False
-        opened = packer.next_id
-        start = packer.add(ids[seed], docs[seed], start)
-        if start < len(docs[seed]):
-            continue
-        if packer.next_id != opened or not packer.filled:
-            seed = -1
-            continue
-        order = index.neighbours(seed)
-        seed = -1
-        for near in order[unused[order]]:
-            unused[near] = False
-            start = packer.add(ids[near], docs[near], 0)
-            if packer.next_id != opened:
-                if start < len(docs[near]):
-                    seed = int(near)
-                break
-        # without a neighbour left the open window goes on with the next shard
+def _rarest(docs: list[np.ndarray], stats: Statistics) -> np.ndarray:
+    """Ranks of the three rarest ids that another document has too, rarest
+    first, of each document; the vocabulary's size where there is none."""
+    none = len(stats.df)
+    out = np.full((len(docs), 3), none, np.int64)
+    owner, term, _ = unique_terms(docs)
+    shared = stats.df[term] > 1
+    owner, rank = owner[shared], stats.rank[term[shared]]
+    order = np.lexsort((rank, owner))
+    place = np.arange(len(order)) - np.searchsorted(owner, owner[order])
+    first = place < 3
+    out[owner[order[first]], place[first]] = rank[order[first]]
+    return out
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", seed_every: int = SEED_EVERY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id (unique), offset. Every id of every document, end id included,
-    lies in exactly one piece. A null or empty text is its end id alone;
-    repeated rows are packed each for itself; an empty table gives no row."""
+    lies in exactly one piece. The rows do not depend on the order or the
+    partitions in which the documents arrive.
+
+    A null or empty text is its end id alone; a text longer than a window fills
+    several. Documents with equal scores go by their key, a hash of id and ids.
+    Repeated rows are packed each for itself. A row without an id is no seed.
+    An empty table gives no row; other columns are not read, whatever their
+    names."""
     model = wordbpe.load(path)
-    vocabulary, dtype = model.size, model.dtype
-    tokens = written(tokenize(docs, path, id_col, text_col))
-    df, n_docs, mean = document_frequencies(tokens, vocabulary, dtype)
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
-
-    rank = rarity(df)
-    first, parts, shards = shard_layout(*key_counts(tokens, rank, df, dtype))
+    dtype = model.dtype
+    table = written(tokenize(docs, path, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "ids")))
+    df, n_docs, n_tokens = document_frequencies(table, model.size)
+    stats = Statistics(df, n_docs, n_tokens)
+    tokens = table.filter(F.col("ids").isNotNull()).select("doc_id", "ids", "key")
+    hot = hot_copies(tokens)
+    found = find_neighbours(tokens, stats, dtype, n_docs, hot, seed_every, shard_docs)
+    used = written(assign(tokens, found, seed_every))
+
+    tasks = max(1, -(-(n_tokens + n_docs) // TASK_TOKENS))
+    # a rarest id of many documents is spread over several groups
+    rank_df = np.zeros(len(df) + 1, np.int64)
+    rank_df[stats.rank] = df
+    rank_df[-1] = n_docs
+    parts = 1 + rank_df * (int(stats.mean) + 1) * 8 // TASK_TOKENS
+    columns = ["doc_id", "key", "ids", "kind", "cluster", "part", "place", "tie"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.array([key_of(np.frombuffer(raw.as_buffer(), dtype), rank, df) for raw in batch.column(2)],
-                            np.int64)
-            salt = batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(first[keys] + salt % parts[keys])],
-                ["doc_id", "ids", "shard"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                key, copy = batch.column(1).to_numpy(), batch.column(5).to_numpy()
+                rare = _rarest([np.frombuffer(x.as_buffer(), dtype) for x in batch.column(2)], stats)
+                free = np.asarray(batch.column(3).is_null())
+                cluster = np.where(free, rare[:, 0], batch.column(3).fill_null(0).to_numpy())
+                score = batch.column(4).fill_null(0.0).to_numpy()
+                part = np.where(free, (key + copy) % parts[rare[:, 0]], 0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), batch.column(2), pa.array(free.astype(np.int32)),
+                     pa.array(cluster), pa.array(part), pa.array(np.where(free, 0.0, -score)),
+                     pa.array(np.where(free, rare[:, 1] << 32 | rare[:, 2], 0))], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId(), window)
-        ids, docs, size, now = [], [], 0, None
+        packer, now = Packer(TaskContext.get().partitionId(), window), None
         for batch in batches:
-            for doc_id, raw, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
-                                          strict=True):
-                if docs and (shard != now or len(docs) >= SHARD_DOCS or size >= SHARD_TOKENS):
-                    pack_shard(packer, ids, docs, idf, mean)
-                    yield packer.drain()
-                    ids, docs, size = [], [], 0
-                now = shard
-                ids.append(doc_id)
-                docs.append(np.append(np.frombuffer(raw.as_buffer(), dtype), dtype.type(end_id)))
-                size += len(docs[-1])
-        if docs:
-            pack_shard(packer, ids, docs, idf, mean)
+            for doc_id, raw, kind, cluster in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
+                                                  batch.column(3).to_pylist(), strict=True):
+                if kind == 0 and cluster != now:
+                    packer.open_window()
+                    now = cluster
+                ids = np.append(np.frombuffer(raw.as_buffer(), dtype), dtype.type(end_id))
+                packer.add(doc_id, ids, fill=kind == 1)
+            yield packer.drain()
         packer.finish()
         yield packer.drain()
 
-    salted = tokens.select("doc_id", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 40)).alias("salt"), "ids")
-    placed = salted.mapInArrow(place, "doc_id long, ids binary, shard long")
-    tasks = max(1, min(shards, max(tokens.rdd.getNumPartitions(),
-                                   docs.sparkSession.sparkContext.defaultParallelism)))
-    return (placed.repartition(tasks, "shard").sortWithinPartitions("shard").select("doc_id", "ids", "shard")
-            .mapInArrow(run, SCHEMA))
+    # rows of one id and text are alike: the very many are spread by arrival
+    joined = with_hot(counted_join(tokens, used, "key", how="left"), *hot)
+    rows = joined.select(
+        "doc_id", "key", "ids", F.when(~F.col("hot"), F.col("cluster")).alias("cluster"), "score",
+        F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0).alias("copy"))
+    order = ["kind", "cluster", "part"]
+    return (rows.mapInArrow(place, "doc_id long, key long, ids binary, kind int, cluster long, part long, "
+                                   "place double, tie long")
+            .repartition(tasks, *order).sortWithinPartitions(*order, "place", "tie", "key")
+            .select("doc_id", "ids", "kind", "cluster").mapInArrow(run, SCHEMA))

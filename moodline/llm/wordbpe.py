@@ -1,17 +1,25 @@
 """Ids of a word-level BPE tokenizer file of the ``tokenizers`` library, with a
 bounded memo of words. A text is cut only where the tokenizer itself never
-joins characters, and every part is encoded by the library once."""
+joins characters, and every part is encoded by the library once. The words of a
+whole slice of texts are looked up once for each distinct word."""
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Bound of the memo, two generations of half as many parts (and one text's).
-MEMO_PARTS = 800_000
+#: Bound of the memo, two generations of half as many words and parts (and one
+#: slice's).
+MEMO_PARTS = 1_000_000
+#: Texts are encoded together up to so many characters; longer ones in pieces.
+SLICE_CHARS = 1 << 23
+_SPACE = re.compile(r"[\t\n\x0b\x0c\r ]")
 _PLAIN_PARTS = re.compile(r"[a-zß-öø-ɏ]+|[0-9]|[!-/:-`{-~]+")
 #: Texts of ASCII (no apostrophe, no control character but white space) and
 #: precomposed Latin letters: there the tokenizer's own split is a letter run,
@@ -21,6 +29,12 @@ _PLAIN_PARTS = re.compile(r"[a-zß-öø-ɏ]+|[0-9]|[!-/:-`{-~]+")
 _LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if _PLAIN_PARTS.fullmatch(c.lower()))
 _PLAIN = re.compile(rf"[\t\n\x0b\x0c\r -&(-~{_LATIN}]*")
 
+#: Kind of each byte of a lower-cased plain text: white space, a letter (all
+#: bytes of non-ASCII ones), a digit, anything else.
+_SPACES, _LETTER, _DIGIT, _OTHER = range(4)
+_KINDS = np.array([_SPACES if b in b" \t\n\x0b\x0c\r" else _LETTER if b >= 128 or 97 <= b <= 122
+                   else _DIGIT if 48 <= b <= 57 else _OTHER for b in range(256)], np.uint8)
+
 
 class WordBpe:
     def __init__(self, path: str) -> None:
@@ -31,30 +45,29 @@ class WordBpe:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._memo: dict = {}
         self._old: dict = {}
-        self._ends_word = np.zeros(self.size, bool)
-        for token, i in self.lib.get_vocab(with_added_tokens=True).items():
-            self._ends_word[i] = token.endswith("</w>")
+        self._bpe = self.lib.model
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        # the byte-level alphabet: printable bytes stand for themselves, the
+        # others for the characters from U+0100 on, in order
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self._byte_chars = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
     def _fill(self, parts: set) -> None:
         """Put ``parts`` into the memo, from the generation before or anew."""
-        words, chunks = [], []
+        chunks = []
         for p in parts:
             known = self._old.get(p)
             if known is not None:
                 self._memo[p] = known
+            elif isinstance(p, str) and p.isspace():
+                self._memo[p] = b""
+            elif isinstance(p, str):
+                # a plain part is one pre-token, so the model alone encodes it
+                word = p if p.isascii() else "".join(self._byte_chars[b] for b in p.encode())
+                self._memo[p] = array(self._code, [t.id for t in self._bpe.tokenize(word)]).tobytes()
             else:
-                (words if isinstance(p, str) else chunks).append(p)
-        for at in range(0, len(words), 2048):
-            some = words[at:at + 2048]
-            # plain parts are one pre-token each: encoded as one text, they end
-            # where a token has the end-of-word mark
-            ids = np.array(self._ids([" ".join(some)])[0], self.dtype)
-            stops = np.flatnonzero(self._ends_word[ids]) + 1
-            if len(stops) != len(some):
-                raise ValueError("the tokenizer does not keep plain words apart")
-            starts = np.concatenate([[0], stops[:-1]])
-            self._memo.update((w, ids[i:j].tobytes()) for w, i, j in
-                              zip(some, starts.tolist(), stops.tolist(), strict=True))
+                chunks.append(p)
         for part, ids in zip(chunks, self._ids([c.decode() for c in chunks]), strict=True):
             self._memo[part] = np.array(ids, self.dtype).tobytes()
 
@@ -70,13 +83,84 @@ class WordBpe:
         else:
             # white space always separates; bytes.split() splits on ASCII's
             parts = text.encode().split()
-        if len(self._memo) > MEMO_PARTS // 2:
-            self._old, self._memo = self._memo, {}
+        self._turn()
         missing = set(parts).difference(self._memo)
         if missing:
             self._fill(missing)
         return b"".join(map(self._memo.__getitem__, parts))
 
+    def _turn(self) -> None:
+        if len(self._memo) > MEMO_PARTS // 2:
+            self._old, self._memo = self._memo, {}
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of every text; texts that are cut at white space and into
+        plain parts are looked up together."""
+        out = [b""] * len(texts)
+        some, places, size = [], [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not _PLAIN.fullmatch(text) or "<|" in text:
+                out[i] = self.encode(text)
+                continue
+            low = text.lower()
+            if len(low) > SLICE_CHARS:
+                out[i] = b"".join(self._encode_plain([p])[0] for p in _pieces(low))
+                continue
+            some.append(low)
+            places.append(i)
+            size += len(low)
+            if size > SLICE_CHARS:
+                for j, ids in zip(places, self._encode_plain(some), strict=True):
+                    out[j] = ids
+                some, places, size = [], [], 0
+        for j, ids in zip(places, self._encode_plain(some) if some else [], strict=True):
+            out[j] = ids
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of lower-cased plain texts: runs of one kind of character are
+        looked up once for each different run and gathered by their numbers."""
+        encoded = [t.encode() for t in texts]
+        blob = b" ".join(encoded)
+        kind = _KINDS[np.frombuffer(blob, np.uint8)]
+        new = np.empty(len(blob), bool)
+        new[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=new[1:])
+        new |= kind == _DIGIT
+        starts = np.append(np.flatnonzero(new), len(blob))
+        runs = pa.LargeStringArray.from_buffers(
+            len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(blob)).dictionary_encode()
+        distinct, at = runs.dictionary.to_pylist(), runs.indices.to_numpy()
+        self._turn()
+        memo = self._memo
+        self._fill({w for w in distinct if w not in memo})
+        ids = [memo[w] for w in distinct]
+        pool = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        n = sizes[at]
+        ends = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        from_pool = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n)
+        from_pool += np.arange(len(from_pool))
+        flat = pool[from_pool]
+        first = np.cumsum([0] + [len(e) + 1 for e in encoded])
+        # the run before a text's first one may hold its leading white space
+        bounds = ends[np.searchsorted(starts[:-1], first)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def _pieces(text: str) -> list[str]:
+    """A long text cut before white space."""
+    out, at = [], 0
+    while at < len(text):
+        found = _SPACE.search(text, at + SLICE_CHARS)
+        end = found.start() if found else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
