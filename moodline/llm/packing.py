@@ -35,18 +35,20 @@ END_ID = 2
 K1, B = 1.2, 0.75
 SEED_EVERY = 20
 #: Expected documents of an index shard.
-SHARD_DOCS = 8192
+SHARD_DOCS = 16_384
 #: Neighbours that a seed asks for; a window rarely holds more.
 NEIGHBOURS = 16
 #: Postings of so many rarest terms of a seed are read, and count this much
 #: against the summary of its other terms.
-KEY_TERMS, KEY_WEIGHT = 16, 2.0
+KEY_TERMS, KEY_WEIGHT = 12, 2.0
 #: Rank of the summary, and the bounds of the sample it is fitted on.
 RANK, SAMPLE_DOCS, SAMPLE_TERMS = 16, 1000, 8192
 #: Exactly scored documents of a seed, over all shards (expected number).
-CANDIDATES = 192
+CANDIDATES = 128
 #: Bounds of the seeds of a pass, and of those scored together.
 PASS_TERMS, SEED_BLOCK = 4_000_000, 256
+#: Documents tokenized or placed together.
+SLICE_DOCS = 4096
 #: Tokens of a packing task.
 TASK_TOKENS = 2_000_000
 #: Windows of a task that wait for documents to fill them.
@@ -69,31 +71,46 @@ def unique_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))
 
 
+def pack_terms(term: np.ndarray, count: np.ndarray, dtype: np.dtype) -> bytes:
+    """Different terms, rising, then their counts (at most the type's largest
+    number: BM25 is flat long before)."""
+    return np.concatenate([term, np.minimum(count, np.iinfo(dtype).max)]).astype(dtype).tobytes()
+
+
+def unpack_terms(raw: bytes, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw, dtype)
+    return both[:len(both) // 2], both[len(both) // 2:]
+
+
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian binary, without the end id) of each document;
-    at the end of each task a row (term, n) for the documents with each term,
-    and (-1, documents) and (-2, tokens)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("term", pa.int64()), ("n", pa.int64())])
+    """doc_id, ids (little-endian binary, without the end id) and terms (see
+    ``pack_terms``) of each document; at the end of each task a row (term, n)
+    for the documents with each term, and (-1, documents) and (-2, tokens)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("term", pa.int64()),
+                        ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = wordbpe.load(path)
         df, total, n_docs = np.zeros(model.size, np.int64), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, SLICE_DOCS):
+                part = batch.slice(at, SLICE_DOCS)
                 ids = model.encode_many(part.column(1).to_pylist())
-                _, term, _ = unique_terms([np.frombuffer(x, model.dtype) for x in ids])
+                owner, term, count = unique_terms([np.frombuffer(x, model.dtype) for x in ids])
                 df += np.bincount(term, minlength=model.size)
                 total, n_docs = total + sum(map(len, ids)) // model.dtype.itemsize, n_docs + len(ids)
+                ends = np.searchsorted(owner, np.arange(len(ids) + 1)).tolist()
+                terms = [pack_terms(term[a:b], count[a:b], model.dtype) for a, b in zip(ends, ends[1:])]
                 nothing = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), nothing, nothing], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array(terms, pa.binary()), nothing, nothing], schema=schema)
         seen = np.flatnonzero(df)
+        none = [pa.nulls(len(seen) + 2, t) for t in (pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(seen) + 2, pa.int64()), pa.nulls(len(seen) + 2, pa.binary()),
-             pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [n_docs, total]))], schema=schema)
+            [*none, pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [n_docs, total]))], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids binary, term long, n long")
+        run, "doc_id long, ids binary, terms binary, term long, n long")
 
 
 def document_frequencies(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
@@ -137,7 +154,7 @@ class Seeds:
         self.first = np.cumsum([0] + [len(t) for t in terms])
         self.term = np.concatenate(terms) if terms else np.empty(0, np.uint16)
         # of each seed the rarest terms that another document has too
-        owner = self.owner()
+        owner = np.repeat(np.arange(len(seed)), np.diff(self.first))
         order = np.lexsort((stats.rank[self.term], owner))
         place = np.arange(len(order)) - self.first[owner[order]]
         self.is_key = np.zeros(len(self.term), bool)
@@ -151,9 +168,6 @@ class Seeds:
     def __len__(self) -> int:
         return len(self.seed)
 
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.seed), dtype=np.int32), np.diff(self.first))
-
 
 def _add_lines(out: np.ndarray, owner: np.ndarray, lines: np.ndarray) -> None:
     """out[owner] += lines, for owners in rising order."""
@@ -162,17 +176,19 @@ def _add_lines(out: np.ndarray, owner: np.ndarray, lines: np.ndarray) -> None:
         out[owner[first]] += np.add.reduceat(lines, first, axis=0)
 
 
-def fit_basis(docs: list[np.ndarray], stats: Statistics, rank: int = RANK, max_terms: int = SAMPLE_TERMS) -> np.ndarray:
+def fit_basis(docs: list[bytes], lengths: np.ndarray, stats: Statistics, dtype: np.dtype, rank: int = RANK, max_terms: int = SAMPLE_TERMS) -> np.ndarray:
     """The main directions of the BM25 vectors of sample documents (their most
     frequent terms), as a matrix (vocabulary, at most ``rank``)."""
-    owner, term, count = unique_terms(docs)
+    pairs = [unpack_terms(d, dtype) for d in docs]
+    owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in pairs])
+    term = np.concatenate([t for t, _ in pairs] or [np.empty(0, dtype)])
+    count = np.concatenate([c for _, c in pairs] or [np.empty(0, dtype)])
     common = np.argsort(-stats.df, kind="stable")[:max_terms]
     place = np.full(len(stats.df), -1)
     place[common] = np.arange(len(common))
-    length = np.array([len(d) for d in docs], np.int64)
     inside = place[term] >= 0
     matrix = np.zeros((len(docs), len(common)), np.float32)
-    matrix[owner[inside], place[term[inside]]] = stats.weights(term, count, length[owner])[inside]
+    matrix[owner[inside], place[term[inside]]] = stats.weights(term, count, lengths[owner])[inside]
     values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
     main = np.flatnonzero(values > 1e-6 * max(values.max(initial=0), 1))[-rank:]
     basis = np.zeros((len(stats.df), max(len(main), 1)), np.float32)
@@ -184,90 +200,63 @@ def fit_basis(docs: list[np.ndarray], stats: Statistics, rank: int = RANK, max_t
 class ShardIndex:
     """BM25 inverted index of a shard, its forward lists and its summary."""
 
-    def __init__(self, docs: list[np.ndarray], stats: Statistics, basis: np.ndarray) -> None:
-        self.size = len(docs)
-        owner, self.term, count = unique_terms(docs)
-        length = np.array([len(d) for d in docs], np.int64)
-        self.weight = stats.weights(self.term, count, length[owner])
-        self.first = np.searchsorted(owner, np.arange(self.size + 1))
-        order = np.argsort(self.term.astype(np.uint16 if len(stats.df) <= 1 << 16 else np.uint32), kind="stable")
-        self.posting_doc = owner[order].astype(np.int32)
-        self.posting_weight = self.weight[order].astype(np.float32) * np.float32(KEY_WEIGHT)
-        self.posting_first = np.searchsorted(self.term[order], np.arange(len(stats.df) + 1))
+    def __init__(self, docs: list[bytes], lengths: np.ndarray, stats: Statistics, basis: np.ndarray, dtype: np.dtype) -> None:
+        self.size, self.vocabulary = len(docs), len(stats.df)
+        pairs = [unpack_terms(d, dtype) for d in docs]
+        self.first = np.cumsum([0] + [len(t) for t, _ in pairs])
+        self.term = np.concatenate([t for t, _ in pairs] or [np.empty(0, dtype)])
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
+        count = np.concatenate([c for _, c in pairs] or [np.empty(0, dtype)])
+        self.weight = stats.weights(self.term, count, lengths[owner])
+        order = np.argsort(self.term, kind="stable")
+        self.posting_doc = owner[order].astype(np.int64)
+        self.posting_weight = self.weight[order] * KEY_WEIGHT
+        self.posting_first = np.searchsorted(self.term[order], np.arange(self.vocabulary + 1))
         self.summary = np.zeros((self.size, basis.shape[1]), np.float32)
         for at in range(0, len(self.term), 1 << 20):
             some = slice(at, at + (1 << 20))
             _add_lines(self.summary, owner[some], basis[self.term[some]] * self.weight[some, None].astype(np.float32))
 
-    def ranked(self, seeds: Seeds, owner: np.ndarray, block: slice) -> np.ndarray:
-        """Approximate scores (seeds of the block x documents)."""
-        out = seeds.summary[block] @ self.summary.T
-        flat = out.reshape(-1)
-        a, b = seeds.first[block.start], seeds.first[block.stop]
-        keys = a + np.flatnonzero(seeds.is_key[a:b])
-        line = owner[keys].astype(np.int64) - block.start
-        # one key term of each seed at a time: no place occurs twice in an addition
-        turn = np.arange(len(keys)) - np.searchsorted(line, line)
-        for j in range(int(turn.max(initial=-1)) + 1):
-            now = turn == j
-            t, row = seeds.term[keys[now]].astype(np.int64), line[now]
-            start, n = self.posting_first[t], self.posting_first[t + 1] - self.posting_first[t]
-            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            flat[np.repeat(row * self.size, n) + self.posting_doc[at]] += self.posting_weight[at]
-        return out
-
-    def exact(self, seeds: Seeds, owner: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """BM25 scores of (seed, document) pairs, all of the seed's terms; the
-        pairs are in the order of the seeds."""
-        out = np.zeros(len(seed))
-        n = self.first[doc + 1] - self.first[doc]
-        for a, b in _slices(n, 1 << 20):
-            some = n[a:b]
-            at = np.repeat(self.first[doc[a:b]] - (np.cumsum(some) - some), some) + np.arange(some.sum())
-            low, high = int(seed[a]), int(seed[b - 1]) + 1
-            asked = np.zeros((high - low, len(self.posting_first) - 1), bool)
-            t = slice(seeds.first[low], seeds.first[high])
-            asked[owner[t] - low, seeds.term[t]] = True
-            hit = asked[np.repeat(seed[a:b] - low, some), self.term[at]]
-            out[a:b] = np.bincount(np.repeat(np.arange(b - a), some)[hit], self.weight[at[hit]], b - a)
-        return out
-
-    def neighbours(self, seeds: Seeds, key: np.ndarray, wanted: float,
-                   k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def add_postings(self, line: np.ndarray, keys: np.ndarray) -> None:
+        """Add the weights of the documents with each of the terms ``keys``."""
+        slices = [slice(self.posting_first[t], self.posting_first[t + 1]) for t in keys]
+        if slices:
+            line += np.bincount(np.concatenate([self.posting_doc[s] for s in slices]),
+                                np.concatenate([self.posting_weight[s] for s in slices]), self.size).astype(np.float32)
+
+    def neighbours(self, seeds: Seeds, key: np.ndarray, wanted: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(seed, document, score) of up to ``k`` best neighbours of each seed,
-        out of about ``wanted`` that are scored exactly. ``key`` names the
-        documents as ``seeds.seed`` does the seeds; a seed is not its own
-        neighbour. Ties go to the smaller key."""
-        owner = seeds.owner()
+        out of ``wanted`` or more documents that are scored exactly. ``key``
+        names the documents as ``seeds.seed`` does the seeds; a seed is not its
+        own neighbour. Ties go to the smaller key."""
         step = max(1, self.size // 1024)
-        sample = min(-(-self.size // step) - 1, max(0, int(wanted / step)))
+        sampled, nth = -(-self.size // step), int(wanted / step)
+        asked = np.zeros(self.vocabulary)
+        out_seed, out_doc, out_score = [], [], []
         for at in range(0, len(seeds), SEED_BLOCK):
-            block = slice(at, min(at + SEED_BLOCK, len(seeds)))
-            rough = self.ranked(seeds, owner, block)
-            if wanted >= self.size:
-                bound = np.full(len(rough), -np.inf, np.float32)
-            else:
-                bound = -np.partition(-rough[:, ::step], sample, axis=1)[:, sample]
-            row, doc = np.nonzero(rough >= bound[:, None])
-            seed = row + at
-            other = key[doc] != seeds.seed[seed]
-            seed, doc = seed[other], doc[other]
-            score = self.exact(seeds, owner, seed, doc)
-            order = np.lexsort((key[doc], -score, seed))
-            seed, doc, score = seed[order], doc[order], score[order]
-            keep = (np.arange(len(seed)) - np.searchsorted(seed, seed) < k) & (score > 0)
-            yield seed[keep], doc[keep], score[keep]
-
-
-def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring items of about ``most`` together."""
-    ends = np.cumsum(sizes)
-    a = 0
-    while a < len(sizes):
-        before = ends[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield a, b
-        a = b
+            rough = seeds.summary[at:at + SEED_BLOCK] @ self.summary.T
+            for i, line in enumerate(rough, at):
+                terms = slice(seeds.first[i], seeds.first[i + 1])
+                own = seeds.term[terms]
+                self.add_postings(line, own[seeds.is_key[terms]])
+                if nth + 1 < sampled:
+                    # the bound that about ``wanted`` documents reach, from every step-th one
+                    docs = np.flatnonzero(line >= np.partition(line[::step], sampled - 1 - nth)[sampled - 1 - nth])
+                else:
+                    docs = np.arange(self.size)
+                docs = docs[key[docs] != seeds.seed[i]]
+                asked[own] = 1
+                score = np.array([self.weight[a:b] @ asked[self.term[a:b]] for a, b in
+                                  zip(self.first[docs].tolist(), self.first[docs + 1].tolist(), strict=True)])
+                asked[own] = 0
+                best = np.lexsort((key[docs], -score))[:k]
+                best = best[score[best] > 0]
+                out_seed.append(np.full(len(best), i))
+                out_doc.append(docs[best])
+                out_score.append(score[best])
+        none = [np.empty(0, np.int64)]
+        return (np.concatenate(out_seed or none), np.concatenate(out_doc or none),
+                np.concatenate(out_score or [np.empty(0)]))
 
 
 def hot_copies(tokens: DataFrame) -> tuple[DataFrame, int]:
@@ -285,14 +274,15 @@ def with_hot(rows: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
 
 
 def _deal(tokens: DataFrame, shards: int, hot: DataFrame, n_hot: int) -> DataFrame:
-    """shard, key, ids in shards of the keys' hash, sorted. Of rows that share
+    """shard, key, length, terms in shards of the keys' hash, sorted. Of rows that share
     a key one is enough: what has very many copies is reduced beforehand."""
-    rows = tokens.select("key", "ids")
+    rows = tokens.select("key", "length", "terms")
     if n_hot:
         marked = with_hot(rows, hot, n_hot)
         rows = marked.filter(~F.col("hot")).unionByName(marked.filter("hot").dropDuplicates(["key"])).drop("hot")
     shard = F.pmod("key", F.lit(shards)).alias("shard")
-    return (rows.select(shard, "key", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "key"))
+    return (rows.select(shard, "key", "length", "terms").repartition(shards, "shard")
+            .sortWithinPartitions("shard", "key"))
 
 
 def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs: int, hot: tuple[DataFrame, int],
@@ -304,48 +294,42 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
     shards = max(1, -(-docs // shard_docs))
     dealt = _deal(tokens, shards, *hot)
 
-    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([np.unique(np.frombuffer(x.as_buffer(), dtype)).tobytes()
-                                            for x in batch.column(1)], pa.binary())], ["seed", "terms"])
-
-    all_seeds = written(tokens.filter(F.col("doc_id") % seed_every == 0).select("key", "ids").mapInArrow(
-        terms_of, "seed long, terms binary").dropDuplicates(["seed"]))
-    n_terms = (all_seeds.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) // dtype.itemsize
+    all_seeds = written(tokens.filter(F.col("doc_id") % seed_every == 0).select(
+        F.col("key").alias("seed"), "terms").dropDuplicates(["seed"]))
+    n_terms = (all_seeds.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) // (2 * dtype.itemsize)
     passes = max(1, -(-n_terms // PASS_TERMS))
     share = max(1, -(-docs // SAMPLE_DOCS))
-    sample = (tokens.filter(F.pmod(F.hash("key"), F.lit(share)) == 0).select("key", F.substring("ids", 1, 1 << 14).alias("ids"))
+    sample = (tokens.filter(F.pmod(F.hash("key"), F.lit(share)) == 0).select("key", "length", "terms")
               .limit(4 * SAMPLE_DOCS).orderBy("key").toArrow())
-    basis = fit_basis([np.frombuffer(x.as_buffer(), dtype) for x in sample["ids"]], stats)
+    basis = fit_basis(sample["terms"].to_pylist(), sample["length"].to_numpy(), stats, dtype)
     wanted = candidates / shards + 2
 
     def one_pass(number: int) -> DataFrame:
         mine = all_seeds.filter(F.pmod(F.hash("seed"), F.lit(passes)) == number) if passes > 1 else all_seeds
         table = mine.orderBy("seed").toArrow()
-        seeds = Seeds(table["seed"].to_numpy(), [np.frombuffer(x.as_buffer(), dtype) for x in table["terms"]],
+        seeds = Seeds(table["seed"].to_numpy(), [unpack_terms(x, dtype)[0] for x in table["terms"].to_pylist()],
                       stats, basis)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def search(keys: list[int], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-                index, key = ShardIndex(ids, stats, basis), np.array(keys, np.int64)
-                for seed, doc, score in index.neighbours(seeds, key, wanted, k):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(seeds.seed[seed]), pa.array(key[doc]), pa.array(score)], ["seed", "key", "score"])
+            def search(keys: list[int], lengths: list[int], terms: list[bytes]) -> pa.RecordBatch:
+                index, key = ShardIndex(terms, np.array(lengths, np.int64), stats, basis, dtype), np.array(keys, np.int64)
+                seed, doc, score = index.neighbours(seeds, key, wanted, k)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(seeds.seed[seed]), pa.array(key[doc]), pa.array(score)], ["seed", "key", "score"])
 
-            now, keys, ids = None, [], []
+            now, keys, lengths, terms = None, [], [], []
             for batch in batches:
-                for shard, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
-                                           strict=True):
+                for shard, key, length, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     if shard != now and keys:
-                        yield from search(keys, ids)
-                        keys, ids = [], []
+                        yield search(keys, lengths, terms)
+                        keys, lengths, terms = [], [], []
                     now = shard
                     if not keys or key != keys[-1]:
                         keys.append(key)
-                        ids.append(np.frombuffer(raw.as_buffer(), dtype).copy())
+                        lengths.append(length)
+                        terms.append(raw)
             if keys:
-                yield from search(keys, ids)
+                yield search(keys, lengths, terms)
 
         best = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "key"))
         found = dealt.mapInArrow(run, "seed long, key long, score double")
@@ -437,18 +421,16 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
 
-def _rarest(docs: list[np.ndarray], stats: Statistics) -> np.ndarray:
+def _rarest(docs: list[bytes], stats: Statistics, dtype: np.dtype) -> np.ndarray:
     """Ranks of the three rarest ids that another document has too, rarest
     first, of each document; the vocabulary's size where there is none."""
     none = len(stats.df)
+    rank = np.where(stats.df > 1, stats.rank, none)
     out = np.full((len(docs), 3), none, np.int64)
-    owner, term, _ = unique_terms(docs)
-    shared = stats.df[term] > 1
-    owner, rank = owner[shared], stats.rank[term[shared]]
-    order = np.lexsort((rank, owner))
-    place = np.arange(len(order)) - np.searchsorted(owner, owner[order])
-    first = place < 3
-    out[owner[order[first]], place[first]] = rank[order[first]]
+    for i, raw in enumerate(docs):
+        own = rank[unpack_terms(raw, dtype)[0]]
+        first = np.sort(np.partition(own, 2)[:3]) if len(own) > 3 else np.sort(own)
+        out[i, :len(first)] = first
     return out
 
 
@@ -469,7 +451,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     table = written(tokenize(docs, path, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "ids")))
     df, n_docs, n_tokens = document_frequencies(table, model.size)
     stats = Statistics(df, n_docs, n_tokens)
-    tokens = table.filter(F.col("ids").isNotNull()).select("doc_id", "ids", "key")
+    tokens = table.filter(F.col("ids").isNotNull()).select(
+        "doc_id", "ids", "terms", "key", (F.octet_length("ids") / dtype.itemsize).cast("long").alias("length"))
     hot = hot_copies(tokens)
     found = find_neighbours(tokens, stats, dtype, n_docs, hot, seed_every, shard_docs)
     used = written(assign(tokens, found, seed_every))
@@ -484,16 +467,17 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                key, copy = batch.column(1).to_numpy(), batch.column(5).to_numpy()
-                rare = _rarest([np.frombuffer(x.as_buffer(), dtype) for x in batch.column(2)], stats)
-                free = np.asarray(batch.column(3).is_null())
-                cluster = np.where(free, rare[:, 0], batch.column(3).fill_null(0).to_numpy())
-                score = batch.column(4).fill_null(0.0).to_numpy()
+            for at in range(0, whole.num_rows, SLICE_DOCS):
+                batch = whole.slice(at, SLICE_DOCS)
+                key, copy = batch["key"].to_numpy(), batch["copy"].to_numpy()
+                free = np.asarray(batch["cluster"].is_null())
+                rare = np.zeros((len(key), 3), np.int64)
+                rare[free] = _rarest(batch["terms"].filter(pa.array(free)).to_pylist(), stats, dtype)
+                cluster = np.where(free, rare[:, 0], batch["cluster"].fill_null(0).to_numpy())
+                score = batch["score"].fill_null(0.0).to_numpy()
                 part = np.where(free, (key + copy) % parts[rare[:, 0]], 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(free.astype(np.int32)),
+                    [batch["doc_id"], batch["key"], batch["ids"], pa.array(free.astype(np.int32)),
                      pa.array(cluster), pa.array(part), pa.array(np.where(free, 0.0, -score)),
                      pa.array(np.where(free, rare[:, 1] << 32 | rare[:, 2], 0))], columns)
 
@@ -514,7 +498,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     # rows of one id and text are alike: the very many are spread by arrival
     joined = with_hot(counted_join(tokens, used, "key", how="left"), *hot)
     rows = joined.select(
-        "doc_id", "key", "ids", F.when(~F.col("hot"), F.col("cluster")).alias("cluster"), "score",
+        "doc_id", "key", "ids", "terms", F.when(~F.col("hot"), F.col("cluster")).alias("cluster"), "score",
         F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0).alias("copy"))
     order = ["kind", "cluster", "part"]
     return (rows.mapInArrow(place, "doc_id long, key long, ids binary, kind int, cluster long, part long, "
