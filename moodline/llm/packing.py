@@ -48,7 +48,7 @@ CANDIDATES = 128
 #: Bounds of the seeds of a pass, and of those scored together.
 PASS_TERMS, SEED_BLOCK = 4_000_000, 256
 #: Documents tokenized or placed together.
-SLICE_DOCS = 4096
+SLICE_DOCS = 2048
 #: Tokens of a packing task.
 TASK_TOKENS = 2_000_000
 #: Windows of a task that wait for documents to fill them.
@@ -62,13 +62,18 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def unique_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of the different terms of each document, by
     document, then term."""
-    sizes = [len(d) for d in docs]
-    if not sum(sizes):
-        return (np.empty(0, np.int64),) * 3
-    both = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, sizes) + np.concatenate(docs)
-    both.sort()
-    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-    return both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))
+    found = []
+    for at in range(0, len(docs), 256):  # few at a time: the numbers to sort stay small
+        some = docs[at:at + 256]
+        both = np.concatenate(some).astype(np.int64)
+        both += np.repeat(np.arange(at, at + len(some)) << 32, [len(d) for d in some])
+        both.sort()
+        new = np.ones(len(both), bool)
+        np.not_equal(both[1:], both[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        found.append((both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))))
+    none = [(np.empty(0, np.int64),) * 3]
+    return tuple(np.concatenate(x) for x in zip(*(found or none), strict=True))
 
 
 def pack_terms(term: np.ndarray, count: np.ndarray, dtype: np.dtype) -> bytes:
@@ -229,7 +234,7 @@ class ShardIndex:
         out of ``wanted`` or more documents that are scored exactly. ``key``
         names the documents as ``seeds.seed`` does the seeds; a seed is not its
         own neighbour. Ties go to the smaller key."""
-        step = max(1, self.size // 1024)
+        step = max(1, self.size // 2048)
         sampled, nth = -(-self.size // step), int(wanted / step)
         asked = np.zeros(self.vocabulary)
         out_seed, out_doc, out_score = [], [], []

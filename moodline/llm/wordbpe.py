@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 
 #: Bound of the memo, two generations of half as many words and parts (and one
 #: slice's).
-MEMO_PARTS = 1_000_000
+MEMO_PARTS = 700_000
 #: Texts are encoded together up to so many characters; longer ones in pieces.
-SLICE_CHARS = 1 << 23
+SLICE_CHARS = 1 << 22
 _SPACE = re.compile(r"[\t\n\x0b\x0c\r ]")
 _PLAIN_PARTS = re.compile(r"[a-zß-öø-ɏ]+|[0-9]|[!-/:-`{-~]+")
 #: Texts of ASCII (no apostrophe, no control character but white space) and
@@ -130,6 +130,7 @@ class WordBpe:
         np.not_equal(kind[1:], kind[:-1], out=new[1:])
         new |= kind == _DIGIT
         starts = np.append(np.flatnonzero(new), len(blob))
+        del kind, new
         runs = pa.LargeStringArray.from_buffers(
             len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(blob)).dictionary_encode()
         distinct, at = runs.dictionary.to_pylist(), runs.indices.to_numpy()
@@ -142,8 +143,9 @@ class WordBpe:
         n = sizes[at]
         ends = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=ends[1:])
-        from_pool = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n)
-        from_pool += np.arange(len(from_pool))
+        # places in the pool; a slice has far fewer than 2^31 ids
+        from_pool = np.repeat(((np.cumsum(sizes) - sizes)[at] - ends[:-1]).astype(np.int32), n)
+        from_pool += np.arange(len(from_pool), dtype=np.int32)
         flat = pool[from_pool]
         first = np.cumsum([0] + [len(e) + 1 for e in encoded])
         # the run before a text's first one may hold its leading white space
