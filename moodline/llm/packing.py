@@ -16,6 +16,7 @@ their rarest ids. The ids are shuffled once, by place; text never is.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -279,14 +280,17 @@ def with_hot(rows: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
 
 
 def _deal(tokens: DataFrame, shards: int, hot: DataFrame, n_hot: int) -> DataFrame:
-    """shard, key, length, terms in shards of the keys' hash, sorted. Of rows that share
-    a key one is enough: what has very many copies is reduced beforehand."""
+    """shard, key, length, terms in shards of the keys' hash, sorted. Of rows
+    that share a key one is enough: what has very many copies is reduced
+    beforehand. A task reads several shards one after the other and gives one
+    list for each seed, so the lists to merge grow with the root of the shards."""
     rows = tokens.select("key", "length", "terms")
     if n_hot:
         marked = with_hot(rows, hot, n_hot)
         rows = marked.filter(~F.col("hot")).unionByName(marked.filter("hot").dropDuplicates(["key"])).drop("hot")
     shard = F.pmod("key", F.lit(shards)).alias("shard")
-    return (rows.select(shard, "key", "length", "terms").repartition(shards, "shard")
+    tasks = -(-3 * math.isqrt(4 * shards) // 4)
+    return (rows.select(shard, "key", "length", "terms").repartition(tasks, F.pmod("shard", F.lit(tasks)))
             .sortWithinPartitions("shard", "key"))
 
 
@@ -316,17 +320,22 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
                       stats, basis)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def search(keys: list[int], lengths: list[int], terms: list[bytes]) -> pa.RecordBatch:
+            found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+            def search(keys: list[int], lengths: list[int], terms: list[bytes]) -> None:
+                nonlocal found
                 index, key = ShardIndex(terms, np.array(lengths, np.int64), stats, basis, dtype), np.array(keys, np.int64)
                 seed, doc, score = index.neighbours(seeds, key, wanted, k)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(seeds.seed[seed]), pa.array(key[doc]), pa.array(score)], ["seed", "key", "score"])
+                seed, doc, score = (np.concatenate(x) for x in zip(found, (seed, key[doc], score), strict=True))
+                order = np.lexsort((doc, -score, seed))
+                order = order[np.arange(len(order)) - np.searchsorted(seed[order], seed[order]) < k]
+                found = seed[order], doc[order], score[order]
 
             now, keys, lengths, terms = None, [], [], []
             for batch in batches:
                 for shard, key, length, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     if shard != now and keys:
-                        yield search(keys, lengths, terms)
+                        search(keys, lengths, terms)
                         keys, lengths, terms = [], [], []
                     now = shard
                     if not keys or key != keys[-1]:
@@ -334,7 +343,11 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
                         lengths.append(length)
                         terms.append(raw)
             if keys:
-                yield search(keys, lengths, terms)
+                search(keys, lengths, terms)
+            for at in range(0, len(found[0]), 1 << 16):
+                seed, key, score = (x[at:at + (1 << 16)] for x in found)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.seed[seed]), pa.array(key), pa.array(score)],
+                                                 ["seed", "key", "score"])
 
         best = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "key"))
         found = dealt.mapInArrow(run, "seed long, key long, score double")
