@@ -213,14 +213,19 @@ class ShardIndex:
         self.term = np.concatenate([t for t, _ in pairs] or [np.empty(0, dtype)])
         owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
         count = np.concatenate([c for _, c in pairs] or [np.empty(0, dtype)])
-        self.weight = stats.weights(self.term, count, lengths[owner])
-        order = np.argsort(self.term, kind="stable")
-        self.posting_doc = owner[order].astype(np.int64)
-        self.posting_weight = self.weight[order] * KEY_WEIGHT
+        del pairs
+        self.weight = np.empty(len(self.term))
+        for at in range(0, len(self.term), 1 << 18):
+            some = slice(at, at + (1 << 18))
+            self.weight[some] = stats.weights(self.term[some], count[some], lengths[owner[some]])
+        order = np.argsort(self.term, kind="stable").astype(np.int32)
+        self.posting_doc = owner[order]
+        self.posting_weight = (self.weight[order] * KEY_WEIGHT).astype(np.float32)
         self.posting_first = np.searchsorted(self.term[order], np.arange(self.vocabulary + 1))
+        del order
         self.summary = np.zeros((self.size, basis.shape[1]), np.float32)
-        for at in range(0, len(self.term), 1 << 20):
-            some = slice(at, at + (1 << 20))
+        for at in range(0, len(self.term), 1 << 18):
+            some = slice(at, at + (1 << 18))
             _add_lines(self.summary, owner[some], basis[self.term[some]] * self.weight[some, None].astype(np.float32))
 
     def add_postings(self, line: np.ndarray, keys: np.ndarray) -> None:
@@ -320,6 +325,7 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
                       stats, basis)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wordbpe.load.cache_clear()  # the worker's memo of words is not needed any more
             found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
             def search(keys: list[int], lengths: list[int], terms: list[bytes]) -> None:
@@ -500,6 +506,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                      pa.array(np.where(free, rare[:, 1] << 32 | rare[:, 2], 0))], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordbpe.load.cache_clear()
         packer, now = Packer(TaskContext.get().partitionId(), window), None
         for batch in batches:
             for doc_id, raw, kind, cluster in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
