@@ -49,7 +49,7 @@ CANDIDATES = 128
 #: Bounds of the seeds of a pass, and of those scored together.
 PASS_TERMS, SEED_BLOCK = 4_000_000, 256
 #: Documents tokenized or placed together.
-SLICE_DOCS = 2048
+SLICE_DOCS = 1024
 #: Tokens of a packing task.
 TASK_TOKENS = 2_000_000
 #: Windows of a task that wait for documents to fill them.

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 #: Bound of the memo, two generations of half as many words and parts (and one
 #: slice's).
-MEMO_PARTS = 600_000
+MEMO_PARTS = 300_000
 #: Texts are encoded together up to so many characters; longer ones in pieces.
 SLICE_CHARS = 1 << 22
 _SPACE = re.compile(r"[\t\n\x0b\x0c\r ]")
