@@ -24,6 +24,7 @@ from pyspark.sql import types as Ty
 
 from moodline.functions import text as T
 from moodline.operators import naive_bayes as nb
+from moodline.operators.encoding import slices
 from moodline.operators.joins import fits_broadcast
 
 SUMS = ["s0", "s1", "s2", "n_known"]
@@ -56,21 +57,24 @@ def sums_in_place(model: nb.NBModel, docs: DataFrame, keys: list[str], text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, own = shared.value
-        for batch in batches:
-            tokens = batch.column(batch.num_columns - 1)
-            try:
-                sums = scorer(tokens, vocabulary, own)
+        for whole in batches:
+            size = pc.list_value_length(whole.column(whole.num_columns - 1)).fill_null(0).to_numpy()
+            for at, stop in slices(size):  # the sums' memory is bounded by a slice's tokens
+                batch = whole.slice(at, stop - at)
+                tokens = batch.column(batch.num_columns - 1)
                 failed = np.zeros(len(tokens), bool)
-            except Exception:  # one bad text must not fail its batch
-                sums, failed = np.zeros((len(tokens), len(SUMS)), np.int64), np.zeros(len(tokens), bool)
-                for i in range(len(tokens)):
-                    try:
-                        sums[i] = scorer(tokens.slice(i, 1), vocabulary, own)[0]
-                    except Exception:
-                        failed[i] = True
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(sums[:, c], mask=failed) for c in range(len(SUMS)))],
-                [*batch.schema.names[:-1], *SUMS])
+                try:
+                    sums = scorer(tokens, vocabulary, own)
+                except Exception:  # one bad text must not fail its slice
+                    sums = np.zeros((len(tokens), len(SUMS)), np.int64)
+                    for i in range(len(tokens)):
+                        try:
+                            sums[i] = scorer(tokens.slice(i, 1), vocabulary, own)[0]
+                        except Exception:
+                            failed[i] = True
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], *(pa.array(sums[:, c], mask=failed) for c in range(len(SUMS)))],
+                    [*batch.schema.names[:-1], *SUMS])
 
     return rows.mapInArrow(run, schema)
 

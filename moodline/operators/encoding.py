@@ -24,6 +24,8 @@ MAX_LENGTH = 128
 CHUNK_TOKENS = MAX_LENGTH - 2
 PAD_ID, START_ID, END_ID, UNKNOWN_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
+#: Tokens looked up and chunks built at a time.
+SLICE_TOKENS, SLICE_CHUNKS = 1 << 18, 1 << 13
 #: Hash ranges in which the tokens of one frequency are numbered.
 RANK_BITS = 16
 
@@ -80,40 +82,69 @@ def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "
                          .alias("attention_mask"))
 
 
+def chunk_schema(key: Ty.StructField) -> Ty.StructType:
+    return Ty.StructType([key, Ty.StructField("chunk", Ty.LongType()), Ty.StructField("n_tokens", Ty.IntegerType()),
+                          Ty.StructField("input_ids", Ty.ArrayType(Ty.LongType())),
+                          Ty.StructField("attention_mask", Ty.ArrayType(Ty.IntegerType()))])
+
+
+def slices(size: np.ndarray, most: int = SLICE_TOKENS) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring rows with about ``most`` tokens together, or
+    one longer text."""
+    ends = np.cumsum(size, dtype=np.int64)
+    at = 0
+    while at < len(size):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, stop
+        at = stop
+
+
+def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """(keys, token lists) of the slices of a (key, tokens) batch."""
+    for at, stop in slices(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy()):
+        part = batch.slice(at, stop - at)
+        yield part.column(0), part.column(1)
+
+
+def chunk_slices(keys: pa.Array, size: np.ndarray, flat: np.ndarray, key: str, start_id: int = START_ID,
+                 end_id: int = END_ID, pad_id: int = PAD_ID) -> Iterator[pa.RecordBatch]:
+    """Rows (key, chunk, n_tokens, input_ids, attention_mask) of texts with
+    ``size`` ids each, one after the other in ``flat``; SLICE_CHUNKS at a time."""
+    first = np.cumsum(size) - size
+    parts = -(-size // CHUNK_TOKENS)
+    every = np.repeat(np.arange(len(size)), parts)
+    number = np.arange(len(every)) - np.repeat(np.cumsum(parts) - parts, parts)
+    place = np.arange(CHUNK_TOKENS)
+    for at in range(0, len(every), SLICE_CHUNKS):
+        owner, chunk = every[at:at + SLICE_CHUNKS], number[at:at + SLICE_CHUNKS]
+        n = np.minimum(CHUNK_TOKENS, size[owner] - chunk * CHUNK_TOKENS)
+        inside = place < n[:, None]
+        ids = np.full((len(owner), MAX_LENGTH), pad_id, np.int64)
+        ids[:, 0] = start_id
+        ids[:, 1:-1][inside] = flat[((first[owner] + chunk * CHUNK_TOKENS)[:, None] + place)[inside]]
+        ids[np.arange(len(owner)), n + 1] = end_id
+        mask = (np.arange(MAX_LENGTH) < (n + 2)[:, None]).astype(np.int32)
+        edges = pa.array(np.arange(len(owner) + 1, dtype=np.int32) * MAX_LENGTH)
+        yield pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(owner)), pa.array(chunk.astype(np.int64)), pa.array(size[owner].astype(np.int32)),
+             pa.ListArray.from_arrays(edges, pa.array(ids.ravel())), pa.ListArray.from_arrays(edges, pa.array(mask.ravel()))],
+            [key, "chunk", "n_tokens", "input_ids", "attention_mask"])
+
+
 def _encode_in_place(toks: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """The chunks of each token array, made in Arrow batches without a shuffle."""
+    """The chunks of each token array, made in Arrow batches without a shuffle,
+    a bounded number of tokens at a time."""
     table = lookup.toArrow()
     shared = toks.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].to_numpy()))
-    key_type = toks.schema[key].dataType
-    schema = Ty.StructType([Ty.StructField(key, key_type), Ty.StructField("chunk", Ty.LongType()),
-                            Ty.StructField("n_tokens", Ty.IntegerType()),
-                            Ty.StructField("input_ids", Ty.ArrayType(Ty.LongType())),
-                            Ty.StructField("attention_mask", Ty.ArrayType(Ty.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, token_ids = shared.value
         known = np.append(token_ids, UNKNOWN_ID)
         for batch in batches:
-            tokens = batch.column(1)
-            flat = known[pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(len(vocabulary)).to_numpy()]
-            size = pc.list_value_length(tokens).fill_null(0).to_numpy()
-            first = np.cumsum(size) - size
-            parts = -(-size // CHUNK_TOKENS)
-            owner = np.repeat(np.arange(len(size)), parts)
-            chunk = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            n = np.minimum(CHUNK_TOKENS, size[owner] - chunk * CHUNK_TOKENS)
-            place = np.arange(CHUNK_TOKENS)
-            inside = place < n[:, None]
-            ids = np.full((len(owner), MAX_LENGTH), PAD_ID, np.int64)
-            ids[:, 0] = START_ID
-            ids[:, 1:-1][inside] = flat[((first[owner] + chunk * CHUNK_TOKENS)[:, None] + place)[inside]]
-            ids[np.arange(len(owner)), n + 1] = END_ID
-            mask = (np.arange(MAX_LENGTH) < (n + 2)[:, None]).astype(np.int32)
-            edges = pa.array(np.arange(len(owner) + 1, dtype=np.int32) * MAX_LENGTH)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner)), pa.array(chunk.astype(np.int64)),
-                 pa.array(size[owner].astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array(ids.ravel())),
-                 pa.ListArray.from_arrays(edges, pa.array(mask.ravel()))],
-                [key, "chunk", "n_tokens", "input_ids", "attention_mask"])
-
-    return toks.mapInArrow(run, schema)
+            for keys, tokens in token_slices(batch):
+                flat = known[pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(len(vocabulary)).to_numpy()]
+                size = pc.list_value_length(tokens).fill_null(0).to_numpy().astype(np.int64)
+                yield from chunk_slices(keys, size, flat, key)
+
+    return toks.mapInArrow(run, chunk_schema(toks.schema[key]))

@@ -291,6 +291,18 @@ def encode_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.aggregate(F.col("attention_mask"), F.lit(0), lambda a, x: a + x).alias("mask_ones"))
 
 
+def encode_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 with the pieces of a public vocabulary file: no unknown words."""
+    import public_tokenizers
+
+    from moodline.operators.subwords import encode_subwords as encode
+    p = documents_clean(spark, sf_dir).filter(F.col("has_text")).select("doc_id", "text")
+    enc = encode(p, public_tokenizers.path("word_bpe_49k.json"))
+    return enc.select("doc_id", "chunk", "n_tokens",
+                      F.array_join(F.col("input_ids"), " ").alias("ids_text"),
+                      F.aggregate(F.col("attention_mask"), F.lit(0), lambda a, x: a + x).alias("mask_ones"))
+
+
 # ---------------------------------------------------------------- sources / sinks
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_keyed(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "lang", "source")

@@ -1,0 +1,142 @@
+"""Subword encoding against a brute-force matcher, bounded slices of E1 and K2."""
+
+import json
+import os
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+
+from conftest import SMALL
+from moodline.functions import text as T
+from moodline.operators import encoding as E
+from moodline.operators import subwords as S
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def vocab():
+    with open(PATH, encoding="utf-8") as f:
+        return json.load(f)["model"]["vocab"]
+
+
+def brute(word, vocab, alphabet):
+    """The longest entry first, of all entries, by slicing."""
+    rest, out = "".join(alphabet[b] for b in word.encode()), []
+    while rest:
+        if rest + "</w>" in vocab:
+            return out + [vocab[rest + "</w>"]]
+        n = max(n for n in range(1, len(rest)) if rest[:n] in vocab and not rest[:n].endswith("</w>"))
+        out.append(vocab[rest[:n]])
+        rest = rest[n:]
+    return out
+
+
+def test_words_equal_the_brute_force_matcher(vocab):
+    pieces, alphabet = S.load(PATH), S.byte_alphabet()
+    rng = random.Random(1)
+    words = ["a", "the", "unbelievable", "xqzv" * 40, "épée", "漢字", "😀", "ß", "zzzzzzzz", "w_1", "²", "a" * 5000]
+    words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäéñ_09") for _ in range(rng.randint(1, 18))) for _ in range(3000)]
+    for w in words:
+        assert pieces.cut(w) == brute(w, vocab, alphabet), w
+
+
+def test_pieces_put_together_give_the_word(vocab):
+    names = {i: p for p, i in vocab.items()}
+    back = {c: b for b, c in enumerate(S.byte_alphabet())}
+    for w in ("jurisprudence", "naïveté", "漢字かな", "x9y_z"):
+        joined = "".join(names[i] for i in S.load(PATH).cut(w))
+        assert joined.endswith("</w>") and bytes(back[c] for c in joined.removesuffix("</w>")).decode() == w
+
+
+def test_a_longer_piece_wins_over_a_frequent_one(tmp_path):
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": {**{c: i for i, c in enumerate("abc")}, "a</w>": 3, "b</w>": 4,
+                                                    "c</w>": 5, "ab": 6, "abc": 7, "bc</w>": 8, "<|startoftext|>": 9,
+                                                    "<|endoftext|>": 10}}}))
+    pieces = S.Pieces(str(path))
+    # abc is no word end, so the word abc is ab + c, and the trie never takes the last character unmarked
+    assert [pieces.cut(w) for w in ("abc", "bc", "abcb", "a", "aabc")] == [[6, 5], [8], [7, 4], [3], [0, 6, 5]]
+
+
+def test_chunks_of_a_table(spark, vocab):
+    rows = [(1, "The quick brown Fox, jumps"), (2, ""), (3, None), (4, "word " * 300), (5, "!!!"), (6, "é" * 700),
+            (None, "no key"), (4, "word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in S.encode_subwords(df, PATH).collect():
+        assert len(r["input_ids"]) == len(r["attention_mask"]) == E.MAX_LENGTH
+        n = sum(r["attention_mask"])
+        ids = r["input_ids"]
+        assert (ids[0], ids[n - 1]) == (49406, 49407) and set(ids[n:]) <= {E.PAD_ID}
+        got.setdefault((r["doc_id"], r["n_tokens"]), {})[r["chunk"]] = ids[1:n - 1]
+    alphabet = S.byte_alphabet()
+    want = {}
+    for key, text in rows:
+        ids = [i for w in re.findall(r"\w+", (text or "").lower()) for i in brute(w, vocab, alphabet)]
+        if ids:
+            want[(key, len(ids))] = ids
+    assert {k: sum((v[c] for c in sorted(v)), []) for k, v in got.items()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
+def test_query_equals_brute_force(spark, vocab):
+    import __spark_entry__ as entry
+    from moodline.sources.tables import documents_clean
+    got = {}
+    for r in entry.queries()["encode_subwords"](spark, SMALL).collect():
+        got.setdefault(r["doc_id"], {})[r["chunk"]] = list(map(int, r["ids_text"].split()))[1:r["mask_ones"] - 1]
+    alphabet, memo = S.byte_alphabet(), {}
+    docs = documents_clean(spark, SMALL).filter("has_text").select("doc_id", T.tokens(T.F.col("text")).alias("t")).collect()
+    assert len(docs) > 100
+    for r in docs:
+        want = []
+        for w in r["t"]:
+            if w not in memo:
+                memo[w] = brute(w, vocab, alphabet)
+            want += memo[w]
+        assert sum((got.get(r["doc_id"], {}).get(c, []) for c in range(len(got.get(r["doc_id"], {})))), []) == want
+
+
+def test_text_is_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert "Exchange" not in S.encode_subwords(df, PATH)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_bound_the_tokens_looked_up_together():
+    size = np.array([5, 0, 300_000, 1, 1, 200_000, 200_000, 0, 3])
+    got = list(E.slices(size))
+    assert [a for a, _ in got] == [0, *[b for _, b in got[:-1]]] and got[-1][1] == len(size)
+    assert all(size[a:b].sum() <= E.SLICE_TOKENS or b - a == 1 for a, b in got)
+    assert list(E.slices(np.array([], np.int64))) == []
+
+
+def test_chunks_of_one_very_long_text_come_in_bounded_batches():
+    n = 3_000_000
+    batches = list(E.chunk_slices(pa.array([7]), np.array([n]), np.arange(n) + 4, "doc_id"))
+    assert len(batches) > 2 and max(b.num_rows for b in batches) <= E.SLICE_CHUNKS
+    assert sum(b.num_rows for b in batches) == -(-n // E.CHUNK_TOKENS)
+    last = batches[-1]
+    assert last.column(3)[last.num_rows - 1].as_py()[1] == 4 + (n - 1) // E.CHUNK_TOKENS * E.CHUNK_TOKENS
+
+
+def test_very_long_and_many_long_texts(spark):
+    from moodline.operators import batch_predict as B
+    from moodline.operators import naive_bayes as nb
+    from moodline.operators.joins import materialize
+    train = spark.createDataFrame([(1, "good fine", 2), (2, "bad hate", 0), (3, "ok", 1)], "doc_id long, text string, label int")
+    model = nb.fit(train)
+    model.weights = materialize(model.weights)
+    long = "good bad unknown " * 1_200_000  # 20 MB
+    some = spark.range(2000).selectExpr("id AS doc_id", "repeat('good hate x ', 500 + id % 7) AS text")
+    docs = some.unionByName(spark.createDataFrame([(-1, long)], "doc_id long, text string")).coalesce(1)
+    sums = {r["doc_id"]: r for r in B.sums_in_place(model, docs, ["doc_id"]).collect()}
+    assert len(sums) == 2001 and sums[-1]["n_known"] == 2_400_000
+    assert all(sums[i]["n_known"] == 2 * (500 + i % 7) for i in range(2000))
+    vocab = E.vocabulary(train, "text")
+    enc = E.encode(docs, vocab).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in enc}[-1] == -(-3_600_000 // E.CHUNK_TOKENS) and len(enc) == 2001
