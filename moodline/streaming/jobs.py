@@ -73,12 +73,14 @@ def run_to_parquet(df: DataFrame, kind: str, name: str | None = None) -> tuple[D
     Parquet sink; the sink as a batch DataFrame, and the job's folder."""
     spark = df.sparkSession
     base = job_path(spark, kind, name)
-    q = (df.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    while _KEPT:
-        _KEPT.pop().unpersist()
+    try:
+        q = (df.writeStream.format("parquet").outputMode("append")
+             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        while _KEPT:
+            _KEPT.pop().unpersist()
     return spark.read.schema(df.schema).parquet(f"{base}/out"), base
 
 
@@ -154,7 +156,7 @@ def _with_doc(ev: DataFrame, n_docs: int) -> DataFrame:
     return ev.withColumn("doc_id", F.pmod(F.col("event_id"), F.lit(n_docs)))
 
 
-def _scored_events(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
+def scored_events(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     static, n_static, n_docs = scored_documents(spark, sf_dir)
     joined = _join_static(_with_doc(ev, n_docs), static, n_static)
     return joined.withColumns({c: F.coalesce(c, F.lit(ERROR)) for c in ("sentiment", "toxicity_level")})
@@ -162,7 +164,7 @@ def _scored_events(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame
 
 def stream_scored(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """Every event joined (stream-static) to the scored post it shows."""
-    out = _scored_events(spark, sf_dir, event_stream(spark, sf_dir)).select(
+    out = scored_events(spark, sf_dir, event_stream(spark, sf_dir)).select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "doc_id",
         "sentiment", "toxicity_level")
     return run_to_parquet(out, "stream_scored", name)[0]
@@ -171,7 +173,7 @@ def stream_scored(spark: SparkSession, sf_dir: str, name: str | None = None) ->
 def toxicity_by_hour(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """Tumbling one-hour counts of events per toxicity band (posts that
     cannot be scored count as band ``Error``)."""
-    ev = _scored_events(spark, sf_dir, event_stream(spark, sf_dir).withWatermark("ts", WATERMARK))
+    ev = scored_events(spark, sf_dir, event_stream(spark, sf_dir).withWatermark("ts", WATERMARK))
     agg = ev.groupBy(F.window("ts", WINDOW).alias("w"), "toxicity_level").agg(F.count(F.lit(1)).alias("n_events"))
 
     def shape(w: str, level: str, n: str) -> list[Column]:
@@ -208,7 +210,7 @@ def dedupe_per_minute(spark: SparkSession, sf_dir: str, name: str | None = None)
     """A text is scored at most once per minute: one row per (minute,
     text) with the score, the first request and the number of requests it
     answers. Requests without a text share a row with a null hash."""
-    ev = _scored_events(spark, sf_dir, event_stream(spark, sf_dir).withWatermark("ts", WATERMARK))
+    ev = scored_events(spark, sf_dir, event_stream(spark, sf_dir).withWatermark("ts", WATERMARK))
     # equal texts have equal scores, so the score may be part of the key
     agg = (ev.groupBy(F.window("ts", DEDUPE_WINDOW).alias("w"), "text_hash", "sentiment", "toxicity_level")
            .agg(F.min("event_id").alias("first_event_id"), F.count(F.lit(1)).alias("n_requests")))

@@ -34,6 +34,23 @@ FROM numbered GROUP BY user_id, sid"""
     q["dedupe_per_minute"] = with_ctes(*SCORED, ev) + """SELECT date_trunc('minute', ts) AS minute_start, text_hash,
        sentiment, toxicity_level, min(event_id) AS first_event_id, count(*) AS n_requests
 FROM ev GROUP BY 1, 2, 3, 4"""
+    # the next fill of a text is its first request 60 s or more after this one
+    q["cached_scores_stream"] = "WITH RECURSIVE " + with_ctes(*SCORED, ev, """steps AS (
+  SELECT DISTINCT text_hash, sentiment, toxicity_level, ts,
+         min(ts) OVER (PARTITION BY text_hash, sentiment, toxicity_level ORDER BY ts
+                       RANGE BETWEEN INTERVAL 60 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS following
+  FROM ev)""", """fills AS (
+  SELECT text_hash, sentiment, toxicity_level, min(ts) AS ts FROM steps GROUP BY ALL
+  UNION ALL
+  SELECT s.text_hash, s.sentiment, s.toxicity_level, s.following
+  FROM fills f JOIN steps s ON s.text_hash IS NOT DISTINCT FROM f.text_hash AND s.sentiment = f.sentiment
+       AND s.toxicity_level = f.toxicity_level AND s.ts = f.ts
+  WHERE s.following IS NOT NULL)""").lstrip().removeprefix("WITH") + """SELECT f.text_hash, f.sentiment, f.toxicity_level,
+       f.ts AS scored_at, f.ts + INTERVAL 60 SECOND AS expires_at, arg_min(e.event_id, (e.ts, e.event_id)) AS first_event_id,
+       count(*) AS n_requests
+FROM fills f JOIN ev e ON e.text_hash IS NOT DISTINCT FROM f.text_hash AND e.sentiment = f.sentiment
+     AND e.toxicity_level = f.toxicity_level AND e.ts >= f.ts AND e.ts < f.ts + INTERVAL 60 SECOND
+GROUP BY ALL"""
     q["stream_score_text"] = with_ctes(*MODEL, score_ctes("conversations", ["conv_id", "turn"], name="sp")) + f"""SELECT
        c.conv_id, c.turn,
        CASE WHEN s.conv_id IS NULL THEN 'Error' ELSE {RULE_A.replace('p_', 's.p_')} END AS sentiment,
