@@ -13,6 +13,7 @@ ranked individually.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,58 @@ def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE,
     return global_index(df, key, seed).withColumn("batch_id", F.floor(F.col("idx") / batch_size))
 
 
+EPOCH_ROUNDS = 6
+#: Steps of the walk back into the range; see ``epoch_place``.
+WALK_STEPS = 64
+
+
+def epoch_domain(n: int) -> tuple[int, int]:
+    """(a, b), nearly equal, with a b >= n and a b - n < a."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def epoch_place(idx: Column, n: int, epoch: Column | int, seed: str = SHUFFLE_SEED) -> Column:
+    """Place (0 .. n - 1) of row number ``idx`` (0 .. n - 1) in the order of an
+    epoch: a bijection for every epoch, computed from the row number alone, so
+    that a new order needs no sort, window or shuffle.
+
+    A Feistel network over pairs (l, r) of numbers below (a, b), a b >= n: in
+    turn l and r get a keyed hash of the other one added. A result of n or more
+    is put through the network again until it is below n (cycle walking). Fewer
+    than a numbers lie outside, so a walk has fewer than a steps; beyond
+    WALK_STEPS = 64 steps its chance is (1 / a)^64, with a > 64."""
+    a, b = epoch_domain(n)
+    lead = F.concat(F.lit(f"{seed}:"), (F.lit(epoch) if isinstance(epoch, int) else epoch).cast("string"))
+
+    def keyed(i: Column, half: Column) -> Column:
+        digest = F.md5(F.concat(lead, F.lit(":"), i.cast("string"), F.lit(":"), half.cast("string")))
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+    def network(x: Column) -> Column:
+        halves = F.struct(F.call_function("div", x, F.lit(b)).alias("l"), (x % b).alias("r"))
+        out = F.aggregate(
+            F.sequence(F.lit(0), F.lit(EPOCH_ROUNDS - 1)), halves,
+            lambda s, i: F.when(i % 2 == 0, F.struct(((s["l"] + keyed(i, s["r"]) % a) % a).alias("l"), s["r"].alias("r")))
+            .otherwise(F.struct(s["l"].alias("l"), ((s["r"] + keyed(i, s["l"]) % b) % b).alias("r"))))
+        return F.transform(F.array(out), lambda s: s["l"] * b + s["r"])[0]
+
+    walk = F.sequence(F.lit(1), F.lit(min(a, WALK_STEPS)))
+    return F.aggregate(walk, F.lit(-1).cast("long"),
+                       lambda x, i: F.when(x.between(0, n - 1), x).otherwise(network(F.when(i == 1, idx).otherwise(x))))
+
+
+def with_epoch_batches(df: DataFrame, key: str, epochs: int, batch_size: int = BATCH_SIZE, seed: str = SHUFFLE_SEED,
+                       n: int | None = None) -> DataFrame:
+    """A row for each row and epoch (1 ..): adds epoch, place, batch_id.
+    The row numbers are made once (``global_index``); every epoch's order is an
+    expression of them."""
+    n = df.count() if n is None else n
+    numbered = global_index(df, key, seed).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    placed = numbered.withColumn("place", epoch_place(F.col("idx").cast("long"), n, F.col("epoch"), seed))
+    return placed.withColumn("batch_id", F.floor(F.col("place") / batch_size)).drop("idx")
+
+
 RANGE_BUCKETS = 65536
 
 

@@ -255,6 +255,19 @@ FROM st_m WHERE label IS NOT NULL AND predicted IS NOT NULL GROUP BY label"""
     q["toxicity_histogram"] = with_ctes(*SCORED) + f"""SELECT toxicity_level, decile, count(*) AS n_posts
 FROM (SELECT {LEVEL} AS toxicity_level, CAST(least(floor(p_negative * 10), 9) AS INTEGER) AS decile FROM pr)
 GROUP BY toxicity_level, decile"""
+    q["epoch_batches"] = "WITH RECURSIVE " + with_ctes(*BASE, """numbered AS (
+  SELECT doc_id, label, row_number() OVER (ORDER BY md5('shuffle-1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS idx
+  FROM split WHERE split = 'train')""", """size AS (
+  SELECT n, a, (n + a - 1) // a AS b
+  FROM (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM numbered))""", """net AS (
+  SELECT e.epoch, doc_id, label, 0 AS round, idx // b AS l, idx % b AS r
+  FROM numbered, size, (SELECT unnest([1, 2, 3]) AS epoch) e
+  UNION ALL
+  SELECT epoch, doc_id, label, CASE WHEN round = 6 THEN 0 ELSE round + 1 END,
+         CASE WHEN round IN (0, 2, 4) THEN (l + CAST('0x' || substr(md5('shuffle-1:' || epoch || ':' || round || ':' || r), 1, 15) AS BIGINT) % a) % a ELSE l END,
+         CASE WHEN round IN (1, 3, 5) THEN (r + CAST('0x' || substr(md5('shuffle-1:' || epoch || ':' || round || ':' || l), 1, 15) AS BIGINT) % b) % b ELSE r END
+  FROM net, size WHERE round < 6 OR l * b + r >= n)""").removeprefix("WITH ") + """SELECT epoch, doc_id, label, l * b + r AS place, (l * b + r) // 32 AS batch_id
+FROM net, size WHERE round = 6 AND l * b + r < n"""
     q["batch_loss"] = with_ctes(*MODEL, TEST_DOCS) + """,
 tp AS (SELECT t.doc_id, t.text, s.label FROM test_docs t JOIN split s ON t.doc_id = s.doc_id),
 occ AS (SELECT doc_id, unnest(""" + tokens('text') + """) AS token FROM tp),

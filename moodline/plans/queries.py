@@ -291,6 +291,14 @@ def encode_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.aggregate(F.col("attention_mask"), F.lit(0), lambda a, x: a + x).alias("mask_ones"))
 
 
+def epoch_batches(spark: SparkSession, sf_dir: str, epochs: int = 3) -> DataFrame:
+    """Three epochs over the train part, each in an order of its own,
+    cut into batches of 32."""
+    from moodline.operators.sampling import with_epoch_batches
+    train = split_table(spark, sf_dir).filter(F.col("split") == "train").select("doc_id", "label")
+    return with_epoch_batches(train, "doc_id", epochs).select("epoch", "doc_id", "label", "place", "batch_id")
+
+
 def encode_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 with the pieces of a public vocabulary file: no unknown words."""
     import public_tokenizers

@@ -107,3 +107,40 @@ def test_first_n_equals_order_by_limit_on_skewed_keys(spark):
     dfx = spark.createDataFrame([(k,) for k in ext], "k long")
     for n in (1, 3, 6):
         assert [r["k"] for r in first_n(dfx, "k", n, max_rows=1).collect()] == sorted(ext)[:n]
+
+
+def test_epoch_places_are_permutations_of_every_size(spark):
+    from moodline.operators.sampling import epoch_domain, epoch_place
+    for n in (1, 2, 3, 5, 31, 32, 33, 97, 1000, 4097):
+        a, b = epoch_domain(n)
+        assert a * b >= n and a * b - n < max(a, 2)
+        rows = spark.range(n).select("id", *[epoch_place(F.col("id"), n, e).alias(f"e{e}") for e in (1, 2)]).collect()
+        for e in ("e1", "e2"):
+            assert sorted(r[e] for r in rows) == list(range(n)), n
+    orders = [[r[e] for r in rows] for e in ("e1", "e2")]
+    same = sum(x == y for x, y in zip(*orders))
+    assert same < 20 and sum(i == x for i, x in enumerate(orders[0])) < 20
+    # neighbours do not stay neighbours
+    near = sum(abs(x - y) <= 32 for x, y in zip(orders[0], orders[0][1:]))
+    assert near < 4097 * 0.05
+
+
+def test_epoch_places_of_a_very_large_range_need_no_other_row(spark):
+    from moodline.operators.sampling import epoch_place
+    n = 10**13 + 7
+    rows = spark.createDataFrame([(i,) for i in (0, 1, 2, n - 2, n - 1)], "id long").select(
+        epoch_place(F.col("id"), n, 1).alias("p")).collect()
+    places = [r["p"] for r in rows]
+    assert len(set(places)) == 5 and all(0 <= p < n for p in places)
+
+
+def test_a_new_epoch_needs_no_new_shuffle(spark):
+    from moodline.operators.sampling import with_epoch_batches
+    df = spark.range(500).withColumnRenamed("id", "doc_id")
+    plans = [with_epoch_batches(df, "doc_id", e, n=500)._jdf.queryExecution().executedPlan().toString() for e in (1, 9)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+    out = with_epoch_batches(df, "doc_id", 3)
+    per = out.groupBy("epoch", "batch_id").count().collect()
+    assert sorted((r["epoch"], r["batch_id"], r["count"]) for r in per) == [
+        (e, b, 32 if b < 15 else 20) for e in (1, 2, 3) for b in range(16)]
+    assert with_epoch_batches(df.filter("false"), "doc_id", 2).count() == 0
