@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from moodline.session import scratch_path
+from moodline.sources.csv_ranges import read_records
 
 # The markers pandas.read_csv treats as missing by default.
 PANDAS_NA_VALUES = [
@@ -31,17 +32,26 @@ WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": ""
 
 
 def read_posts_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
-                   line_breaks: bool = True) -> DataFrame:
+                   line_breaks: bool = True, stray_quotes: bool = False) -> DataFrame:
     """All columns as strings (no inference pass over the data); pandas'
-    missing markers become null. With ``line_breaks`` a field may hold line
-    breaks, and each file is one task; without, files are split."""
+    missing markers become null. Files are split over tasks. With
+    ``line_breaks`` a quoted field may hold line breaks; the quotes before a
+    byte range then tell where its first record starts (two passes). Files
+    with ``stray_quotes`` (an unquoted field with a quote in it) and line breaks
+    can only be read one task a file."""
     options = READ_OPTIONS | {"multiLine": str(line_breaks).lower()}
     if columns is None:
         columns = spark.read.options(**options).csv(path).columns
     schema = Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in columns])
-    df = spark.read.options(**options).schema(schema).csv(path)
-    return df.select(*[F.when(F.col(c).isin(PANDAS_NA_VALUES), F.lit(None).cast("string"))
-                       .otherwise(F.col(c)).alias(c) for c in columns])
+    if line_breaks and not stray_quotes:
+        ddl = ", ".join("`{}` string".format(c.replace("`", "``")) for c in columns)
+        fields = {k: v for k, v in options.items() if k != "header"}
+        df = read_records(spark, path).select(F.from_csv("record", ddl, fields).alias("r")).select(
+            *[F.col("r").getField(c).alias(c) for c in columns])
+    else:
+        df = spark.read.options(**options).schema(schema).csv(path)
+    return df.select(*[F.when(F.col(f"`{c}`").isin(PANDAS_NA_VALUES), F.lit(None).cast("string"))
+                       .otherwise(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def write_posts_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
