@@ -358,6 +358,22 @@ def logreg_selection(spark: SparkSession, sf_dir: str, num_features: int = NUM_F
                       F.lit(chosen == accuracy.index(max(accuracy))).alias("is_first_best"))
 
 
+def epoch_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and accuracy of each training epoch, and the best one."""
+    from moodline.operators import epoch_training as T3
+    trained = T3.train(*_classifier_parts(spark, sf_dir))
+    table = T3.metrics_table(spark, trained)
+    return table.select("epoch", "n_steps", *[F.round(c, 6).alias(c) for c in (
+        "train_loss", "train_accuracy", "val_loss", "val_accuracy")], "is_best")
+
+
+def epoch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test part, predicted by the best epoch's weights."""
+    from moodline.operators import epoch_training as T3
+    train, test = _classifier_parts(spark, sf_dir)
+    return T3.predict(test, T3.train(train, test))
+
+
 def _classifier_parts(spark, sf_dir):
     _, split = train_model(spark, sf_dir)
     return (train_posts(spark, sf_dir, split),

@@ -28,7 +28,7 @@ def con():
 def test_every_query_is_registered_with_sql_or_rows_only():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(E._BATCH + E._STREAM) - set(sql) == {"logreg_predictions", "encode_subwords"}
+    assert set(E._BATCH + E._STREAM) - set(sql) == {"logreg_predictions", "encode_subwords", "epoch_training", "epoch_predictions"}
 
 
 @pytest.mark.parametrize("name", FAST)
