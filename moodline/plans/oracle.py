@@ -210,6 +210,9 @@ FROM split s JOIN quotas q ON s.label = q.label GROUP BY s.label, q.quota"""
     q["nb_weights"] = with_ctes(*MODEL) + "SELECT token, n0, n1, n2, n_occ, wq0, wq1, wq2 FROM weights"
     q["probabilities"] = with_ctes(*SCORED) + "SELECT doc_id, p_negative, p_neutral, p_positive FROM pr"
     q["score_distinct"] = q["probabilities"]
+    q["score_incremental"] = with_ctes(*SCORED) + """SELECT d.doc_id, p_negative, p_neutral, p_positive,
+       count_if(d.doc_id % 2 = 0) OVER (PARTITION BY d.text) > 0 AS reused
+FROM posts d LEFT JOIN pr ON pr.doc_id = d.doc_id WHERE length(d.text) > 0"""
     q["score_batch_udf"] = q["probabilities"]
     q["score_with_stored_model"] = q["probabilities"]
     q["confidence"] = with_ctes(*SCORED) + f"""SELECT doc_id, {TOP1} AS top_prob, {TOP2} AS second_prob,

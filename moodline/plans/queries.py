@@ -188,6 +188,16 @@ def score_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.score_distinct(model, K.gate_nonempty(docs), "doc_id", "text").select("doc_id", *P)
 
 
+def score_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 across runs: the table as it was (posts with an even id) is scored
+    and kept, then the grown table. All posts, and whether the score was there."""
+    from moodline.operators.score_store import ScoreStore
+    model, _, docs, _ = _scored(spark, sf_dir)
+    store = ScoreStore(spark, model_store.MODEL_NAME, 1, scratch_path(spark, "scores"))
+    store.score(model, docs.filter(F.col("doc_id") % 2 == 0))
+    return store.score(model, docs).rows.select("doc_id", *P, "reused")
+
+
 def score_batch_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, docs, _ = _scored(spark, sf_dir)
     return K.probabilities(model, K.gate_nonempty(docs), "doc_id", "text", in_place=True).select("doc_id", *P)
