@@ -17,6 +17,8 @@ the job's state store, so every event is counted in the result.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -92,14 +94,15 @@ def with_open_windows(closed: DataFrame, base: str, columns: list[Column]) -> Da
 
 
 def run_batches(df: DataFrame, kind: str, name: str | None, schema: Ty.StructType,
-                per_batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run ``per_batch`` on each micro-batch; the rows of batch b go to folder
-    ``v=b``, so a batch that is run again writes the same folder again."""
+                per_batch: Callable[[DataFrame, int, str], DataFrame]) -> DataFrame:
+    """Run ``per_batch`` (rows, batch id, the job's folder) on each micro-batch;
+    the rows of batch b go to folder ``v=b``, so a batch that is run again
+    writes the same folder again."""
     spark = df.sparkSession
     base = job_path(spark, kind, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        per_batch(batch).write.mode("overwrite").parquet(f"{base}/log/v={batch_id}")
+        per_batch(batch, batch_id, base).write.mode("overwrite").parquet(f"{base}/log/v={batch_id}")
 
     q = (df.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
@@ -232,20 +235,21 @@ TEXT_SCORES = Ty.StructType([
     *[Ty.StructField(c, Ty.DoubleType()) for c in K.PROB_COLS]])
 
 
+def score_texts(model, batch: DataFrame) -> DataFrame:
+    """TEXT_SCORES rows of a batch (conv_id, turn, text). Every row is kept: a
+    text that cannot be scored gets ``Error`` and null probabilities."""
+    pr = K.app_fields(K.probabilities(model, batch.select("conv_id", "turn", "text"), ["conv_id", "turn"],
+                                      "text", outer=True))
+    ok = F.col("n_known") > 0
+    return pr.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                     *[F.when(ok, F.col(c)).otherwise(F.lit(ERROR)).alias(c) for c in ("sentiment", "toxicity_level")],
+                     *[F.when(ok, F.col(c)).alias(c) for c in K.PROB_COLS])
+
+
 def score_text_stream(stream: DataFrame, model, name: str | None = None) -> DataFrame:
     """Score the texts (conv_id, turn, text) that arrive in a stream, inside
-    each micro-batch. Every row is kept: a text that cannot be scored gets
-    ``Error`` and null probabilities."""
-    def score(batch: DataFrame) -> DataFrame:
-        pr = K.app_fields(K.probabilities(model, batch.select("conv_id", "turn", "text"), ["conv_id", "turn"],
-                                          "text", outer=True))
-        ok = F.col("n_known") > 0
-        return pr.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                         *[F.when(ok, F.col(c)).otherwise(F.lit(ERROR)).alias(c)
-                           for c in ("sentiment", "toxicity_level")],
-                         *[F.when(ok, F.col(c)).alias(c) for c in K.PROB_COLS])
-
-    return run_batches(stream, "score_text", name, TEXT_SCORES, score).drop("v")
+    each micro-batch, with one model."""
+    return run_batches(stream, "score_text", name, TEXT_SCORES, lambda batch, _, __: score_texts(model, batch)).drop("v")
 
 
 def stream_score_text(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
@@ -259,6 +263,77 @@ def stream_score_text(spark: SparkSession, sf_dir: str, name: str | None = None)
     return score_text_stream(table_stream(spark, sf_dir, "conversations"), loaded, name)
 
 
+VERSIONED_SCORES = Ty.StructType(TEXT_SCORES.fields + [Ty.StructField("model_version", Ty.IntegerType())])
+#: Fixed value: a running job looks for a newer model once an hour.
+MODEL_CHECK_SECONDS = 3600
+
+
+class ModelPins:
+    """Which version of a model each micro-batch of a job uses. A batch takes
+    the newest complete version and records it before it scores (an empty file
+    named after both), so a batch that is run again uses the same one. Versions
+    are looked up again after ``check_seconds``; a job that starts looks at once."""
+
+    def __init__(self, store, model_name: str, check_seconds: float = MODEL_CHECK_SECONDS) -> None:
+        self.store, self.name, self.check_seconds = store, model_name, check_seconds
+        self._newest, self._looked = None, None
+        self._models: dict[int, object] = {}
+
+    def newest(self) -> int:
+        now = time.monotonic()
+        if self._looked is None or now - self._looked >= self.check_seconds:
+            found = self.store.versions(self.name)
+            if not found:
+                raise LookupError(f"no complete version of model {self.name!r}")
+            self._newest, self._looked = found[-1], now
+        return self._newest
+
+    def version(self, batch_id: int, folder: str) -> int:
+        fs, p = hadoop_path(self.store.spark, folder)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        pinned = [int(n.split("version=")[1]) for n in names if n.startswith(f"batch={batch_id}.")]
+        if pinned:
+            return min(pinned)
+        version = self.newest()
+        fs, pin = hadoop_path(self.store.spark, f"{folder}/batch={batch_id}.version={version}")
+        fs.createNewFile(pin)
+        return version
+
+    def load(self, version: int):
+        if version not in self._models:
+            self._models = {version: self.store.load(self.name, version)}  # the one in use
+        return self._models[version]
+
+
+def score_latest_stream(stream: DataFrame, store, model_name: str, name: str | None = None,
+                        check_seconds: float = MODEL_CHECK_SECONDS) -> DataFrame:
+    """Score the texts (conv_id, turn, text) that arrive in a stream with the
+    newest model of the store; a version registered while the job runs is taken
+    up by a later micro-batch. Each row names its version."""
+    pins = ModelPins(store, model_name, check_seconds)
+
+    def score(batch: DataFrame, batch_id: int, base: str) -> DataFrame:
+        version = pins.version(batch_id, f"{base}/pins")
+        return score_texts(pins.load(version), batch).withColumn("model_version", F.lit(version).cast("int"))
+
+    return run_batches(stream, "score_latest", name, VERSIONED_SCORES, score).drop("v")
+
+
+def stream_model_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 with S5: conversations with an even id arrive, a second version of the
+    model (other smoothing) is registered, and the others arrive."""
+    from moodline.sources.model_store import MODEL_NAME, ModelStore
+    store, folder = ModelStore(spark, scratch_path(spark, "models")), scratch_path(spark, "streams/turns")
+    name = f"model-change-{uuid.uuid4().hex}"
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    odd, out = F.col("conv_id") % 2 != 0, None
+    for part, alpha in ((turns.filter(~odd), 1.0), (turns.filter(odd), 2.0)):
+        store.register(MODEL_NAME, train_model(spark, sf_dir, alpha=alpha)[0])
+        part.write.mode("append").parquet(folder)
+        out = score_latest_stream(spark.readStream.schema(turns.schema).parquet(folder), store, MODEL_NAME, name)
+    return out
+
+
 # ------------------------------------------------------------ R4b: history
 HISTORY_COLS = ["conv_id", "turn", "role", "preview", "sentiment", "toxicity_level", "confidence_text"]
 HISTORY_SCHEMA = Ty.StructType([

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 
 def streaming_sql() -> dict[str, str]:
-    from moodline.plans.oracle import LEVEL, RULE_A, SCORED, MODEL, _queries, score_ctes, with_ctes
+    from moodline.plans.oracle import (BASE, LEVEL, MODEL, RULE_A, SCORED, _queries, model_ctes, score_ctes,
+                                       with_ctes)
 
     n_docs = "(SELECT count(*) FROM documents)"
     doc_of = f"((e.event_id % {n_docs}) + {n_docs}) % {n_docs}"
@@ -57,6 +58,15 @@ GROUP BY ALL"""
        CASE WHEN s.conv_id IS NULL THEN 'Error' ELSE {LEVEL.replace('p_', 's.p_')} END AS toxicity_level,
        s.p_negative, s.p_neutral, s.p_positive
 FROM conversations c LEFT JOIN sp s ON c.conv_id = s.conv_id AND c.turn = s.turn"""
+    def versioned(version: int, alpha: float, rest: int) -> str:
+        ctes = with_ctes(*BASE, model_ctes(alpha), score_ctes("conversations", ["conv_id", "turn"], name="sp"))
+        return f"""SELECT * FROM ({ctes}SELECT c.conv_id, c.turn,
+       CASE WHEN s.conv_id IS NULL THEN 'Error' ELSE {RULE_A.replace('p_', 's.p_')} END AS sentiment,
+       CASE WHEN s.conv_id IS NULL THEN 'Error' ELSE {LEVEL.replace('p_', 's.p_')} END AS toxicity_level,
+       s.p_negative, s.p_neutral, s.p_positive, {version} AS model_version
+FROM conversations c LEFT JOIN sp s ON c.conv_id = s.conv_id AND c.turn = s.turn WHERE abs(c.conv_id % 2) = {rest})"""
+
+    q["stream_model_change"] = versioned(1, 1.0, 0) + " UNION ALL " + versioned(2, 2.0, 1)
     # the streamed last-n state must end equal to the batch ranking
     q["history_last_n_stream"] = _queries()["history_last_n"]
     return q
