@@ -341,6 +341,13 @@ HISTORY_SCHEMA = Ty.StructType([
     Ty.StructField("role", Ty.StringType()), Ty.StructField("preview", Ty.StringType()),
     Ty.StructField("sentiment", Ty.StringType()), Ty.StructField("toxicity_level", Ty.StringType()),
     Ty.StructField("confidence_text", Ty.StringType())])
+SALTED_SCHEMA = Ty.StructType(HISTORY_SCHEMA.fields + [Ty.StructField("_salt", Ty.IntegerType())])
+LOG_SCHEMA = Ty.StructType(SALTED_SCHEMA.fields + [Ty.StructField("v", Ty.LongType())])
+STATE_SCHEMA = Ty.StructType([Ty.StructField("entries", Ty.StringType())])
+#: So many neighbouring parts of a log of one level become one of the next.
+MERGE_PARTS = 8
+
+
 def salts(spark: SparkSession) -> int:
     """State is keyed by (session, salt): a session with a third of all rows
     is spread over as many tasks as the cluster runs at once, each keeping its
@@ -348,66 +355,58 @@ def salts(spark: SparkSession) -> int:
     return max(8, spark.sparkContext.defaultParallelism)
 
 
-SALTED_SCHEMA = Ty.StructType(HISTORY_SCHEMA.fields + [Ty.StructField("_salt", Ty.IntegerType())])
-STATE_SCHEMA = Ty.StructType([Ty.StructField("entries", Ty.StringType())])
+def job_salts(spark: SparkSession, base: str) -> int:
+    """The number of salts of a job, fixed in its folder by its first start:
+    the state of a job that goes on elsewhere keeps its keys."""
+    fs, folder = hadoop_path(spark, f"{base}/settings")
+    found = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    if found:
+        return min(found)
+    n = salts(spark)
+    fs.createNewFile(hadoop_path(spark, f"{base}/settings/salts={n}")[1])
+    return job_salts(spark, base)
 
 
 def _last_n_state(n: int):
+    import heapq
     import json
 
     import pandas as pd
 
     fields = HISTORY_COLS[1:]
+    turn = fields.index("turn")
 
     def update(key, chunks, state):
-        kept = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=fields)
+        kept = [tuple(e) for e in json.loads(state.get[0])] if state.exists else []
         for chunk in chunks:  # Arrow-sized chunks: memory bounded by chunk + n
-            kept = pd.concat([kept, chunk[fields]], ignore_index=True)
-            kept = kept.sort_values("turn", ascending=False, kind="stable").head(n)
-        kept = kept.astype({"turn": "int64"})
-        state.update((json.dumps(kept.to_dict("records")),))
-        out = kept.copy()
-        out.insert(0, "conv_id", key[0])
-        cols = HISTORY_COLS
-        if len(key) > 1:  # salted key: (session, salt)
-            out["_salt"] = key[1]
-            cols = HISTORY_COLS + ["_salt"]
-        yield out[cols]
+            kept = heapq.nlargest(n, [*kept, *chunk[fields].itertuples(index=False, name=None)], key=lambda e: e[turn])
+        state.update((json.dumps([[int(x) if i == turn else x for i, x in enumerate(e)] for e in kept]),))
+        cols = HISTORY_COLS + ["_salt"] * (len(key) > 1)  # salted key: (session, salt)
+        yield pd.DataFrame([(key[0], *e, *key[1:]) for e in kept], columns=cols).astype({"turn": "int64"})
     return update
 
 
-def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N) -> DataFrame:
-    """The last n history entries per session, kept as streaming state.
+def last_n_stream(stream: DataFrame, n: int = HISTORY_N, name: str | None = None) -> DataFrame:
+    """The last n history entries of each session (HISTORY_SCHEMA
+    rows that arrive in a stream), kept as streaming state.
 
-    Scored history rows (a table Spark derives from ``conversations``) arrive
-    as a file stream; per session the state holds at most n entries. Each
-    micro-batch appends only the sessions it updated (their full last-n
+    Each micro-batch appends only the sessions it updated (their full last-n
     list) to a log, in a folder of its own batch id, so a replayed batch
-    rewrites the same folder. Readers take, per session, the rows of its
-    newest batch: the work per batch grows with the batch, not with the
-    table.
-    """
-    from moodline.operators import reports as R
-    model, _ = train_model(spark, sf_dir)
-    feed = R.history_rows(model, read_keyed(spark, sf_dir, "conversations", ["conv_id", "turn"]))
-    feed_path = scratch_path(spark, "streams/history_feed")
-    # one file per partition of the feed: the stream reads them a few at a time
-    feed.write.parquet(feed_path)
-    # the written feed arrives in about FEED_BATCHES micro-batches, so that
-    # state is carried from batch to batch
-    n_files = len(spark.read.parquet(feed_path).inputFiles())
-    stream = (spark.readStream.schema(feed.schema)
-              .option("maxFilesPerTrigger", max(1, -(-n_files // FEED_BATCHES)))
-              .parquet(feed_path))
-    n_salts = salts(spark)
+    rewrites the same folder. Parts of the log are merged as they become many
+    (``compact``), so that neither the log nor what a reader reads grows with
+    the number of batches. A job with a name goes on where it stopped, on any
+    number of cores."""
+    spark = stream.sparkSession
+    base = job_path(spark, "history_last_n", name)
+    n_salts = job_salts(spark, base)
     salted = stream.withColumn("_salt", F.pmod(F.xxhash64("turn"), F.lit(n_salts)).cast("int"))
     last = salted.groupBy("conv_id", "_salt").applyInPandasWithState(
         _last_n_state(n), SALTED_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
-    base = job_path(spark, "history_last_n", None)
     log = f"{base}/log"
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/v={batch_id}")
+        compact(spark, log, batch_id - 1)  # batches before this one are committed
+        batch.withColumn("v", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{log}/v={batch_id}")
 
     q = (last.writeStream.outputMode("update").foreachBatch(append)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
@@ -415,13 +414,85 @@ def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N)
     return latest_per_session(spark, log, n)
 
 
-def latest_per_session(spark: SparkSession, log: str, n: int = HISTORY_N) -> DataFrame:
-    """The last n entries of each session from the append-only log: the rows
-    of each (session, salt)'s newest batch (one partial max per key, then a
-    join on (session, salt, batch)), then the top n per session over its at
-    most salts * n candidates (a partial window limit before the shuffle)."""
-    rows = read_log(spark, log, SALTED_SCHEMA)
+class LogPart:
+    """A folder of the log: batches ``first`` to ``last``, level 0 for one that
+    a batch wrote, ``v=<batch>``, else ``v=<first>-<last>.<level>``."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        span, _, level = folder.removeprefix("v=").partition(".")
+        first, _, last = span.partition("-")
+        self.first, self.last, self.level = int(first), int(last or first), int(level or 0)
+
+    def inside(self, other: "LogPart") -> bool:
+        return self.folder != other.folder and other.first <= self.first and self.last <= other.last
+
+
+def log_parts(spark: SparkSession, log: str) -> tuple[list[LogPart], list[LogPart]]:
+    """(parts that a reader reads, in order; parts that a merged one replaces).
+    A merged part counts once it is complete."""
+    fs, p = hadoop_path(spark, log)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    parts = [LogPart(n) for n in names if n.startswith("v=")]
+    parts = [x for x in parts if x.level == 0 or path_exists(spark, f"{log}/{x.folder}/_SUCCESS")]
+    live = [x for x in parts if not any(x.inside(y) for y in parts)]
+    return sorted(live, key=lambda x: x.first), [x for x in parts if any(x.inside(y) for y in parts)]
+
+
+def compact(spark: SparkSession, log: str, until: int) -> None:
+    """Merge MERGE_PARTS neighbouring parts of one level, all of batches up to
+    ``until``, into one of the next level, as long as there are any: of each
+    (session, salt) only its newest list stays. What an earlier call replaced
+    is deleted now, so that a reader of that time has come to its end."""
+    live, replaced = log_parts(spark, log)
+    fs = hadoop_path(spark, log)[0]
+    for part in replaced:
+        fs.delete(hadoop_path(spark, f"{log}/{part.folder}")[1], True)
+    while True:
+        run: list[LogPart] = []
+        for part in live:
+            if part.last > until:
+                break
+            run = [*run, part] if run and run[-1].level == part.level else [part]
+            if len(run) == MERGE_PARTS:
+                break
+        if len(run) < MERGE_PARTS:
+            return
+        merged = f"v={run[0].first}-{run[-1].last}.{run[0].level + 1}"
+        rows = spark.read.schema(LOG_SCHEMA).parquet(*[f"{log}/{x.folder}" for x in run])
+        newest_lists(rows).write.mode("overwrite").parquet(f"{log}/{merged}")
+        live, _ = log_parts(spark, log)
+
+
+def newest_lists(rows: DataFrame) -> DataFrame:
+    """The rows of each (session, salt)'s newest batch: a partial maximum for
+    each key, then a join on (session, salt, batch)."""
     newest = rows.groupBy("conv_id", "_salt").agg(F.max("v").alias("v"))
-    current = rows.join(newest, ["conv_id", "_salt", "v"])
+    return rows.join(newest, ["conv_id", "_salt", "v"]).select(*LOG_SCHEMA.fieldNames())
+
+
+def latest_per_session(spark: SparkSession, log: str, n: int = HISTORY_N) -> DataFrame:
+    """The last n entries of each session from the log: of each (session, salt)
+    its newest list, then the top n per session over its at most salts * n
+    candidates (a partial window limit before the shuffle)."""
+    live, _ = log_parts(spark, log)
+    rows = (spark.read.schema(LOG_SCHEMA).parquet(*[f"{log}/{x.folder}" for x in live]) if live
+            else spark.createDataFrame([], LOG_SCHEMA))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return current.withColumn("_rn", rank).filter(F.col("_rn") <= n).select(*HISTORY_COLS)
+    return newest_lists(rows).withColumn("_rn", rank).filter(F.col("_rn") <= n).select(*HISTORY_COLS)
+
+
+def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N, name: str | None = None) -> DataFrame:
+    """R4b over scored history rows (a table Spark derives from
+    ``conversations``), which arrive in about FEED_BATCHES micro-batches, so
+    that state is carried from batch to batch."""
+    from moodline.operators import reports as R
+    model, _ = train_model(spark, sf_dir)
+    feed = R.history_rows(model, read_keyed(spark, sf_dir, "conversations", ["conv_id", "turn"]))
+    feed_path = scratch_path(spark, "streams/history_feed")
+    # one file per partition of the feed: the stream reads them a few at a time
+    feed.write.parquet(feed_path)
+    n_files = len(spark.read.parquet(feed_path).inputFiles())
+    stream = (spark.readStream.schema(feed.schema)
+              .option("maxFilesPerTrigger", max(1, -(-n_files // FEED_BATCHES))).parquet(feed_path))
+    return last_n_stream(stream, n, name)
