@@ -13,7 +13,7 @@ is one vector of ``DIM`` integers a language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,6 +29,10 @@ NGRAM = 3
 SEED = 7919
 #: Bound of the training sample, documents per language (expected number).
 TRAIN_PER_LANG = 4000
+#: Languages with the most labelled rows that are learned; bounds the model.
+MAX_LANGS = 512
+#: Bounds of ``least_score``, measured on held-out pieces and foreign letters.
+SHORT_NGRAMS, LONG_NGRAMS, LEAST_SCORE, MOST_SCORE = 48, 256, 0.065, 0.08
 #: Prediction given to a text without a letter.
 UNDETERMINED = "und"
 #: n-grams bundled at a time; below 2**24 / 2 so that float32 sums are exact.
@@ -84,9 +88,10 @@ def ngram_vectors(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bundles(texts: list[str | None]) -> np.ndarray:
-    """(n, DIM) float64 document vectors (whole numbers; zero without a letter)."""
-    counted = [ngram_counts(t) for t in texts]
+def bundles(texts: list[str | None], counted: list | None = None) -> np.ndarray:
+    """(n, DIM) float64 document vectors (whole numbers; zero without a letter);
+    ``counted``: the texts' n-gram counts, if they are known."""
+    counted = [ngram_counts(t) for t in texts] if counted is None else counted
     codes = np.unique(np.concatenate([c for c, _ in counted])) if counted else np.empty(0, np.int64)
     out = np.zeros((len(texts), DIM))
     for start in range(0, len(codes), 1 << 13):  # bounds the table of bound vectors
@@ -107,9 +112,9 @@ class Model:
     langs: list[str]
     prototypes: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], counted: list | None = None) -> tuple[list[str], list[float]]:
         """Language and cosine (0 to 1) of each text; ties go to the first name."""
-        docs = bundles(texts)
+        docs = bundles(texts, counted)
         if not self.langs:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         size = np.sqrt((docs * docs).sum(axis=1))
@@ -128,11 +133,13 @@ def is_held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     """Prototypes of the languages in ``docs`` (doc_id, text, lang), learned
-    from rows that are not held out. Rows with a null language or text are not
-    used. Without any row the model has no language."""
+    from rows that are not held out: the ``MAX_LANGS`` with the most such rows
+    (ties by name). Rows with a null language or text are not used. Without any
+    row the model has no language."""
     known = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    rows = {r["lang"]: r["n"] for r in counts.collect()}
     if not rows:
         return Model([], np.zeros((0, DIM)))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(rows.items()) for v in (lang, min(1.0, per_lang / n))])
@@ -155,11 +162,11 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
 
     parts = sample.mapInArrow(add, "lang string, v array<long>")
     sums = (parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-            .collect())
+            .toArrow())  # at most MAX_LANGS x DIM rows
     langs = sorted(rows)
     proto = np.zeros((len(langs), DIM))
-    for r in sums:
-        proto[langs.index(r["lang"]), r["i"]] = r["x"]
+    place = {lang: i for i, lang in enumerate(langs)}
+    proto[[place[x] for x in sums["lang"].to_pylist()], sums["i"].to_numpy()] = sums["x"].to_numpy()
     # whole numbers of at most 20 bits keep the dot products exact
     top = np.maximum(np.abs(proto).max(axis=1, keepdims=True), 1)
     return Model(langs, np.round(proto * np.minimum(1, (1 << 20) / top)))
@@ -167,8 +174,10 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score. A null text and one
-    without a letter are ``und`` with score 0. Only the text is looked at;
-    repeated rows each give a row."""
+    without a letter are ``und`` with score 0. Of languages with equal cosine
+    the first name wins. Whole texts are looked at, in time proportional to
+    their length; repeated rows each give a row, an empty table none; other
+    columns are not read, whatever their names."""
     def batch(cols: dict) -> dict:
         lang, score = model.predict(cols["text"])
         return {"doc_id": cols["doc_id"], "lang_pred": lang, "score": score}
@@ -177,17 +186,34 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     batch, "doc_id long, lang_pred string, score double")
 
 
-def keep_language(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
-    """Rows of ``docs`` (all columns) whose text has a letter and is at least
-    ``min_score`` like some language; decided in place, nothing is joined."""
+def least_score(n_ngrams: int) -> float:
+    """The cosine that a text of so many n-grams needs. Chance has a standard
+    deviation of 1 / sqrt(DIM) = 0.022 whatever the length, but what a text of a
+    learned language scores grows with its length: below SHORT_NGRAMS the two
+    cannot be told apart and the text stays; then the bound rises from about
+    three to nearly four standard deviations."""
+    if n_ngrams < SHORT_NGRAMS:
+        return 0.0
+    return LEAST_SCORE + (MOST_SCORE - LEAST_SCORE) * min(1.0, (n_ngrams - SHORT_NGRAMS) / (LONG_NGRAMS - SHORT_NGRAMS))
+
+
+def keep_language(docs: DataFrame, model: Model, bound: Callable[[int], float] = least_score) -> DataFrame:
+    """Rows of ``docs`` (all columns, whatever their names) whose text has a
+    letter and is as much like some language as ``bound`` asks of its number of
+    n-grams; decided in place, nothing is joined. Null and empty texts go; equal
+    rows share their fate; whole texts are looked at, in time proportional to
+    their length; an empty table stays empty, and without a learned language
+    every row goes."""
     @F.pandas_udf("boolean")
     def fits(texts):
         import pandas as pd
         out: list[bool] = []
         for start in range(0, len(texts), 256):
             part = [t if isinstance(t, str) else None for t in texts.iloc[start:start + 256]]
-            lang, score = model.predict(part)
-            out += [lg != UNDETERMINED and s >= min_score for lg, s in zip(lang, score, strict=True)]
+            counted = [ngram_counts(t) for t in part]
+            lang, score = model.predict(part, counted)
+            out += [lg != UNDETERMINED and s >= bound(int(n.sum()))
+                    for lg, s, (_, n) in zip(lang, score, counted, strict=True)]
         return pd.Series(out)
 
     return docs.filter(fits(F.col("text")))

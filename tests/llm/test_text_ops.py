@@ -10,7 +10,6 @@ import public_tokenizers
 import pytest
 from helpers import MEDIUM
 
-import corpus_pipeline
 from moodline.llm import langid, licenses, pii, quality
 from moodline.llm.pieces import PieceModel, decode_documents, encode_documents
 
@@ -52,10 +51,37 @@ def test_unlearned_texts_go_and_clean_short_ones_stay(spark):
     clean = ["the cat and the dog", "and the rest of the time", "der Hund und die Katze", "les gens de la ville",
              "el perro de la casa"]
     docs = spark.createDataFrame(list(enumerate(foreign + clean)), "doc_id long, text string")
-    kept = {r.text for r in langid.keep_language(docs, model, corpus_pipeline.MIN_LANGUAGE_SCORE).collect()}
+    kept = {r.text for r in langid.keep_language(docs, model).collect()}
     assert kept >= set(clean) and len(kept) - len(clean) < 0.03 * len(foreign)
 
 
+@needs_tables
+def test_pieces_of_one_to_four_words_stay(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model, rng = langid.train(docs), random.Random(4)
+    held = [r.text.split() for r in docs.filter(langid.is_held_out(docs["doc_id"])).collect() if r.lang and r.text]
+    for k in (1, 2, 3, 4):
+        pieces = [" ".join(w[a:a + k]) for w in held if len(w) > k for a in [rng.randrange(len(w) - k)]]
+        pieces = [p for p in pieces if any(map(str.isalpha, p))]
+        rows = spark.createDataFrame(list(enumerate(pieces)), "doc_id long, text string")
+        assert len(pieces) > 150 and langid.keep_language(rows, model).count() >= 0.99 * len(pieces)
+    # every document of a learned language stays, the shortest too
+    labelled = docs.filter("lang IS NOT NULL").filter(docs["text"].rlike(r"\p{L}"))
+    assert langid.keep_language(labelled, model).count() == labelled.count()
+
+
+def test_bound_rises_with_the_length():
+    bounds = [langid.least_score(n) for n in range(0, 1000)]
+    assert bounds == sorted(bounds) and bounds[47] == 0 and bounds[48] > 2.5 / langid.DIM ** 0.5 and bounds[-1] == 0.08
+
+
+def test_many_language_names_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    rows = [(i, f"some text number {i}", f"l{i % 40}" if i % 2 else "aa") for i in range(400)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 3 and "aa" in model.langs
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     import numpy as np
     want = np.zeros(langid.DIM)
