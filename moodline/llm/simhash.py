@@ -6,8 +6,9 @@
 3. Candidates: the 64 bits are cut into ``max_bits + 2`` blocks. Two
    fingerprints within ``max_bits`` agree on at least two blocks, so each one
    goes to a bucket for every pair of blocks (about 21 key bits for radius 4).
-   A bucket over ``HOT_ROWS`` is split again by ``max_bits + 1`` pieces of its
-   other bits, of which one must agree as well: an exact split, no row is lost.
+   A bucket over ``HOT_ROWS`` is split by ``max_bits + 1`` pieces of its other
+   bits, of which one must agree as well, again and again until all are small:
+   an exact split, no row is lost.
 4. Buckets are compared bit-sliced: bit plane b holds bit b of all rows of a
    sorted run; XOR with the plane shifted by s rows compares each row with its
    s-th successor, 64 per word. Carry-save counters add the planes, and words
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from moodline.llm.common import map_rows, row_hash, written
 from moodline.llm.components import component_roots
+from moodline.operators.joins import checked_lookup_join
 
 BITS = 64
 SEED = 42
@@ -196,30 +198,73 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     blocks = _pieces(list(range(BITS)), max_bits + 2)
     tables = list(combinations(range(len(blocks)), 2))
     fp = F.col("fp")
-    table_key = [F.xxhash64(F.lit(t), _masked(fp, blocks[i] + blocks[j])) for t, (i, j) in enumerate(tables)]
-    rows = fps.select("fp", F.posexplode(F.array(*table_key)).alias("t", "key"))
-    hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS).select("key"))
-    if not hot.isEmpty():
-        rest = [[b for b in range(BITS) if b not in set(blocks[i] + blocks[j])] for i, j in tables]
-        finer = [F.array(*[F.xxhash64(F.col("key"), F.lit(p), _masked(fp, piece))
-                           for p, piece in enumerate(_pieces(r, max_bits + 1))]) for r in rest]
-        by_table = reduce(lambda acc, x: F.when(F.col("t") == x[0], x[1]).otherwise(acc), enumerate(finer), finer[0])
-        marked = rows.join(hot.withColumn("_hot", F.lit(True)), "key", "left")
-        keys = F.when(F.col("_hot"), by_table).otherwise(F.array("key"))
-        rows = marked.select("fp", F.explode(keys).alias("key"))
-    spread = rows.select("key", "fp").repartition("key").sortWithinPartitions("key")
+    cells = F.array(*[F.struct(F.xxhash64(F.lit(t), _masked(fp, blocks[i] + blocks[j])).alias("key"),
+                               F.lit(_signed(blocks[i] + blocks[j])).alias("used")) for t, (i, j) in enumerate(tables)])
+    rows = fps.select("fp", F.explode(cells).alias("_c")).select("_c.key", "fp", "_c.used")
+    parts = small_buckets(rows, max_bits)
+    spread = reduce(DataFrame.unionByName, parts).repartition("key").sortWithinPartitions("key")
     return spread.mapInArrow(_links_of_partition(max_bits), "a long, b long")
 
 
+def _signed(bits: list[int]) -> int:
+    mask = sum(1 << b for b in bits)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads close ones."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def split_buckets(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(key, fp, used) rows of large buckets in finer ones: the bits that their
+    key has not used are cut into ``max_bits`` + 1 pieces, and two rows within
+    ``max_bits`` bits agree in one of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp, used = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+            for u in np.unique(used):
+                own = used == u
+                free = [b for b in range(BITS) if not int(u) >> b & 1]
+                for p, piece in enumerate(_pieces(free, max_bits + 1)):
+                    mask = np.uint64(sum(1 << b for b in piece))
+                    new = _mix(_mix(key[own] + np.uint64(p + 1)) ^ (fp[own] & mask))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x.view(np.int64)) for x in (new, fp[own], np.full(len(new), u | mask))], ["key", "fp", "used"])
+
+    return rows.mapInArrow(run, "key long, fp long, used long")
+
+
+def small_buckets(rows: DataFrame, max_bits: int) -> list[DataFrame]:
+    """(key, fp) rows in buckets of at most HOT_ROWS: larger ones are split
+    again and again. It comes to an end: with r bits unused a bucket has at
+    most 2^r different fingerprints, and each split uses a fifth of them."""
+    parts = []
+    while True:
+        hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.first("used").alias("_u"))
+                      .filter((F.col("_n") > HOT_ROWS) & (F.bit_count("_u") < BITS - max_bits))
+                      .select("key", F.lit(True).alias("_hot")))
+        n_hot = hot.count()
+        if not n_hot:
+            return [*parts, rows.select("key", "fp")]
+        marked = checked_lookup_join(rows, hot, "key", n_hot, how="left")
+        parts.append(marked.filter(F.col("_hot").isNull()).select("key", "fp"))
+        rows = written(split_buckets(marked.filter(F.col("_hot")).select("key", "fp", "used"), max_bits))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, row_hash, fp, component_id (the smallest id
     reachable over links of at most ``max_bits`` differing bits).
 
     Null, empty and word-free texts have fingerprint zero and are linked like
-    any other. Ids of null are ignored by the minimum (component_id is null if
-    a component has no other); repeated rows each give a row. Further columns
-    are ignored; an empty table gives an empty result.
+    any other; of a very long text every shingle counts. A fingerprint bit set
+    in exactly half the shingles is 0. Ids of null are ignored by the minimum
+    (component_id is null if a component has no other); repeated rows each give
+    a row. Other columns are not read, whatever their names; an empty table
+    gives an empty result.
     """
     rows = written(fingerprints(docs, shingle, id_col, text_col))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("_id")))

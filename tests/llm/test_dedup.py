@@ -213,3 +213,39 @@ def test_pieces_cover_all_windows_over_block_edges(monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 1000)
     parts = substrings.pieces_of(raw)
     assert parts[1].sum() == whole[1].sum() and (np.diff(parts[0]) > 0).all()
+
+
+def test_buckets_of_fingerprints_that_share_many_bits_become_small(spark):
+    import time
+    rng = np.random.default_rng(5)
+    shared = np.uint64(0x0123_4567_89AB_CDEF) & np.uint64((1 << 30) - 1)
+    values = (rng.integers(0, 1 << 34, 60_000).astype(np.uint64) << np.uint64(30)) | shared
+    planted = []
+    for i in range(0, 2000):
+        flips = rng.choice(64, 4, replace=False)
+        near = values[i] ^ np.uint64(sum(1 << int(b) for b in flips))
+        planted.append((values[i], near))
+    every = np.unique(np.concatenate([values, np.array([b for _, b in planted], np.uint64)]))
+    df = spark.createDataFrame([(int(v),) for v in every.view(np.int64).tolist()], "fp long").repartition(8)
+    t = time.monotonic()
+    got = simhash.links(df, 4)
+    found = {(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in got.collect()}
+    assert time.monotonic() - t < 120
+    parent = {int(v): int(v) for v in every}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for a, b in found:
+        assert bin(a ^ b).count("1") <= 4
+        parent[find(a)] = find(b)
+    assert all(find(int(a)) == find(int(b)) for a, b in planted)
+    # a sample against all others by brute force
+    for v in rng.choice(every, 60, replace=False):
+        for w in every[np.bitwise_count(every ^ v) <= 4]:
+            assert find(int(v)) == find(int(w))
+    rows = df.selectExpr("0L AS key", "fp", f"{(1 << 22) - 1}L AS used")  # one bucket of all
+    sizes = [p.groupBy("key").count().agg({"count": "max"}).first()[0] for p in simhash.small_buckets(rows, 4)]
+    assert max(s or 0 for s in sizes) <= simhash.HOT_ROWS
