@@ -108,12 +108,32 @@ _GLYPH = re.compile("[" + "".join(map(re.escape, [*LOOK_ALIKES, *INVISIBLE])) +
 _BRACKET_AT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 _BRACKET_DOT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|punkt|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 _ANY_BRACKET = re.compile(r"[\[({<][ \t]{0,3}(?:at|@|dot|punkt|\.)[ \t]{0,3}[\])}>]", re.I)
+_DOT_WORD = r"[ \t]{1,3}dot[ \t]{1,3}"
 _WORD_DOT = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at> at |@)[A-Za-z0-9-]{1,63}"
-    r"(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){1,8}", re.I)
-_WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?:\bplus[ \t-]{{1,3}})?\b{_WORD}(?:[ \t,-]{{1,3}}{_WORD}){{6,}}\b", re.I)
-_SPELLED_PART = re.compile(rf"plus|{_WORD}|[ \t,-]+", re.I)
+    r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{1,64})(?P<at>[ \t]{1,3}at[ \t]{1,3}|@)[A-Za-z0-9-]{1,63}"
+    rf"(?:(?:{_DOT_WORD}|\.)(?P<last>[A-Za-z0-9-]{{1,63}})){{1,8}}", re.I)
+_AT_WORD = re.compile(r"[ \t]at[ \t]", re.I)
+#: Endings for which "name at host.ending" is an address, and
+#: words before "at" with which it is a sentence about a site.
+ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me us uk de fr es it nl eu ch at be se no dk "
+                    "pl ru jp cn in br au ca nz ie pt fi cz gr tr mx ar za kr".split())
+NOT_NAMES = frozenset("a all also am and are available back be book booked bought buy check click date day directly down "
+                      "download event find found free here home hosted in is it items join learn left link listed live "
+                      "located look looked looking me meet met more new now offline on online only open order out page "
+                      "pages place points post posted posts published read register right sale see seen shop shopping sign "
+                      "site sold stay still store stuff tickets time today us up visit was we week were work worked working "
+                      "year you".split())
+#: What a word of a spelled number stands for.
+NUMBER_WORDS = DIGIT_WORDS | {"hundred": "00", "thousand": "000"}
+_PART = "(?:" + "|".join(NUMBER_WORDS) + "|[0-9]{1,19})"
+_GAP = r"[ \t,-]{1,3}"
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ \t-]{{1,3}}|\+)?{_PART}(?:{_GAP}{_PART}){{2,}}(?![A-Za-z0-9])", re.I)
+_SPELLED_PART = re.compile(rf"plus|{_PART}|[ \t,-]+", re.I)
+_OCTET = rf"{_PART}(?:[ \t-]{{1,3}}{_PART}){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?<![A-Za-z0-9.]){_OCTET}(?:(?:{_DOT_WORD}|\.){_OCTET}){{3}}(?![A-Za-z0-9])", re.I)
+_IP_PART = re.compile(rf"dot|{_PART}|[ \t-]+|\.", re.I)
+#: Digits that a run of words and digits must have to be rewritten.
+MIN_DIGITS = 7
 
 
 @dataclass
@@ -147,27 +167,47 @@ def _glyphs(m: re.Match) -> list:
 
 
 def _word_dots(m: re.Match) -> list:
-    """" at " and " dot " inside one address-like run; a plain "@" with plain
-    dots is left as it is."""
-    out = []
-    if m["at"] != "@":
-        out.append((*m.span("at"), "@"))
-    out += [(m.start() + d.start(), m.start() + d.end(), ".") for d in re.finditer(" dot ", m[0], re.I)]
-    return out if re.search(" dot ", m[0], re.I) else []
+    """"at" and "dot" as words inside one address-like run. A plain "@" with
+    plain dots is left as it is; so is "at" before a host with plain dots if
+    the ending is unknown or the word before it is no name."""
+    dots = [(m.start() + d.start(), m.start() + d.end(), ".") for d in re.finditer(_DOT_WORD, m[0], re.I)]
+    if m["at"] == "@":
+        return dots
+    if not dots and (m["last"].lower() not in ENDINGS or m["local"].lower() in NOT_NAMES):
+        return []
+    return [(*m.span("at"), "@"), *dots]
 
 
 def _spelled(m: re.Match) -> list:
-    """Digit words become digits, separators one space ("plus one" -> "+1")."""
-    out, plus = [], False
+    """Number words become digits, what parts them one space ("plus one" ->
+    "+1"); digits stay. Runs without a word, or of few digits, are left."""
+    out, digits, words, after = [], 0, 0, ""
     for p in _SPELLED_PART.finditer(m[0]):
-        word = p[0].lower()
-        if word == "plus":
-            new, plus = "+", True
-        elif word in DIGIT_WORDS:
-            new, plus = DIGIT_WORDS[word], False
+        piece, place = p[0].lower(), (m.start() + p.start(), m.start() + p.end())
+        if piece == "plus":
+            out.append((*place, "+"))
+        elif piece in NUMBER_WORDS:
+            out.append((*place, NUMBER_WORDS[piece]))
+            digits, words = digits + len(NUMBER_WORDS[piece]), words + 1
+        elif piece.isdigit():
+            digits += len(piece)
         else:
-            new = "" if plus else " "
-        out.append((m.start() + p.start(), m.start() + p.end(), new))
+            # nothing after "plus", and "nine hundred" is one number
+            hundred = m[0][p.end():p.end() + 8].lower().startswith(("hundred", "thousand"))
+            out.append((*place, "" if after == "plus" or hundred else " "))
+        after = piece
+    return out if words and digits >= MIN_DIGITS else []
+
+
+def _spelled_ip(m: re.Match) -> list:
+    """Four numbers in words or digits, parted by "dot" or a plain dot."""
+    if m[0].replace(".", "").isdigit():
+        return []
+    out = []
+    for p in _IP_PART.finditer(m[0]):
+        piece, place = p[0].lower(), (m.start() + p.start(), m.start() + p.end())
+        new = NUMBER_WORDS.get(piece, "." if piece in ("dot", ".") else piece if piece.isdigit() else "")
+        out.append((*place, new))
     return out
 
 
@@ -176,13 +216,16 @@ def deobfuscate(text: str) -> Aligned | None:
     glyph = not text.isascii() and _GLYPH.search(text)
     low = text.lower()
     spelled = not DIGIT_WORDS.keys().isdisjoint(low.replace("-", " ").replace(",", " ").split())
-    if not (glyph or spelled or " dot " in low or _ANY_BRACKET.search(text)):
+    at = _AT_WORD.search(text) is not None
+    if not (glyph or spelled or at or " dot " in low or _ANY_BRACKET.search(text)):
         return None
     now = plain = Aligned.of(text)
     if glyph:
         now = now.rewrite(_GLYPH, _glyphs)
     now = now.rewrite(_BRACKET_AT, lambda m: [(m.start(), m.end(), "@")])
     now = now.rewrite(_BRACKET_DOT, lambda m: [(m.start(), m.end(), ".")])
+    if spelled or glyph:
+        now = now.rewrite(_SPELLED_IP, _spelled_ip)
     now = now.rewrite(_WORD_DOT, _word_dots)
     if spelled or glyph:
         now = now.rewrite(_SPELLED, _spelled)
@@ -218,8 +261,10 @@ def _batch(cols: dict) -> dict:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: counts of the base kinds, base_spans and spans
-    ("kind:start:end", comma-joined). Null and empty texts have none; repeated
-    rows each give a row; further columns are ignored."""
+    ("kind:start:end", comma-joined). Null and empty texts have none. Spans that
+    start together are in the order of KINDS, equal ones are given once. Whole
+    texts are scanned, in time proportional to their length; repeated rows each
+    give a row, an empty table none; other columns are not read."""
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
                     _batch, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
                             "base_spans string, spans string")
