@@ -112,7 +112,7 @@ _DOT_WORD = r"[ \t]{1,3}dot[ \t]{1,3}"
 _WORD_DOT = re.compile(
     r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{1,64})(?P<at>[ \t]{1,3}at[ \t]{1,3}|@)[A-Za-z0-9-]{1,63}"
     rf"(?:(?:{_DOT_WORD}|\.)(?P<last>[A-Za-z0-9-]{{1,63}})){{1,8}}", re.I)
-_AT_WORD = re.compile(r"[ \t]at[ \t]", re.I)
+_AT_HOST = re.compile(r"[A-Za-z0-9._%+-][ \t]{1,3}at[ \t]{1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z0-9-]", re.I)
 #: Endings for which "name at host.ending" is an address, and
 #: words before "at" with which it is a sentence about a site.
 ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me us uk de fr es it nl eu ch at be se no dk "
@@ -216,7 +216,7 @@ def deobfuscate(text: str) -> Aligned | None:
     glyph = not text.isascii() and _GLYPH.search(text)
     low = text.lower()
     spelled = not DIGIT_WORDS.keys().isdisjoint(low.replace("-", " ").replace(",", " ").split())
-    at = _AT_WORD.search(text) is not None
+    at = ("at " in low or "at\t" in low) and _AT_HOST.search(text) is not None
     if not (glyph or spelled or at or " dot " in low or _ANY_BRACKET.search(text)):
         return None
     now = plain = Aligned.of(text)
