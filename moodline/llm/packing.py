@@ -51,7 +51,7 @@ PASS_TERMS, SEED_BLOCK = 4_000_000, 256
 #: Documents tokenized or placed together.
 SLICE_DOCS = 1024
 #: Tokens of a packing task.
-TASK_TOKENS = 2_000_000
+TASK_TOKENS = 8_000_000
 #: Windows of a task that wait for documents to fill them.
 MAX_WAITING = 1024
 #: Rows of one id and text beyond this number are spread by arrival.
@@ -241,7 +241,7 @@ class ShardIndex:
         names the documents as ``seeds.seed`` does the seeds; a seed is not its
         own neighbour. Ties go to the smaller key."""
         step = max(1, self.size // 2048)
-        sampled, nth = -(-self.size // step), int(wanted / step)
+        sampled, nth = -(-self.size // step), max(0, round(wanted / step) - 1)
         asked = np.zeros(self.vocabulary)
         out_seed, out_doc, out_score = [], [], []
         for at in range(0, len(seeds), SEED_BLOCK):
@@ -316,7 +316,7 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
     sample = (tokens.filter(F.pmod(F.hash("key"), F.lit(share)) == 0).select("key", "length", "terms")
               .limit(4 * SAMPLE_DOCS).orderBy("key").toArrow())
     basis = fit_basis(sample["terms"].to_pylist(), sample["length"].to_numpy(), stats, dtype)
-    wanted = candidates / shards + 2
+    wanted = candidates / shards + 1
 
     def one_pass(number: int) -> DataFrame:
         mine = all_seeds.filter(F.pmod(F.hash("seed"), F.lit(passes)) == number) if passes > 1 else all_seeds
