@@ -36,18 +36,18 @@ END_ID = 2
 K1, B = 1.2, 0.75
 SEED_EVERY = 20
 #: Expected documents of an index shard.
-SHARD_DOCS = 16_384
+SHARD_DOCS = 32_768
 #: Neighbours that a seed asks for; a window rarely holds more.
 NEIGHBOURS = 16
 #: Postings of so many rarest terms of a seed are read, and count this much
 #: against the summary of its other terms.
-KEY_TERMS, KEY_WEIGHT = 12, 2.0
+KEY_TERMS, KEY_WEIGHT = 10, 2.0
 #: Rank of the summary, and the bounds of the sample it is fitted on.
 RANK, SAMPLE_DOCS, SAMPLE_TERMS = 16, 1000, 8192
 #: Exactly scored documents of a seed, over all shards (expected number).
 CANDIDATES = 128
 #: Bounds of the seeds of a pass, and of those scored together.
-PASS_TERMS, SEED_BLOCK = 4_000_000, 256
+PASS_TERMS, SEED_BLOCK = 4_000_000, 128
 #: Documents tokenized or placed together.
 SLICE_DOCS = 1024
 #: Tokens of a packing task.
