@@ -487,23 +487,14 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     rank_df[stats.rank] = df
     rank_df[-1] = n_docs
     parts = 1 + rank_df * (int(stats.mean) + 1) * 8 // TASK_TOKENS
-    columns = ["doc_id", "key", "ids", "kind", "cluster", "part", "place", "tie"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_DOCS):
-                batch = whole.slice(at, SLICE_DOCS)
-                key, copy = batch["key"].to_numpy(), batch["copy"].to_numpy()
-                free = np.asarray(batch["cluster"].is_null())
-                rare = np.zeros((len(key), 3), np.int64)
-                rare[free] = _rarest(batch["terms"].filter(pa.array(free)).to_pylist(), stats, dtype)
-                cluster = np.where(free, rare[:, 0], batch["cluster"].fill_null(0).to_numpy())
-                score = batch["score"].fill_null(0.0).to_numpy()
-                part = np.where(free, (key + copy) % parts[rare[:, 0]], 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], batch["key"], batch["ids"], pa.array(free.astype(np.int32)),
-                     pa.array(cluster), pa.array(part), pa.array(np.where(free, 0.0, -score)),
-                     pa.array(np.where(free, rare[:, 1] << 32 | rare[:, 2], 0))], columns)
+
+    @F.pandas_udf("cluster long, part long, tie long")
+    def by_rarest(terms, key, copy):
+        """Where a document goes that no seed uses."""
+        import pandas as pd
+        rare = _rarest(list(terms), stats, dtype)
+        part = (key.to_numpy() + copy.to_numpy()) % parts[rare[:, 0]]
+        return pd.DataFrame({"cluster": rare[:, 0], "part": part, "tie": rare[:, 1] << 32 | rare[:, 2]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wordbpe.load.cache_clear()
@@ -522,11 +513,18 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
 
     # rows of one id and text are alike: the very many are spread by arrival
     joined = with_hot(counted_join(tokens, used, "key", how="left"), *hot)
-    rows = joined.select(
-        "doc_id", "key", "ids", "terms", F.when(~F.col("hot"), F.col("cluster")).alias("cluster"), "score",
-        F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0).alias("copy"))
+    free = F.col("cluster").isNull() | F.col("hot")
+    copy = F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0)
+    zero = F.lit(0).cast("long")
+    # the ids do not pass through Python here, only the terms do
+    rows = joined.select("doc_id", "key", "ids", free.alias("free"), F.col("cluster").alias("seed"), "score",
+                         by_rarest("terms", "key", copy).alias("own"))
+    placed = rows.select(
+        "doc_id", "key", "ids", F.col("free").cast("int").alias("kind"),
+        F.when(F.col("free"), F.col("own.cluster")).otherwise(F.col("seed")).alias("cluster"),
+        F.when(F.col("free"), F.col("own.part")).otherwise(zero).alias("part"),
+        F.when(F.col("free"), F.lit(0.0)).otherwise(-F.col("score")).alias("place"),
+        F.when(F.col("free"), F.col("own.tie")).otherwise(zero).alias("tie"))
     order = ["kind", "cluster", "part"]
-    return (rows.mapInArrow(place, "doc_id long, key long, ids binary, kind int, cluster long, part long, "
-                                   "place double, tie long")
-            .repartition(tasks, *order).sortWithinPartitions(*order, "place", "tie", "key")
+    return (placed.repartition(tasks, *order).sortWithinPartitions(*order, "place", "tie", "key")
             .select("doc_id", "ids", "kind", "cluster").mapInArrow(run, SCHEMA))
