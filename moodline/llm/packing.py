@@ -4,10 +4,11 @@ Documents are tokenized once into a written table of ids, which also holds the
 document frequencies of the ids (one row for each id and task). Documents are
 then dealt by content over shards of bounded size, each a BM25 inverted index.
 Every seed document (id divisible by 20) is a query of all its terms to every
-shard, in blocks of seeds: a shard ranks its documents by the postings of the
-seed's rarest terms plus a low-rank summary of all other terms (the summary's
-basis is fitted on a bounded sample of documents), scores the best ones exactly
-and gives its best neighbours. Over all shards a document goes to the seed that
+shard, in blocks of seeds: a shard adds up the BM25 weights of every document,
+those of the most frequent terms as one matrix product (which terms these are
+is fitted on a bounded sample and changes no score), all others by their
+postings, and gives its best neighbours. No document is left out of a search.
+Over all shards a document goes to the seed that
 scores it highest, so each is used once, and a seed's window is filled with its
 neighbours by falling score; what does not fit is cut and opens the next
 window. Documents that no seed has among its neighbours follow in the order of
@@ -39,13 +40,9 @@ SEED_EVERY = 20
 SHARD_DOCS = 32_768
 #: Neighbours that a seed asks for; a window rarely holds more.
 NEIGHBOURS = 16
-#: Postings of so many rarest terms of a seed are read, and count this much
-#: against the summary of its other terms.
-KEY_TERMS, KEY_WEIGHT = 10, 2.0
-#: Rank of the summary, and the bounds of the sample it is fitted on.
-RANK, SAMPLE_DOCS, SAMPLE_TERMS = 16, 1000, 8192
-#: Exactly scored documents of a seed, over all shards (expected number).
-CANDIDATES = 128
+#: Terms whose weights are a dense matrix (columns), and about how many
+#: documents choose them. Neither changes a score.
+RANK, SAMPLE_DOCS = 256, 1000
 #: Bounds of the seeds of a pass, and of those scored together.
 PASS_TERMS, SEED_BLOCK = 4_000_000, 128
 #: Documents tokenized or placed together.
@@ -152,59 +149,45 @@ class Statistics:
 
 
 class Seeds:
-    """The terms of a pass's seeds, one after the other, which of them are the
-    seed's key terms, and the summaries of the others."""
+    """The terms of a pass's seeds, one after the other, and which of them are
+    found by postings: those without a column in ``basis``."""
 
     def __init__(self, seed: np.ndarray, terms: list[np.ndarray], stats: Statistics, basis: np.ndarray) -> None:
-        self.seed = seed
+        self.seed, self.basis = seed, basis
         self.first = np.cumsum([0] + [len(t) for t in terms])
         self.term = np.concatenate(terms) if terms else np.empty(0, np.uint16)
-        # of each seed the rarest terms that another document has too
-        owner = np.repeat(np.arange(len(seed)), np.diff(self.first))
-        order = np.lexsort((stats.rank[self.term], owner))
-        place = np.arange(len(order)) - self.first[owner[order]]
-        self.is_key = np.zeros(len(self.term), bool)
-        self.is_key[order[(place < KEY_TERMS) & (stats.df[self.term[order]] > 1)]] = True
-        self.summary = np.zeros((len(seed), basis.shape[1]), np.float32)
-        rest = np.flatnonzero(~self.is_key)
-        for at in range(0, len(rest), 1 << 20):
-            some = rest[at:at + (1 << 20)]
-            _add_lines(self.summary, owner[some], basis[self.term[some]])
+        self.by_posting = basis[self.term] < 0
 
     def __len__(self) -> int:
         return len(self.seed)
 
-
-def _add_lines(out: np.ndarray, owner: np.ndarray, lines: np.ndarray) -> None:
-    """out[owner] += lines, for owners in rising order."""
-    if len(owner):
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        out[owner[first]] += np.add.reduceat(lines, first, axis=0)
-
-
-def fit_basis(docs: list[bytes], lengths: np.ndarray, stats: Statistics, dtype: np.dtype, rank: int = RANK, max_terms: int = SAMPLE_TERMS) -> np.ndarray:
-    """The main directions of the BM25 vectors of sample documents (their most
-    frequent terms), as a matrix (vocabulary, at most ``rank``)."""
-    pairs = [unpack_terms(d, dtype) for d in docs]
-    owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in pairs])
-    term = np.concatenate([t for t, _ in pairs] or [np.empty(0, dtype)])
-    count = np.concatenate([c for _, c in pairs] or [np.empty(0, dtype)])
-    common = np.argsort(-stats.df, kind="stable")[:max_terms]
-    place = np.full(len(stats.df), -1)
-    place[common] = np.arange(len(common))
-    inside = place[term] >= 0
-    matrix = np.zeros((len(docs), len(common)), np.float32)
-    matrix[owner[inside], place[term[inside]]] = stats.weights(term, count, lengths[owner])[inside]
-    values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
-    main = np.flatnonzero(values > 1e-6 * max(values.max(initial=0), 1))[-rank:]
-    basis = np.zeros((len(stats.df), max(len(main), 1)), np.float32)
-    if len(main):
-        basis[common, :len(main)] = (matrix.T @ vectors[:, main]) / np.sqrt(values[main])
+    def dense(self, at: int, stop: int) -> np.ndarray:
+        """Which columns the seeds ``at`` to ``stop`` ask for, as a matrix of 0 and 1."""
+        stop = min(stop, len(self))
+        part = slice(self.first[at], self.first[stop])
+        owner = np.repeat(np.arange(stop - at), np.diff(self.first[at:stop + 1]))
+        column = self.basis[self.term[part]]
+        out = np.zeros((stop - at, self.basis.max(initial=-1) + 1), np.float32)
+        out[owner[column >= 0], column[column >= 0]] = 1
+        return out
+
+
+def fit_basis(docs: list[bytes], lengths: np.ndarray, stats: Statistics, dtype: np.dtype, rank: int = RANK) -> np.ndarray:
+    """The column of each term in the matrix of dense weights, or -1: the
+    ``rank`` terms that most sample documents have get one, every other term is
+    found by its postings. Scores are the same whichever terms these are."""
+    n = np.zeros(len(stats.df), np.int64)
+    for raw in docs:
+        n[unpack_terms(raw, dtype)[0]] += 1
+    common = np.argsort(-n, kind="stable")[:min(rank, np.count_nonzero(n))]
+    basis = np.full(len(stats.df), -1, np.int32)
+    basis[common] = np.arange(len(common))
     return basis
 
 
 class ShardIndex:
-    """BM25 inverted index of a shard, its forward lists and its summary."""
+    """BM25 index of a shard: a dense matrix for the terms of ``basis``, an
+    inverted index of all others, and forward lists."""
 
     def __init__(self, docs: list[bytes], lengths: np.ndarray, stats: Statistics, basis: np.ndarray, dtype: np.dtype) -> None:
         self.size, self.vocabulary = len(docs), len(stats.df)
@@ -218,44 +201,61 @@ class ShardIndex:
         for at in range(0, len(self.term), 1 << 18):
             some = slice(at, at + (1 << 18))
             self.weight[some] = stats.weights(self.term[some], count[some], lengths[owner[some]])
-        order = np.argsort(self.term, kind="stable").astype(np.int32)
-        self.posting_doc = owner[order]
-        self.posting_weight = (self.weight[order] * KEY_WEIGHT).astype(np.float32)
-        self.posting_first = np.searchsorted(self.term[order], np.arange(self.vocabulary + 1))
-        del order
-        self.summary = np.zeros((self.size, basis.shape[1]), np.float32)
-        for at in range(0, len(self.term), 1 << 18):
-            some = slice(at, at + (1 << 18))
-            _add_lines(self.summary, owner[some], basis[self.term[some]] * self.weight[some, None].astype(np.float32))
-
-    def add_postings(self, line: np.ndarray, keys: np.ndarray) -> None:
+        del count
+        column = basis[self.term]
+        inside = np.flatnonzero(column >= 0)
+        self.dense = np.zeros((basis.max(initial=-1) + 1, self.size), np.float32)
+        self.dense[column[inside], owner[inside]] = self.weight[inside]
+        rest = np.flatnonzero(column < 0).astype(np.int32)
+        del column, inside
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.posting_doc = owner[rest]
+        self.posting_weight = self.weight[rest].astype(np.float32)
+        self.posting_first = np.searchsorted(self.term[rest], np.arange(self.vocabulary + 1)).tolist()
+
+    def add_postings(self, line: np.ndarray, keys: list[int]) -> None:
         """Add the weights of the documents with each of the terms ``keys``."""
-        slices = [slice(self.posting_first[t], self.posting_first[t + 1]) for t in keys]
+        first = self.posting_first
+        slices = [slice(first[t], first[t + 1]) for t in keys if first[t] < first[t + 1]]
         if slices:
             line += np.bincount(np.concatenate([self.posting_doc[s] for s in slices]),
                                 np.concatenate([self.posting_weight[s] for s in slices]), self.size).astype(np.float32)
 
-    def neighbours(self, seeds: Seeds, key: np.ndarray, wanted: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(seed, document, score) of up to ``k`` best neighbours of each seed,
-        out of ``wanted`` or more documents that are scored exactly. ``key``
-        names the documents as ``seeds.seed`` does the seeds; a seed is not its
-        own neighbour. Ties go to the smaller key."""
+    def reach(self, line: np.ndarray, own: np.ndarray, wanted: int, error: float) -> np.ndarray:
+        """Documents but ``own`` (true or false each) that may be among the
+        ``wanted`` with the highest scores, given the scores ``line`` up to a
+        relative ``error``."""
         step = max(1, self.size // 2048)
-        sampled, nth = -(-self.size // step), max(0, round(wanted / step) - 1)
+        nth = 4 * wanted // step + 2
+        docs = np.arange(self.size)
+        if nth < len(line) // step:
+            # a bound from every step-th document; it holds if enough reach it
+            sampled = line[::step]
+            some = np.flatnonzero(line >= np.partition(sampled, len(sampled) - nth)[len(sampled) - nth])
+            docs = some if np.count_nonzero(~own[some]) >= wanted else docs
+        docs = docs[~own[docs]]
+        if len(docs) > wanted:
+            score = line[docs]
+            docs = docs[score >= np.partition(score, len(docs) - wanted)[len(docs) - wanted] * (1 - 2 * error)]
+        return docs
+
+    def neighbours(self, seeds: Seeds, key: np.ndarray, wanted: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(seed, document, score) of the ``k`` best neighbours of each seed
+        among all documents of the shard. Every document is scored by all terms
+        in single precision; those that may be among the best ``wanted`` (at
+        least ``k``), rounding included, are scored again in double precision.
+        ``key`` names the documents as ``seeds.seed`` does the seeds; a seed is
+        not its own neighbour. Ties go to the smaller key."""
         asked = np.zeros(self.vocabulary)
         out_seed, out_doc, out_score = [], [], []
         for at in range(0, len(seeds), SEED_BLOCK):
-            rough = seeds.summary[at:at + SEED_BLOCK] @ self.summary.T
-            for i, line in enumerate(rough, at):
+            lines = seeds.dense(at, at + SEED_BLOCK) @ self.dense
+            for i, line in enumerate(lines, at):
                 terms = slice(seeds.first[i], seeds.first[i + 1])
                 own = seeds.term[terms]
-                self.add_postings(line, own[seeds.is_key[terms]])
-                if nth + 1 < sampled:
-                    # the bound that about ``wanted`` documents reach, from every step-th one
-                    docs = np.flatnonzero(line >= np.partition(line[::step], sampled - 1 - nth)[sampled - 1 - nth])
-                else:
-                    docs = np.arange(self.size)
-                docs = docs[key[docs] != seeds.seed[i]]
+                self.add_postings(line, own[seeds.by_posting[terms]].tolist())
+                # sums of len(own) weights, none negative
+                docs = self.reach(line, key == seeds.seed[i], max(round(wanted), k), (len(own) + 16) * 2.0 ** -23)
                 asked[own] = 1
                 score = np.array([self.weight[a:b] @ asked[self.term[a:b]] for a, b in
                                   zip(self.first[docs].tolist(), self.first[docs + 1].tolist(), strict=True)])
@@ -300,10 +300,9 @@ def _deal(tokens: DataFrame, shards: int, hot: DataFrame, n_hot: int) -> DataFra
 
 
 def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs: int, hot: tuple[DataFrame, int],
-                    seed_every: int = SEED_EVERY, shard_docs: int = SHARD_DOCS, k: int = NEIGHBOURS,
-                    candidates: int = CANDIDATES) -> DataFrame:
-    """seed, key, score: the ``k`` best neighbours of each seed by BM25 over
-    all documents. Rows with equal id and ids share a key (``key`` of
+                    seed_every: int = SEED_EVERY, shard_docs: int = SHARD_DOCS, k: int = NEIGHBOURS) -> DataFrame:
+    """seed, key, score: exactly the ``k`` best neighbours of each seed by BM25
+    over all documents; work is seeds times documents, a shard at a time. Rows with equal id and ids share a key (``key`` of
     ``tokens``) and are one document here. Written."""
     shards = max(1, -(-docs // shard_docs))
     dealt = _deal(tokens, shards, *hot)
@@ -313,10 +312,10 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
     n_terms = (all_seeds.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) // (2 * dtype.itemsize)
     passes = max(1, -(-n_terms // PASS_TERMS))
     share = max(1, -(-docs // SAMPLE_DOCS))
+    # only to choose the dense terms: no score depends on it
     sample = (tokens.filter(F.pmod(F.hash("key"), F.lit(share)) == 0).select("key", "length", "terms")
-              .limit(4 * SAMPLE_DOCS).orderBy("key").toArrow())
+              .limit(4 * SAMPLE_DOCS).toArrow())
     basis = fit_basis(sample["terms"].to_pylist(), sample["length"].to_numpy(), stats, dtype)
-    wanted = candidates / shards + 1
 
     def one_pass(number: int) -> DataFrame:
         mine = all_seeds.filter(F.pmod(F.hash("seed"), F.lit(passes)) == number) if passes > 1 else all_seeds
@@ -331,7 +330,7 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
             def search(keys: list[int], lengths: list[int], terms: list[bytes]) -> None:
                 nonlocal found
                 index, key = ShardIndex(terms, np.array(lengths, np.int64), stats, basis, dtype), np.array(keys, np.int64)
-                seed, doc, score = index.neighbours(seeds, key, wanted, k)
+                seed, doc, score = index.neighbours(seeds, key, k, k)
                 seed, doc, score = (np.concatenate(x) for x in zip(found, (seed, key[doc], score), strict=True))
                 order = np.lexsort((doc, -score, seed))
                 order = order[np.arange(len(order)) - np.searchsorted(seed[order], seed[order]) < k]

@@ -201,6 +201,22 @@ def test_neighbours_follow_bm25(vocabulary, low, high):
     assert 7 in doc[seed == 3]
 
 
+@pytest.mark.parametrize("rank", [0, 8, 5000])
+def test_no_document_is_left_out_of_a_search(rank):
+    rng = np.random.default_rng(rank)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(1, 80)), 2000).astype("<u2") - 1 for _ in range(1000)]
+    stats, dtype, lengths = statistics(docs, 2000), docs[0].dtype, np.array([len(d) for d in docs])
+    terms = [packing.pack_terms(*np.unique(d, return_counts=True), dtype) for d in docs]
+    basis = packing.fit_basis(terms[:50], lengths, stats, dtype, rank)
+    seeds = packing.Seeds(np.arange(0, 1000, 100), [np.unique(d) for d in docs[::100]], stats, basis)
+    seed, doc, score = packing.ShardIndex(terms, lengths, stats, basis, dtype).neighbours(seeds, np.arange(1000), 1, 10)
+    for i, s in enumerate(range(0, 1000, 100)):
+        want = bm25(np.unique(docs[s]), docs, stats)
+        want[s] = -1
+        best = np.sort(want)[::-1][:10]
+        assert np.allclose(score[seed == i], best[best > 0]) and np.allclose(want[doc[seed == i]], score[seed == i])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables not present")
 def test_neighbours_of_all_shards_against_the_whole_index(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
