@@ -81,11 +81,16 @@ def run_to_parquet(df: DataFrame, kind: str, name: str | None = None) -> tuple[D
              .trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
-        while _KEPT:
-            _KEPT.pop().unpersist()
+        release_static()
     return spark.read.schema(df.schema).parquet(f"{base}/out"), base
 
 
+def release_static() -> None:
+    """Free the static sides kept for the job that has ended."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def with_open_windows(closed: DataFrame, base: str, columns: list[Column]) -> DataFrame:
     """``closed`` (emitted windows) and the windows still in the state of the
     job's only stateful operator; ``columns`` over its key and value."""
@@ -118,6 +123,19 @@ def read_log(spark: SparkSession, log: str, schema: Ty.StructType) -> DataFrame:
     return spark.read.schema(full).parquet(log)
 
 
+def schema_of(ddl: str) -> Ty.StructType:
+    return Ty.StructType.fromDDL(ddl)
+
+
+def read_folder(spark: SparkSession, log: str, batch_id: int, ddl: str) -> DataFrame:
+    """Rows of one batch with its id ``v``; none if it wrote none."""
+    full = schema_of(f"{ddl}, v long")
+    folder = f"{log}/v={batch_id}"
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", log).parquet(folder)
+
+
 _STATIC: dict[tuple, tuple[DataFrame, int, int]] = {}
 #: Static sides kept for the job that is running.
 _KEPT: list[DataFrame] = []
