@@ -361,13 +361,12 @@ HISTORY_SCHEMA = Ty.StructType([
     Ty.StructField("confidence_text", Ty.StringType())])
 SALTED_SCHEMA = Ty.StructType(HISTORY_SCHEMA.fields + [Ty.StructField("_salt", Ty.IntegerType())])
 LOG_SCHEMA = Ty.StructType(SALTED_SCHEMA.fields + [Ty.StructField("v", Ty.LongType())])
-STATE_SCHEMA = Ty.StructType([Ty.StructField("entries", Ty.StringType())])
 #: So many neighbouring parts of a log of one level become one of the next.
 MERGE_PARTS = 8
 
 
 def salts(spark: SparkSession) -> int:
-    """State is keyed by (session, salt): a session with a third of all rows
+    """Lists are kept by (session, salt): a session with a third of all rows
     is spread over as many tasks as the cluster runs at once, each keeping its
     own last n."""
     return max(8, spark.sparkContext.defaultParallelism)
@@ -375,7 +374,7 @@ def salts(spark: SparkSession) -> int:
 
 def job_salts(spark: SparkSession, base: str) -> int:
     """The number of salts of a job, fixed in its folder by its first start:
-    the state of a job that goes on elsewhere keeps its keys."""
+    the log of a job that goes on elsewhere keeps its keys."""
     fs, folder = hadoop_path(spark, f"{base}/settings")
     found = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(folder)] if fs.exists(folder) else []
     if found:
@@ -385,48 +384,29 @@ def job_salts(spark: SparkSession, base: str) -> int:
     return job_salts(spark, base)
 
 
-def _last_n_state(n: int):
-    import heapq
-    import json
-
-    import pandas as pd
-
-    fields = HISTORY_COLS[1:]
-    turn = fields.index("turn")
-
-    def update(key, chunks, state):
-        kept = [tuple(e) for e in json.loads(state.get[0])] if state.exists else []
-        for chunk in chunks:  # Arrow-sized chunks: memory bounded by chunk + n
-            kept = heapq.nlargest(n, [*kept, *chunk[fields].itertuples(index=False, name=None)], key=lambda e: e[turn])
-        state.update((json.dumps([[int(x) if i == turn else x for i, x in enumerate(e)] for e in kept]),))
-        cols = HISTORY_COLS + ["_salt"] * (len(key) > 1)  # salted key: (session, salt)
-        yield pd.DataFrame([(key[0], *e, *key[1:]) for e in kept], columns=cols).astype({"turn": "int64"})
-    return update
-
-
 def last_n_stream(stream: DataFrame, n: int = HISTORY_N, name: str | None = None) -> DataFrame:
     """The last n history entries of each session (HISTORY_SCHEMA
-    rows that arrive in a stream), kept as streaming state.
-
-    Each micro-batch appends only the sessions it updated (their full last-n
-    list) to a log, in a folder of its own batch id, so a replayed batch
-    rewrites the same folder. Parts of the log are merged as they become many
-    (``compact``), so that neither the log nor what a reader reads grows with
-    the number of batches. A job with a name goes on where it stopped, on any
-    number of cores."""
+    rows that arrive in a stream), kept as a log of last-n lists.
+
+    Each micro-batch appends the last n of the rows it brought for each
+    (session, salt), in a folder of its own batch id, so a replayed batch
+    rewrites the same folder; it reads nothing of what is there. Parts of the
+    log are merged as they become many (``compact``), so that neither the log
+    nor what a reader reads grows with the number of batches. All steps are
+    native: no call for each session. A job with a name goes on where it
+    stopped, on any number of cores."""
     spark = stream.sparkSession
     base = job_path(spark, "history_last_n", name)
     n_salts = job_salts(spark, base)
     salted = stream.withColumn("_salt", F.pmod(F.xxhash64("turn"), F.lit(n_salts)).cast("int"))
-    last = salted.groupBy("conv_id", "_salt").applyInPandasWithState(
-        _last_n_state(n), SALTED_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
     log = f"{base}/log"
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        compact(spark, log, batch_id - 1)  # batches before this one are committed
-        batch.withColumn("v", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{log}/v={batch_id}")
+        compact(spark, log, batch_id - 1, n)  # batches before this one are committed
+        lists = last_rows(batch, ["conv_id", "_salt"], n).select(*SALTED_SCHEMA.fieldNames())
+        lists.withColumn("v", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{log}/v={batch_id}")
 
-    q = (last.writeStream.outputMode("update").foreachBatch(append)
+    q = (salted.writeStream.foreachBatch(append)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return latest_per_session(spark, log, n)
@@ -457,10 +437,10 @@ def log_parts(spark: SparkSession, log: str) -> tuple[list[LogPart], list[LogPar
     return sorted(live, key=lambda x: x.first), [x for x in parts if any(x.inside(y) for y in parts)]
 
 
-def compact(spark: SparkSession, log: str, until: int) -> None:
+def compact(spark: SparkSession, log: str, until: int, n: int = HISTORY_N) -> None:
     """Merge MERGE_PARTS neighbouring parts of one level, all of batches up to
     ``until``, into one of the next level, as long as there are any: of each
-    (session, salt) only its newest list stays. What an earlier call replaced
+    (session, salt) only the last n rows stay. What an earlier call replaced
     is deleted now, so that a reader of that time has come to its end."""
     live, replaced = log_parts(spark, log)
     fs = hadoop_path(spark, log)[0]
@@ -478,32 +458,30 @@ def compact(spark: SparkSession, log: str, until: int) -> None:
             return
         merged = f"v={run[0].first}-{run[-1].last}.{run[0].level + 1}"
         rows = spark.read.schema(LOG_SCHEMA).parquet(*[f"{log}/{x.folder}" for x in run])
-        newest_lists(rows).write.mode("overwrite").parquet(f"{log}/{merged}")
+        last_rows(rows, ["conv_id", "_salt"], n).write.mode("overwrite").parquet(f"{log}/{merged}")
         live, _ = log_parts(spark, log)
 
 
-def newest_lists(rows: DataFrame) -> DataFrame:
-    """The rows of each (session, salt)'s newest batch: a partial maximum for
-    each key, then a join on (session, salt, batch)."""
-    newest = rows.groupBy("conv_id", "_salt").agg(F.max("v").alias("v"))
-    return rows.join(newest, ["conv_id", "_salt", "v"]).select(*LOG_SCHEMA.fieldNames())
+def last_rows(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The n rows of the largest turns of each group (a partial window limit
+    before the shuffle: a task sends at most n rows of a group)."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("turn")))
+    return rows.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def latest_per_session(spark: SparkSession, log: str, n: int = HISTORY_N) -> DataFrame:
-    """The last n entries of each session from the log: of each (session, salt)
-    its newest list, then the top n per session over its at most salts * n
-    candidates (a partial window limit before the shuffle)."""
+    """The last n entries of each session from the log, out of at most salts *
+    n candidates of each of its parts."""
     live, _ = log_parts(spark, log)
     rows = (spark.read.schema(LOG_SCHEMA).parquet(*[f"{log}/{x.folder}" for x in live]) if live
             else spark.createDataFrame([], LOG_SCHEMA))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return newest_lists(rows).withColumn("_rn", rank).filter(F.col("_rn") <= n).select(*HISTORY_COLS)
+    return last_rows(rows, ["conv_id"], n).select(*HISTORY_COLS)
 
 
 def history_last_n_stream(spark: SparkSession, sf_dir: str, n: int = HISTORY_N, name: str | None = None) -> DataFrame:
     """R4b over scored history rows (a table Spark derives from
     ``conversations``), which arrive in about FEED_BATCHES micro-batches, so
-    that state is carried from batch to batch."""
+    that lists of several batches are merged."""
     from moodline.operators import reports as R
     model, _ = train_model(spark, sf_dir)
     feed = R.history_rows(model, read_keyed(spark, sf_dir, "conversations", ["conv_id", "turn"]))

@@ -1,6 +1,7 @@
 """The last-n history as a job that is stopped, moved and started again."""
 
 import random
+import time
 import uuid
 from collections import Counter
 
@@ -97,3 +98,21 @@ def test_another_n_and_equal_turns(spark, tmp_path):
 def test_names_of_parts(folder, want):
     p = J.LogPart(folder)
     assert (p.first, p.last, p.level) == want and not p.inside(p)
+
+
+def test_no_python_call_for_each_session(spark, tmp_path):
+    # 20 000 sessions in two batches: one call for each of them took minutes
+    rows = [(i % 20_000, t, "user", "text", "Neutral", "Low", "50.0%") for t, i in enumerate(range(40_000))]
+    feed = Feed(spark, tmp_path)
+    feed.arrive(rows[:20_000])
+    feed.arrive(rows[20_000:])
+    start = time.monotonic()
+    assert feed.run(n=1) == brute_last(rows)
+    assert time.monotonic() - start < 60
+
+
+def brute_last(rows):
+    newest = {}
+    for r in rows:
+        newest[r[0]] = r
+    return Counter(newest.values())

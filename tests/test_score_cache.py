@@ -1,6 +1,7 @@
 """The 60-second score cache: requests in any batches equal a plain loop."""
 
 import random
+import time
 import uuid
 from collections import Counter
 from datetime import datetime, timedelta
@@ -109,3 +110,30 @@ def test_an_empty_input(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     feed.arrive([])
     assert feed.run()[0] == Counter()
+
+
+def test_no_python_call_for_each_text(spark, tmp_path):
+    # 20 000 texts: one or two calls for each of them took minutes
+    rows = [(i, T0 + timedelta(milliseconds=i), f"t{i % 20_000}", "Neutral", "Low") for i in range(40_000)]
+    feed = Feed(spark, tmp_path)
+    feed.arrive(rows)
+    start = time.monotonic()
+    assert feed.run()[0] == brute(rows)
+    assert time.monotonic() - start < 60
+
+
+def test_entries_that_batches_of_arrow_cut(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [r for r in requests(300, 6) if r[2] != "a"]
+        first = {}
+        for i, at, text, *_ in rows:
+            n = first.get((text, at), (i, 0))[1]
+            first[text, at] = (first.get((text, at), (i, 0))[0], n + 1)
+        us = lambda at: (at - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+        data = [(text, "Neutral", "Low", us(at), i, n, us(at)) for (text, at), (i, n) in first.items()]
+        got = C.entries(spark.createDataFrame(data, C.LOG)).select(*C.LOG_COLS[:-1]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute(rows)
+    assert Counter(tuple(r) for r in got) == Counter({(t, s, lv, us(at), i, n): c for (t, s, lv, at, i, n), c in want.items()})
