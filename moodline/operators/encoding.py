@@ -2,7 +2,7 @@
 
 The whole text is encoded: a text of n tokens becomes ceil(n / 126) chunks,
 each ``[start] ids... [end]`` padded to 128 with its attention mask. Groups of
-the final aggregation are (text, chunk) and hold at most 126 elements.
+the final aggregation are chunks and hold at most 126 elements.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from moodline.functions import text as T
-from moodline.operators.joins import checked_lookup_join, fits_broadcast, materialize
+from moodline.operators.joins import broadcast_bound, checked_lookup_join, fits_broadcast, materialize
 
 # Sequence length and reserved ids.
 MAX_LENGTH = 128
@@ -26,6 +26,11 @@ PAD_ID, START_ID, END_ID, UNKNOWN_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 #: Tokens looked up and chunks built at a time.
 SLICE_TOKENS, SLICE_CHUNKS = 1 << 18, 1 << 13
+#: Column of the tokens that a lookup in place does not know: slot in input_ids, token.
+REST = "_rest"
+REST_TYPE = Ty.ArrayType(Ty.StructType([Ty.StructField("slot", Ty.IntegerType()), Ty.StructField("token", Ty.StringType())]))
+#: Longer tokens are joined.
+MAX_NEAR_BYTES = 256
 #: Hash ranges in which the tokens of one frequency are numbered.
 RANK_BITS = 16
 
@@ -58,28 +63,73 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int | None = None) ->
 def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, chunk, n_tokens (whole text), input_ids, attention_mask; no row for
     a text without tokens. Ids are looked up where the text was read if the
-    vocabulary is within the broadcast bounds, else by a join."""
+    vocabulary is within the broadcast bounds; beyond them those of the most
+    frequent tokens are, and the rare ones by a join of their occurrences."""
     lookup = materialize(vocab.select("token", "token_id"))
     n_tokens = lookup.count()
     toks = docs.select(key, T.tokens(F.col(text)).alias("_toks"))
     if fits_broadcast(lookup, "token", n_tokens):
-        return _encode_in_place(toks, lookup, key)
-    # the text moves once, so that the token rows of a text need not
-    toks = docs.repartition(key).select(key, T.tokens(F.col(text)).alias("_toks"))
-    # n_tokens (of the whole text) rides along as a group key: no join back
-    occ = toks.select(key, F.size("_toks").alias("n_tokens"),
-                      F.posexplode_outer("_toks").alias("pos", "token")).filter(F.col("token").isNotNull())
-    ids = checked_lookup_join(occ, lookup, "token", n_tokens, how="left").select(
-        key, "n_tokens", "pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).cast("long").alias("token_id"))
-    chunks = ids.groupBy(key, "n_tokens", F.floor(F.col("pos") / CHUNK_TOKENS).alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_pairs"))
-    body = F.transform(F.col("_pairs"), lambda s: s["token_id"])
-    seq = F.concat(F.array(F.lit(START_ID).cast("long")), body, F.array(F.lit(END_ID).cast("long")))
-    n = F.size(seq)
-    return chunks.select(key, "chunk", "n_tokens",
-                         F.concat(seq, F.array_repeat(F.lit(PAD_ID).cast("long"), MAX_LENGTH - n)).alias("input_ids"),
-                         F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), MAX_LENGTH - n))
-                         .alias("attention_mask"))
+        return _encode_in_place(toks, lookup, key).drop(REST)
+    # frequent tokens have the smallest ids: nearly all occurrences are looked
+    # up in place, and only the others are joined and put into their chunks
+    near = ((F.col("token_id") < FIRST_WORD_ID + broadcast_bound(docs.sparkSession))
+            & (F.octet_length("token") <= MAX_NEAR_BYTES))
+    chunks = materialize(_encode_in_place(toks, lookup.filter(near), key)
+                         .withColumn("_row", F.monotonically_increasing_id()))
+    done = chunks.filter(F.size(REST) == 0).drop(REST, "_row")
+    some = chunks.filter(F.size(REST) > 0)
+    far = materialize(lookup.filter(~near))
+    occ = some.select("_row", F.explode(REST).alias("_t")).select("_row", "_t.slot", "_t.token")
+    ids = checked_lookup_join(occ, far, "token", far.count(), how="left")
+    # at most CHUNK_TOKENS of a chunk
+    found = ids.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(
+        "slot", F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).cast("long")))).alias("_ids"))
+    filled = F.transform("input_ids", lambda x, i: F.coalesce(F.try_element_at(F.col("_ids"), i), x))
+    return done.unionByName(some.join(found, "_row").withColumn("input_ids", filled).select(*done.columns))
+
+
+class TokenLookup:
+    """Places of tokens in a vocabulary, whose own order is that of their
+    hashes: one array to search, made once and not for every slice. Tokens are
+    compared in full, so equal hashes only cost a further step."""
+
+    def __init__(self, tokens: pa.Array) -> None:
+        hashes = token_hashes(tokens)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.tokens = hashes[self.order], tokens.take(pa.array(self.order))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def places(self, tokens: pa.Array) -> np.ndarray:
+        """The place of each token, or the vocabulary's size."""
+        coded = tokens.dictionary_encode()
+        different = coded.dictionary
+        hashes = token_hashes(different)
+        at = np.searchsorted(self.hashes, hashes)
+        out = np.full(len(different) + 1, len(self))
+        left = np.arange(len(different))
+        while len(left):
+            left = left[at[left] < len(self)]
+            left = left[self.hashes[at[left]] == hashes[left]]
+            same = pc.equal(self.tokens.take(pa.array(at[left])), different.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+        return out[coded.indices.fill_null(len(different)).to_numpy()]
+
+
+def token_hashes(tokens: pa.Array) -> np.ndarray:
+    """A 64-bit number of each token, from its bytes."""
+    tokens = tokens.cast(pa.large_binary())
+    ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset:tokens.offset + len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+    size = np.diff(ends)
+    raw = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    place = np.arange(len(raw)) - np.repeat(ends[:-1] - ends[0], size)
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power[place], dtype=np.uint64)])
+    out = total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]
+    return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def chunk_schema(key: Ty.StructField) -> Ty.StructType:
@@ -134,17 +184,35 @@ def chunk_slices(keys: pa.Array, size: np.ndarray, flat: np.ndarray, key: str, s
 
 def _encode_in_place(toks: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """The chunks of each token array, made in Arrow batches without a shuffle,
-    a bounded number of tokens at a time."""
+    a bounded number of tokens at a time; unknown tokens also in column REST,
+    with their places in the chunk."""
     table = lookup.toArrow()
-    shared = toks.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].to_numpy()))
+    vocabulary = TokenLookup(table["token"].combine_chunks())
+    known = np.append(table["token_id"].to_numpy()[vocabulary.order], UNKNOWN_ID)
+    del vocabulary.order
+    shared = toks.sparkSession.sparkContext.broadcast((vocabulary, known))
+    schema = Ty.StructType([*chunk_schema(toks.schema[key]).fields, Ty.StructField(REST, REST_TYPE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, token_ids = shared.value
-        known = np.append(token_ids, UNKNOWN_ID)
+        vocabulary, known = shared.value
         for batch in batches:
             for keys, tokens in token_slices(batch):
-                flat = known[pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(len(vocabulary)).to_numpy()]
+                flat = tokens.flatten()
+                at = vocabulary.places(flat)
                 size = pc.list_value_length(tokens).fill_null(0).to_numpy().astype(np.int64)
-                yield from chunk_slices(keys, size, flat, key)
-
-    return toks.mapInArrow(run, chunk_schema(toks.schema[key]))
+                # chunk (over the slice) and place of each unknown token
+                parts = -(-size // CHUNK_TOKENS)
+                unknown = np.flatnonzero(at == len(vocabulary))
+                owner = np.searchsorted(np.cumsum(size), unknown, side="right")
+                place = unknown - (np.cumsum(size) - size)[owner]
+                chunk = (np.cumsum(parts) - parts)[owner] + place // CHUNK_TOKENS
+                rest = pa.StructArray.from_arrays(
+                    [pa.array((place % CHUNK_TOKENS + 1).astype(np.int32)), flat.take(pa.array(unknown))], ["slot", "token"])
+                done = 0
+                for rows in chunk_slices(keys, size, known[at], key):
+                    edges = np.searchsorted(chunk, np.arange(done, done + rows.num_rows + 1)).astype(np.int32)
+                    done += rows.num_rows
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(edges), rest)],
+                                                     [*rows.schema.names, REST])
+
+    return toks.mapInArrow(run, schema)

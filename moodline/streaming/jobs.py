@@ -384,6 +384,27 @@ def job_salts(spark: SparkSession, base: str) -> int:
     return job_salts(spark, base)
 
 
+def _last_n_state(n: int):
+    """The step for one key as a function of applyInPandasWithState, for jobs with
+    few keys; ``last_n_stream`` takes all keys of a batch natively."""
+    import heapq
+    import json
+
+    import pandas as pd
+
+    fields = HISTORY_COLS[1:]
+    turn = fields.index("turn")
+
+    def update(key, chunks, state):
+        kept = [tuple(e) for e in json.loads(state.get[0])] if state.exists else []
+        for chunk in chunks:  # Arrow-sized chunks: memory bounded by chunk + n
+            kept = heapq.nlargest(n, [*kept, *chunk[fields].itertuples(index=False, name=None)], key=lambda e: e[turn])
+        state.update((json.dumps([[int(x) if i == turn else x for i, x in enumerate(e)] for e in kept]),))
+        cols = HISTORY_COLS + ["_salt"] * (len(key) > 1)  # salted key: (session, salt)
+        yield pd.DataFrame([(key[0], *e, *key[1:]) for e in kept], columns=cols).astype({"turn": "int64"})
+    return update
+
+
 def last_n_stream(stream: DataFrame, n: int = HISTORY_N, name: str | None = None) -> DataFrame:
     """The last n history entries of each session (HISTORY_SCHEMA
     rows that arrive in a stream), kept as a log of last-n lists.

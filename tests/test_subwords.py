@@ -140,3 +140,30 @@ def test_very_long_and_many_long_texts(spark):
     vocab = E.vocabulary(train, "text")
     enc = E.encode(docs, vocab).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in enc}[-1] == -(-3_600_000 // E.CHUNK_TOKENS) and len(enc) == 2001
+
+
+def test_rare_tokens_are_joined_beyond_the_bounds(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["é", "x" * 300]
+    texts = [" ".join(rng.choice(words[:rng.choice([3, 62])]) for _ in range(rng.choice([0, 3, 126, 127, 400]))) for _ in range(40)]
+    docs = spark.createDataFrame([(i // 2 if i % 5 else None, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    vocab = E.vocabulary(docs).filter("token != 'w7'").localCheckpoint()
+    want = sorted(map(str, E.encode(docs, vocab).collect()))
+    for bound in ("0", "5"):
+        spark.conf.set("moodline.broadcast.maxRows", bound)
+        try:
+            assert sorted(map(str, E.encode(docs, vocab).collect())) == want
+        finally:
+            spark.conf.unset("moodline.broadcast.maxRows")
+
+
+def test_lookup_compares_tokens_in_full(monkeypatch):
+    tokens = pa.array([f"t{i}" for i in range(50)] + ["", "é"])
+    ask = pa.array(["t3", "no", "", "t49", "t3", "é", "t"])
+    for constant in (False, True):  # all hashes equal
+        if constant:
+            monkeypatch.setattr(E, "token_hashes", lambda x: np.full(len(x), 7, np.uint64))
+        lookup = E.TokenLookup(tokens)
+        found = [tokens[int(lookup.order[p])].as_py() if p < len(lookup) else None for p in lookup.places(ask)]
+        assert found == ["t3", None, "", "t49", "t3", "é", None]
+    assert list(E.TokenLookup(tokens[:0]).places(ask)) == [0] * len(ask) and len(lookup.places(ask[:0])) == 0
