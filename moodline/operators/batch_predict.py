@@ -24,19 +24,19 @@ from pyspark.sql import types as Ty
 
 from moodline.functions import text as T
 from moodline.operators import naive_bayes as nb
-from moodline.operators.encoding import slices
+from moodline.operators.encoding import TokenLookup, slices
 from moodline.operators.joins import fits_broadcast
 
 SUMS = ["s0", "s1", "s2", "n_known"]
 #: (token arrays, vocabulary, weights) -> n x 4 sums and known tokens.
-Scorer = Callable[[pa.ListArray, pa.Array, np.ndarray], np.ndarray]
+Scorer = Callable[[pa.ListArray, TokenLookup, np.ndarray], np.ndarray]
 
 
-def token_sums(tokens: pa.ListArray, vocabulary: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Per text: the three weight sums over its known tokens, and their number."""
-    at = pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(len(vocabulary)).to_numpy()
-    rows = np.append(weights, np.zeros((1, weights.shape[1]), np.int64), axis=0)[at]
-    running = np.zeros((len(at) + 1, rows.shape[1]), np.int64)
+def token_sums(tokens: pa.ListArray, vocabulary: TokenLookup, weights: np.ndarray) -> np.ndarray:
+    """Per text: the three weight sums over its known tokens, and their number.
+    The last line of ``weights`` is that of an unknown token."""
+    rows = weights[vocabulary.places(tokens.flatten())]
+    running = np.zeros((len(rows) + 1, rows.shape[1]), np.int64)
     np.cumsum(rows, axis=0, out=running[1:])
     ends = np.cumsum(pc.list_value_length(tokens).fill_null(0).to_numpy())
     return running[ends] - running[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
@@ -48,9 +48,14 @@ def sums_in_place(model: nb.NBModel, docs: DataFrame, keys: list[str], text: str
     token; null sums and n_known where scoring failed)."""
     sc = docs.sparkSession.sparkContext
     table = model.weights.select("token", "wq0", "wq1", "wq2").toArrow()
-    weights = np.stack([*(table[f"wq{c}"].to_numpy() for c in range(nb.N_CLASSES)),
-                        np.ones(table.num_rows, np.int64)], axis=1)
-    shared = sc.broadcast((table["token"].combine_chunks(), weights))
+    vocabulary = TokenLookup(table["token"].combine_chunks())
+    # a weight is the logarithm of a share, times a million: four bytes hold it
+    weights = np.zeros((table.num_rows + 1, len(SUMS)), np.int32)
+    for c in range(nb.N_CLASSES):
+        weights[:-1, c] = table[f"wq{c}"].to_numpy()[vocabulary.order]
+    weights[:-1, -1] = 1
+    del vocabulary.order
+    shared = sc.broadcast((vocabulary, weights))
     rows = docs.select(*keys, T.tokens(F.col(text)).alias("_tokens"))
     fields = [f for f in rows.schema.fields if f.name != "_tokens"]
     schema = Ty.StructType(fields + [Ty.StructField(c, Ty.LongType()) for c in SUMS])
