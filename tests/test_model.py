@@ -233,3 +233,21 @@ def test_classifier_defaults_keep_colliding_words_apart(spark):
     test = spark.createDataFrame([(1, pair[0], 0), (2, pair[1], 2)], "doc_id long, text string, label int")
     got = {r.doc_id: r.predicted_code for r in choose_and_predict(train, test)[0].collect()}
     assert got == {1: 0, 2: 2}
+
+
+def test_a_step_of_the_classifier_sends_one_gradient_a_core(spark, monkeypatch):
+    import threading
+
+    from moodline.operators import classifier
+    seen, together = [], threading.Barrier(3, timeout=60)
+    real = classifier.LogisticRegression.fit
+
+    def fit(self, rows):
+        together.wait()  # the candidates are fitted side by side
+        seen.append(rows.rdd.getNumPartitions())
+        return real(self, rows)
+
+    monkeypatch.setattr(classifier.LogisticRegression, "fit", fit)
+    train = spark.createDataFrame([(i, f"word{i % 3}", i % 3) for i in range(90)], "doc_id long, text string, label int")
+    classifier.choose_and_predict(train.repartition(40), train, num_features=64, max_iter=3)
+    assert seen == [spark.sparkContext.defaultParallelism] * 3
