@@ -4,10 +4,13 @@ Documents are tokenized once into a written table of ids, which also holds the
 document frequencies of the ids (one row for each id and task). Documents are
 then dealt by content over shards of bounded size, each a BM25 inverted index.
 Every seed document (id divisible by 20) is a query of all its terms to every
-shard, in blocks of seeds: a shard adds up the BM25 weights of every document,
-those of the most frequent terms as one matrix product (which terms these are
+shard, in blocks of seeds: a shard holds its documents in blocks of alike ones.
+A block is passed over for a seed only if the largest weights of the seed's
+terms in it, or the whole weight of a document, add up to less than the seed's
+best documents so far reach; of all others the BM25 weights are added up, those
+of the most frequent terms as one matrix product (which terms these are
 is fitted on a bounded sample and changes no score), all others by their
-postings, and gives its best neighbours. No document is left out of a search.
+postings, and the best neighbours are given. They are exact.
 Over all shards a document goes to the seed that
 scores it highest, so each is used once, and a seed's window is filled with its
 neighbours by falling score; what does not fit is cut and opens the next
@@ -42,9 +45,14 @@ SHARD_DOCS = 32_768
 NEIGHBOURS = 16
 #: Terms whose weights are a dense matrix (columns), and about how many
 #: documents choose them. Neither changes a score.
-RANK, SAMPLE_DOCS = 256, 1000
+RANK, SAMPLE_DOCS = 1024, 1000
+#: Groups of alike documents in a shard, and documents of a block. Neither
+#: changes a score.
+GROUPS, DOC_BLOCK = 16, 512
 #: Bounds of the seeds of a pass, and of those scored together.
-PASS_TERMS, SEED_BLOCK = 4_000_000, 128
+PASS_TERMS, SEED_BLOCK = 4_000_000, 256
+#: Rough scores that wait to be scored exactly.
+MAX_ROUGH = 2_000_000
 #: Documents tokenized or placed together.
 SLICE_DOCS = 1024
 #: Tokens of a packing task.
@@ -149,27 +157,21 @@ class Statistics:
 
 
 class Seeds:
-    """The terms of a pass's seeds, one after the other, and which of them are
-    found by postings: those without a column in ``basis``."""
+    """The terms of a pass's seeds, one after the other."""
 
     def __init__(self, seed: np.ndarray, terms: list[np.ndarray], stats: Statistics, basis: np.ndarray) -> None:
         self.seed, self.basis = seed, basis
         self.first = np.cumsum([0] + [len(t) for t in terms])
         self.term = np.concatenate(terms) if terms else np.empty(0, np.uint16)
-        self.by_posting = basis[self.term] < 0
 
     def __len__(self) -> int:
         return len(self.seed)
 
-    def dense(self, at: int, stop: int) -> np.ndarray:
-        """Which columns the seeds ``at`` to ``stop`` ask for, as a matrix of 0 and 1."""
-        stop = min(stop, len(self))
-        part = slice(self.first[at], self.first[stop])
-        owner = np.repeat(np.arange(stop - at), np.diff(self.first[at:stop + 1]))
-        column = self.basis[self.term[part]]
-        out = np.zeros((stop - at, self.basis.max(initial=-1) + 1), np.float32)
-        out[owner[column >= 0], column[column >= 0]] = 1
-        return out
+    def pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``rows``, term) of all terms of the seeds ``rows``."""
+        n = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(rows)), n), self.term[at]
 
 
 def fit_basis(docs: list[bytes], lengths: np.ndarray, stats: Statistics, dtype: np.dtype, rank: int = RANK) -> np.ndarray:
@@ -185,9 +187,22 @@ def fit_basis(docs: list[bytes], lengths: np.ndarray, stats: Statistics, dtype:
     return basis
 
 
+def centres(lines: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
+    """Centres of ``n`` groups of alike lines (unit length each)."""
+    out = lines[np.linspace(0, len(lines) - 1, min(n, len(lines))).astype(np.int64)] if len(lines) else lines
+    for _ in range(rounds if len(lines) else 0):
+        member = np.zeros((len(out), len(lines)), np.float32)
+        member[(lines @ out.T).argmax(axis=1), np.arange(len(lines))] = 1
+        sums = member @ lines
+        norm = np.sqrt((sums * sums).sum(axis=1))
+        out = np.where(norm[:, None] > 0, sums / np.maximum(norm, 1e-30)[:, None], out)
+    return out
+
+
 class ShardIndex:
-    """BM25 index of a shard: a dense matrix for the terms of ``basis``, an
-    inverted index of all others, and forward lists."""
+    """BM25 index of a shard: forward lists, and documents in blocks of alike
+    ones (groups of a dense sample, then by falling total weight). ``bound``
+    has the largest weight of each term in each block."""
 
     def __init__(self, docs: list[bytes], lengths: np.ndarray, stats: Statistics, basis: np.ndarray, dtype: np.dtype) -> None:
         self.size, self.vocabulary = len(docs), len(stats.df)
@@ -201,73 +216,209 @@ class ShardIndex:
         for at in range(0, len(self.term), 1 << 18):
             some = slice(at, at + (1 << 18))
             self.weight[some] = stats.weights(self.term[some], count[some], lengths[owner[some]])
-        del count
-        column = basis[self.term]
+        total = np.bincount(owner, self.weight, self.size)
+        del count, owner
+        self.basis, self.columns = basis, int(basis.max(initial=-1)) + 1
+        lines = self._lines(np.arange(0, self.size, max(1, self.size // 2048)))
+        lines /= np.maximum(np.sqrt((lines * lines).sum(axis=1)), 1e-30)[:, None]
+        self.centres = centres(lines, GROUPS)
+        group = np.zeros(self.size, np.int32)
+        for at in range(0, self.size if len(lines) else 0, DOC_BLOCK):
+            some = np.arange(at, min(at + DOC_BLOCK, self.size))
+            group[some] = (self._lines(some) @ self.centres.T).argmax(axis=1)
+        order = np.lexsort((-total, group))
+        new = np.flatnonzero(np.diff(group[order], prepend=-1))
+        cuts = [at for a, b in zip(new, [*new[1:], self.size]) for at in range(a, b, DOC_BLOCK)]
+        self.blocks = [order[a:b] for a, b in zip(cuts, [*cuts[1:], self.size])]
+        self.block_group = np.array([group[d[0]] for d in self.blocks], np.int32)
+        self.total = total
+        self.block_total = np.array([total[d[0]] for d in self.blocks], np.float32)
+        self.bound = np.zeros((self.vocabulary, len(self.blocks)), np.float32)
+        for i, docs_ in enumerate(self.blocks):
+            _, term, weight = self._entries(docs_)
+            if len(term):
+                by_term = np.argsort(term, kind="stable")
+                first = np.flatnonzero(np.diff(term[by_term].astype(np.int64), prepend=-1))
+                self.bound[term[by_term[first]], i] = np.maximum.reduceat(weight[by_term], first)
+        #: Pairs of a seed and a document that were added up so far.
+        self.scored = 0
+
+    def _entries(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``docs``, term, weight) of all terms of the documents ``docs``."""
+        n = self.first[docs + 1] - self.first[docs]
+        at = np.repeat(self.first[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(docs)), n), self.term[at], self.weight[at].astype(np.float32)
+
+    def _lines(self, docs: np.ndarray) -> np.ndarray:
+        """The weights of the terms of ``basis``, a line for each document."""
+        place, term, weight = self._entries(docs)
+        column = self.basis[term]
+        out = np.zeros((len(docs), self.columns), np.float32)
+        inside = column >= 0
+        out[place[inside], column[inside]] = weight[inside]
+        return out
+
+    def _open_block(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Dense weights (column, document) of the terms of ``basis`` and which
+        columns have any; places, weights and bounds of the other terms' postings."""
+        place, term, weight = self._entries(docs)
+        column = self.basis[term]
+        inside, rest = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        dense = np.zeros((self.columns, len(docs)), np.float32)
+        dense[column[inside], place[inside]] = weight[inside]
+        present = np.zeros(self.columns, bool)
+        present[column[inside]] = True
+        first = np.zeros(self.vocabulary + 1, np.int64)
+        np.cumsum(np.bincount(term[rest], minlength=self.vocabulary), out=first[1:])
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        return dense, present, place[rest], weight[rest], first
+
+    def _add_up(self, seeds: Seeds, rows: np.ndarray, block: tuple, width: int) -> np.ndarray:
+        """Scores of a block's first ``width`` documents, in single precision, a
+        line for each of the seeds ``rows``."""
+        dense, present, posting_doc, posting_weight, first = block
+        row, term = seeds.pairs(rows)
+        column = self.basis[term]
         inside = np.flatnonzero(column >= 0)
-        self.dense = np.zeros((basis.max(initial=-1) + 1, self.size), np.float32)
-        self.dense[column[inside], owner[inside]] = self.weight[inside]
-        rest = np.flatnonzero(column < 0).astype(np.int32)
-        del column, inside
-        rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.posting_doc = owner[rest]
-        self.posting_weight = self.weight[rest].astype(np.float32)
-        self.posting_first = np.searchsorted(self.term[rest], np.arange(self.vocabulary + 1)).tolist()
-
-    def add_postings(self, line: np.ndarray, keys: list[int]) -> None:
-        """Add the weights of the documents with each of the terms ``keys``."""
-        first = self.posting_first
-        slices = [slice(first[t], first[t + 1]) for t in keys if first[t] < first[t + 1]]
-        if slices:
-            line += np.bincount(np.concatenate([self.posting_doc[s] for s in slices]),
-                                np.concatenate([self.posting_weight[s] for s in slices]), self.size).astype(np.float32)
-
-    def reach(self, line: np.ndarray, own: np.ndarray, wanted: int, error: float) -> np.ndarray:
-        """Documents but ``own`` (true or false each) that may be among the
-        ``wanted`` with the highest scores, given the scores ``line`` up to a
-        relative ``error``."""
-        step = max(1, self.size // 2048)
-        nth = 4 * wanted // step + 2
-        docs = np.arange(self.size)
-        if nth < len(line) // step:
-            # a bound from every step-th document; it holds if enough reach it
-            sampled = line[::step]
-            some = np.flatnonzero(line >= np.partition(sampled, len(sampled) - nth)[len(sampled) - nth])
-            docs = some if np.count_nonzero(~own[some]) >= wanted else docs
-        docs = docs[~own[docs]]
-        if len(docs) > wanted:
-            score = line[docs]
-            docs = docs[score >= np.partition(score, len(docs) - wanted)[len(docs) - wanted] * (1 - 2 * error)]
-        return docs
-
-    def neighbours(self, seeds: Seeds, key: np.ndarray, wanted: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asked = np.zeros(self.columns, bool)
+        asked[column[inside]] = True
+        asked &= present
+        number = np.cumsum(asked) - 1
+        inside = inside[asked[column[inside]]]
+        query = np.zeros((len(rows), np.count_nonzero(asked)), np.float32)
+        query[row[inside], number[column[inside]]] = 1
+        out = query @ dense[np.flatnonzero(asked), :width]
+        n = np.where(column < 0, first[term.astype(np.int64) + 1] - first[term], 0)
+        some = np.flatnonzero(n)
+        # so many at a time: a very frequent term may be found by its postings
+        cuts = np.searchsorted(np.cumsum(n[some]), np.arange(0, n.sum(), 1 << 20)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(some)]):
+            part, size = some[a:b], n[some[a:b]]
+            at = np.repeat(first[term[part]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            doc, line = posting_doc[at], np.repeat(row[part], size)
+            near = doc < width
+            out += np.bincount(line[near] * width + doc[near], posting_weight[at[near]],
+                               out.size).reshape(out.shape).astype(np.float32)
+        self.scored += out.size
+        return out
+
+    def _bounds(self, seeds: Seeds, rows: np.ndarray) -> np.ndarray:
+        """No document of a block (column) scores more for a seed (line) than this."""
+        out = np.zeros((len(rows), len(self.blocks)), np.float32)
+        ends = np.cumsum(seeds.first[rows + 1] - seeds.first[rows])
+        cuts = np.searchsorted(ends, np.arange(0, ends.max(initial=0), 1 << 16)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+            row, term = seeds.pairs(rows[a:b])
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            if len(first):
+                out[a + row[first]] = np.add.reduceat(self.bound[term], first, axis=0)
+        return np.minimum(out, self.block_total)
+
+    def _exact(self, seeds: Seeds, row: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Scores in double precision; ``row`` rises."""
+        asked, out = np.zeros(self.vocabulary), np.empty(len(row))
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(row)]):
+            own = seeds.term[seeds.first[row[a]]:seeds.first[row[a] + 1]]
+            asked[own] = 1
+            out[a:b] = [self.weight[x:y] @ asked[self.term[x:y]] for x, y in
+                        zip(self.first[doc[a:b]].tolist(), self.first[doc[a:b] + 1].tolist(), strict=True)]
+            asked[own] = 0
+        return out
+
+    def neighbours(self, seeds: Seeds, key: np.ndarray, wanted: float, k: int,
+                   least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(seed, document, score) of the ``k`` best neighbours of each seed
-        among all documents of the shard. Every document is scored by all terms
-        in single precision; those that may be among the best ``wanted`` (at
-        least ``k``), rounding included, are scored again in double precision.
-        ``key`` names the documents as ``seeds.seed`` does the seeds; a seed is
-        not its own neighbour. Ties go to the smaller key."""
-        asked = np.zeros(self.vocabulary)
-        out_seed, out_doc, out_score = [], [], []
-        for at in range(0, len(seeds), SEED_BLOCK):
-            lines = seeds.dense(at, at + SEED_BLOCK) @ self.dense
-            for i, line in enumerate(lines, at):
-                terms = slice(seeds.first[i], seeds.first[i + 1])
-                own = seeds.term[terms]
-                self.add_postings(line, own[seeds.by_posting[terms]].tolist())
-                # sums of len(own) weights, none negative
-                docs = self.reach(line, key == seeds.seed[i], max(round(wanted), k), (len(own) + 16) * 2.0 ** -23)
-                asked[own] = 1
-                score = np.array([self.weight[a:b] @ asked[self.term[a:b]] for a, b in
-                                  zip(self.first[docs].tolist(), self.first[docs + 1].tolist(), strict=True)])
-                asked[own] = 0
-                best = np.lexsort((key[docs], -score))[:k]
-                best = best[score[best] > 0]
-                out_seed.append(np.full(len(best), i))
-                out_doc.append(docs[best])
-                out_score.append(score[best])
-        none = [np.empty(0, np.int64)]
-        return (np.concatenate(out_seed or none), np.concatenate(out_doc or none),
-                np.concatenate(out_score or [np.empty(0)]))
+        among all documents of the shard. A block is passed over for a seed only
+        if the bounds of its terms, or of its documents, add up to less than
+        ``wanted`` (at least ``k``) documents already reach, or than ``least`` of
+        the seed, rounding included; else all its documents are scored by all
+        terms in single precision, and those that may be among the best again
+        in double precision. ``key`` names the documents as ``seeds.seed`` does
+        the seeds; a seed is not its own neighbour. Ties go to the smaller key."""
+        wanted, size = max(round(wanted), k), np.diff(seeds.first)
+        error = (size + 16) * 2.0 ** -23  # sums of ``size`` weights, none negative
+        reached = np.zeros((len(seeds), wanted), np.float32)
+        floor = np.zeros(len(seeds)) if least is None else least * (1 - 2 * error)
+        group = np.full(len(seeds), -1)
+        for at in range(0, len(seeds) if len(self.centres) else 0, SEED_BLOCK):
+            some = np.arange(at, min(at + SEED_BLOCK, len(seeds)))
+            row, term = seeds.pairs(some)
+            column = self.basis[term]
+            query = np.zeros((len(some), self.columns), np.float32)
+            query[row[column >= 0], column[column >= 0]] = 1
+            group[some] = (query @ self.centres.T).argmax(axis=1)
+        order = np.lexsort((size, group))
+        order = order[size[order] > 0]
+        bounds = np.zeros((len(seeds), len(self.blocks)))
+        bounds[order] = self._bounds(seeds, order) * (1 + 4 * error[order])[:, None]
+        # which seed a document is itself
+        by_key = np.argsort(seeds.seed, kind="stable")
+        at = np.minimum(np.searchsorted(seeds.seed[by_key], key), max(len(seeds) - 1, 0))
+        itself = np.where(seeds.seed[by_key[at]] == key, by_key[at], -1) if len(seeds) else np.full(len(key), -1)
+        place = np.full(len(seeds) + 1, -1)  # of a seed in the block of seeds; the last one is nobody's
+        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        waiting, n_waiting = [], 0
+
+        def settle() -> None:
+            nonlocal found, waiting, n_waiting
+            if not waiting:
+                return
+            row, doc, rough = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            some = np.flatnonzero(rough >= floor[row])
+            some = some[np.argsort(row[some], kind="stable")]
+            row, doc = row[some], doc[some]
+            row, doc, score = (np.concatenate(x) for x in
+                               zip(found, (row, doc, self._exact(seeds, row, doc)), strict=True))
+            best = np.lexsort((key[doc], -score, row))
+            best = best[np.arange(len(best)) - np.searchsorted(row[best], row[best]) < k]
+            best = best[score[best] > 0]
+            found, waiting, n_waiting = (row[best], doc[best], score[best]), [], 0
+
+        for alike in (True, False):
+            for i, every in enumerate(self.blocks):
+                todo = order[(group[order] == self.block_group[i]) == alike]
+                todo = todo[bounds[todo, i] >= floor[todo]]
+                todo = todo[np.lexsort((-floor[todo], group[todo]))]
+                block, falling_total = self._open_block(every) if len(todo) else None, -self.total[every]
+                for at in range(0, len(todo), SEED_BLOCK):
+                    rows = todo[at:at + SEED_BLOCK]
+                    # a document scores no more than all its weights together
+                    width = np.searchsorted(falling_total, -(floor[rows] * (1 - 4 * error[rows])).min(), "right")
+                    docs = every[:width]
+                    if not len(docs):
+                        continue
+                    lines = self._add_up(seeds, rows, block, width)
+                    place[rows] = np.arange(len(rows))
+                    own = place[itself[docs]]
+                    lines[own[own >= 0], np.flatnonzero(own >= 0)] = 0
+                    place[rows] = -1
+                    hit = (lines >= floor[rows, None]) & (lines > 0)
+                    if np.count_nonzero(hit) > 2 * wanted * len(rows) and wanted < len(docs):
+                        nth = np.partition(lines, len(docs) - wanted, axis=1)[:, len(docs) - wanted]
+                        floor[rows] = np.maximum(floor[rows], nth * (1 - 2 * error[rows]))
+                        hit = (lines >= floor[rows, None]) & (lines > 0)
+                    row, doc = np.nonzero(hit)
+                    if not len(row):
+                        continue
+                    rough = lines[row, doc]
+                    # the best so far of the seeds with any
+                    falling = np.lexsort((-rough, row))
+                    nth = np.arange(len(row)) - np.searchsorted(row, row)
+                    some, number = np.unique(row, return_inverse=True)
+                    new = np.zeros((len(some), wanted), np.float32)
+                    new[number[nth < wanted], nth[nth < wanted]] = rough[falling][nth < wanted]
+                    both = np.concatenate([reached[rows[some]], new], axis=1)
+                    reached[rows[some]] = np.partition(both, wanted, axis=1)[:, wanted:]
+                    least_now = reached[rows[some]].min(axis=1) * (1 - 2 * error[rows[some]])
+                    floor[rows[some]] = np.maximum(floor[rows[some]], least_now)
+                    still = rough >= floor[rows[row]]
+                    waiting.append((rows[row[still]], docs[doc[still]], rough[still]))
+                    n_waiting += np.count_nonzero(still)
+                    if n_waiting > MAX_ROUGH:
+                        settle()
+        settle()
+        return found
 
 
 def hot_copies(tokens: DataFrame) -> tuple[DataFrame, int]:
@@ -330,7 +481,12 @@ def find_neighbours(tokens: DataFrame, stats: Statistics, dtype: np.dtype, docs:
             def search(keys: list[int], lengths: list[int], terms: list[bytes]) -> None:
                 nonlocal found
                 index, key = ShardIndex(terms, np.array(lengths, np.int64), stats, basis, dtype), np.array(keys, np.int64)
-                seed, doc, score = index.neighbours(seeds, key, k, k)
+                # the k-th best of the shards before is the least that counts
+                nth = np.searchsorted(found[0], np.arange(len(seeds))) + k - 1
+                full = np.flatnonzero(nth < np.searchsorted(found[0], np.arange(len(seeds)), "right"))
+                least = np.zeros(len(seeds))
+                least[full] = found[2][nth[full]]
+                seed, doc, score = index.neighbours(seeds, key, k, k, least)
                 seed, doc, score = (np.concatenate(x) for x in zip(found, (seed, key[doc], score), strict=True))
                 order = np.lexsort((doc, -score, seed))
                 order = order[np.arange(len(order)) - np.searchsorted(seed[order], seed[order]) < k]

@@ -134,6 +134,27 @@ def test_small_memo_changes_nothing(monkeypatch):
         assert np.frombuffer(model.encode(text), model.dtype).tolist() == ids
 
 
+def test_known_words_are_not_encoded_again(monkeypatch):
+    texts = ["one word, two words. " + "long" * 20 + " 12 été Straße " + "x" * 32 + " " + "x" * 33, " \n ", "two one"]
+    want = [wordbpe.load(WORDS).lib.encode(t, add_special_tokens=False).ids for t in texts]
+    model, seen = wordbpe.WordBpe(WORDS), []
+    plain = model._plain
+    monkeypatch.setattr(model, "_plain", lambda part: seen.append(part) or plain(part))
+    for _ in range(3):
+        assert [np.frombuffer(x, model.dtype).tolist() for x in model.encode_many(texts)] == want
+    assert seen.count("word") == seen.count("été") == seen.count("x" * 32) == 1 and not any(s.isspace() for s in seen)
+
+
+@pytest.mark.parametrize("memo", [6, 600_000])
+def test_words_that_share_a_hash(monkeypatch, memo):
+    monkeypatch.setattr(wordbpe, "_MIX", np.zeros(4, np.uint64))
+    monkeypatch.setattr(wordbpe, "MEMO_PARTS", memo)
+    model, texts = wordbpe.WordBpe(WORDS), ["to be or not to be", "that is the question: to be", "not that, not this"]
+    want = [model.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(3):
+        assert [np.frombuffer(x, model.dtype).tolist() for t in texts for x in model.encode_many([t])] == want
+
+
 def check_packed(rows, docs, window=4096):
     """Every id in exactly one piece, sequences gapless and hardly padded."""
     model = wordbpe.load(WORDS)
@@ -217,6 +238,43 @@ def test_no_document_is_left_out_of_a_search(rank):
         assert np.allclose(score[seed == i], best[best > 0]) and np.allclose(want[doc[seed == i]], score[seed == i])
 
 
+def topical_docs(rng, n=1200, topics=4, width=400):
+    """Documents of different lengths, each topic with terms of its own and some common ones."""
+    docs = []
+    for i in range(n):
+        own = (i % topics) * width + np.minimum(rng.zipf(1.2, rng.integers(5, 200)), width) - 1
+        docs.append(np.append(own, topics * width + rng.integers(0, 20, 5)).astype("<u2"))
+    return docs, topics * width + 20
+
+
+@pytest.mark.parametrize("columns", [30, 5000])
+def test_blocks_out_of_reach_are_not_added_up(monkeypatch, columns):
+    monkeypatch.setattr(packing, "DOC_BLOCK", 64)
+    monkeypatch.setattr(packing, "SEED_BLOCK", 16)
+    monkeypatch.setattr(packing, "MAX_ROUGH", 500)
+    docs, vocabulary = topical_docs(np.random.default_rng(5))
+    stats, dtype, lengths = statistics(docs, vocabulary), docs[0].dtype, np.array([len(d) for d in docs])
+    terms = [packing.pack_terms(*np.unique(d, return_counts=True), dtype) for d in docs]
+    basis = packing.fit_basis(terms[:100], lengths, stats, dtype, columns)
+    numbers = np.arange(0, 1200, 13)
+    seeds = packing.Seeds(numbers, [np.unique(docs[i]) for i in numbers], stats, basis)
+    index = packing.ShardIndex(terms, lengths, stats, basis, dtype)
+    seed, doc, score = index.neighbours(seeds, np.arange(1200), 10, 10)
+    for i, s in enumerate(numbers):
+        want = bm25(np.unique(docs[s]), docs, stats)
+        want[s] = -1
+        assert np.allclose(score[seed == i], np.sort(want)[::-1][:10])
+        assert np.allclose(want[doc[seed == i]], score[seed == i]) and len(set(doc[seed == i].tolist())) == 10
+    assert index.scored < 0.6 * len(numbers) * 1200
+    # what earlier shards gave is a bound for later ones
+    tenth = score[np.searchsorted(seed, np.arange(len(numbers)), "right") - 1]
+    before, index.scored = index.scored, 0
+    again = index.neighbours(seeds, np.arange(1200), 10, 10, tenth)
+    assert all(np.array_equal(a, b) for a, b in zip((seed, doc, score), again)) and index.scored <= before
+    nothing = index.neighbours(seeds, np.arange(1200), 10, 10, np.full(len(numbers), 1e9))
+    assert len(nothing[0]) == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables not present")
 def test_neighbours_of_all_shards_against_the_whole_index(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
